@@ -6,7 +6,8 @@ two documents of a source meet, and one moves words to the other until one of
 the two is in or out entirely, at random so that expectations hold and the
 source's words stay what they were. What is left over of a bucket of documents
 meets what is left of others in a reduction tree of fixed fan-in, so a source
-ends with one undecided document, however many tasks it was spread over.
+ends with one undecided document, however many tasks it was spread over. That
+one is cut, or drawn by itself.
 """
 
 from __future__ import annotations
@@ -100,13 +101,13 @@ def pivot(p: np.ndarray, size: np.ndarray, chance: np.ndarray) -> tuple[np.ndarr
     return out, at
 
 
-def _round(last: bool, salt: int):
+def _round(last: bool, salt: int, cut: bool):
     def bucket(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["u", "doc_id", "nth"], kind="stable").reset_index(drop=True)
         p, chance = rows["p"].to_numpy(float).copy(), _uniform(rows["u"].to_numpy(np.int64), salt)
         for _, at in rows.groupby("source", dropna=False, sort=False).indices.items():
             p[at], left = pivot(p[at], rows["size"].to_numpy(np.int64)[at], chance[at])
-            if last and left >= 0:
+            if last and left >= 0 and not cut:
                 k = at[left]
                 p[k] = float(_uniform(rows["u"].to_numpy(np.int64)[k : k + 1], salt + 1)[0] < p[k])
         return rows.assign(p=p)
@@ -114,12 +115,14 @@ def _round(last: bool, salt: int):
     return bucket
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 7, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 7, cut_last: bool = True, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """Decides how often each row of ``docs`` (doc_id, text, source; other columns are ignored) is taken.
 
     Returns one row for each: doc_id, nth (0, 1, ... among the rows that share
     doc_id, source and size), source, size, source_size, target, copies (0 to
-    ``most`` rounded up) and taken (size * copies). Null text has size 0, null
+    ``most`` rounded up) and taken, the words it gives. The one document of a
+    source that is undecided in the end gives a part of its words, so that the
+    source meets its target to a word; without ``cut_last`` it is drawn like the others. Null text has size 0, null
     is a source of its own, sources without words have target 0 and are taken 0
     times. All randomness is keyed by doc_id, so reruns agree on any layout.
     Rows that repeat doc_id, source and size count as that many documents. A
@@ -142,24 +145,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     done, salt = [], 1
     while True:
         last = buckets == 1
-        out = here.groupBy("bucket").applyInPandas(_round(last, seed * 1000 + salt), f"{ROW}, bucket long")
+        out = here.groupBy("bucket").applyInPandas(_round(last, seed * 1000 + salt, cut_last), f"{ROW}, bucket long")
         out = stored(out, "mix-level")
-        done.append(out.where("p <= 0 or p >= 1"))
         if last:
+            done.append(out)
             break
+        done.append(out.where("p <= 0 or p >= 1"))
         buckets, salt = -(-buckets // fan_in), salt + 2
         here = out.where("p > 0 and p < 1").withColumn("bucket", F.expr(f"bucket div {fan_in}"))
     decided = done[0]
     for more in done[1:]:
         decided = decided.unionByName(more)
     final = decided.alias("d").join(level.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    copies = (F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0) + F.col("p")).cast("int")
-    return final.select("doc_id", "nth", "d.source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    copies = (whole + F.floor("p")).cast("int")
+    part = F.when((F.col("p") > 0) & (F.col("p") < 1), F.round(F.col("size") * F.col("p"))).otherwise(0).cast("long")
+    return final.select("doc_id", "nth", "d.source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies + part).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, with all its columns."""
-    told = stored(mix(docs, **options), "mix-copies").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("nth").alias("__nth"), "copies").withColumnRenamed("copies", "__copies")
+    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it whole, with all its columns."""
+    told = stored(mix(docs, cut_last=False, **options), "mix-copies").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("nth").alias("__nth"), "copies").withColumnRenamed("copies", "__copies")
     same = Window.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64(text_or_empty()))
     rows = docs.withColumn("__words", words(text_or_empty())).withColumn("__place", F.row_number().over(same) - 1)
     on = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))

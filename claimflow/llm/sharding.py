@@ -62,13 +62,52 @@ def moved_nothing(now: DataFrame, before: DataFrame) -> bool:
     return mark(now) == mark(before)
 
 
+def _filled(stay: DataFrame, pool: DataFrame, shards: int) -> DataFrame:
+    """``stay`` and all of ``pool``, which fills the shards to equal bytes: large rows first, so that small ones even out the borders."""
+    loads = {r["shard"]: r["s"] for r in stay.groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    now, out = [float(loads.get(k) or 0) for k in range(shards)], stay
+    classes = [(1 << 16, None), (1 << 13, 1 << 16), (1 << 10, 1 << 13), (0, 1 << 10)]
+    for low, high in classes:
+        some = pool.where(F.col("size") >= low)
+        some = some if high is None else some.where(F.col("size") < high)
+        total = some.agg(F.sum("size")).first()[0]
+        if not total:
+            continue
+        level = _level(now, total)
+        edges, at = [], 0.0
+        for x in now:
+            at += max(0.0, level - x)
+            edges.append(at)
+        last = max(k for k in range(shards) if now[k] < level)
+        middle = F.col("before") + F.col("size") / 2
+        to = F.lit(last)
+        for k in reversed(range(last)):
+            to = F.when(middle < edges[k], F.lit(k)).otherwise(to)
+        run = exclusive_sums(some.withColumn("fine", _fine()), [], "fine", ["group_hash", "row_hash", "uid"], "size", "before")
+        placed = stored(run.withColumn("shard", to).drop("fine", "before"), "shard-filled")
+        for r in placed.groupBy("shard").agg(F.sum("size").alias("s")).collect():
+            now[r["shard"]] += r["s"]
+        out = out.unionByName(placed)
+    return out
+
+
+def _level(loads: list[float], more: float) -> float:
+    """The height to which ``more`` bytes fill the lowest shards."""
+    low = sorted(loads)
+    for k in range(1, len(low) + 1):
+        height = (sum(low[:k]) + more) / k
+        if k == len(low) or height <= low[k]:
+            return height
+    return low[-1]
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Places every row of ``docs`` (doc_id, text; other columns are ignored) in one of ``shards`` shards.
 
     A row's size is its text's UTF-8 bytes plus 1, null counting as empty; rows
     of equal text are linked. Returns (doc_id, size, text_crc32, shard, slot);
-    slots are gapless from 0 in each shard. Sizes of shards differ by about one
-    document at each border; a group larger than its share is cut, others keep together where the
+    slots are gapless from 0 in each shard. Sizes of shards differ by less than the
+    smallest documents where there are enough of those; a group larger than its share is cut, others keep together where the
     quota allows. Repeated rows are placed each; a null doc_id is placed too. An empty table gives no rows.
     """
     need(docs, ["doc_id", "text"])
@@ -81,17 +120,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     run = stored(run.drop("fine"), "shard-linked")
     stay = run.where(F.col("before") + F.col("size") <= share).select("uid", "doc_id", "size", "text_crc32", "group_hash", "row_hash", "shard")
     pool = rows.where("not linked").select("uid", "doc_id", "size", "text_crc32", "group_hash", "row_hash").unionByName(run.where(F.col("before") + F.col("size") > share).select("uid", "doc_id", "size", "text_crc32", "group_hash", "row_hash"))
-    loads = {r["shard"]: r["s"] for r in stay.groupBy("shard").agg(F.sum("size").alias("s")).collect()}
-    pool = exclusive_sums(pool.withColumn("fine", _fine()), [], "fine", ["group_hash", "row_hash", "uid"], "size", "before").drop("fine")
-    target, edges, at = total / shards, [], 0.0
-    for k in range(shards):
-        at += target - (loads.get(k) or 0)
-        edges.append(at)
-    middle = F.col("before") + F.col("size") / 2
-    to = F.lit(shards - 1)
-    for k in reversed(range(shards - 1)):
-        to = F.when(middle < edges[k], F.lit(k)).otherwise(to)
-    whole = stay.unionByName(pool.withColumn("shard", to).drop("before"))
+    whole = _filled(stay, stored(pool, "shard-pool"), shards)
     whole = stored(whole.withColumn("fine", _fine("row_hash", "group_hash")).withColumn("one", F.lit(1).cast("long")), "shard-places")
     slots = exclusive_sums(whole, ["shard"], "fine", ["row_hash", "uid"], "one", "slot")
     return slots.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")
