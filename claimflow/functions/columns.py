@@ -178,17 +178,17 @@ def position(text: Column | str, least_width: int | None = None, strict: bool =
 def clipped(pos: Column, n: Column) -> Column:
     """A position inside a trace of ``n`` rows; null where nothing is left."""
     start, end = F.greatest(pos["start"], F.lit(0)), F.least(pos["end"], n.cast("int"))
-    return F.when(end > start, F.struct(start.alias("start"), end.alias("end")))
+    return F.when(pos.isNotNull() & (end > start), F.struct(start.alias("start"), end.alias("end")))
 
 
 def region_list(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(_c(text), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_c(text), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def region_set(text: Column | str) -> Column:
     """Distinct regions of a list literal or of text split at commas, semicolons, their wide forms, or spaces."""
     parts = F.coalesce(F.from_json(_c(text), "array<string>"), F.split(_c(text), r"[,;，、\s]+"))
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def grid_cell(region: Column | str) -> Column:
