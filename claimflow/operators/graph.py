@@ -6,6 +6,8 @@ tables are made by joins on it, with a bound on the number of rounds.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,30 +21,22 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return symmetric(edges).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))
 
 
+def _walked(edges: DataFrame, start: str, step: str, more: str, answer: str) -> DataFrame:
+    """One recursive plan over the links: rounds unrolled in Python would double the plan each time."""
+    view = f"links_{uuid.uuid4().hex}"
+    symmetric(edges).createOrReplaceTempView(view)
+    return edges.sparkSession.sql(f"WITH RECURSIVE walk(src, dst, way) AS (SELECT DISTINCT src, src, {start} FROM {view} UNION ALL SELECT w.src, l.dst, {step} FROM walk w JOIN {view} l ON l.src = w.dst WHERE {more}) {answer}")
+
+
 def hops(edges: DataFrame, most: int = 8) -> DataFrame:
     """(src, dst, distance): fewest links between each reachable pair, up to ``most``; 0 to itself."""
-    links = symmetric(edges).cache()
-    found = links.select(F.col("src").alias("dst")).distinct().select(F.col("dst").alias("src"), "dst", F.lit(0).alias("distance"))
-    front = found
-    for step in range(1, most + 1):
-        ahead = front.select("src", F.col("dst").alias("mid")).join(links.withColumnRenamed("src", "mid"), "mid").select("src", "dst").distinct()
-        front = ahead.join(found, ["src", "dst"], "left_anti").withColumn("distance", F.lit(step))
-        found = found.unionByName(front)
-    return found
+    return _walked(edges, "0", "w.way + 1", f"w.way < {int(most)}", "SELECT src, dst, min(way) AS distance FROM walk GROUP BY src, dst")
 
 
 def shortest_paths(edges: DataFrame, most: int = 6) -> DataFrame:
-    """(src, dst, path): of the paths with fewest links the first in node order, found breadth first."""
-    links = symmetric(edges).cache()
-    nodes = links.select(F.col("src").alias("dst")).distinct()
-    found = nodes.select(F.col("dst").alias("src"), "dst", F.array("dst").alias("path"))
-    front = found
-    for _ in range(most):
-        ahead = front.select("src", F.col("dst").alias("mid"), "path").join(links.withColumnRenamed("src", "mid"), "mid")
-        ahead = ahead.groupBy("src", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        front = ahead.join(found, ["src", "dst"], "left_anti")
-        found = found.unionByName(front)
-    return found
+    """(src, dst, path): of the paths with fewest links the first in node order, which is what a breadth-first search by sorted neighbours finds."""
+    best = "SELECT src, dst, min(struct(size(way) AS n, way)).way AS path FROM walk GROUP BY src, dst"
+    return _walked(edges, "array(src)", "concat(w.way, array(l.dst))", f"size(w.way) <= {int(most)} AND NOT array_contains(w.way, l.dst)", best)
 
 
 def weighted(edges: DataFrame, rounds: int = 4) -> DataFrame:
