@@ -206,16 +206,16 @@ def score_left_join_fill(s, d):
     return _fused(s, d).select("sample_key", *[F.round(c, 6).alias(c) for c in ("s_topo", "s_curr", "s_signal")], "missing_s_topo", "missing_s_curr")
 
 
-@query(f"WITH {_TABLES} SELECT sample_key, round(.4 * s_topo + .3 * s_curr + .2 * s_signal + .1 * s_time, 6) AS s_total FROM j")
+@query(f"WITH {_TABLES} SELECT sample_key, round(.4 * s_topo + .3 * s_curr + .2 * s_signal + .1 * s_time, 9) AS s_total FROM j")
 def fusion_score(s, d):
-    return _fused(s, d).select("sample_key", F.round("s_total", 6).alias("s_total"))
+    return _fused(s, d).select("sample_key", F.round("s_total", 9).alias("s_total"))
 
 
-@query(f"""WITH {_TABLES} SELECT sample_key, round((.3 * s_curr + .2 * s_signal + .1 * s_time) / .6, 5) AS without_topology, round((.4 * s_topo + .2 * s_signal + .1 * s_time) / .7, 5) AS without_current,
-    round((.4 * s_topo + .3 * s_curr + .1 * s_time) / .8, 5) AS without_signal, round((.4 * s_topo + .3 * s_curr + .2 * s_signal) / .9, 5) AS without_time FROM j""")
+@query(f"""WITH {_TABLES} SELECT sample_key, round((.3 * s_curr + .2 * s_signal + .1 * s_time) / .6, 9) AS without_topology, round((.4 * s_topo + .2 * s_signal + .1 * s_time) / .7, 9) AS without_current,
+    round((.4 * s_topo + .3 * s_curr + .1 * s_time) / .8, 9) AS without_signal, round((.4 * s_topo + .3 * s_curr + .2 * s_signal) / .9, 9) AS without_time FROM j""")
 def ablation_scores(s, d):
     names = {"without_topology": "s_topo", "without_current": "s_curr", "without_signal": "s_signal", "without_time": "s_time"}
-    return _fused(s, d).select("sample_key", *[F.round(scores.weighted(scores.FUSION, drop), 5).alias(name) for name, drop in names.items()])
+    return _fused(s, d).select("sample_key", *[F.round(scores.weighted(scores.FUSION, drop), 9).alias(name) for name, drop in names.items()])
 
 
 @query(f"WITH {SCORES} SELECT attack, threshold, count(*) AS total_count, CAST(sum(CASE WHEN score >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS accepted_count, round(avg(CASE WHEN score >= threshold THEN 1 ELSE 0 END), 6) AS far FROM scores, (SELECT unnest([0.775, 0.785, 0.795]) AS threshold) GROUP BY attack, threshold".replace("unnest([0.775, 0.785, 0.795])", "CAST(unnest([0.775, 0.785, 0.795]) AS DOUBLE)"))
