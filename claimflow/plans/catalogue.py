@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frames_queries, score_queries, text_queries  # noqa: F401
+from . import frames_queries, score_queries, stream_queries, text_queries  # noqa: F401
 from .inputs import ORACLES, QUERIES
 
 
