@@ -55,12 +55,12 @@ def need(df: DataFrame, names: Iterable[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def spare(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not use yet."""
-    name = f"__{stem}"
-    while name in df.columns:
-        name += "_"
-    return name
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has: names behind it clash with none."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def exclusive_sums(df: DataFrame, within: list[str], fine: str, order: list[str], amount: str, out: str) -> DataFrame:

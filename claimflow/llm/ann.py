@@ -27,9 +27,9 @@ SAMPLE = 40_000
 CALIBRATION = 200
 BRANCH = 12
 LEAF_ROWS = 150
-RECALL = 0.98
-#: Entries of a leaf that meet a query in one task at most; a larger leaf is dealt over several.
-BLOCK_ROWS = 20_000
+RECALL = 0.95
+#: Entries that meet queries in one task: neighbouring leaves are bundled up to this number, a larger leaf is dealt over several bundles.
+BUNDLE_ROWS = 4_000
 SALTS = 64
 
 
@@ -128,18 +128,37 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
 
 
-def _best(queries: np.ndarray, x: np.ndarray, least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows of x that may be among its k nearest, and their exact cosines."""
+def _best(queries: np.ndarray, x: np.ndarray, least: np.ndarray, k: int, allowed: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows of x that may be among its k nearest, and their exact cosines; ``allowed``: which rows count for which query."""
     near = _unit(queries) @ _unit(x).T
+    if allowed is not None:
+        near[~allowed] = -2.0
     out = []
     for q, row in zip(queries, near, strict=True):
-        at = np.flatnonzero(row >= np.partition(row, -k)[-k] - 1e-9) if len(row) > k else np.arange(len(row))
+        low = np.partition(row, -k)[-k] - 1e-9 if len(row) > k else -1.5
+        at = np.flatnonzero(row >= max(low, -1.5))
         score = cosines(q, x[at])
         keep = np.lexsort((least[at], -score))[:k]
         out.append((at[keep], score[keep]))
     return out
 
 
+def bundles(counts: dict[int, int], rows: int = BUNDLE_ROWS) -> dict[int, tuple[int, int]]:
+    """(first bundle, number of bundles) of each leaf: neighbouring small leaves share one."""
+    out, bundle, held = {}, 0, 0
+    for leaf in sorted(counts):
+        c = counts[leaf]
+        if held and held + c > rows:
+            bundle, held = bundle + 1, 0
+        parts = max(1, -(-c // rows))
+        out[leaf] = (bundle, parts)
+        if parts > 1:
+            bundle, held = bundle + parts, 0
+        else:
+            held += c
+    return out
+
+
 def entries(vectors: DataFrame, keep: int) -> DataFrame:
     """Distinct usable vectors: (key, v, ids: the smallest ``keep`` vec_ids with exactly this vector).
 
@@ -193,36 +212,44 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     filed = stored(base.mapInArrow(file, "key long, v array<float>, ids array<long>, leaf long".replace("float", dict(base.dtypes)["v"][6:-1])), "ann-leaves")
     visits = _calibrated(filed, keyed, tree, keep, recall, calibration)
     counts = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf: bounded by the sample
-    blocks = {leaf: -(-c // BLOCK_ROWS) for leaf, c in counts.items() if c > BLOCK_ROWS}
-    dealt = spark.createDataFrame([(leaf, b) for leaf, b in blocks.items()], "leaf long, blocks int")
-    split = filed.join(F.broadcast(dealt), "leaf", "left").withColumn("block", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    places = bundles(counts)
+    dealt = spark.createDataFrame([(leaf, first, n) for leaf, (first, n) in places.items()], "leaf long, first int, parts int")
+    split = filed.join(F.broadcast(dealt), "leaf").withColumn("bundle", F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    split = split.select("bundle", "leaf", "key", "v", "ids")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, leaf, block = [], [], []
+            at, bundle, leaves = [], [], []
             for i, q in enumerate(_unit(_matrix(b.column("v"))) if b.num_rows else ()):
+                asked: dict[int, list[int]] = {}
                 for x in model.value.visits(q, visits):
-                    for j in range(blocks.get(x, 1)):
-                        at.append(i)
-                        leaf.append(x)
-                        block.append(j)
+                    first, n = places.get(x, (0, 0))
+                    for j in range(first, first + n):
+                        asked.setdefault(j, []).append(x)
+                at += [i] * len(asked)
+                bundle += asked.keys()
+                leaves += asked.values()
             pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("q").take(pick), b.column("v").take(pick), pa.array(leaf, pa.int64()), pa.array(block, pa.int32())], ["q", "v", "leaf", "block"])
+            yield pa.RecordBatch.from_arrays([b.column("q").take(pick), b.column("v").take(pick), pa.array(bundle, pa.int32()), pa.array(leaves, pa.list_(pa.int64()))], ["q", "v", "bundle", "leaves"])
 
-    routed = keyed.mapInArrow(route, f"q long, v {dict(keyed.dtypes)['v']}, leaf long, block int")
+    routed = keyed.mapInArrow(route, f"q long, v {dict(keyed.dtypes)['v']}, bundle int, leaves array<long>")
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
-        ids, parts = x["ids"].to_numpy(), []
-        rows, least = _matrix(x["v"]), x["key"].to_numpy()
+        ids, rows, least = x["ids"].to_numpy(), _matrix(x["v"]), x["key"].to_numpy()
+        once, of_row = np.unique(x["leaf"].to_numpy(), return_inverse=True)
+        names, found_ids, scores = [], [], []
         for at in range(0, len(q), 500):
             some = q.iloc[at : at + 500]
-            for one, (found, score) in zip(some["q"], _best(_matrix(some["v"]), rows, least, keep), strict=True):
-                parts.append(pd.DataFrame({"q": one, "ids": list(ids[found]), "score": score}))
-        return pd.concat(parts, ignore_index=True)
-
-    met = routed.groupBy("leaf", "block").cogroup(split.groupBy("leaf", "block")).applyInPandas(meet, "q long, ids array<long>, score double")
+            visited = np.stack([np.isin(once, leaves) for leaves in some["leaves"]])
+            for one, (found, score) in zip(some["q"], _best(_matrix(some["v"]), rows, least, keep, visited[:, of_row]), strict=True):
+                names += [one] * len(found)
+                found_ids += list(ids[found])
+                scores += score.tolist()
+        return pd.DataFrame({"q": np.array(names, np.int64), "ids": found_ids, "score": np.array(scores, float)})
+
+    met = routed.groupBy("bundle").cogroup(split.groupBy("bundle")).applyInPandas(meet, "q long, ids array<long>, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     near = met.select("q", "score", F.explode("ids").alias("vec_id")).groupBy("q", "vec_id").agg(F.max("score").alias("score"))
     near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
@@ -243,7 +270,7 @@ def _calibrated(filed: DataFrame, keyed: DataFrame, tree: Tree, keep: int, recal
     if not len(some):
         return 1
     x = _matrix(some["v"])
-    held = keyed.sparkSession.sparkContext.broadcast(x)
+    held, own = keyed.sparkSession.sparkContext.broadcast(x), some["q"].to_numpy()
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,13 +279,17 @@ def _calibrated(filed: DataFrame, keyed: DataFrame, tree: Tree, keep: int, recal
             leaf = b.column("leaf").to_numpy()
             got = _best(held.value, _matrix(b.column("v")), b.column("key").to_numpy(), keep)
             at = np.repeat(np.arange(len(got)), [len(f) for f, _ in got])
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([leaf[f] for f, _ in got])), pa.array(np.concatenate([s for _, s in got]))], ["q", "leaf", "score"])
+            rows = np.concatenate([f for f, _ in got])
+            other = b.column("key").to_numpy()[rows] != own[at]  # a query finds itself at the first leaf
+            yield pa.RecordBatch.from_arrays([pa.array(at[other]), pa.array(leaf[rows][other]), pa.array(np.concatenate([s for _, s in got])[other])], ["q", "leaf", "score"])
 
     order = Window.partitionBy("q").orderBy(F.desc("score"), "leaf")
-    true = filed.select("key", "v", "leaf").mapInArrow(brute, "q long, leaf long, score double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).toPandas()
+    true = filed.select("key", "v", "leaf").mapInArrow(brute, "q long, leaf long, score double").withColumn("place", F.row_number().over(order)).where(F.col("place") < keep).toPandas()
     places = []
     for q, rows in true.groupby("q"):
         at = {leaf: i for i, leaf in enumerate(tree.visits(_unit(x[q : q + 1])[0], tree.leaves))}
         places += [at[leaf] + 1 for leaf in rows["leaf"]]
+    if not places:
+        return 1
     places.sort()
     return places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]

@@ -117,8 +117,13 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, pe
     need(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     path = scratch_path(spark, "dedup-spool")
-    docs.write.parquet(path)
+    # Under numbered names, so that no column hides a file's metadata or meets a name used here.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    names[at], names[text] = "doc_id", "text"
+    spooled = docs.toDF(*names)
+    spooled.write.parquet(path)
     gone = exact_dedup_path(spark, path, digest, per_trigger).where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    rows = spark.read.schema(docs.schema).parquet(path)
-    at = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return at.join(gone, ["__file", "__row"], "left_anti").drop("__file", "__row")
+    rows = spark.read.schema(spooled.schema).parquet(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return rows.join(gone, ["__file", "__row"], "left_anti").select(*names).toDF(*docs.columns)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import need, stored, text_or_empty
+from ._shared import free_prefix, need, stored, text_or_empty
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -165,11 +165,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as :func:`mix` takes it whole, with all its columns."""
-    told = stored(mix(docs, cut_last=False, **options), "mix-copies").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("nth").alias("__nth"), "copies").withColumnRenamed("copies", "__copies")
-    same = Window.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64(text_or_empty()))
-    rows = docs.withColumn("__words", words(text_or_empty())).withColumn("__place", F.row_number().over(same) - 1)
-    on = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    p = free_prefix(docs)
+    told = stored(mix(docs, cut_last=False, **options), "mix-copies").select(*[F.col(c).alias(p + c) for c in ("doc_id", "source", "size", "nth", "copies")])
+    same = Window.partitionBy("doc_id", "source", f"{p}words").orderBy(F.xxhash64(text_or_empty()))
+    rows = docs.withColumn(f"{p}words", words(text_or_empty())).withColumn(f"{p}place", F.row_number().over(same) - 1)
+    on = F.col("doc_id").eqNullSafe(F.col(f"{p}doc_id")) & F.col("source").eqNullSafe(F.col(f"{p}source")) & (F.col(f"{p}words") == F.col(f"{p}size"))
     # Not an equality of keys, so that both sides stay dealt by the columns of the window.
-    on = on & (F.col("__place") <= F.col("__nth")) & (F.col("__place") >= F.col("__nth"))
-    taken = rows.join(told.where("__copies > 0"), on)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    on = on & (F.col(f"{p}place") <= F.col(f"{p}nth")) & (F.col(f"{p}place") >= F.col(f"{p}nth"))
+    taken = rows.join(told.where(F.col(f"{p}copies") > 0), on)
+    return taken.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies")))).select(*docs.columns)

@@ -118,7 +118,7 @@ def best_fit_plan(counts: dict[int, int], sequence: int = SEQUENCE) -> tuple[lis
     for length in sorted((n for n, c in counts.items() if c), reverse=True):
         left, first = counts[length], 0
         while left:
-            room = next((r for r in range(length, sequence) if rooms.get(r)), None)
+            room = next((r for r in range(length, sequence + 1) if rooms.get(r)), None)
             if room is None:
                 room = sequence
                 need_now = -(-left // (sequence // length))

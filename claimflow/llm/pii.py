@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import need, stored, text_or_empty
+from ._shared import free_prefix, need, stored, text_or_empty
 
 # What introduces a name and tells its gender.
 MALE_TITLES = ("Mr", "Mister", "Herr", "Señor", "Sr", "Monsieur", "Signor", "Господин")
@@ -181,11 +181,12 @@ def surrogates(entities: DataFrame, key: str, most_rounds: int = 20) -> DataFram
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (text; other columns come back as they are) with each detected entity replaced by its surrogate.
 
-    Adds ``pii_count``, the entities replaced in the row. Null text stays null
+    Adds ``pii_count``, the entities replaced in the row (instead of a column of that name). Null text stays null
     with 0. Equal texts get equal replacements, repeated rows come back each; an
     empty table gives no rows. A different ``key`` gives different surrogates.
     """
     need(docs, ["text"])
+    p = free_prefix(docs)
     found = F.regexp_extract_all(text_or_empty(), F.lit(f"({ANY})"), F.lit(1))
     has = text_or_empty().rlike(ANY)
     texts = stored(docs.where(has).select(F.md5("text").alias("text_key"), found.alias("found")).dropDuplicates(["text_key"]), "pii-found")
@@ -193,11 +194,11 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     mentions = stored(mentions, "pii-mentions")
     made = surrogates(mentions.select("kind", "canon").distinct(), key)
     shown = mentions.join(made, ["kind", "canon"]).select("text_key", "pos", _rendered(F.col("kind"), F.col("mention"), F.col("canon"), F.col("made")).alias("shown"))
-    lists = shown.groupBy("text_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]).alias("__shown")).withColumnRenamed("text_key", "__key")
+    lists = shown.groupBy("text_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]).alias(f"{p}shown")).withColumnRenamed("text_key", f"{p}key")
     lists = stored(lists, "pii-shown")
     clean = docs.where(~has).withColumn("pii_count", F.lit(0))
-    dirty = docs.where(has).join(lists, F.md5("text") == F.col("__key"))
+    dirty = docs.where(has).withColumn(f"{p}text", F.md5("text")).join(lists, F.col(f"{p}text") == F.col(f"{p}key"))
     pieces = F.split("text", F.lit(f"(?:{ANY})"), -1)
-    woven = F.array_join(F.zip_with(pieces, "__shown", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    dirty = dirty.withColumn("pii_count", F.size("__shown")).withColumn("text", woven).drop("__key", "__shown")
+    woven = F.array_join(F.zip_with(pieces, f"{p}shown", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    dirty = dirty.withColumn("pii_count", F.size(f"{p}shown")).withColumn("text", woven).select(*clean.columns)
     return clean.unionByName(dirty)

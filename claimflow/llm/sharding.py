@@ -57,7 +57,9 @@ def propagate(linked: DataFrame, shards: int, room: float, rounds: int = ROUNDS)
         place = F.struct("held", tie, "shard")
         open_now = F.element_at(F.array(*[F.lit(x > 0) for x in left]), F.col("shard") + 1)
         held = held.withColumn("own", place).withColumn("best", F.max(F.when(open_now, place)).over(Window.partitionBy("group_hash")))
-        wish = held.where("own < best").select("group_hash", "shard", F.col("best.shard").alias("to"))
+        # A full shard's rows also leave for as many of their group elsewhere: none of these can come to them.
+        moves = (F.col("own") < F.col("best")) | (~open_now & (F.col("held") <= F.col("best.held")))
+        wish = held.where(moves).select("group_hash", "shard", F.col("best.shard").alias("to"))
         asked = stored(now.join(wish, ["group_hash", "shard"], "left"), "shard-wishes").withColumn("bin", _bin())
         demand = asked.where("`to` is not null").groupBy("to", "bin", "shard").agg(F.sum("size").alias("s")).collect()
         by_bin: dict[tuple[int, int], dict[int, int]] = {}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import need, small_batches, stored, text_or_empty
+from ._shared import free_prefix, need, small_batches, stored, text_or_empty
 from .components import connected_components
 
 #: A run of equal keys up to this length reports each of its links; a longer one reports a spanning forest of them.
@@ -300,12 +300,13 @@ def near_dedup(docs: DataFrame, scheme: Scheme = JACCARD_80) -> DataFrame:
     doc_id stay. All columns are kept.
     """
     groups = stored(near_groups(docs, scheme), "near-groups")
-    stays = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"))
+    stays = groups.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"))
     gone = groups.join(stays, "component_id").where("struct(doc_id, text_hash) <> keep")
     gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
     here = F.xxhash64(text_or_empty())
     stay = docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (here == gone["__hash"]), "left_anti")
     if not groups.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         bare = stay.where("doc_id is null")
-        stay = stay.where("doc_id is not null").withColumn("__hash", here).dropDuplicates(["doc_id", "__hash"]).drop("__hash").unionByName(bare)
+        name = f"{free_prefix(docs)}hash"
+        stay = stay.where("doc_id is not null").withColumn(name, here).dropDuplicates(["doc_id", name]).drop(name).unionByName(bare)
     return stay

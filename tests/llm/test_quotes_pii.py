@@ -1,0 +1,112 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimflow.llm import pii, quotes
+
+TALK = "conv_id long, turn long, role string, text string, root string, depth string, own string"
+
+
+def test_replies(spark):
+    first = "Where is the  station?\n\nI am at the park."
+    rows = [
+        (1, 0, "user", first),
+        (1, 1, "assistant", "> where is the station?\nTwo streets on."),
+        (1, 2, "user", "Another matter."),
+        (1, 3, "assistant", "> > where is the station?\n> Two streets on.\nNorth or south?"),
+        (1, 4, "user", "> not said by anyone\nWell."),
+        (1, 5, "assistant", "> Another matter.\n>> I am at the park.\nGo on."),
+        (2, 0, "user", "> Another matter.\nonly elsewhere"),
+        (2, 1, "user", None),
+        (None, None, None, "> x"),
+        (3, 0, "user", "a"),
+        (3, 0, "user", "a"),
+    ]
+    df = spark.createDataFrame([(*r, "", "", "") for r in rows], TALK)
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.reply_ordered(df).collect()}
+    assert {k[1]: (r["reply_to"], r["thread"], r["depth"]) for k, r in got.items() if k[0] == 1} == {0: (None, 0, 0), 1: (0, 0, 1), 2: (None, 2, 0), 3: (1, 0, 2), 4: (None, 4, 0), 5: (2, 2, 1)}
+    assert [t for t, _ in sorted(((k[1], r["position"]) for k, r in got.items() if k[0] == 1), key=lambda x: x[1])] == [0, 1, 3, 2, 5, 4]
+    assert got[(1, 3)]["text"] == "North or south?" and (got[(1, 3)]["quotes"], got[(1, 3)]["linked"]) == (2, 2)
+    assert (got[(1, 4)]["quotes"], got[(1, 4)]["linked"]) == (1, 0)
+    assert got[(2, 0)]["reply_to"] is None and got[(2, 1)]["text"] == ""
+    assert sorted(r["position"] for r in quotes.reply_ordered(df.where("conv_id = 3")).collect()) == [0, 1]
+    assert quotes.reply_ordered(df.limit(0)).count() == 0
+
+
+def test_a_passage_of_several_lines_goes_to_where_most_lines_are(spark):
+    rows = [(1, 0, "u", "one\ntwo\nthree", "", "", ""), (1, 1, "u", "two", "", "", ""), (1, 2, "u", "> two\n> three\nyes", "", "", ""), (1, 3, "u", "> " + "long " * 5000, "", "", "")]
+    got = {r["turn"]: r for r in quotes.reply_ordered(spark.createDataFrame(rows, TALK)).collect()}
+    assert got[2]["reply_to"] == 0 and got[3]["reply_to"] is None and got[3]["text"] == ""
+
+
+def luhn(s):
+    d = [int(c) for c in s][::-1]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if 2 * x > 9 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+TEXTS = [
+    (1, "Mail joe.smith@work.example.com or JOE.SMITH@WORK.EXAMPLE.COM, +1 (017) 555-7713, from 10.1.2.3."),
+    (2, "card 4111111111111111, again 4111-1111-1111-1111, and 4111 1111 1111 1112; ssn 123-45-6789"),
+    (3, 'token = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3" and again "0CAB398DC11D1A2A11DC6572C8DF8BD228C864F3"'),
+    (4, "Mr. John Smith met Mrs. Anna Smith and Mr. Smith; Госпожа Анна Петрова"),
+    (5, "nothing here, 12345 and 1.2.3"),
+    (6, None),
+    (7, ""),
+    (8, "jane.doe@work.example.com +1 (017) 555-7713"),
+    (9, "x " * 60_000 + "late@mail.example.org"),
+    (5, "nothing here, 12345 and 1.2.3"),
+    (10, "GB29NWBK60161331926819 is an account"),
+]
+
+
+def test_surrogates(spark, docs_of):
+    docs = docs_of(TEXTS)
+    out = pii.replace_pii(docs, "k1")
+    assert out.columns == [*docs.columns, "pii_count"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.count() == len(TEXTS)
+    assert [got[i]["pii_count"] for i in range(1, 11)] == [4, 4, 2, 4, 0, 0, 0, 2, 1, 1]
+    assert got[5]["text"] == dict(TEXTS)[5] and got[6]["text"] is None and got[7]["text"] == ""
+    one = got[1]["text"]
+    mails = re.findall(r"[\w.]+@[\w.]+\w", one)
+    assert mails[0] == mails[0].lower() and mails[1] == mails[0].upper() and "joe" not in one.lower()
+    assert re.fullmatch(r"[a-z]{3}\.[a-z]{5}@[a-z]{4}\.[a-z]{7}\.com", mails[0])
+    phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", one)[0]
+    assert phone != "+1 (017) 555-7713" and phone in got[8]["text"]
+    assert re.findall(r"@([\w.]+)", got[8]["text"])[0] == mails[0].split("@")[1]
+    ip = re.search(r"from ([\d.]+)\.$", one)[1]
+    assert ip != "10.1.2.3" and all(1 <= int(x) <= 254 for x in ip.split("."))
+    cards = re.findall(r"\d{16}|\d{4}(?:[ -]\d{4}){3}", got[2]["text"])
+    plain = [re.sub(r"\D", "", c) for c in cards]
+    assert plain[0] == plain[1] != "4111111111111111" and luhn(plain[0]) and not luhn(plain[2]) and plain[0][0] == "4"
+    assert cards[1].count("-") == 3 and re.search(r"ssn \d{3}-\d{2}-\d{4}$", got[2]["text"])
+    hexes = re.findall(r'"(\w+)"', got[3]["text"])
+    assert hexes[1] == hexes[0].upper() and len(hexes[0]) == 40
+    names = re.findall(r"(?:Mr|Mrs)\. (\S+)(?: (\S+?))?(?= met| and|;)", got[4]["text"])
+    assert names[0][1] == names[1][1] == names[2][0] and "Smith" not in got[4]["text"]
+    assert re.search(r"Госпожа [А-Я][а-я]+ [А-Я][а-я]+$", got[4]["text"]) and "Петрова" not in got[4]["text"]
+    assert got[9]["text"].startswith("x x ") and "late@" not in got[9]["text"]
+    assert re.search(r"^GB\d\d[A-Z]{4}\d{14} is", got[10]["text"])
+    other = {r["doc_id"]: r["text"] for r in pii.replace_pii(docs, "k2").collect()}
+    assert other[1] != one
+    assert {r["doc_id"]: r["text"] for r in pii.replace_pii(docs.repartition(3), "k1").collect()} == {k: r["text"] for k, r in got.items()}
+    assert pii.replace_pii(docs_of([]), "k1").count() == 0
+
+
+def test_collisions_draw_again(spark):
+    """Addresses of one letter: many entities for 26 surrogates of each format."""
+    names = [(chr(97 + i) + "@b.example.com") for i in range(20)] + [f"{i}{j}@b.example.com" for i in range(4) for j in range(10)]
+    e = spark.createDataFrame([("email", n) for n in names], "kind string, canon string")
+    got = pii.surrogates(e, "k").collect()
+    assert len(got) == len(names) and len({r["made"] for r in got}) == len(names)
+    assert not {r["made"] for r in got} & set(names)
+
+
+@pytest.mark.parametrize("n", [13, 16, 19])
+def test_luhn(spark, n):
+    digits = "49927398716234567"[: n - 2] + "12345"[: n - len("49927398716234567"[: n - 2])]
+    assert spark.range(1).select(pii.luhn(F.lit(digits)).alias("x")).first()["x"] == (0 if luhn(digits) else spark.range(1).select(pii.luhn(F.lit(digits))).first()[0])
+    assert (spark.range(1).select(pii.luhn(F.lit(digits))).first()[0] == 0) == luhn(digits)
