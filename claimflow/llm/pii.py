@@ -25,16 +25,16 @@ ENDINGS = {"latin": {"f": ["lia", "nna", "ra", "tta"], "m": ["lo", "n", "rt", "s
 _TITLE = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES), key=len, reverse=True))
 #: Types in the order in which they are looked for; each pattern has no groups that capture.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{2,4}\) ?[0-9]{3,4}[ .\-][0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ \-]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
+    "name": rf"(?=[DFHMPSГД])(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
 }
-ANY = "|".join(PATTERNS.values())
+ANY = rf"(?<![A-Za-z0-9])(?:{'|'.join(PATTERNS.values())})"
 DIGITS = ("phone", "ssn", "card")
 
 
@@ -90,13 +90,12 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), one), F.lit(0), lambda a, x: a + x) % 10
 
 
-def _card(canon: Column, stream: Column) -> Column:
-    """The first digit (the issuer's kind) and the length stay; a valid check digit stays valid."""
-    drawn = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(_like(canon, stream), F.lit(2), F.length(canon) - 2), F.lit("0"))
+def _card(canon: Column, like: Column) -> Column:
+    """The first digit (the issuer's kind) and the length stay; a valid check digit stays valid, another one wrong."""
+    drawn = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(like, F.lit(2), F.length(canon) - 2), F.lit("0"))
     check = (10 - luhn(drawn)) % 10
-    other = F.substring(_like(canon, stream), -1, 1)
-    last = F.when(luhn(canon) == 0, check.cast("string")).otherwise(F.when(other.cast("int") == check, ((check + 1) % 10).cast("string")).otherwise(other))
-    return F.concat(F.substring(drawn, F.lit(1), F.length(canon) - 1), last)
+    last = F.when(luhn(canon) == 0, check).otherwise((check + 1 + F.substring(like, -1, 1).cast("int") % 9) % 10)
+    return F.concat(F.substring(drawn, F.lit(1), F.length(canon) - 1), last.cast("string"))
 
 
 def _pick(choices: list[str], stream: Column, i: int) -> Column:
@@ -124,27 +123,34 @@ def _name(canon: Column, key: str, attempt: Column) -> Column:
     return F.when(F.size(parts) > 2, F.concat_ws(" ", F.element_at(parts, 1), given, last)).otherwise(F.concat_ws(" ", F.element_at(parts, 1), last))
 
 
-def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
-    """The ``attempt``-th surrogate of an entity in canonical form."""
-    stream = _stream(key, kind, canon, attempt)
+def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """Adds ``made`` to (kind, canon, attempt): the ``attempt``-th surrogate of an entity in canonical form.
+
+    In steps, so that each keyed digest is made once a row and no expression grows beyond what compiles well.
+    """
+    kind, canon = F.col("kind"), F.col("canon")
     at = F.instr(canon, "@")
-    local, domain = F.substring(canon, F.lit(1), at - 1), F.substring_index(canon, "@", -1)
+    domain = F.substring_index(canon, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
+    mail = kind == "email"
+    keyed = entities.withColumn("stream", _stream(key, kind, canon, F.col("attempt")))
     # Keyed by the domain alone: colleagues keep a domain in common.
-    host = _like(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), _stream(key, F.lit("domain"), domain, F.lit(0)))
+    keyed = keyed.withColumn("body", F.when(mail, F.substring(canon, F.lit(1), at - 1)).otherwise(canon)).withColumn("host", F.when(mail, F.substring(domain, F.lit(1), F.length(domain) - F.length(top)))).withColumn("host_stream", F.when(mail, _stream(key, F.lit("domain"), domain, F.lit(0))))
+    stream = F.col("stream")
+    alike = keyed.withColumn("like", F.when(kind == "secret", _like(F.col("body"), stream, hexadecimal=True)).when(~kind.isin("name", "ip"), _like(F.col("body"), stream))).withColumn("host", F.when(mail, F.concat(F.lit("@"), _like(F.col("host"), F.col("host_stream")), top)))
+    like = F.col("like")
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(stream, i, 254) + 1).cast("string")), ".")
-    country = F.substring(canon, F.lit(1), F.lit(2))
-    return (
-        F.when(kind == "email", F.concat(_like(local, stream), F.lit("@"), host, top))
+    made = (
+        F.when(mail, F.concat(like, F.col("host")))
         .when(kind == "ip", octets)
-        .when(kind == "secret", _like(canon, stream, hexadecimal=True))
-        .when(kind == "card", _card(canon, stream))
-        .when(kind == "iban", F.concat(country, F.substring(_like(canon, stream), F.lit(3), F.length(canon))))
-        .when(kind == "name", _name(canon, key, attempt))
-        # The country code stays with a phone number that has one more digit group before it.
-        .when(kind == "phone", F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(_like(canon, stream), F.lit(2), F.length(canon))))
-        .otherwise(_like(canon, stream))
+        .when(kind == "card", _card(canon, like))
+        # The country stays with an account, and the first digit of the country code with a phone number.
+        .when(kind == "iban", F.concat(F.substring(canon, F.lit(1), F.lit(2)), F.substring(like, F.lit(3), F.length(canon))))
+        .when(kind == "phone", F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(like, F.lit(2), F.length(canon))))
+        .when(kind == "name", _name(canon, key, F.col("attempt")))
+        .otherwise(like)
     )
+    return alike.withColumn("made", made).select("kind", "canon", "attempt", "made")
 
 
 def _rendered(kind: Column, mention: Column, canon: Column, made: Column) -> Column:
@@ -163,7 +169,9 @@ def surrogates(entities: DataFrame, key: str, most_rounds: int = 20) -> DataFram
     take part in the next round; in practice none do after the first.
     """
     real = entities.select("kind", F.col("canon").alias("made"))
-    now = stored(entities.select("kind", "canon", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("canon"), key, F.lit(0)).alias("made")), "pii-surrogates")
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few bytes but much to compute: dealt over all tasks, whatever the size.
+    now = stored(with_surrogates(entities.select("kind", "canon").repartition(parts, "kind", "canon").withColumn("attempt", F.lit(0)), key), "pii-surrogates")
     for _ in range(most_rounds):
         keeps = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         doubled = now.join(keeps, ["kind", "made"]).where("struct(attempt, canon) <> first").select("kind", "canon")
@@ -172,8 +180,7 @@ def surrogates(entities: DataFrame, key: str, most_rounds: int = 20) -> DataFram
         if again.isEmpty():
             return now.select("kind", "canon", "made")
         fixed = now.join(again, ["kind", "canon"], "left_anti")
-        next_try = F.col("attempt") + 1
-        redrawn = now.join(again, ["kind", "canon"], "left_semi").select("kind", "canon", next_try.alias("attempt"), surrogate(F.col("kind"), F.col("canon"), key, next_try).alias("made"))
+        redrawn = with_surrogates(now.join(again, ["kind", "canon"], "left_semi").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key)
         now = stored(fixed.unionByName(redrawn), "pii-surrogates")
     raise RuntimeError("too few surrogates of a format for its entities")
 
@@ -188,7 +195,9 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     need(docs, ["text"])
     p = free_prefix(docs)
     found = F.regexp_extract_all(text_or_empty(), F.lit(f"({ANY})"), F.lit(1))
-    has = text_or_empty().rlike(ANY)
+    # What no entity can do without is looked for first; it is far cheaper than the patterns.
+    has = (F.contains("text", F.lit("@")) | F.col("text").rlike("[0-9]") | F.col("text").rlike(PATTERNS["name"])) & F.col("text").rlike(ANY)
+    has = F.coalesce(has, F.lit(False))
     texts = stored(docs.where(has).select(F.md5("text").alias("text_key"), found.alias("found")).dropDuplicates(["text_key"]), "pii-found")
     mentions = texts.select("text_key", F.posexplode("found").alias("pos", "mention")).withColumn("kind", type_of(F.col("mention"))).withColumn("canon", canonical(F.col("kind"), F.col("mention")))
     mentions = stored(mentions, "pii-mentions")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._shared import exclusive_sums, need, stored, text_or_empty
 
 SHARDS = 8
-ROUNDS = 6
+ROUNDS = 8
 #: Bins in which bytes are counted for quotas: of group hashes, and of row hashes within each. A table of all bins and
 #: shards is bounded by these numbers whatever the input, so it may meet the driver.
 GROUP_BINS, ROW_BINS = 256, 16
@@ -49,13 +49,15 @@ def propagate(linked: DataFrame, shards: int, room: float, rounds: int = ROUNDS)
     a shard are granted bin by bin, in the order of group hashes, while its quota lasts.
     """
     now = linked.withColumn("shard", F.pmod("row_hash", F.lit(shards)).cast("int"))
-    loads = _loads(now, shards)
+    loads, closed = _loads(now, shards), set()
     for _ in range(rounds):
         left = [max(0.0, room - x) for x in loads]
+        # Nearly full, or refused all requests of a round: the next best shard is asked instead.
+        closed |= {k for k in range(shards) if left[k] < room / 100}
         held = now.groupBy("group_hash", "shard").agg(F.sum("size").alias("held"))
         tie = F.pmod(F.xxhash64("group_hash", "shard"), F.lit(1 << 20)).alias("tie")
         place = F.struct("held", tie, "shard")
-        open_now = F.element_at(F.array(*[F.lit(x > 0) for x in left]), F.col("shard") + 1)
+        open_now = F.element_at(F.array(*[F.lit(k not in closed) for k in range(shards)]), F.col("shard") + 1)
         held = held.withColumn("own", place).withColumn("best", F.max(F.when(open_now, place)).over(Window.partitionBy("group_hash")))
         # A full shard's rows also leave for as many of their group elsewhere: none of these can come to them.
         moves = (F.col("own") < F.col("best")) | (~open_now & (F.col("held") <= F.col("best.held")))
@@ -73,8 +75,13 @@ def propagate(linked: DataFrame, shards: int, room: float, rounds: int = ROUNDS)
                 loads[to] += sum(parts.values())
                 for k, x in parts.items():
                     loads[k] -= x
+        refused = {to for to, _ in by_bin} - {to for to, _ in granted}
+        closed |= refused
         if not granted:
-            return asked.drop("to", "bin"), loads
+            now = asked.drop("to", "bin")
+            if refused:
+                continue
+            break
         grants = linked.sparkSession.createDataFrame(granted, "to int, bin int")
         # At most shards * GROUP_BINS * ROW_BINS rows.
         moved = asked.join(F.broadcast(grants.withColumn("yes", F.lit(True))), ["to", "bin"], "left")
