@@ -27,8 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/claimflow/{name}-{uuid.uuid4().hex}"
+#: Paths handed out since the last :func:`new_chain`, so that a chain of stages can give its disk back.
+_handed: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; with ``keep`` no chain of stages takes it away."""
+    path = f"{shared_dir(spark)}/claimflow/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _handed.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of our own in the shared folder, on whatever file system that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def new_chain() -> None:
+    """What was handed out before stays as it is."""
+    _handed.clear()
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what was handed out since the chain began: only when every result that reads it has been written."""
+    while _handed:
+        remove(spark, _handed.pop())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

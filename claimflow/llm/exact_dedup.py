@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import need, scratch_path, stored, text_or_empty
+from ._shared import need, remove, scratch_path, stored, text_or_empty
 
 #: Input bytes of one micro-batch. A larger table runs through as several batches, each committed in the checkpoint.
 BYTES_PER_TRIGGER = 64 << 30
@@ -32,9 +32,8 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _state(spark: SparkSession, path: str, digest: Callable[[Column], Column], per_trigger: int) -> DataFrame:
-    """(digest, keep, n): what the state holds for each digest after all batches."""
-    name = scratch_path(spark, "dedup-state")
+def _state(spark: SparkSession, path: str, name: str, digest: Callable[[Column], Column], per_trigger: int) -> DataFrame:
+    """(digest, keep, n): what the state, kept below the path ``name``, holds for each digest after all batches."""
     updates, checkpoint = f"{name}/updates", f"{name}/checkpoint"
     schema = spark.read.parquet(path).schema
     # As a pattern, so that a table of one file streams like one of a folder.
@@ -89,7 +88,9 @@ def exact_dedup_path(spark: SparkSession, path: str, digest: Callable[[Column],
     source = spark.read.parquet(path)
     need(source, ["doc_id", "text"])
     rows = source.select("doc_id", text_or_empty().alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    state = stored(_state(spark, path, digest, per_trigger), "dedup-keys")
+    name = scratch_path(spark, "dedup-state")
+    state = stored(_state(spark, path, name, digest, per_trigger), "dedup-keys")
+    remove(spark, name)
     narrow = stored(rows.select("doc_id", "file", "row", digest(F.col("text")).alias("digest")), "dedup-rows")
     told = narrow.join(state, "digest").select("*", ((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).alias("kept"))
     # Full bytes on hits: the text of each row of a shared digest against the text that stays.

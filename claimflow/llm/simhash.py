@@ -39,7 +39,8 @@ class Scheme:
     ``key_words`` further words of 64 bits, voted by single words, only serve as
     join keys. ``distinct``: a repeated shingle votes once. ``blocks`` blocks of
     the key bits are joined ``together`` at a time; ``tables`` of these
-    combinations are used (0: all of them).
+    combinations are used (0: all of them). With ``jaccard`` links are also
+    held against the true similarity of their shingle sets.
     """
 
     shingle: int = 3
@@ -53,6 +54,7 @@ class Scheme:
     pivots: int = 16
     block_pivots: int = 5
     seed: int = 42
+    jaccard: float = 0.0
 
     @property
     def width(self) -> int:
@@ -80,8 +82,8 @@ class Scheme:
 THREE_BITS = Scheme()
 
 #: Five-word shingles at a Jaccard similarity of 0.8 or more. Sets that similar differ in 39 of 256 bits on average (standard
-#: deviation 5.7); 48 bits keep 95 % of pairs at exactly 0.8 and practically all from 0.86 on. Keys come from the single words.
-JACCARD_80 = Scheme(shingle=5, words=4, key_words=2, distinct=True, most_bits=48, blocks=32, together=5, tables=32, pivots=16, block_pivots=4)
+#: deviation 5.7); 52 bits keep 99 % of pairs at exactly 0.8, and what links is checked on the sets. Keys come from the single words.
+JACCARD_80 = Scheme(shingle=5, words=4, key_words=2, distinct=True, most_bits=52, blocks=32, together=5, tables=32, pivots=16, block_pivots=4, jaccard=0.8)
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -192,8 +194,12 @@ def _forest(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, scheme: Scheme)
     return edges
 
 
-def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, scheme: Scheme) -> list[tuple[int, int]]:
-    """Links among rows of equal key; the rows come in the order of their keys."""
+def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, scheme: Scheme, group: np.ndarray | None = None) -> list[tuple[int, int, bool]]:
+    """Links (a, b, from a long run) among rows of equal key; the rows come in the order of their keys.
+
+    With ``group`` only long runs count, and only near pairs of different groups
+    of which one is not in the run's largest: what a forest may have missed.
+    """
     new = np.flatnonzero(np.diff(key)) + 1
     starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
     wide = ends - starts > 1
@@ -202,7 +208,16 @@ def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, scheme: Scheme)
         return []
     table, edges = pivot_table(fps, scheme), []
     for s, e in zip(starts[ends - starts > SHORT_RUN], ends[ends - starts > SHORT_RUN], strict=True):
-        edges += _forest(ids[s:e], fps[s:e], table[s:e], scheme)
+        if group is None:
+            edges += [(a, b, True) for a, b in _forest(ids[s:e], fps[s:e], table[s:e], scheme)]
+            continue
+        names, of, sizes = np.unique(group[s:e], return_inverse=True, return_counts=True)
+        for x in np.flatnonzero(of != sizes.argmax()):
+            others = np.flatnonzero(of != of[x])
+            hit = _near(table[s:e], fps[s:e], np.full(len(others), x), others, scheme)
+            edges += [(int(ids[s + x]), int(ids[s + y]), True) for y in others[hit]]
+    if group is not None:
+        return edges
     short = ends - starts <= SHORT_RUN
     starts, ends = starts[short], ends[short]
     rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)]) if len(starts) else np.empty(0, int)
@@ -213,16 +228,16 @@ def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, scheme: Scheme)
         if not len(rows):
             break
         hit = _near(table, fps, rows, rows + step, scheme)
-        edges += zip(ids[rows[hit]].tolist(), ids[rows[hit] + step].tolist(), strict=True)
+        edges += [(a, b, False) for a, b in zip(ids[rows[hit]].tolist(), ids[rows[hit] + step].tolist(), strict=True)]
     return edges
 
 
-def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
-    """Links (a, b) between rows of ``nodes`` (id long, fp binary; each fp once).
+def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, grouped: bool = False) -> DataFrame:
+    """Links (a, b, far_reaching) between rows of ``nodes`` (id long, fp binary; each fp once; with ``grouped`` also group long).
 
     A key's rows are sorted together, never crossed: a run of up to SHORT_RUN
     rows reports its near pairs, a longer one a spanning forest of them. A run
-    is one task's 8 to 48 bytes a row; equal fingerprints were merged before.
+    is one task's 8 to 56 bytes a row; equal fingerprints were merged before.
     """
     spark = nodes.sparkSession
     width = scheme.width
@@ -232,39 +247,80 @@ def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
             if b.num_rows:
                 keys = pivot_keys(_words(b.column(1), width), scheme)
                 again = pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(0).take(again), b.column(1).take(again)], ["key", "id", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(again) for c in b.columns)], ["key", "id", "fp", "grp"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint64))
+        def out(key, ids, fps, grp):
+            edges = run_links(key, ids, fps, scheme, grp if grouped else None)
+            a, b, far = zip(*edges, strict=True) if edges else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(far, pa.bool_())], ["a", "b", "far_reaching"])
 
-        def out(key, ids, fps):
-            edges = np.array(run_links(key, ids, fps, scheme), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-
-        parts = [held]
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint64), np.empty(0, np.int64))]
         for b in batches:
             if not b.num_rows:
                 continue
-            parts.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _words(b.column(2), width)))
+            parts.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _words(b.column(2), width), b.column(3).to_numpy()))
             if parts[-1][0][0] == parts[-1][0][-1]:
                 continue  # one key so far: its run goes on
-            key, ids, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
             cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
-            yield out(key[:cut], ids[:cut], fps[:cut])
-            parts = [(key[cut:].copy(), ids[cut:].copy(), fps[cut:].copy())]
+            yield out(key[:cut], *(x[:cut] for x in rest))
+            parts = [(key[cut:].copy(), *(x[cut:].copy() for x in rest))]
         yield out(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     small_batches(spark, 5000)
-    rows = nodes.select("id", "fp").mapInArrow(keyed, "key long, id long, fp binary")
+    rows = nodes.select("id", "fp", F.col("grp") if grouped else F.lit(0).cast("long").alias("grp")).mapInArrow(keyed, "key long, id long, fp binary, grp long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long").distinct()
+    found = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long, far_reaching boolean")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far_reaching").groupBy("a", "b").agg(F.max("far_reaching").alias("far_reaching"))
+
+
+def _compared(docs: DataFrame, nodes: DataFrame, links: DataFrame, scheme: Scheme) -> DataFrame:
+    """``links`` with the true similarity of the two shingle sets as ``likeness``."""
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    asked = ends.join(nodes.select("id", F.col("text_hash").alias("asked")), "id")
+    texts = docs.select("text", F.xxhash64(text_or_empty()).alias("text_hash")).join(asked, F.col("text_hash") == F.col("asked")).select("id", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.unique(shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), scheme.shingle)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], ["id", "held"])
+
+    small_batches(docs.sparkSession, 1000)
+    held = stored(texts.mapInArrow(sets, "id long, held binary").dropDuplicates(["id"]), "shingle-sets")
+    both = links.join(held.select(F.col("id").alias("a"), F.col("held").alias("left")), "a").join(held.select(F.col("id").alias("b"), F.col("held").alias("right")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            likeness = []
+            for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                likeness.append(shared / (len(x) + len(y) - shared) if len(x) + len(y) else 1.0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(likeness, pa.float64())], ["a", "b", "far_reaching", "likeness"])
+
+    return stored(both.select("a", "b", "far_reaching", "left", "right").mapInArrow(compare, "a long, b long, far_reaching boolean, likeness double"), "compared")
+
+
+def _checked_components(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Components of links whose shingle sets are as similar as the scheme asks."""
+    told = _compared(docs, nodes, stored(near_links(nodes, scheme), "near-links"), scheme)
+    true = told.where(F.col("likeness") >= scheme.jaccard)
+    found = connected_components(true)
+    if told.where(F.col("far_reaching") & (F.col("likeness") < scheme.jaccard)).isEmpty():
+        return found
+    # A long run linked its rows through a forest, and a tree of it broke: compare what it parted.
+    grouped = nodes.join(found, nodes["id"] == found["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("grp"))
+    more = _compared(docs, nodes, stored(near_links(grouped, scheme, grouped=True), "near-links"), scheme)
+    return connected_components(true.unionByName(more.where(F.col("likeness") >= scheme.jaccard)))
 
 
 def near_groups(docs: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id long, text; other columns are ignored).
 
     Returns (doc_id, text_hash, fp, component_id) for every row: rows link when their
-    fingerprints differ in at most ``scheme.most_bits`` bits, and component_id is
+    fingerprints differ in at most ``scheme.most_bits`` bits (and, with ``scheme.jaccard``,
+    their shingle sets are that similar), and component_id is
     the smallest doc_id that links reach, the row's own included. Null text
     counts as empty; texts without words share the zero fingerprint and link
     like any other. Rows that repeat a doc_id all come back and share a
@@ -274,8 +330,8 @@ def near_groups(docs: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
     need(docs, ["doc_id", "text"])
     prints = stored(fingerprints(docs, scheme), "fingerprints")
     # Nodes are fingerprints, numbered by a key of their own: a doc_id may come with several texts.
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.xxhash64("fp").alias("id") if scheme.width > 1 else _as_long("fp").alias("id"), "fp", "least"), "nodes")
-    found = connected_components(near_links(nodes, scheme))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")).select(F.xxhash64("fp").alias("id") if scheme.width > 1 else _as_long("fp").alias("id"), "fp", "least", "text_hash"), "nodes")
+    found = _checked_components(docs, nodes, scheme) if scheme.jaccard else connected_components(near_links(nodes, scheme))
     of = nodes.join(found, nodes["id"] == found["node"], "left").select("id", "fp", "least", F.coalesce("component", "id").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(of.join(least, "root").select("fp", "component_id"), "near-names")

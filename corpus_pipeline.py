@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
 
 Quality classifier, exact dedup, SimHash near-dedup, mixing to target weights,
-best-fit packing. All but the last return the columns of ``documents``.
+best-fit packing. All but the last return the columns of ``documents``. A stage
+begins when the one before has been written, so it deletes that one's scratch tables.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimflow.llm import exact_dedup, mixing, packing, quality, simhash
-from claimflow.llm._shared import stored
+from claimflow.llm._shared import drop_scratch, new_chain, scratch_path
 
 #: No SQL: a classifier trained here decides the first stage.
 ORACLE_SQL = None
@@ -19,26 +20,31 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    new_chain()
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id."""
+    drop_scratch(spark)
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest doc_id."""
+    drop_scratch(spark)
     return simhash.near_dedup(docs, simhash.JACCARD_80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: never, once or twice."""
+    drop_scratch(spark)
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
+    drop_scratch(spark)
     return packing.pack(docs)
 
 
@@ -54,5 +60,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}", keep=True)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
