@@ -47,6 +47,22 @@ def paired_off(df: DataFrame, gap: int, keys: Sequence[str] = KEYS) -> DataFrame
     return listed.select(*keys, F.explode(F.aggregate("__s", blank, step)["done"]).alias("x")).select(*keys, "x.start_row", "x.end_row")
 
 
+def greedy_peaks(df: DataFrame, value: str, height: Column, distance: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Local maxima of at least ``height`` from left to right: one within ``distance`` of the last replaces it if it is higher."""
+    w = Window.partitionBy(*keys).orderBy("row_idx")
+    tops = df.withColumn("__l", F.lag(value).over(w)).withColumn("__r", F.lead(value).over(w)).where((F.col(value) >= height) & (F.col(value) > F.col("__l")) & (F.col(value) >= F.col("__r")))
+    listed = tops.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row_idx", F.col(value).alias("v")))).alias("__t"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        near = last.isNotNull() & (x["row_idx"] - last["row_idx"] < distance)
+        swapped = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(x))
+        return F.when(near & (x["v"] > last["v"]), swapped).when(near, acc).otherwise(F.concat(acc, F.array(x)))
+
+    kept = F.aggregate("__t", F.array().cast("array<struct<row_idx:bigint,v:double>>"), step)
+    return listed.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.row_idx", F.col("x.v").alias(value))
+
+
 def between_cuts(steps: DataFrame, cuts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Path length between consecutive cut points of a trace: the rounded sum of the steps in between."""
     w = Window.partitionBy(*keys).orderBy("row_idx")

@@ -287,3 +287,12 @@ def step_amplitude(s, d):
     a = t.withColumn("a", F.col("value") - F.avg("value").over(frames.whole()))
     a = a.withColumn("amplitude", F.col("a") - (F.min("a").over(frames.rows(-10, -1)) + F.min("a").over(frames.rows(0, 9))) / 2)
     return a.where("amplitude > 0 and a > 0").select("trace_id", "row_idx", F.round("amplitude", 6).alias("amplitude"), F.round(0.47 * F.pow("amplitude", F.lit(0.25)), 6).alias("step_length"))
+
+
+@query(f"""WITH {TRACE}, n AS (SELECT *, lag(value) OVER {W} AS l, lead(value) OVER {W} AS r, avg(value) OVER (PARTITION BY trace_id) AS m FROM trace),
+    t AS (SELECT trace_id, list(struct_pack(row_idx := row_idx, v := value) ORDER BY row_idx) AS tops FROM n WHERE value >= m AND value > l AND value >= r GROUP BY trace_id),
+    k AS (SELECT trace_id, list_reduce(list_transform(tops, lambda x: [x]), lambda acc, x: CASE WHEN x[1].row_idx - acc[-1].row_idx < 6 THEN CASE WHEN x[1].v > acc[-1].v THEN list_append(acc[1:len(acc) - 1], x[1]) ELSE acc END ELSE list_append(acc, x[1]) END) AS kept FROM t)
+    SELECT trace_id, u.row_idx AS row_idx, round(u.v, 6) AS value FROM (SELECT trace_id, unnest(kept) AS u FROM k)""")
+def greedy_steps(s, d):
+    t = trace(s, d).withColumn("m", F.avg("value").over(frames.whole()))
+    return intervals.greedy_peaks(t, "value", F.col("m"), 6).select("trace_id", "row_idx", F.round("value", 6).alias("value"))

@@ -572,8 +572,8 @@ def local_peaks(s, d):
 
 
 @query(None)
-def step_peaks(s, d):
-    """Peaks a deviation above the mean, and the greedy left-to-right form."""
+def step_peaks_scipy(s, d):
+    """Peaks a deviation above the mean, the higher of near ones kept; beside them the greedy left-to-right form."""
 
     def steps(t: pd.DataFrame) -> pd.DataFrame:
         x = t.sort_values("row_idx")["value"].to_numpy()
@@ -640,6 +640,14 @@ def pca_reduce(s, d):
     return principal_components(_vectors(s, d), "vec_id", "v", 20)
 
 
+@query(None)
+def pca_variants(s, d):
+    """Components fitted on each half of the vectors by itself."""
+    v = _vectors(s, d)
+    halves = [principal_components(v.where(f"vec_id % 2 = {k}"), "vec_id", "v", n).withColumn("half", F.lit(k)) for k, n in ((0, 2), (1, 2))]
+    return halves[0].unionByName(halves[1])
+
+
 @query(None)
 def kmeans_states(s, d):
     return assembled_kmeans(_vectors(s, d), "vec_id", "v", 10)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import claims, frames, intervals, joins, report
-from .inputs import CLAIM_PATHS, REGIONS, SCANS, TRACE, claim_paths, query, regions, scans, table, trace
+from .inputs import CLAIM_PATHS, REGIONS, SCANS, TRACE, query, regions, scans, table, trace
+from .inputs import claim_paths as claim_rows
 
 
 def _cells(s, d):
@@ -81,18 +82,18 @@ _PARTS = r"""p AS (SELECT claim_id, string_split(replace(claim_path, '\', '/'),
 
 @query(f"WITH {CLAIM_PATHS}, {_PARTS} SELECT claim_id, folder || '/' || bare || '_merged.csv' AS merged_path FROM q")
 def path_normalize(s, d):
-    return claim_paths(s, d).select("claim_id", C.merged_path("claim_path").alias("merged_path"))
+    return claim_rows(s, d).select("claim_id", C.merged_path("claim_path").alias("merged_path"))
 
 
 @query(f"WITH {CLAIM_PATHS}, {_PARTS} SELECT claim_id, name AS file_name, folder, replace(name, 'sensor', 'signal') AS paired_name FROM q")
-def claim_paths_parts(s, d):
-    p = claim_paths(s, d)
+def claim_paths(s, d):
+    p = claim_rows(s, d)
     return p.select("claim_id", C.file_name("claim_path").alias("file_name"), C.folder_name("claim_path").alias("folder"), C.paired_name(C.file_name("claim_path")).alias("paired_name"))
 
 
 @query(f"WITH {CLAIM_PATHS}, {_PARTS} SELECT claim_id, folder || '/' || replace(regexp_replace(bare, '^sensor_claim_[0-9]+_', ''), 'sensor_', '') AS sample_key FROM q")
 def sample_key(s, d):
-    return claim_paths(s, d).select("claim_id", C.sample_key("claim_path").alias("sample_key"))
+    return claim_rows(s, d).select("claim_id", C.sample_key("claim_path").alias("sample_key"))
 
 
 def _files(s, d):
@@ -104,20 +105,21 @@ def _files(s, d):
     f AS (SELECT folder, name, repeat('x/', depth) || folder || '/' || name AS path FROM files)
     SELECT q.claim_id, arg_min(f.path, (CASE WHEN f.folder = q.folder THEN 0 ELSE 1 END, length(f.path), f.path)) AS resolved_path FROM q LEFT JOIN f ON f.name = q.bare || '_merged.csv' GROUP BY q.claim_id""")
 def resolve_file(s, d):
-    return joins.resolved(claim_paths(s, d), _files(s, d)).select("claim_id", "resolved_path")
+    return joins.resolved(claim_rows(s, d), _files(s, d)).select("claim_id", "resolved_path")
 
 
-@query(f"""WITH {CLAIM_PATHS}, {_PARTS}, files AS (SELECT DISTINCT CAST(page_id % 50 AS VARCHAR) || '_merged.csv' AS name FROM pages)
+@query(f"""WITH {CLAIM_PATHS}, {_PARTS}, files AS (SELECT DISTINCT CAST(page_id % 50 AS VARCHAR) || '_merged.csv' AS name FROM pages WHERE page_id % 50 < 40)
     SELECT claim_id, bare FROM q WHERE NOT EXISTS (SELECT 1 FROM files WHERE files.name = q.bare || '_merged.csv')""")
 def missing_pairs_anti(s, d):
-    asked = claim_paths(s, d).withColumn("name", C.merged_name(C.file_name("claim_path"))).withColumn("bare", F.regexp_replace("name", r"_merged\.csv$", ""))
-    return joins.missing_partners(asked, _files(s, d).select("name").distinct(), ["name"]).select("claim_id", "bare")
+    asked = claim_rows(s, d).withColumn("name", C.merged_name(C.file_name("claim_path"))).withColumn("bare", F.regexp_replace("name", r"_merged\.csv$", ""))
+    there = table(s, d, "pages").where("page_id % 50 < 40").select(F.concat((F.col("page_id") % 50).cast("string"), F.lit("_merged.csv")).alias("name")).distinct()
+    return joins.missing_partners(asked, there, ["name"]).select("claim_id", "bare")
 
 
 @query(f"""WITH {CLAIM_PATHS}, {_PARTS}, c AS (SELECT claim_id, unnest([folder || '/' || name, folder || '/' || bare || '_merged.csv', name]) AS candidate, unnest([0, 1, 2]) AS rank FROM q)
     SELECT claim_id, candidate, CAST(rank AS INT) AS rank FROM c""")
 def candidate_path_rank(s, d):
-    p = claim_paths(s, d)
+    p = claim_rows(s, d)
     options = F.array(F.concat_ws("/", C.folder_name("claim_path"), C.file_name("claim_path")), C.merged_path("claim_path"), C.file_name("claim_path"))
     return p.select("claim_id", F.posexplode(options).alias("rank", "candidate")).select("claim_id", "candidate", "rank")
 
@@ -162,6 +164,12 @@ def region_set(s, d):
     return table(s, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.array_join(F.array_sort(C.region_set(text)), "|").alias("region_set"), F.size(C.region_list(text)).alias("list_size"))
 
 
+@query("SELECT c_custkey, array_to_string([x FOR x IN [trim(y) FOR y IN string_split(c_name || ', ' || c_mktsegment || ',,' || CAST(c_nationkey AS VARCHAR), ',')] IF x <> ''], '|') AS parts FROM customer")
+def region_list(s, d):
+    text = F.concat("c_name", F.lit(", "), "c_mktsegment", F.lit(",,"), F.col("c_nationkey").cast("string"))
+    return table(s, d, "customer").select("c_custkey", F.array_join(C.region_list(text), "|").alias("parts"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_nationkey < 6 AND c_custkey % 7 < 6 THEN CAST(c_nationkey AS INT) END AS r, CASE WHEN c_nationkey < 6 AND c_custkey % 7 < 6 THEN CAST(c_custkey % 7 AS INT) END AS c FROM customer")
 def grid_cell(s, d):
     region = F.concat(F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.col("c_nationkey") + 1).cast("int"), F.lit(1)), (F.col("c_custkey") % 7 + 1).cast("string"))
