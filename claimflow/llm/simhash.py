@@ -29,6 +29,8 @@ from .components import connected_components
 
 #: A run of equal keys up to this length reports each of its links; a longer one reports a spanning forest of them.
 SHORT_RUN = 32
+#: Rows of one key that meet in one task at most. A key with more is dealt into chunks, and each two chunks meet in a task.
+LONGEST_RUN = 20_000
 
 
 @dataclass(frozen=True)
@@ -232,12 +234,13 @@ def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, scheme: Scheme,
     return edges
 
 
-def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, grouped: bool = False) -> DataFrame:
+def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, grouped: bool = False, longest: int = LONGEST_RUN) -> DataFrame:
     """Links (a, b, far_reaching) between rows of ``nodes`` (id long, fp binary; each fp once; with ``grouped`` also group long).
 
     A key's rows are sorted together, never crossed: a run of up to SHORT_RUN
     rows reports its near pairs, a longer one a spanning forest of them. A run
-    is one task's 8 to 56 bytes a row; equal fingerprints were merged before.
+    holds ``longest`` rows at most: a key with more is counted first and its
+    rows dealt into chunks that meet two by two. Equal fingerprints were merged before.
     """
     spark = nodes.sparkSession
     width = scheme.width
@@ -249,6 +252,11 @@ def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, grouped: bool = Fa
                 again = pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(again) for c in b.columns)], ["key", "id", "fp", "grp"])
 
+    def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(pivot_keys(_words(b.column(1), width), scheme).ravel().view(np.int64))], ["key"])
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key, ids, fps, grp):
             edges = run_links(key, ids, fps, scheme, grp if grouped else None)
@@ -269,7 +277,15 @@ def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, grouped: bool = Fa
         yield out(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     small_batches(spark, 5000)
-    rows = nodes.select("id", "fp", F.col("grp") if grouped else F.lit(0).cast("long").alias("grp")).mapInArrow(keyed, "key long, id long, fp binary, grp long")
+    source = nodes.select("id", "fp", F.col("grp") if grouped else F.lit(0).cast("long").alias("grp"))
+    rows = source.mapInArrow(keyed, "key long, id long, fp binary, grp long")
+    counts = source.mapInArrow(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > longest)
+    hot = stored(counts.select("key", F.ceil(F.col("n") * 2 / longest).cast("int").alias("chunks")), "hot-keys")
+    if not hot.isEmpty():
+        own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+        met = F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+        dealt = rows.join(hot, "key", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+        rows = dealt.select(met.alias("key"), "id", "fp", "grp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long, far_reaching boolean")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far_reaching").groupBy("a", "b").agg(F.max("far_reaching").alias("far_reaching"))

@@ -111,6 +111,17 @@ def test_long_runs_give_a_forest():
     assert len(edges) < 100
 
 
+def test_long_keys_are_dealt_over_chunks(spark):
+    """Components do not depend on how many rows of a key may meet in a task."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 4, np.uint64)
+    fps = {int(b ^ (np.uint64(1) << np.uint64(i)) ^ (np.uint64(1) << np.uint64(j))) for b in base for i in range(12) for j in range(i)}
+    rows = [(k, np.array([f], "<u8").tobytes()) for k, f in enumerate(sorted(fps))]
+    nodes = spark.createDataFrame(rows, "id long, fp binary")
+    got = [sorted(map(tuple, components.connected_components(simhash.near_links(nodes, longest=n)).collect())) for n in (20_000, 16)]
+    assert got[0] == got[1] and len(rows) - len(got[0]) == 4
+
+
 def test_checked_links_lose_none_in_long_runs(spark, docs_of, words):
     """A long run whose forest breaks on the exact check: components are those of all pairs."""
     import random
