@@ -59,6 +59,7 @@ TEXTS = [
     (9, "x " * 60_000 + "late@mail.example.org"),
     (5, "nothing here, 12345 and 1.2.3"),
     (10, "GB29NWBK60161331926819 is an account"),
+    (11, "call 555-123-4567 or (555) 123-4567 or +44 20 7946 0958, not 2024-01-02 or 12-34"),
 ]
 
 
@@ -68,7 +69,7 @@ def test_surrogates(spark, docs_of):
     assert out.columns == [*docs.columns, "pii_count"]
     got = {r["doc_id"]: r for r in out.collect()}
     assert out.count() == len(TEXTS)
-    assert [got[i]["pii_count"] for i in range(1, 11)] == [4, 4, 2, 4, 0, 0, 0, 2, 1, 1]
+    assert [got[i]["pii_count"] for i in range(1, 12)] == [4, 4, 2, 4, 0, 0, 0, 2, 1, 1, 3]
     assert got[5]["text"] == dict(TEXTS)[5] and got[6]["text"] is None and got[7]["text"] == ""
     one = got[1]["text"]
     mails = re.findall(r"[\w.]+@[\w.]+\w", one)
@@ -90,6 +91,8 @@ def test_surrogates(spark, docs_of):
     assert re.search(r"Госпожа [А-Я][а-я]+ [А-Я][а-я]+$", got[4]["text"]) and "Петрова" not in got[4]["text"]
     assert got[9]["text"].startswith("x x ") and "late@" not in got[9]["text"]
     assert re.search(r"^GB\d\d[A-Z]{4}\d{14} is", got[10]["text"])
+    a, b, c = re.search(r"call ([\d-]+) or \((\d+)\) ([\d-]+) or", got[11]["text"]).groups()
+    assert a == f"{b}-{c}" != "555-123-4567" and got[11]["text"].endswith("not 2024-01-02 or 12-34")
     other = {r["doc_id"]: r["text"] for r in pii.replace_pii(docs, "k2").collect()}
     assert other[1] != one
     assert {r["doc_id"]: r["text"] for r in pii.replace_pii(docs.repartition(3), "k1").collect()} == {k: r["text"] for k, r in got.items()}
