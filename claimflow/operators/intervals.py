@@ -21,14 +21,14 @@ def merged(df: DataFrame, start: str = "start_row", end: str = "end_row", keys:
 
 
 def recentred(segments: DataFrame, trace: DataFrame, value: str, width: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Segments longer than ``width`` become that wide around their first maximum, inside the segment; ``score`` is the maximum."""
+    """Segments longer than ``width`` become that wide around their first maximum, cut at the segment's ends; ``score`` is the maximum."""
     s, t = segments.alias("s"), trace.alias("t")
     on = [F.col(f"s.{k}") == F.col(f"t.{k}") for k in keys] + [F.col("t.row_idx") >= F.col("s.start_row"), F.col("t.row_idx") < F.col("s.end_row")]
     top = s.join(t, on).groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], "start_row", "end_row").agg(F.max(F.struct(F.col(value).alias("v"), (-F.col("row_idx")).alias("at"))).alias("__top"))
     centre = -F.col("__top.at")
-    low = F.greatest(F.col("start_row"), F.least(centre - width // 2, F.col("end_row") - width))
+    low = F.greatest(F.col("start_row"), centre - width // 2)
     long = F.col("end_row") - F.col("start_row") > width
-    return top.select(*keys, F.when(long, low).otherwise(F.col("start_row")).alias("start_row"), F.when(long, low + width).otherwise(F.col("end_row")).alias("end_row"), F.col("__top.v").alias("score"))
+    return top.select(*keys, F.when(long, low).otherwise(F.col("start_row")).alias("start_row"), F.when(long, F.least(low + width, F.col("end_row"))).otherwise(F.col("end_row")).alias("end_row"), F.col("__top.v").alias("score"))
 
 
 def paired_off(df: DataFrame, gap: int, keys: Sequence[str] = KEYS) -> DataFrame:

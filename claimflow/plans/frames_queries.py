@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import frames, intervals, joins
+from ..operators import anchors, frames, intervals, joins
 from .inputs import GAPPY, TRACE, gappy, query, trace
 
 W = "(PARTITION BY trace_id ORDER BY row_idx)"
@@ -164,17 +164,37 @@ def interval_merge(s, d):
 
 @query(f"""WITH {_FLAGGED}, j AS (SELECT s.trace_id, s.start_row AS a, s.end_row AS e, b.row_idx, b.az FROM segments s JOIN b ON b.trace_id = s.trace_id AND b.row_idx >= s.start_row AND b.row_idx < s.end_row),
     t AS (SELECT trace_id, a, e, arg_max(row_idx, (az, -row_idx)) AS c, max(az) AS score FROM j GROUP BY ALL)
-    SELECT trace_id, CASE WHEN e - a > 20 THEN greatest(a, least(c - 10, e - 20)) ELSE a END AS start_row,
-           CASE WHEN e - a > 20 THEN greatest(a, least(c - 10, e - 20)) + 20 ELSE e END AS end_row, round(score, 6) AS score FROM t""")
+    SELECT trace_id, CASE WHEN e - a > 20 THEN greatest(a, c - 10) ELSE a END AS start_row,
+           CASE WHEN e - a > 20 THEN least(greatest(a, c - 10) + 20, e) ELSE e END AS end_row, round(score, 6) AS score FROM t""")
 def recenter_argmax(s, d):
     out = intervals.recentred(intervals.merged(_flagged(s, d)), _standard(s, d), "az", 20)
     return out.select("trace_id", "start_row", "end_row", F.round("score", 6).alias("score"))
 
 
+_SMALL = anchors.Detection(size=20, step=5, spacing=4, wobble_rows=5, peak_factor=0.0, valley_factor=0.0, rssi_deviation=40.0, id_rate=0.99, gap=6)
+
+
+def _merged(s, d):
+    return trace(s, d).withColumn("rssi", -F.col("value")).withColumn("cell", F.col("k") % 3)
+
+
+@query(None)
+def anchor_windows(s, d):
+    """Windows flagged by activity, peaks, valleys and wobble, or by their cells."""
+    return anchors.flagged_windows(_merged(s, d), "value", ["rssi"], ["cell"], _SMALL)
+
+
 @query(None)
 def anchor_segments(s, d):
-    """Segments after merging, recentring and joining off neighbours in pairs (a sequential rule, tested by itself)."""
-    return intervals.paired_off(intervals.recentred(intervals.merged(_flagged(s, d)), _standard(s, d), "az", 20), 30)
+    """States after merging, recentring and joining neighbours in pairs (a sequential rule, tested by itself)."""
+    return anchors.anchor_segments(_merged(s, d), "value", ["rssi"], ["cell"], _SMALL)
+
+
+@query(None)
+def anchor_features(s, d):
+    """Values in, before and after each state, and the cells around its start."""
+    t = _merged(s, d)
+    return anchors.anchor_features(t, anchors.anchor_segments(t, "value", ["rssi"], ["cell"], _SMALL), "value", 20, 6, 2, ["rssi", "cell"])
 
 
 @query(f"""WITH {TRACE}, l AS (SELECT trace_id, list(value ORDER BY row_idx) AS v, count(*) AS n FROM trace GROUP BY trace_id)

@@ -126,3 +126,43 @@ def test_files(spark, tmp_path):
         files.required(df, ["y"])
     with pytest.raises(ValueError):
         files.weights_valid([0.5, 0.6])
+
+
+def test_anchor_windows_by_brute_force(spark):
+    """The detector against plain loops over one trace."""
+    import numpy as np
+    import pandas as pd
+
+    from claimflow.functions import kernels as K
+    from claimflow.operators import anchors
+
+    rng = np.random.default_rng(6)
+    n, how = 260, anchors.Detection(size=40, step=10, spacing=5, wobble_rows=8, gap=20)
+    meg = np.cumsum(rng.normal(0, 0.2, n))
+    meg[100:130] += rng.normal(0, 5, 30)
+    rssi, ids = np.where(np.arange(n) % 5 == 0, -70 + rng.normal(0, 1, n), np.nan), np.where(np.arange(n) < 200, 1, np.arange(n) % 2)
+    rows = [(1, i, float(meg[i]), None if np.isnan(rssi[i]) else float(rssi[i]), int(ids[i])) for i in range(n)]
+    t = spark.createDataFrame(rows, "trace_id long, row_idx long, meg double, rssi double, cell long")
+    got = {(r["start_row"], r["end_row"]) for r in anchors.flagged_windows(t, "meg", ["rssi"], ["cell"], how).collect()}
+
+    d = pd.Series(meg).diff().rolling(5, min_periods=1).mean()
+    z = (d - d.mean()) / d.std(ddof=0)
+    signal = pd.Series(rssi).ffill().bfill().rolling(5, min_periods=1).mean()
+    bare = z.dropna().to_numpy()
+    up, down = bare[K.spaced_peaks(bare, 5)], bare[K.spaced_peaks(-bare, 5)]
+    want = set()
+    for start in range(0, n - 40 + 1, 10):
+        w = z[start : start + 40]
+        x = w.dropna().to_numpy()
+        peaks, valleys = K.spaced_peaks(x, 5), K.spaced_peaks(-x, 5)
+        magnetic = w.abs().mean() >= z.abs().mean() + 0.07 * z.abs().std() and x[peaks].max() >= up.mean() + 0.6 * up.std(ddof=1) and x[valleys].min() <= down.mean() - down.std(ddof=1) and pd.Series(x).rolling(8, min_periods=1).std().mean() >= 0.08
+        cellular = signal[start : start + 40].std() > 2 or np.count_nonzero(np.diff(ids[start : start + 40])) / 39 > 0.02
+        if magnetic or cellular:
+            want.add((start, start + 40))
+    assert got == want and 0 < len(want) < (n - 40) // 10
+    segments = anchors.anchor_segments(t, "meg", ["rssi"], ["cell"], how)
+    assert segments.where("end_row - start_row > 40").count() == 0
+    features = anchors.anchor_features(t, segments, "meg", 40, 12, 4, ["rssi"]).collect()
+    for r in features:
+        inside = [float(v) for v in meg[r["start_row"] : r["end_row"]]]
+        assert r["cur"][: len(inside)] == inside and len(r["cur"]) == len(r["pre"]) == len(r["post"]) == 40 and len(r["rssi"]) == 12
