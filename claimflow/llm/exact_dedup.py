@@ -24,7 +24,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "16",
     # A store takes the disk that it fills, and none once its batch is committed to the checkpoint.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
@@ -96,9 +97,10 @@ def exact_dedup_path(spark: SparkSession, path: str, digest: Callable[[Column],
     remove(spark, name)
     narrow = stored(rows.select("doc_id", "file", "row", digest(F.col("text")).alias("digest")), "dedup-rows")
     told = narrow.join(state, "digest").select("*", ((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).alias("kept"))
+    # The narrow side is hashed in these joins, so that texts are dealt out but never sorted.
     # Full bytes on hits: the text of each row of a shared digest against the text that stays.
     keepers = state.where("n > 1").select("digest", F.col("keep.file").alias("keep_file"), F.col("keep.row").alias("keep_row"))
-    shared = stored(rows.withColumn("digest", digest(F.col("text"))).join(keepers, "digest"), "dedup-shared")
+    shared = stored(rows.withColumn("digest", digest(F.col("text"))).join(keepers.hint("shuffle_hash"), "digest"), "dedup-shared")
     stay = shared.where("file = keep_file and row = keep_row").select("digest", F.col("text").alias("stay"))
     hits = shared.join(stay, "digest").select("doc_id", "file", "row", "digest", F.when(F.col("text") != F.col("stay"), F.col("text")).alias("other"))
     others = stored(hits.where("other is not null"), "dedup-collisions")
@@ -130,4 +132,4 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, pe
     gone = exact_dedup_path(spark, path, digest, per_trigger).where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
     rows = spark.read.schema(spooled.schema).parquet(path)
     rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return rows.join(gone, ["__file", "__row"], "left_anti").select(*names).toDF(*docs.columns)
+    return rows.join(gone.hint("shuffle_hash"), ["__file", "__row"], "left_anti").select(*names).toDF(*docs.columns)

@@ -167,10 +167,18 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as :func:`mix` takes it whole, with all its columns."""
     p = free_prefix(docs)
     told = stored(mix(docs, cut_last=False, **options), "mix-copies").select(*[F.col(c).alias(p + c) for c in ("doc_id", "source", "size", "nth", "copies")])
+    key = [f"{p}{c}" for c in ("doc_id", "source", "size")]
+    rows = docs.withColumn(f"{p}words", words(text_or_empty()))
+    on = F.col("doc_id").eqNullSafe(F.col(key[0])) & F.col("source").eqNullSafe(F.col(key[1])) & (F.col(f"{p}words") == F.col(key[2]))
+
+    def taken(some: DataFrame) -> DataFrame:
+        return some.where(F.col(f"{p}copies") > 0).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies")))).select(*docs.columns)
+
+    repeated = stored(told.groupBy(*key).agg(F.max(f"{p}nth").alias(f"{p}last")).where(F.col(f"{p}last") > 0), "mix-repeated")
+    if repeated.isEmpty():
+        # The narrow side is hashed, so that texts are dealt out but never sorted.
+        return taken(rows.join(told.hint("shuffle_hash"), on))
     same = Window.partitionBy("doc_id", "source", f"{p}words").orderBy(F.xxhash64(text_or_empty()))
-    rows = docs.withColumn(f"{p}words", words(text_or_empty())).withColumn(f"{p}place", F.row_number().over(same) - 1)
-    on = F.col("doc_id").eqNullSafe(F.col(f"{p}doc_id")) & F.col("source").eqNullSafe(F.col(f"{p}source")) & (F.col(f"{p}words") == F.col(f"{p}size"))
+    placed = rows.withColumn(f"{p}place", F.row_number().over(same) - 1)
     # Not an equality of keys, so that both sides stay dealt by the columns of the window.
-    on = on & (F.col(f"{p}place") <= F.col(f"{p}nth")) & (F.col(f"{p}place") >= F.col(f"{p}nth"))
-    taken = rows.join(told.where(F.col(f"{p}copies") > 0), on)
-    return taken.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies")))).select(*docs.columns)
+    return taken(placed.join(told, on & (F.col(f"{p}place") <= F.col(f"{p}nth")) & (F.col(f"{p}place") >= F.col(f"{p}nth"))))

@@ -10,6 +10,7 @@ length.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -34,6 +35,16 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def added_tokens(path: str) -> list[str]:
+    """The special tokens that a tokenizers file lists; the vocabulary itself is not parsed."""
+    text = Path(path).read_text(encoding="utf-8")
+    at = text.find('"added_tokens"')
+    if at < 0:
+        return []
+    listed, _ = json.JSONDecoder().raw_decode(text, text.index("[", at))
+    return [t["content"] for t in listed]
+
+
 class Encoder:
     """Ids of a text under a tokenizers file, special tokens not added.
 
@@ -43,12 +54,9 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.path, self.slow, self.fast = path, None, None
+        self.special = added_tokens(path)
         ranks = Path(path).with_suffix(".tiktoken")
-        self.fast = None
         if ranks.exists():
             import public_tokenizers
             import tiktoken
@@ -56,11 +64,18 @@ class Encoder:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.read_bytes().splitlines() if line)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    def _plain(self, text: str) -> np.ndarray:
+        from tokenizers import Tokenizer
+
+        # Loaded when first needed: a worker keeps one vocabulary in memory, not two.
+        self.slow = self.slow or Tokenizer.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
         if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+            return self._plain(text)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
@@ -79,7 +94,7 @@ def pieces_of(ids: np.ndarray, most: int = SEQUENCE) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) with each one's place in its task (part, nth of its length there)."""
     vocabulary = vocabulary or default_vocabulary()
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, part = encoder(vocabulary), np.zeros(sequence + 1, np.int64), TaskContext.get().partitionId()

@@ -295,7 +295,7 @@ def _compared(docs: DataFrame, nodes: DataFrame, links: DataFrame, scheme: Schem
     """``links`` with the true similarity of the two shingle sets as ``likeness``."""
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     asked = ends.join(nodes.select("id", F.col("text_hash").alias("asked")), "id")
-    texts = docs.select("text", F.xxhash64(text_or_empty()).alias("text_hash")).join(asked, F.col("text_hash") == F.col("asked")).select("id", "text")
+    texts = docs.select("text", F.xxhash64(text_or_empty()).alias("text_hash")).join(asked.hint("shuffle_hash"), F.col("text_hash") == F.col("asked")).select("id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -376,6 +376,8 @@ def near_dedup(docs: DataFrame, scheme: Scheme = JACCARD_80) -> DataFrame:
     gone = groups.join(stays, "component_id").where("struct(doc_id, text_hash) <> keep")
     gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
     here = F.xxhash64(text_or_empty())
+    # The narrow side is hashed, so that texts are dealt out but never sorted.
+    gone = gone.hint("shuffle_hash")
     stay = docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (here == gone["__hash"]), "left_anti")
     if not groups.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         bare = stay.where("doc_id is null")
