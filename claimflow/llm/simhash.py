@@ -19,6 +19,7 @@ from itertools import combinations
 from random import Random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ from .components import connected_components
 SHORT_RUN = 32
 #: Rows of one key that meet in one task at most. A key with more is dealt into chunks, and each two chunks meet in a task.
 LONGEST_RUN = 20_000
+#: Shingle sets that meet in one task at most, likewise.
+LONGEST_SETS = 6_000
 
 
 @dataclass(frozen=True)
@@ -196,12 +199,8 @@ def _forest(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, scheme: Scheme)
     return edges
 
 
-def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, scheme: Scheme, group: np.ndarray | None = None) -> list[tuple[int, int, bool]]:
-    """Links (a, b, from a long run) among rows of equal key; the rows come in the order of their keys.
-
-    With ``group`` only long runs count, and only near pairs of different groups
-    of which one is not in the run's largest: what a forest may have missed.
-    """
+def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, scheme: Scheme) -> list[tuple[int, int, bool]]:
+    """Links (a, b, from a long run) among rows of equal key; the rows come in the order of their keys."""
     new = np.flatnonzero(np.diff(key)) + 1
     starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
     wide = ends - starts > 1
@@ -210,16 +209,7 @@ def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, scheme: Scheme,
         return []
     table, edges = pivot_table(fps, scheme), []
     for s, e in zip(starts[ends - starts > SHORT_RUN], ends[ends - starts > SHORT_RUN], strict=True):
-        if group is None:
-            edges += [(a, b, True) for a, b in _forest(ids[s:e], fps[s:e], table[s:e], scheme)]
-            continue
-        names, of, sizes = np.unique(group[s:e], return_inverse=True, return_counts=True)
-        for x in np.flatnonzero(of != sizes.argmax()):
-            others = np.flatnonzero(of != of[x])
-            hit = _near(table[s:e], fps[s:e], np.full(len(others), x), others, scheme)
-            edges += [(int(ids[s + x]), int(ids[s + y]), True) for y in others[hit]]
-    if group is not None:
-        return edges
+        edges += [(a, b, True) for a, b in _forest(ids[s:e], fps[s:e], table[s:e], scheme)]
     short = ends - starts <= SHORT_RUN
     starts, ends = starts[short], ends[short]
     rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)]) if len(starts) else np.empty(0, int)
@@ -234,8 +224,8 @@ def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, scheme: Scheme,
     return edges
 
 
-def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, grouped: bool = False, longest: int = LONGEST_RUN) -> DataFrame:
-    """Links (a, b, far_reaching) between rows of ``nodes`` (id long, fp binary; each fp once; with ``grouped`` also group long).
+def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, longest: int = LONGEST_RUN) -> DataFrame:
+    """Links (a, b, far_reaching) between rows of ``nodes`` (id long, fp binary; each fp once).
 
     A key's rows are sorted together, never crossed: a run of up to SHORT_RUN
     rows reports its near pairs, a longer one a spanning forest of them. A run
@@ -250,7 +240,7 @@ def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, grouped: bool = Fa
             if b.num_rows:
                 keys = pivot_keys(_words(b.column(1), width), scheme)
                 again = pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(again) for c in b.columns)], ["key", "id", "fp", "grp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(again) for c in b.columns)], ["key", "id", "fp"])
 
     def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,16 +248,16 @@ def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, grouped: bool = Fa
                 yield pa.RecordBatch.from_arrays([pa.array(pivot_keys(_words(b.column(1), width), scheme).ravel().view(np.int64))], ["key"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, ids, fps, grp):
-            edges = run_links(key, ids, fps, scheme, grp if grouped else None)
+        def out(key, ids, fps):
+            edges = run_links(key, ids, fps, scheme)
             a, b, far = zip(*edges, strict=True) if edges else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(far, pa.bool_())], ["a", "b", "far_reaching"])
 
-        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint64), np.empty(0, np.int64))]
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint64))]
         for b in batches:
             if not b.num_rows:
                 continue
-            parts.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _words(b.column(2), width), b.column(3).to_numpy()))
+            parts.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _words(b.column(2), width)))
             if parts[-1][0][0] == parts[-1][0][-1]:
                 continue  # one key so far: its run goes on
             key, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -277,22 +267,22 @@ def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, grouped: bool = Fa
         yield out(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     small_batches(spark, 5000)
-    source = nodes.select("id", "fp", F.col("grp") if grouped else F.lit(0).cast("long").alias("grp"))
-    rows = source.mapInArrow(keyed, "key long, id long, fp binary, grp long")
+    source = nodes.select("id", "fp")
+    rows = source.mapInArrow(keyed, "key long, id long, fp binary")
     counts = source.mapInArrow(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > longest)
     hot = stored(counts.select("key", F.ceil(F.col("n") * 2 / longest).cast("int").alias("chunks")), "hot-keys")
     if not hot.isEmpty():
         own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
         met = F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
         dealt = rows.join(hot, "key", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-        rows = dealt.select(met.alias("key"), "id", "fp", "grp")
+        rows = dealt.select(met.alias("key"), "id", "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long, far_reaching boolean")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far_reaching").groupBy("a", "b").agg(F.max("far_reaching").alias("far_reaching"))
 
 
-def _compared(docs: DataFrame, nodes: DataFrame, links: DataFrame, scheme: Scheme) -> DataFrame:
-    """``links`` with the true similarity of the two shingle sets as ``likeness``."""
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, links: DataFrame, scheme: Scheme) -> DataFrame:
+    """(id, held): the sorted shingle hashes of every node that has a link."""
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     asked = ends.join(nodes.select("id", F.col("text_hash").alias("asked")), "id")
     texts = docs.select("text", F.xxhash64(text_or_empty()).alias("text_hash")).join(asked.hint("shuffle_hash"), F.col("text_hash") == F.col("asked")).select("id", "text")
@@ -303,7 +293,11 @@ def _compared(docs: DataFrame, nodes: DataFrame, links: DataFrame, scheme: Schem
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], ["id", "held"])
 
     small_batches(docs.sparkSession, 1000)
-    held = stored(texts.mapInArrow(sets, "id long, held binary").dropDuplicates(["id"]), "shingle-sets")
+    return stored(texts.mapInArrow(sets, "id long, held binary").dropDuplicates(["id"]), "shingle-sets")
+
+
+def _compared(links: DataFrame, held: DataFrame) -> DataFrame:
+    """``links`` with the true similarity of the two shingle sets as ``likeness``."""
     both = links.join(held.select(F.col("id").alias("a"), F.col("held").alias("left")), "a").join(held.select(F.col("id").alias("b"), F.col("held").alias("right")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,17 +312,64 @@ def _compared(docs: DataFrame, nodes: DataFrame, links: DataFrame, scheme: Schem
     return stored(both.select("a", "b", "far_reaching", "left", "right").mapInArrow(compare, "a long, b long, far_reaching boolean, likeness double"), "compared")
 
 
+def set_forest(ids: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that connect what pairs of sets with a Jaccard similarity of ``least`` or more connect: fewer than there are sets.
+
+    The sets that share a shingle are listed once; a set then meets all others
+    by counting through the lists of its own shingles.
+    """
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    shingle, of = np.unique(np.concatenate(sets) if len(sets) else np.empty(0), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    lists, ends = owner[order], np.cumsum(np.bincount(of, minlength=len(shingle)))
+    starts, first = np.concatenate([[0], ends[:-1]]), np.concatenate([[0], np.cumsum(size)])
+    left, edges = np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        if not left[seed]:
+            continue
+        left[seed], front = False, [seed]
+        while front:
+            x = front.pop()
+            mine = of[first[x] : first[x + 1]]
+            shared = np.bincount(np.concatenate([lists[starts[k] : ends[k]] for k in mine]), minlength=len(sets)) if len(mine) else np.zeros(len(sets), int)
+            either = size + size[x] - shared
+            hit = np.flatnonzero(left & (shared >= least * either) & ((either > 0) & (shared > 0) | (either == 0)))
+            left[hit] = False
+            edges += [(int(ids[x]), int(ids[y])) for y in hit]
+            front += hit.tolist()
+    return edges
+
+
+def _exact_links(members: DataFrame, scheme: Scheme, longest: int = LONGEST_SETS) -> DataFrame:
+    """Links (a, b) that connect each cluster of ``members`` (cluster, id, held) as all its pairs would; large clusters are dealt into chunks that meet two by two."""
+    counts = stored(members.groupBy("cluster").agg(F.ceil(F.count("*") * 2 / longest).cast("int").alias("chunks")), "cluster-sizes")
+    dealt = members.join(counts, "cluster").withColumn("chunks", F.when(F.col("chunks") > 2, F.col("chunks")).otherwise(1))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+    def connect(rows: pd.DataFrame) -> pd.DataFrame:
+        edges = set_forest(rows["id"].to_numpy(), [np.frombuffer(x, "<u8") for x in rows["held"]], scheme.jaccard)
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    keyed = dealt.select("cluster", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "held")
+    return keyed.groupBy("cluster", "one", "two").applyInPandas(connect, "a long, b long")
+
+
 def _checked_components(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """Components of links whose shingle sets are as similar as the scheme asks."""
-    told = _compared(docs, nodes, stored(near_links(nodes, scheme), "near-links"), scheme)
-    true = told.where(F.col("likeness") >= scheme.jaccard)
-    found = connected_components(true)
-    if told.where(F.col("far_reaching") & (F.col("likeness") < scheme.jaccard)).isEmpty():
-        return found
-    # A long run linked its rows through a forest, and a tree of it broke: compare what it parted.
-    grouped = nodes.join(found, nodes["id"] == found["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("grp"))
-    more = _compared(docs, nodes, stored(near_links(grouped, scheme, grouped=True), "near-links"), scheme)
-    return connected_components(true.unionByName(more.where(F.col("likeness") >= scheme.jaccard)))
+    links = stored(near_links(nodes, scheme), "near-links")
+    held = _shingle_sets(docs, nodes, links, scheme)
+    told = _compared(links, held)
+    true = told.where(F.col("likeness") >= scheme.jaccard).select("a", "b")
+    broken = told.where(F.col("far_reaching") & (F.col("likeness") < scheme.jaccard)).select("a")
+    if broken.isEmpty():
+        return connected_components(true)
+    # A long run linked its rows through a forest, and the check broke a tree of it: its cluster is compared set by set.
+    clusters = connected_components(links.select("a", "b"))
+    named = held.join(clusters, held["id"] == clusters["node"], "left").select("id", "held", F.coalesce("component", "id").alias("cluster"))
+    hit = broken.join(named.select(F.col("id").alias("a"), "cluster"), "a").select("cluster").distinct()
+    exact = _exact_links(named.join(hit, "cluster", "left_semi"), scheme)
+    return connected_components(true.unionByName(exact))
 
 
 def near_groups(docs: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:

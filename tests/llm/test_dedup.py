@@ -122,6 +122,23 @@ def test_long_keys_are_dealt_over_chunks(spark):
     assert got[0] == got[1] and len(rows) - len(got[0]) == 4
 
 
+@pytest.mark.parametrize("longest", [6_000, 20])
+def test_exact_links_by_brute_force(spark, longest):
+    """Sets compared within clusters, also where a cluster is dealt into chunks."""
+    rng = np.random.default_rng(9)
+    rows, sets = [], {}
+    for i in range(80):
+        base = np.arange(100) + 1000 * (i % 3)
+        x = np.unique(np.where(rng.random(100) < 0.06 * (i % 4), rng.integers(10_000, 99_999, 100), base)).astype("<u8") if i else np.empty(0, "<u8")
+        sets[i] = set(x.tolist())
+        rows.append((i % 2, i, x.tobytes()))
+    got = simhash._exact_links(spark.createDataFrame(rows, "cluster long, id long, held binary"), simhash.JACCARD_80, longest)
+    found = {r["node"]: r["component"] for r in components.connected_components(got).collect()}
+    links = [(a, b) for a in sets for b in range(a) if a % 2 == b % 2 and len(sets[a] | sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == want and len(want) > 20
+
+
 def test_checked_links_lose_none_in_long_runs(spark, docs_of, words):
     """A long run whose forest breaks on the exact check: components are those of all pairs."""
     import random
