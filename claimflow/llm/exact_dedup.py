@@ -24,19 +24,21 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "16",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     # A store takes the disk that it fills, and none once its batch is committed to the checkpoint.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
+#: For executors that hold what other stages of a pipeline left: smaller state buffers.
+TIGHT = {"spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "16"}
+
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _state(spark: SparkSession, path: str, name: str, digest: Callable[[Column], Column], per_trigger: int) -> DataFrame:
+def _state(spark: SparkSession, path: str, name: str, digest: Callable[[Column], Column], per_trigger: int, tight: bool) -> DataFrame:
     """(digest, keep, n): what the state, kept below the path ``name``, holds for each digest after all batches."""
     updates, checkpoint = f"{name}/updates", f"{name}/checkpoint"
     schema = spark.read.parquet(path).schema
@@ -48,8 +50,9 @@ def _state(spark: SparkSession, path: str, name: str, digest: Callable[[Column],
         .groupBy("digest")
         .agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("n"))
     )
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
+    settings = STATE | TIGHT if tight else STATE
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         query = (
@@ -78,7 +81,7 @@ def _state(spark: SparkSession, path: str, name: str, digest: Callable[[Column],
     return said.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"))
 
 
-def exact_dedup_path(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, per_trigger: int = BYTES_PER_TRIGGER) -> DataFrame:
+def exact_dedup_path(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, per_trigger: int = BYTES_PER_TRIGGER, tight: bool = False) -> DataFrame:
     """Groups the rows of the parquet table at ``path`` by equal text.
 
     Reads ``doc_id`` (long) and ``text``; other columns are ignored. Returns one
@@ -87,20 +90,19 @@ def exact_dedup_path(spark: SparkSession, path: str, digest: Callable[[Column],
     and kept. Null text counts as empty, so null and empty rows are one group;
     of rows that repeat a doc_id and its text exactly one stays, the one whose
     locator is largest; a null doc_id stays only in a group of nulls alone. An
-    empty table gives no rows.
+    empty table gives no rows. ``tight`` spares memory: see TIGHT; texts are then dealt out but not sorted.
     """
     source = spark.read.parquet(path)
     need(source, ["doc_id", "text"])
     rows = source.select("doc_id", text_or_empty().alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     name = scratch_path(spark, "dedup-state")
-    state = stored(_state(spark, path, name, digest, per_trigger), "dedup-keys")
+    state = stored(_state(spark, path, name, digest, per_trigger, tight), "dedup-keys")
     remove(spark, name)
     narrow = stored(rows.select("doc_id", "file", "row", digest(F.col("text")).alias("digest")), "dedup-rows")
     told = narrow.join(state, "digest").select("*", ((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).alias("kept"))
-    # The narrow side is hashed in these joins, so that texts are dealt out but never sorted.
     # Full bytes on hits: the text of each row of a shared digest against the text that stays.
     keepers = state.where("n > 1").select("digest", F.col("keep.file").alias("keep_file"), F.col("keep.row").alias("keep_row"))
-    shared = stored(rows.withColumn("digest", digest(F.col("text"))).join(keepers.hint("shuffle_hash"), "digest"), "dedup-shared")
+    shared = stored(rows.withColumn("digest", digest(F.col("text"))).join(keepers.hint("shuffle_hash") if tight else keepers, "digest"), "dedup-shared")
     stay = shared.where("file = keep_file and row = keep_row").select("digest", F.col("text").alias("stay"))
     hits = shared.join(stay, "digest").select("doc_id", "file", "row", "digest", F.when(F.col("text") != F.col("stay"), F.col("text")).alias("other"))
     others = stored(hits.where("other is not null"), "dedup-collisions")
@@ -129,7 +131,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, pe
     names[at], names[text] = "doc_id", "text"
     spooled = docs.toDF(*names)
     spooled.write.parquet(path)
-    gone = exact_dedup_path(spark, path, digest, per_trigger).where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+    gone = exact_dedup_path(spark, path, digest, per_trigger, tight=True).where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
     rows = spark.read.schema(spooled.schema).parquet(path)
     rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     return rows.join(gone.hint("shuffle_hash"), ["__file", "__row"], "left_anti").select(*names).toDF(*docs.columns)
