@@ -4,7 +4,9 @@ A text's word shingles vote on the bits of its fingerprint. Fingerprints are
 cut into blocks of bits, and for each block the Hamming distances to several
 fixed reference fingerprints (pivots) are tabulated. Two fingerprints that
 differ in few bits agree in all pivot distances of several blocks; these tuples
-are the join keys that bring candidates together. Within a key the pairs whose
+are the join keys that bring candidates together. Where links are held against
+the similarity of shingle sets, the keys come from minima of the sets under
+hash functions instead. Within a key the pairs whose
 pivot distances over the whole fingerprint differ by more than the bound in any
 coordinate are discarded (triangle inequality), and survivors are verified on
 their true Hamming distance. Links become groups by distributed connected
@@ -15,8 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
-from random import Random
 
 import numpy as np
 import pandas as pd
@@ -40,22 +42,23 @@ LONGEST_SETS = 6_000
 class Scheme:
     """What is fingerprinted and when fingerprints link.
 
-    ``shingle`` words vote on 64 * ``words`` bits that count for the distance;
-    ``key_words`` further words of 64 bits, voted by single words, only serve as
-    join keys. ``distinct``: a repeated shingle votes once. ``blocks`` blocks of
-    the key bits are joined ``together`` at a time; ``tables`` of these
-    combinations are used (0: all of them). With ``jaccard`` links are also
-    held against the true similarity of their shingle sets.
+    ``shingle`` words vote on 64 * ``words`` bits that count for the distance.
+    ``distinct``: a repeated shingle votes once. ``blocks`` blocks of the bits
+    are joined ``together`` at a time. With ``bands`` the join keys are as many
+    hashes of ``minima`` minima of the shingle set each, and the fingerprint
+    ends in a digest of the set, so that only equal sets share one. With
+    ``jaccard`` links are also held against the true similarity of their
+    shingle sets.
     """
 
     shingle: int = 3
     words: int = 1
-    key_words: int = 0
     distinct: bool = False
     most_bits: int = 3
     blocks: int = 6
     together: int = 3
-    tables: int = 0
+    bands: int = 0
+    minima: int = 0
     pivots: int = 16
     block_pivots: int = 5
     seed: int = 42
@@ -63,17 +66,14 @@ class Scheme:
 
     @property
     def width(self) -> int:
-        return self.words + self.key_words
+        return self.words + bool(self.bands)
 
     def combos(self) -> list[tuple[int, ...]]:
-        if not self.tables:
-            return list(combinations(range(self.blocks), self.together))
-        draw = Random(self.seed)
-        return [tuple(sorted(draw.sample(range(self.blocks), self.together))) for _ in range(self.tables)]
+        return list(combinations(range(self.blocks), self.together))
 
     def masks(self) -> np.ndarray:
         """One row of key words for each block."""
-        n = 64 * (self.key_words or self.words)
+        n = 64 * self.words
         out = np.zeros((self.blocks, n // 64), np.uint64)
         for bit in range(n):
             out[bit * self.blocks // n, bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
@@ -86,9 +86,10 @@ class Scheme:
 #: Exact for its bound: of six blocks at most three can hold the three differing bits, so three others agree.
 THREE_BITS = Scheme()
 
-#: Five-word shingles at a Jaccard similarity of 0.8 or more. Sets that similar differ in 39 of 256 bits on average (standard
-#: deviation 5.7); 52 bits keep 99 % of pairs at exactly 0.8, and what links is checked on the sets. Keys come from the single words.
-JACCARD_80 = Scheme(shingle=5, words=4, key_words=2, distinct=True, most_bits=52, blocks=32, together=5, tables=32, pivots=16, block_pivots=4, jaccard=0.8)
+#: Five-word shingles at a Jaccard similarity of 0.8 or more. A pair shares one of the 32 keys of four minima but for a chance of
+#: (1 - 0.8^4)^32 = 5e-8 at exactly 0.8, and less above. Large sets that similar differ in 39 of 256 bits on average (standard deviation
+#: 5.7), the worst (four shingles and one more) in 48 (6.2): 84 bits lose one such pair in 3e7. What links is checked on the sets.
+JACCARD_80 = Scheme(shingle=5, words=4, distinct=True, most_bits=84, bands=32, minima=4, pivots=16, jaccard=0.8)
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -122,30 +123,53 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.array([hashed(joined[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None, scheme: Scheme = THREE_BITS) -> bytes:
-    """Little-endian words; ASCII letters count as lower case, words are split at ASCII white space."""
+@cache
+def _factors(scheme: Scheme) -> np.ndarray:
+    return np.random.default_rng(scheme.seed).integers(0, 2**64, (scheme.bands * scheme.minima, 1), np.uint64) | np.uint64(1)
+
+
+def band_keys(h: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """The join keys of a set of shingle hashes: each mixes its own few minima of the set under multiplication by odd factors."""
+    factors = _factors(scheme)
+    least = np.full(len(factors), 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 512):
+        least = np.minimum(least, (factors * h[at : at + 512]).min(1))
+    key = np.arange(1, scheme.bands + 1, dtype=np.uint64)
+    for k, column in enumerate(least.reshape(scheme.bands, scheme.minima).T):
+        key = _mixed(key ^ column, k + 1)
+    return key
+
+
+def _print_and_keys(text: str | None, scheme: Scheme) -> tuple[bytes, bytes]:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     h = shingle_hashes(words, scheme.shingle)
     if scheme.distinct:
         h = np.unique(h)
     out = [_vote(h if not i else _mixed(h, i)) for i in range(scheme.words)]
-    if scheme.key_words:
-        w = np.array([xxhash.xxh64_intdigest(x, 42) for x in set(words)], np.uint64)
-        out += [_vote(w if not i else _mixed(w, i)) for i in range(scheme.key_words)]
-    return np.array(out, "<u8").tobytes()
+    if not scheme.bands:
+        return np.array(out, "<u8").tobytes(), b""
+    out.append(xxhash.xxh64_intdigest(h.tobytes(), 42))
+    return np.array(out, "<u8").tobytes(), band_keys(h, scheme).astype("<u8").tobytes()
+
+
+def fingerprint(text: str | None, scheme: Scheme = THREE_BITS) -> bytes:
+    """Little-endian words; ASCII letters count as lower case, words are split at ASCII white space."""
+    return _print_and_keys(text, scheme)[0]
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
-    """(doc_id, text_hash long, fp binary) for every row; null text counts as empty and has the zero fingerprint."""
+    """(doc_id, text_hash long, fp binary, and with bands keys binary) for every row; null text counts as empty and has the zero fingerprint."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", "text_hash", "fp", *(["keys"] if scheme.bands else [])]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t.as_py(), scheme) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.binary())], ["doc_id", "text_hash", "fp"])
+            both = [_print_and_keys(t.as_py(), scheme) for t in b.column(1)]
+            columns = [b.column(0), b.column(2), *(pa.array([x[k] for x in both], pa.binary()) for k in range(len(names) - 2))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(text_or_empty()))
-    return rows.mapInArrow(each, "doc_id long, text_hash long, fp binary")
+    return rows.mapInArrow(each, "doc_id long, text_hash long, fp binary" + (", keys binary" if scheme.bands else ""))
 
 
 def _words(fp: pa.Array, width: int) -> np.ndarray:
@@ -154,17 +178,16 @@ def _words(fp: pa.Array, width: int) -> np.ndarray:
 
 def pivot_keys(fps: np.ndarray, scheme: Scheme) -> np.ndarray:
     """The join keys of each fingerprint: a row of them, one for each combination of blocks."""
-    part = fps[:, scheme.words :] if scheme.key_words else fps
-    refs = scheme.references(scheme.block_pivots, part.shape[1])
+    refs = scheme.references(scheme.block_pivots, fps.shape[1])
     tables = []
     for mask in scheme.masks():
-        packed = np.zeros(len(part), np.uint64)
+        packed = np.zeros(len(fps), np.uint64)
         for ref in refs:
-            packed = (packed << np.uint64(5)) | np.bitwise_count((part ^ ref) & mask).sum(1, dtype=np.uint64)
+            packed = (packed << np.uint64(5)) | np.bitwise_count((fps ^ ref) & mask).sum(1, dtype=np.uint64)
         tables.append(packed)
-    out = np.empty((len(part), len(combos := scheme.combos())), np.uint64)
+    out = np.empty((len(fps), len(combos := scheme.combos())), np.uint64)
     for c, combo in enumerate(combos):
-        key = np.full(len(part), c + 1, np.uint64)
+        key = np.full(len(fps), c + 1, np.uint64)
         for block in combo:
             key = _mixed(key ^ tables[block], block + 1)
         out[:, c] = key
@@ -225,7 +248,7 @@ def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, scheme: Scheme)
 
 
 def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, longest: int = LONGEST_RUN) -> DataFrame:
-    """Links (a, b, far_reaching) between rows of ``nodes`` (id long, fp binary; each fp once).
+    """Links (a, b, far_reaching) between rows of ``nodes`` (id long, fp binary, and with bands keys binary; each fp once).
 
     A key's rows are sorted together, never crossed: a run of up to SHORT_RUN
     rows reports its near pairs, a longer one a spanning forest of them. A run
@@ -235,17 +258,20 @@ def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, longest: int = LON
     spark = nodes.sparkSession
     width = scheme.width
 
+    def keys_of(b: pa.RecordBatch) -> np.ndarray:
+        return _words(b.column(2), scheme.bands) if scheme.bands else pivot_keys(_words(b.column(1), width), scheme)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = pivot_keys(_words(b.column(1), width), scheme)
+                keys = keys_of(b)
                 again = pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(again) for c in b.columns)], ["key", "id", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(again) for c in b.columns[:2])], ["key", "id", "fp"])
 
     def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(pivot_keys(_words(b.column(1), width), scheme).ravel().view(np.int64))], ["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(b).ravel().view(np.int64))], ["key"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key, ids, fps):
@@ -267,7 +293,7 @@ def near_links(nodes: DataFrame, scheme: Scheme = THREE_BITS, longest: int = LON
         yield out(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     small_batches(spark, 5000)
-    source = nodes.select("id", "fp")
+    source = nodes.select("id", "fp", *(["keys"] if scheme.bands else []))
     rows = source.mapInArrow(keyed, "key long, id long, fp binary")
     counts = source.mapInArrow(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > longest)
     hot = stored(counts.select("key", F.ceil(F.col("n") * 2 / longest).cast("int").alias("chunks")), "hot-keys")
@@ -387,7 +413,9 @@ def near_groups(docs: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
     need(docs, ["doc_id", "text"])
     prints = stored(fingerprints(docs, scheme), "fingerprints")
     # Nodes are fingerprints, numbered by a key of their own: a doc_id may come with several texts.
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")).select(F.xxhash64("fp").alias("id") if scheme.width > 1 else _as_long("fp").alias("id"), "fp", "least", "text_hash"), "nodes")
+    of_set = ["fp", *(["keys"] if scheme.bands else [])]
+    nodes = prints.groupBy(*of_set).agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"))
+    nodes = stored(nodes.select(F.xxhash64("fp").alias("id") if scheme.width > 1 else _as_long("fp").alias("id"), *of_set, "least", "text_hash"), "nodes")
     found = _checked_components(docs, nodes, scheme) if scheme.jaccard else connected_components(near_links(nodes, scheme))
     of = nodes.join(found, nodes["id"] == found["node"], "left").select("id", "fp", "least", F.coalesce("component", "id").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))

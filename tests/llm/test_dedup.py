@@ -190,6 +190,25 @@ def test_near_dedup_at_five_words(docs_of, words):
     assert len(out & gone) <= 2
 
 
+def test_copies_with_a_passage_more_or_another_are_found(docs_of, words):
+    """Contiguous changes at a similarity of 0.8 to 0.9, and the smallest sets that can be that similar: no copy stays."""
+    rows, gone = [], set()
+    for i in range(120):
+        text, n = words(300, 20_000 + i).split(), 34 + i % 40
+        passage = words(n, 30_000 + i).split()
+        copy = text + passage if i % 2 else text[:100] + passage[: n // 2 - 9] + text[100 + n // 2 - 9 :]
+        a, b = ({" ".join(t[k : k + 5]) for k in range(len(t) - 4)} for t in (text, copy))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.93
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(copy))]
+        gone.add(1000 + i)
+    for i in range(60):
+        text = words(9, 40_000 + i)
+        rows += [(2000 + i, text), (3000 + i, text.rsplit(" ", 1)[0])]
+        gone.add(3000 + i)
+    out = {r["doc_id"] for r in simhash.near_dedup(docs_of(rows)).collect()}
+    assert out == {d for d, _ in rows} - gone
+
+
 def test_near_dedup_cases(docs_of):
     docs = docs_of([(3, "a b c d e f"), (3, "a b c d e f"), (3, "quite another text of its own"), (1, "A B C D E F"), (None, "a b c d e f"), (None, None)])
     out = simhash.near_dedup(docs)
