@@ -30,6 +30,8 @@ LEAF_ROWS = 150
 RECALL = 0.95
 #: Entries that meet queries in one task: neighbouring leaves are bundled up to this number, a larger leaf is dealt over several bundles.
 BUNDLE_ROWS = 4_000
+#: Queries that a bundle meets in one task, about: a bundle asked by more is copied to blocks of them.
+BLOCK_QUERIES = 16_000
 SALTS = 64
 
 
@@ -174,7 +176,7 @@ def entries(vectors: DataFrame, keep: int) -> DataFrame:
     return merged.select(F.element_at("ids", 1).alias("key"), "v", "ids")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = RECALL, sample: int = SAMPLE, calibration: int = CALIBRATION, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = RECALL, sample: int = SAMPLE, calibration: int = CALIBRATION, leaf_rows: int = LEAF_ROWS, block: int = BLOCK_QUERIES) -> DataFrame:
     """The ``k`` nearest of ``vectors`` (vec_id, embedding) found for each row of ``queries`` (the same columns).
 
     Nearest by cosine in double precision, ties to the smaller vec_id; a query's
@@ -200,6 +202,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding")).distinct()
     keyed = entries(queries, 1).where(F.size("v") == dim).select(F.col("key").alias("q"), "v")
     keyed = stored(keyed, "ann-queries")
+    # The same blocks for all bundles: a query visits at most all of them, so no block of a bundle holds more than its share of the queries.
+    blocks = max(1, -(-keyed.count() // block))
     chosen = base.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toPandas()
     tree = grow(_unit(_matrix(chosen["v"])), max(2, round(leaf_rows * min(1.0, len(chosen) / n))))
     model = spark.sparkContext.broadcast(tree)
@@ -232,7 +236,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
             pick = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("q").take(pick), b.column("v").take(pick), pa.array(bundle, pa.int32()), pa.array(leaves, pa.list_(pa.int64()))], ["q", "v", "bundle", "leaves"])
 
-    routed = keyed.mapInArrow(route, f"q long, v {dict(keyed.dtypes)['v']}, bundle int, leaves array<long>")
+    routed = keyed.mapInArrow(route, f"q long, v {dict(keyed.dtypes)['v']}, bundle int, leaves array<long>").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    split = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -249,7 +254,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
                 scores += score.tolist()
         return pd.DataFrame({"q": np.array(names, np.int64), "ids": found_ids, "score": np.array(scores, float)})
 
-    met = routed.groupBy("bundle").cogroup(split.groupBy("bundle")).applyInPandas(meet, "q long, ids array<long>, score double")
+    met = routed.groupBy("bundle", "block").cogroup(split.groupBy("bundle", "block")).applyInPandas(meet, "q long, ids array<long>, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     near = met.select("q", "score", F.explode("ids").alias("vec_id")).groupBy("q", "vec_id").agg(F.max("score").alias("score"))
     near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)

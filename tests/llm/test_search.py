@@ -54,3 +54,21 @@ def test_bundles_hold_every_leaf():
     places = ann.bundles({0: 10, 1: 3990, 2: 1, 3: 9000, 4: 5}, 4000)
     assert places[0] == places[1] == (0, 1) and places[2] == (1, 1)
     assert places[3] == (2, 3) and places[4][0] == 5
+
+
+def test_queries_of_a_bundle_are_dealt_into_blocks(vectors, monkeypatch):
+    """The same neighbours, and no group with all queries of a bundle."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    seen, plain = [], PandasCogroupedOps.applyInPandas
+
+    def watched(self, f, schema):
+        sizes = self._gd1._df.groupBy(*self._gd1._jgd.toString().split("grouping expressions: [")[1].split("]")[0].split(", ")).count()
+        seen.append(max(r["count"] for r in sizes.collect()))
+        return plain(self, f, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", watched)
+    asked = vectors.where("vec_id < 300")
+    whole = sorted(map(tuple, ann.search(vectors, asked, 5).collect()))
+    assert whole == sorted(map(tuple, ann.search(vectors, asked, 5, block=30).collect()))
+    assert seen[0] > 250 and seen[1] <= 60
