@@ -8,6 +8,7 @@ is guessed from the text's function words, so the text stays the only input.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,16 +19,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import need, small_batches
+from ._shared import need, small_batches, stored
 
 WORD_BUCKETS = 1 << 16
 STEM_BUCKETS = 1 << 14
 STEM = 5
 WIDTHS = (1, 2, 3)
-FILTERS = 6
-DIM = 8
+FILTERS = 12
+DIM = 16
 #: Labelled rows that training uses at most, drawn by a hash of doc_id: all toxic ones first, up to half of them.
 MOST_LABELLED = 6_000
+#: Words of the labelled rows that training uses at most: rows beyond it (in the order of that hash) are left out, as are rows that alone have more.
+MOST_WORDS = 8_000_000
+#: Batches of an epoch at least.
+ROUND_BATCHES = 100
+#: Random starts, of which the best on watched documents stays.
+STARTS = 4
 MARKS = b"".join(bytes([i]) for i in range(33, 127) if not bytes([i]).isalnum())
 
 # Frequent function words of the languages that thresholds are kept for.
@@ -87,25 +94,20 @@ class Network:
 
     def maxima(self, w: np.ndarray, s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each document the maximum of each filter and the word where it begins (documents end to end in w, s)."""
-        x = self.words[w] + self.stems[s]
+        x, size, at = self.words[w] + self.stems[s], ends - starts, np.arange(len(w))[:, None]
         best, where = [], []
         for k, f in zip(WIDTHS, self.filters, strict=True):
-            y = np.zeros((len(x), FILTERS), np.float32)
-            for o in range(k):
-                part = x @ f[o]
-                if o:
-                    y[:-o] += part[o:]
-                else:
-                    y += part
-            # A filter may run past its document's end by reading the next one: mask those places out.
-            late = ends[:, None] - np.arange(1, k)[None, :]
-            late = late[late >= starts[:, None]] if k > 1 else np.empty(0, int)
-            short = ends - starts < k
-            y[late] = -np.inf
-            y[starts[short]] = 0.0
+            y = x @ f[0]
+            for o in range(1, k):
+                y[:-o] += (x @ f[o])[o:]
+            if k > 1:
+                # A filter may run past its document's end by reading the next one: mask those places out.
+                late = ends[:, None] - np.arange(1, k)[None, :]
+                y[late[late >= starts[:, None]]] = -np.inf
+                y[starts[size < k]] = 0.0
             top = np.maximum.reduceat(y, starts, axis=0)
             best.append(top)
-            where.append(np.stack([a + y[a:b].argmax(0) for a, b in zip(starts, ends, strict=True)]) if len(starts) else np.empty((0, FILTERS), int))
+            where.append(np.minimum.reduceat(np.where(y == np.repeat(top, size, 0), at, len(w)), starts, axis=0))
         return np.concatenate(best, 1), np.concatenate(where, 1)
 
     def logits(self, docs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
@@ -136,39 +138,53 @@ class Network:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _prior(docs: list, y: np.ndarray, part: int, n: int) -> np.ndarray:
-    """Shrunk log-odds of documents with a bucket: where training starts from."""
-    count = np.zeros((2, n))
-    for d, k in zip(docs, y, strict=True):
-        count[k, np.unique(d[part])] += 1
-    share = max(y.mean(), 1e-3)
-    odds = np.log((count[1] + 4 * share) / (count[0] + 4 * (1 - share))) - np.log(max(y.sum(), 1) / max((1 - y).sum(), 1))
-    # A bucket that few documents hold says little.
-    return np.clip(odds, -1.0, 3.0) * (count.sum(0) / (count.sum(0) + 5.0))
+def _fresh(rng: np.random.Generator) -> Network:
+    """Random weights: small embeddings, so that words never met in training hardly move a maximum."""
+    n = len(WIDTHS) * FILTERS
+    small = lambda *shape: (rng.standard_normal(shape) * 0.02).astype(np.float32)
+    filters = [(rng.standard_normal((k, DIM, FILTERS)) / np.sqrt(k * DIM)).astype(np.float32) for k in WIDTHS]
+    out = (np.abs(rng.standard_normal(n)) / np.sqrt(n)).astype(np.float32)
+    return Network(small(WORD_BUCKETS, DIM), small(STEM_BUCKETS, DIM), filters, np.zeros(n, np.float32), out, 0.0)
+
+
+def _loss(net: Network, docs: list, y: np.ndarray) -> float:
+    """Mean logistic loss, both classes weighing the same."""
+    z = np.where(y == 1, -1, 1) * _in_parts(net, docs)
+    lost = np.logaddexp(0, z)
+    return float(sum(lost[y == k].mean() for k in (0, 1)) / 2)
 
 
-def train(docs: list, y: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.05, seed: int = 1) -> Network:
-    """Trains by Adagrad on mini-batches; gradients pass the maxima only. Without both classes the score is constant."""
+def _in_parts(net: Network, docs: list) -> np.ndarray:
+    return np.concatenate([net.logits(docs[at : at + 256]) for at in range(0, len(docs), 256)]) if docs else np.empty(0)
+
+
+def train(docs: list, y: np.ndarray, watched: tuple[list, np.ndarray] | None = None, epochs: int = 6, batch: int = 32, rate: float = 0.005, row_rate: float = 0.05, seed: int = 1) -> Network:
+    """Trains from random weights on mini-batches, both classes weighing the same; gradients pass the maxima only.
+
+    Filters and weights move by running means of squared gradients, embedding
+    rows by sums of them. With ``watched`` documents the epoch that loses least
+    on them is kept, and two epochs without a better one end the training. Without both classes the score is constant.
+    """
     rng = np.random.default_rng(seed)
     y = np.asarray(y, int)
-    small = lambda *shape: (rng.standard_normal(shape) * 0.05).astype(np.float32)
-    net = Network(small(WORD_BUCKETS, DIM), small(STEM_BUCKETS, DIM), [small(k, DIM, FILTERS) for k in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), 0.0)
+    net = _fresh(rng)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         net.out[:], net.bias = 0, float(np.log(share / (1 - share)))
         return net
-    net.words[:, 0], net.stems[:, 0] = _prior(docs, y, 0, WORD_BUCKETS), _prior(docs, y, 1, STEM_BUCKETS)
-    for k, f in enumerate(net.filters):
-        f[:, 0, :2] += 1.0 / (k + 1)
-    net.shift[:] = -0.5
-    net.bias = float(np.log(y.mean() / (1 - y.mean())))
-    params = {"words": net.words, "stems": net.stems, "shift": net.shift, "out": net.out, **{f"f{i}": f for i, f in enumerate(net.filters)}}
-    sums = {k: np.full(v.shape[:1] if k in ("words", "stems") else v.shape, 1e-3, np.float32) for k, v in params.items()}
-    sum_b = 1e-3
+    weigh = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    bias = np.zeros(1, np.float32)
+    dense = {"shift": net.shift, "out": net.out, "bias": bias, **{f"f{i}": f for i, f in enumerate(net.filters)}}
+    squares = {k: np.full(v.shape, 1e-8, np.float32) for k, v in dense.items()}
+    rows = {"words": (net.words, np.full(WORD_BUCKETS, 1e-8, np.float32)), "stems": (net.stems, np.full(STEM_BUCKETS, 1e-8, np.float32))}
+    best, least, since = None, np.inf, 0
+    # Few documents are passed several times between two looks at the watched ones.
+    passes = max(1, ROUND_BATCHES * batch // len(docs))
     for _ in range(epochs):
-        order = rng.permutation(len(docs))
+        order = np.concatenate([rng.permutation(len(docs)) for _ in range(passes)])
         for at in range(0, len(order), batch):
-            some = [docs[i] for i in order[at : at + batch]]
+            picked = order[at : at + batch]
+            some = [docs[i] for i in picked]
             ends = np.cumsum([len(d[0]) for d in some])
             starts = np.concatenate([[0], ends[:-1]])
             w, s = np.concatenate([d[0] for d in some]), np.concatenate([d[1] for d in some])
@@ -176,43 +192,50 @@ def train(docs: list, y: np.ndarray, epochs: int = 6, batch: int = 32, rate: flo
             h = top + net.shift
             on = h > 0
             h = np.where(on, h, 0)
-            z = h @ net.out + net.bias
-            g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[order[at : at + batch]]).astype(np.float32) / len(some)
+            z = h @ net.out + bias[0]
+            g = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[picked]) * weigh[picked] / len(some)).astype(np.float32)
             gh = (g[:, None] * net.out) * on
-            grads = {"out": h.T @ g + 1e-4 * net.out, "shift": gh.sum(0)}
-            gx_rows, gx = [], []
+            grads = {"out": h.T @ g + 1e-4 * net.out, "shift": gh.sum(0), "bias": g.sum()}
+            met, gx = [], []
             for i, (k, f) in enumerate(zip(WIDTHS, net.filters, strict=True)):
                 cols = slice(i * FILTERS, (i + 1) * FILTERS)
-                ghk, first = gh[:, cols], where[:, cols]
-                inside = (first + k <= ends[:, None]) & (ghk != 0)
-                ghk = np.where(inside, ghk, 0)
+                first = where[:, cols]
+                ghk = np.where((ends - starts >= k)[:, None], gh[:, cols], 0)
+                live = ghk != 0
                 gf = np.zeros_like(f)
                 for o in range(k):
                     pos = np.minimum(first + o, len(w) - 1)
-                    x = net.words[w[pos]] + net.stems[s[pos]]
-                    gf[o] = np.einsum("dje,dj->ej", x, ghk)
-                    gx_rows.append(pos[inside])
-                    gx.append((ghk[:, :, None] * f[o].T[None])[inside])
+                    gf[o] = np.einsum("dje,dj->ej", net.words[w[pos]] + net.stems[s[pos]], ghk)
+                    met.append(pos[live])
+                    gx.append((ghk[:, :, None] * f[o].T[None])[live])
                 grads[f"f{i}"] = gf + 1e-4 * f
             for k, v in grads.items():
-                sums[k] += v * v
-                params[k] -= rate * v / np.sqrt(sums[k])
-            gb = float(g.sum())
-            sum_b += gb * gb
-            net.bias -= rate * gb / np.sqrt(sum_b)
-            rows, gx_all = np.concatenate(gx_rows), np.concatenate(gx)
+                squares[k] *= 0.99
+                squares[k] += 0.01 * v * v
+                dense[k] -= rate * v / np.sqrt(squares[k] + 1e-8)
+            # A passage can make a text toxic, and no further text makes it less so.
+            np.maximum(net.out, 0, out=net.out)
+            met, gx = np.concatenate(met), np.concatenate(gx)
             for name, ids in (("words", w), ("stems", s)):
-                once, back = np.unique(ids[rows], return_inverse=True)
+                table, sums = rows[name]
+                once, back = np.unique(ids[met], return_inverse=True)
                 total = np.zeros((len(once), DIM), np.float32)
-                np.add.at(total, back, gx_all)
-                sums[name][once] += (total * total).mean(1)
-                params[name][once] -= rate * total / np.sqrt(sums[name][once])[:, None]
-    return net
+                np.add.at(total, back, gx)
+                sums[once] += (total * total).mean(1)
+                table[once] -= row_rate * total / np.sqrt(sums[once])[:, None]
+        net.bias = float(bias[0])
+        if watched:
+            lost = _loss(net, *watched)
+            if lost < least:
+                best, least, since = copy.deepcopy(net), lost, 0
+            elif (since := since + 1) == 2:
+                break
+    return best or net
 
 
 def calibrate(net: Network, docs: list, y: np.ndarray) -> None:
-    """Sets each language's threshold where fewest documents are wrong, midway in the gap; few documents: the overall one."""
-    z, at = net.logits(docs), np.array([d[2] for d in docs], int)
+    """Sets each language's threshold where fewest documents are wrong; few documents: the overall one."""
+    z, at = _in_parts(net, docs), np.array([d[2] for d in docs], int)
 
     def best(z: np.ndarray, y: np.ndarray) -> float:
         order = np.argsort(z, kind="stable")
@@ -220,8 +243,10 @@ def calibrate(net: Network, docs: list, y: np.ndarray) -> None:
         wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
         low = np.flatnonzero(wrong == wrong.min())
         edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-        gaps = [(edges[k + 1] - edges[k], (edges[k + 1] + edges[k]) / 2) for k in low]
-        return float(max(gaps)[1])
+        # Of equally good places the one nearest the even odds of training, a quarter of its gap away from both sides.
+        gaps = [(edges[k], edges[k + 1]) for k in low]
+        inside = [np.clip(0.0, a + (b - a) / 4, b - (b - a) / 4) for a, b in gaps]
+        return float(min(inside, key=abs))
 
     if not len(y) or y.min() == y.max():
         return
@@ -241,8 +266,8 @@ def _sample(labels: DataFrame, learn: Column | None, most: int) -> pd.DataFrame:
     return pd.concat([toxic, pick(0, most - len(toxic))], ignore_index=True)
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = MOST_LABELLED) -> Network:
-    """Trains on at most ``most`` labelled documents and calibrates on a fifth of them that training leaves out."""
+def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = MOST_LABELLED, words: int = MOST_WORDS) -> Network:
+    """Trains on at most ``most`` labelled documents of ``words`` words together and calibrates on a fifth of them that training leaves out."""
     said = _sample(labels, learn, most)
     if not len(said):
         return train([], np.empty(0, int))
@@ -259,17 +284,30 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), pa.array([g[2] for g in got], pa.int32())], ["doc_id", "ids", "lang"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(each, "doc_id long, ids binary, lang int")
-    rows = rows.toPandas().merge(said, on="doc_id").sort_values("doc_id", ignore_index=True)
+    rows = stored(rows.withColumn("turn", F.xxhash64("doc_id", "ids")), "toxic-words")
+    # Of each row its number of words; then the words of those that fit, which bounds what the driver gets in bytes.
+    sizes = rows.select("doc_id", "turn", (F.length("ids") / 8).cast("long").alias("n")).toPandas().drop_duplicates().sort_values(["turn", "doc_id"])
+    sizes = sizes[sizes["n"] <= words]
+    fit = sizes[sizes["n"].cumsum() <= words]
+    if len(fit):
+        rows = rows.join(F.broadcast(spark.createDataFrame(fit[["doc_id", "turn"]])), ["doc_id", "turn"], "left_semi")
+    rows = rows.toPandas().merge(said, on="doc_id").drop_duplicates(["doc_id", "turn"]).sort_values(["doc_id", "turn"], ignore_index=True)
     pairs = [np.frombuffer(x, "<i4").reshape(2, -1) for x in rows["ids"]]
     data = [(p[0], p[1], int(k)) for p, k in zip(pairs, rows["lang"], strict=True)]
     y = rows["y"].to_numpy(int)
-    held = np.arange(len(y)) % 5 == 4
+    # A fifth of each class is watched while training and calibrates the thresholds.
+    held = np.zeros(len(y), bool)
+    for k in (0, 1):
+        held[np.flatnonzero(y == k)[4::5]] = True
     if min(np.bincount(y[held], minlength=2)) < 5:
         net = train(data, y)
         calibrate(net, data, y)
         return net
-    net = train([d for d, h in zip(data, held, strict=True) if not h], y[~held])
-    calibrate(net, [d for d, h in zip(data, held, strict=True) if h], y[held])
+    watched = [d for d, h in zip(data, held, strict=True) if h], y[held]
+    rest = [d for d, h in zip(data, held, strict=True) if not h]
+    # Random starts differ in how much they find: the one that loses least on the watched documents stays.
+    net = min((train(rest, y[~held], watched, seed=seed) for seed in range(1, STARTS + 1)), key=lambda n: _loss(n, *watched))
+    calibrate(net, *watched)
     return net
 
 

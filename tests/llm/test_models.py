@@ -94,3 +94,32 @@ def test_look_ups_are_the_convolutions():
             spans = [sum(x[i + o] @ f[o] for o in range(k)) for i in range(len(x) - k + 1)]
             h.append(np.max(spans, 0) if spans else np.zeros(toxicity.FILTERS))
         assert z == pytest.approx(np.maximum(np.concatenate(h) + net.shift, 0) @ net.out + net.bias, abs=1e-3)
+
+
+def test_the_convolution_learns(corpus):
+    """From random weights the untrained network tells nothing apart; what it knows comes from training."""
+    rows, labels = corpus
+    hashed = toxicity.Words()
+    docs, y = [hashed(t) for _, t in rows], np.array([t for _, _, t in labels])
+    new = np.arange(len(y)) % 4 == 0
+    some, watched = [d for d, n in zip(docs, new, strict=True) if not n], ([d for d, n in zip(docs, new, strict=True) if n], y[new])
+
+    def right(epochs):
+        net = toxicity.train(some, y[~new], watched, epochs=epochs)
+        toxicity.calibrate(net, some, y[~new])
+        said = net.scores(watched[0]) >= 0.5
+        return said[watched[1] == 1].mean(), said[watched[1] == 0].mean()
+
+    assert right(0)[0] - right(0)[1] < 0.3
+    caught, wrong = right(6)
+    assert caught > 0.9 and wrong < 0.05
+
+
+def test_training_words_are_bounded(spark, docs_of, corpus):
+    """A text with more words than training may use is left out of it and scored all the same."""
+    rows, labels = corpus
+    docs = docs_of([*rows, (5000, "scumlike " * 50_000)])
+    net = toxicity.learn_toxicity(docs, spark.createDataFrame([*labels, (5000, 1, 1)], LABELS), words=10_000)
+    assert np.isfinite(net.scores([toxicity.Words()("a b")])).all()
+    nothing = toxicity.learn_toxicity(docs, spark.createDataFrame(labels, LABELS), words=3)
+    assert len(set(nothing.scores([toxicity.Words()(t) for _, t in rows[:9]]))) == 1
