@@ -289,9 +289,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     sizes = rows.select("doc_id", "turn", (F.length("ids") / 8).cast("long").alias("n")).toPandas().drop_duplicates().sort_values(["turn", "doc_id"])
     sizes = sizes[sizes["n"] <= words]
     fit = sizes[sizes["n"].cumsum() <= words]
-    if len(fit):
-        rows = rows.join(F.broadcast(spark.createDataFrame(fit[["doc_id", "turn"]])), ["doc_id", "turn"], "left_semi")
-    rows = rows.toPandas().merge(said, on="doc_id").drop_duplicates(["doc_id", "turn"]).sort_values(["doc_id", "turn"], ignore_index=True)
+    if not len(fit):
+        return train([], np.empty(0, int))
+    rows = rows.join(F.broadcast(spark.createDataFrame(fit[["doc_id", "turn"]])), ["doc_id", "turn"], "left_semi").toPandas()
+    rows = rows.merge(said, on="doc_id").drop_duplicates(["doc_id", "turn"]).sort_values(["doc_id", "turn"], ignore_index=True)
     pairs = [np.frombuffer(x, "<i4").reshape(2, -1) for x in rows["ids"]]
     data = [(p[0], p[1], int(k)) for p, k in zip(pairs, rows["lang"], strict=True)]
     y = rows["y"].to_numpy(int)
