@@ -80,14 +80,16 @@ ORACLES: dict[str, str] = {
             SELECT row_number() OVER () AS uid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
         l AS (
             SELECT uid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM m),
-        v AS (SELECT *, len(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level,
-                     regexp_replace(line, '^((?:[ \t]*>)+)', '') AS body FROM l),
+        v AS (SELECT *, len(regexp_replace(regexp_extract(line, '^[ \t>]*>'), '[^>]', '', 'g')) AS level,
+                     regexp_replace(line, '^[ \t>]*>', '') AS body FROM l),
         own AS (SELECT uid, any_value(conv_id) AS conv_id, any_value(turn) AS turn,
-                       regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), ''), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g') AS own FROM v GROUP BY uid),
+                       trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), ''), ' ' || chr(9) || chr(10) || chr(13)) AS own FROM v GROUP BY uid),
         units AS (
             SELECT conv_id, turn, own AS unit FROM own
             UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(own, '\n[ \t]*\n')) FROM own
-            UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) FROM own),
+            UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) FROM own
+            UNION ALL SELECT conv_id, turn, unnest(string_split(regexp_replace(regexp_replace(p, '[ \t\n\r\f\v]+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)))
+                      FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(own, '\n[ \t]*\n')) AS p FROM own)),
         idx AS (
             SELECT conv_id, u, min(turn) AS origin FROM (SELECT conv_id, turn, lower(trim(regexp_replace(unit, '[ \t\n\r\f\v]+', ' ', 'g'))) AS u FROM units) WHERE u <> '' GROUP BY ALL),
         run AS (SELECT *, sum(new) OVER (PARTITION BY uid ORDER BY pos) AS passage FROM
@@ -95,7 +97,8 @@ ORACLES: dict[str, str] = {
         pas AS (SELECT uid, conv_id, turn, passage, level, string_agg(body, chr(10) ORDER BY pos) AS body FROM run WHERE level > 0 GROUP BY ALL),
         ask AS (
             SELECT uid, conv_id, turn, passage, level, 0 AS way, body AS x FROM pas
-            UNION ALL SELECT uid, conv_id, turn, passage, level, 1, unnest(string_split(body, chr(10))) FROM pas),
+            UNION ALL SELECT uid, conv_id, turn, passage, level, 1, unnest(string_split(body, chr(10))) FROM pas
+            UNION ALL SELECT uid, conv_id, turn, passage, level, 2, unnest(string_split(regexp_replace(regexp_replace(body, '[ \t\n\r\f\v]+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) FROM pas),
         votes AS (
             SELECT uid, a.conv_id, turn, passage, level, way, origin, count(*) AS n
             FROM (SELECT *, lower(trim(regexp_replace(x, '[ \t\n\r\f\v]+', ' ', 'g'))) AS u FROM ask) a JOIN idx ON a.conv_id = idx.conv_id AND a.u = idx.u

@@ -2,7 +2,7 @@
 
 Lines are parsed into nested quote levels, runs of a level are passages. A
 passage's normalised text is hashed and looked up among the own texts of the
-same conversation (whole texts, paragraphs and lines), which tells the message
+same conversation (whole texts, paragraphs, lines and sentences), which tells the message
 it was taken from. A message then stands below the one it answers, without its
 quotes.
 """
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ._shared import need, stored, text_or_empty
 
-PREFIX = r"^((?:[ \t]*>)+)"
+# No repeated group in any pattern: a class of characters is matched in a loop, whatever the length of the line.
+PREFIX = r"^[ \t>]*>"
 QUOTING = r"(?:^|\n)[ \t]*>"
 PARAGRAPH = r"\n[ \t]*\n"
 
@@ -24,14 +25,19 @@ def normalised(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " ")))
 
 
+def sentences(text: Column) -> Column:
+    """The sentences of a text, white space folded: what stays of a passage that a mail client wrapped anew."""
+    return F.split(F.regexp_replace(normalised(text), "([.!?]) ", "$1\n"), "\n")
+
+
 def quote_level(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(line, PREFIX, 1), "[^>]", ""))
+    return F.length(F.translate(F.regexp_extract(line, PREFIX, 0), " \t", ""))
 
 
 def unquoted(text: Column) -> Column:
     """The lines of level 0, white space at both ends trimmed."""
     own = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(PREFIX)), "\n")
-    return F.regexp_replace(F.when(text.rlike(QUOTING), own).otherwise(text), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    return F.btrim(F.when(text.rlike(QUOTING), own).otherwise(text), F.lit(" \t\n\r"))
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -45,25 +51,31 @@ def passages(messages: DataFrame) -> DataFrame:
 
 
 def _index(messages: DataFrame) -> DataFrame:
-    """(conv_id, hash, origin): the first turn of a conversation that has a text, paragraph or line of its own with this hash."""
-    units = F.array_distinct(F.concat(F.array("own"), F.split("own", PARAGRAPH), F.split("own", "\n")))
+    """(conv_id, hash, origin): the first turn of a conversation that has a text, paragraph, line or sentence of its own with this hash."""
+    paragraphs = F.split("own", PARAGRAPH)
+    units = F.array_distinct(F.concat(F.array("own"), paragraphs, F.split("own", "\n"), F.flatten(F.transform(paragraphs, sentences))))
     rows = messages.select("conv_id", "turn", F.explode(units).alias("unit")).withColumn("unit", normalised(F.col("unit"))).where("unit <> ''")
     return rows.groupBy("conv_id", F.md5("unit").alias("hash")).agg(F.min("turn").alias("origin"))
 
 
-def quotation_links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, uid, passage, level, origin): passages with the earlier turn that they quote.
+def quotation_links(messages: DataFrame, quoting: DataFrame) -> DataFrame:
+    """(conv_id, turn, uid, passage, level, origin): the ``quoting`` passages with the earlier turn that they quote.
 
-    A passage that is no whole text, paragraph or line goes to the turn that
-    most of its lines come from (ties: the smaller turn). Passages that are
-    found in no earlier turn have no row.
+    A passage that is no whole text, paragraph, line or sentence goes to the turn that
+    most of its lines come from, or else most of its sentences (ties: the
+    smaller turn). Passages that are found in no earlier turn have no row.
     """
-    quoting = stored(passages(messages), "quotes")
     talks = quoting.select("conv_id").distinct()
     index = _index(messages.join(talks, "conv_id", "left_semi"))
-    wholes = quoting.select("*", F.lit(0).alias("way"), F.md5(normalised(F.col("body"))).alias("hash"))
-    lines = quoting.select("*", F.lit(1).alias("way"), F.explode(F.split("body", "\n")).alias("one")).withColumn("one", normalised(F.col("one"))).where("one <> ''").withColumn("hash", F.md5("one")).drop("one")
-    found = wholes.unionByName(lines).join(index, ["conv_id", "hash"]).where("origin < turn")
+    body = F.col("body")
+    parts = F.concat(
+        F.array(F.struct(F.lit(0).alias("way"), normalised(body).alias("one"))),
+        F.transform(F.split(body, "\n"), lambda x: F.struct(F.lit(1).alias("way"), normalised(x).alias("one"))),
+        F.transform(sentences(body), lambda x: F.struct(F.lit(2).alias("way"), x.alias("one"))),
+    )
+    asked = quoting.select("conv_id", "turn", "uid", "passage", "level", F.explode(parts).alias("part")).where("part.one <> ''")
+    asked = asked.select("conv_id", "turn", "uid", "passage", "level", "part.way", F.md5("part.one").alias("hash"))
+    found = asked.join(index, ["conv_id", "hash"]).where("origin < turn")
     votes = found.groupBy("conv_id", "turn", "uid", "passage", "level", "way", "origin").agg(F.count("*").alias("n"))
     best = F.min_by("origin", F.struct("way", -F.col("n"), "origin"))
     return votes.groupBy("conv_id", "turn", "uid", "passage", "level").agg(best.alias("origin"))
@@ -97,11 +109,12 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     need(conversations, ["conv_id", "turn", "role", "text"])
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", text_or_empty().alias("text"))
     rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("own", unquoted(F.col("text"))), "quote-messages")
-    links = stored(quotation_links(rows), "quote-links")
+    quoting = stored(passages(rows), "quotes")
+    links = stored(quotation_links(rows, quoting), "quote-links")
     outer = links.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "origin"))["origin"].alias("up"))
     roots = _roots(outer)
     told = outer.join(roots, ["conv_id", "turn"])
-    quoted = stored(passages(rows), "quotes").groupBy("uid").agg(F.count("*").alias("quotes"))
+    quoted = quoting.groupBy("uid").agg(F.count("*").alias("quotes"))
     found = links.groupBy("uid").agg(F.count("*").alias("linked"))
     all_rows = rows.join(told, ["conv_id", "turn"], "left").join(quoted, "uid", "left").join(found, "uid", "left")
     all_rows = all_rows.select("uid", "conv_id", "turn", "role", F.col("own").alias("text"), F.col("up").alias("reply_to"), F.coalesce("root", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("quotes", F.lit(0)).alias("quotes"), F.coalesce("linked", F.lit(0)).alias("linked"))

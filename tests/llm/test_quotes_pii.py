@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import random
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from claimflow.llm import pii, quotes
+from claimflow.llm import pii, queries, quotes
 
 TALK = "conv_id long, turn long, role string, text string, root string, depth string, own string"
 
@@ -42,6 +45,49 @@ def test_a_passage_of_several_lines_goes_to_where_most_lines_are(spark):
     assert got[2]["reply_to"] == 0 and got[3]["reply_to"] is None and got[3]["text"] == ""
 
 
+def test_a_passage_wrapped_anew_is_found_by_its_sentences(spark):
+    rows = [(1, 0, "u", "The train leaves at nine from the old hall. It stops twice.\nBring tea!", "", "", ""), (1, 1, "u", "> The train leaves at nine\n> from the old\n> hall. It stops\nFine.", "", "", "")]
+    got = {r["turn"]: r for r in quotes.reply_ordered(spark.createDataFrame(rows, TALK)).collect()}
+    assert got[1]["reply_to"] == 0 and (got[1]["quotes"], got[1]["linked"]) == (1, 1)
+
+
+def test_lines_of_any_length(spark):
+    n = 1_000_000
+    rows = [(1, 0, "u", "well", "", "", ""), (1, 1, "u", ">" * n + " well\nyes", "", "", ""), (1, 2, "u", " \t" * n + "x", "", "", ""), (1, 3, "u", "a" + " " * n + "b", "", "", ""), (1, 4, "u", "\n" * n + "> well", "", "", "")]
+    got = {r["turn"]: r for r in quotes.reply_ordered(spark.createDataFrame(rows, TALK)).collect()}
+    assert (got[1]["text"], got[1]["reply_to"]) == ("yes", 0) and got[2]["text"] == "x" and len(got[3]["text"]) == n + 2
+    assert (got[4]["text"], got[4]["reply_to"]) == ("", 0)
+
+
+def test_planted_quotes_match_the_sql(spark):
+    """Random conversations that quote each other at several levels, whole, by line, wrapped anew and from nowhere."""
+    draw, rows = random.Random(8), []
+    said = ["The hall is open. Come at nine.", "Is it far?\n\nI walk.", "Two streets on!  Then left.", "ok", "Tea or  coffee?\nBoth. Why not?", "\tNothing\t", ""]
+    for conv in range(60):
+        texts = []
+        for turn in range(draw.randint(1, 9)):
+            lines = []
+            for _ in range(draw.randint(0, 2)):
+                old = draw.choice(texts) if texts and draw.random() < 0.8 else "never said by anyone. Ever"
+                if draw.random() < 0.4:
+                    old = old.replace(" ", "\n", 2)
+                mark = draw.choice(["> ", ">", " > ", "\t>"])
+                lines += [mark + x for x in old.split("\n")]
+            lines.append(draw.choice(said) + (str(turn) if draw.random() < 0.7 else ""))
+            texts.append("\n".join(lines))
+            rows.append((conv if conv else None, turn, draw.choice(["u", "a"]), texts[-1] if draw.random() > 0.03 else None))
+    schema = "conv_id long, turn long, role string, text string"
+    duck = duckdb.connect()
+    conversations = pd.DataFrame({"conv_id": pd.array([r[0] for r in rows], "Int64"), "turn": pd.array([r[1] for r in rows], "Int64"), "role": [r[2] for r in rows], "text": [r[3] for r in rows]})  # noqa: F841
+    duck.register("conversations", conversations)
+    want = duck.sql(queries.ORACLES["op8_quotation_linking"])
+    df = quotes.reply_ordered(spark.createDataFrame(rows, schema))
+    key = lambda names, data: sorted(repr([r[names.index(n)] for n in sorted(names)]) for r in data)
+    have = key(df.columns, df.collect())
+    assert have == key([d[0] for d in want.description], want.fetchall())
+    assert df.where("linked > 0").count() > 60
+
+
 def luhn(s):
     d = [int(c) for c in s][::-1]
     return sum(x if i % 2 == 0 else (2 * x - 9 if 2 * x > 9 else 2 * x) for i, x in enumerate(d)) % 10 == 0
