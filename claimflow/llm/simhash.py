@@ -35,7 +35,9 @@ SHORT_RUN = 32
 #: Rows of one key that meet in one task at most. A key with more is dealt into chunks, and each two chunks meet in a task.
 LONGEST_RUN = 20_000
 #: Shingle sets that meet in one task at most, likewise.
-LONGEST_SETS = 6_000
+LONGEST_SETS = 800
+#: Places over which the members of one cluster are dealt where they meet what is known of the cluster.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -47,8 +49,8 @@ class Scheme:
     are joined ``together`` at a time. With ``bands`` the join keys are as many
     hashes of ``minima`` minima of the shingle set each, and the fingerprint
     ends in a digest of the set, so that only equal sets share one. With
-    ``jaccard`` links are also held against the true similarity of their
-    shingle sets.
+    ``cosine`` links are also held against the true similarity of their
+    shingle sets: the shared shingles by the geometric mean of the sizes.
     """
 
     shingle: int = 3
@@ -62,7 +64,7 @@ class Scheme:
     pivots: int = 16
     block_pivots: int = 5
     seed: int = 42
-    jaccard: float = 0.0
+    cosine: float = 0.0
 
     @property
     def width(self) -> int:
@@ -86,10 +88,11 @@ class Scheme:
 #: Exact for its bound: of six blocks at most three can hold the three differing bits, so three others agree.
 THREE_BITS = Scheme()
 
-#: Five-word shingles at a Jaccard similarity of 0.8 or more. A pair shares one of the 32 keys of four minima but for a chance of
-#: (1 - 0.8^4)^32 = 5e-8 at exactly 0.8, and less above. Large sets that similar differ in 39 of 256 bits on average (standard deviation
-#: 5.7), the worst (four shingles and one more) in 48 (6.2): 84 bits lose one such pair in 3e7. What links is checked on the sets.
-JACCARD_80 = Scheme(shingle=5, words=4, distinct=True, most_bits=84, bands=32, minima=4, pivots=16, jaccard=0.8)
+#: Five-word shingles, and a cosine of the sets of them of 0.8 or more: the similarity that SimHash estimates, and one that no pair with a
+#: Jaccard similarity of 0.8 fails. At exactly 0.8 the Jaccard similarity is from 0.64 (one set holds the other) to 0.67 (equal sizes), and a pair
+#: shares one of the 32 keys of four minima but for a chance of (1 - 0.64^4)^32 = 0.003 at worst. Large sets of that cosine differ in 52 of 256
+#: bits on average (standard deviation 6.5), so 84 bits lose one such pair in 2e6. What links is checked on the sets.
+NEAR_80 = Scheme(shingle=5, words=4, distinct=True, most_bits=84, bands=32, minima=4, pivots=16, cosine=0.8)
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -332,14 +335,14 @@ def _compared(links: DataFrame, held: DataFrame) -> DataFrame:
             for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                likeness.append(shared / (len(x) + len(y) - shared) if len(x) + len(y) else 1.0)
+                likeness.append(shared / (len(x) * len(y)) ** 0.5 if len(x) and len(y) else float(len(x) == len(y)))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(likeness, pa.float64())], ["a", "b", "far_reaching", "likeness"])
 
     return stored(both.select("a", "b", "far_reaching", "left", "right").mapInArrow(compare, "a long, b long, far_reaching boolean, likeness double"), "compared")
 
 
 def set_forest(ids: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that connect what pairs of sets with a Jaccard similarity of ``least`` or more connect: fewer than there are sets.
+    """Links that connect what pairs of sets with a cosine of ``least`` or more connect: fewer than there are sets.
 
     The sets that share a shingle are listed once; a set then meets all others
     by counting through the lists of its own shingles.
@@ -359,22 +362,28 @@ def set_forest(ids: np.ndarray, sets: list[np.ndarray], least: float) -> list[tu
             x = front.pop()
             mine = of[first[x] : first[x + 1]]
             shared = np.bincount(np.concatenate([lists[starts[k] : ends[k]] for k in mine]), minlength=len(sets)) if len(mine) else np.zeros(len(sets), int)
-            either = size + size[x] - shared
-            hit = np.flatnonzero(left & (shared >= least * either) & ((either > 0) & (shared > 0) | (either == 0)))
+            hit = np.flatnonzero(left & (shared >= least * np.sqrt(size * float(size[x])) - 1e-9) & ((shared > 0) | (size + size[x] == 0)))
             left[hit] = False
             edges += [(int(ids[x]), int(ids[y])) for y in hit]
             front += hit.tolist()
     return edges
 
 
-def _exact_links(members: DataFrame, scheme: Scheme, longest: int = LONGEST_SETS) -> DataFrame:
-    """Links (a, b) that connect each cluster of ``members`` (cluster, id, held) as all its pairs would; large clusters are dealt into chunks that meet two by two."""
-    counts = stored(members.groupBy("cluster").agg(F.ceil(F.count("*") * 2 / longest).cast("int").alias("chunks")), "cluster-sizes")
-    dealt = members.join(counts, "cluster").withColumn("chunks", F.when(F.col("chunks") > 2, F.col("chunks")).otherwise(1))
+def _exact_links(members: DataFrame, asked: DataFrame, scheme: Scheme, longest: int = LONGEST_SETS) -> DataFrame:
+    """Links (a, b) that connect each ``asked`` cluster of ``members`` (cluster, id, held) as all its pairs would.
+
+    Large clusters are dealt into chunks that meet two by two. What is known of
+    a cluster is copied to a fixed number of places first, so that no task gets
+    all members of one.
+    """
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
+    chunks = asked.join(sizes, "cluster").select("cluster", F.when(F.col("n") > longest, F.ceil(F.col("n") * 2 / longest)).otherwise(1).cast("int").alias("chunks"))
+    places = chunks.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.withColumn("place", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(places, ["cluster", "place"])
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def connect(rows: pd.DataFrame) -> pd.DataFrame:
-        edges = set_forest(rows["id"].to_numpy(), [np.frombuffer(x, "<u8") for x in rows["held"]], scheme.jaccard)
+        edges = set_forest(rows["id"].to_numpy(), [np.frombuffer(x, "<u8") for x in rows["held"]], scheme.cosine)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     keyed = dealt.select("cluster", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "held")
@@ -386,15 +395,15 @@ def _checked_components(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> Da
     links = stored(near_links(nodes, scheme), "near-links")
     held = _shingle_sets(docs, nodes, links, scheme)
     told = _compared(links, held)
-    true = told.where(F.col("likeness") >= scheme.jaccard).select("a", "b")
-    broken = told.where(F.col("far_reaching") & (F.col("likeness") < scheme.jaccard)).select("a")
+    true = told.where(F.col("likeness") >= scheme.cosine - 1e-9).select("a", "b")
+    broken = told.where(F.col("far_reaching") & (F.col("likeness") < scheme.cosine - 1e-9)).select("a", "b")
     if broken.isEmpty():
         return connected_components(true)
     # A long run linked its rows through a forest, and the check broke a tree of it: its cluster is compared set by set.
     clusters = connected_components(links.select("a", "b"))
-    named = held.join(clusters, held["id"] == clusters["node"], "left").select("id", "held", F.coalesce("component", "id").alias("cluster"))
-    hit = broken.join(named.select(F.col("id").alias("a"), "cluster"), "a").select("cluster").distinct()
-    exact = _exact_links(named.join(hit, "cluster", "left_semi"), scheme)
+    named = stored(held.join(clusters, held["id"] == clusters["node"], "left").select("id", "held", F.coalesce("component", "id").alias("cluster")), "near-clusters")
+    asked = broken.select(F.col("a").alias("id")).distinct().join(named.select("id", "cluster"), "id").select("cluster").distinct()
+    exact = _exact_links(named, asked, scheme)
     return connected_components(true.unionByName(exact))
 
 
@@ -402,7 +411,7 @@ def near_groups(docs: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id long, text; other columns are ignored).
 
     Returns (doc_id, text_hash, fp, component_id) for every row: rows link when their
-    fingerprints differ in at most ``scheme.most_bits`` bits (and, with ``scheme.jaccard``,
+    fingerprints differ in at most ``scheme.most_bits`` bits (and, with ``scheme.cosine``,
     their shingle sets are that similar), and component_id is
     the smallest doc_id that links reach, the row's own included. Null text
     counts as empty; texts without words share the zero fingerprint and link
@@ -416,7 +425,7 @@ def near_groups(docs: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
     of_set = ["fp", *(["keys"] if scheme.bands else [])]
     nodes = prints.groupBy(*of_set).agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"))
     nodes = stored(nodes.select(F.xxhash64("fp").alias("id") if scheme.width > 1 else _as_long("fp").alias("id"), *of_set, "least", "text_hash"), "nodes")
-    found = _checked_components(docs, nodes, scheme) if scheme.jaccard else connected_components(near_links(nodes, scheme))
+    found = _checked_components(docs, nodes, scheme) if scheme.cosine else connected_components(near_links(nodes, scheme))
     of = nodes.join(found, nodes["id"] == found["node"], "left").select("id", "fp", "least", F.coalesce("component", "id").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(of.join(least, "root").select("fp", "component_id"), "near-names")
@@ -433,7 +442,7 @@ def fingerprint_hex(name: str = "fp"):
     return F.lower(F.concat(*[F.substring(F.hex(name), i, 2) for i in range(15, 0, -2)]))
 
 
-def near_dedup(docs: DataFrame, scheme: Scheme = JACCARD_80) -> DataFrame:
+def near_dedup(docs: DataFrame, scheme: Scheme = NEAR_80) -> DataFrame:
     """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest doc_id.
 
     Of rows of a group that share this doc_id the one with the smallest text

@@ -122,6 +122,11 @@ def test_long_keys_are_dealt_over_chunks(spark):
     assert got[0] == got[1] and len(rows) - len(got[0]) == 4
 
 
+def near(a: set, b: set) -> bool:
+    """A cosine of 0.8 or more; empty sets are alike."""
+    return len(a & b) >= 0.8 * (len(a) * len(b)) ** 0.5 - 1e-9 and bool(a & b or not a | b)
+
+
 @pytest.mark.parametrize("longest", [6_000, 20])
 def test_exact_links_by_brute_force(spark, longest):
     """Sets compared within clusters, also where a cluster is dealt into chunks."""
@@ -132,9 +137,9 @@ def test_exact_links_by_brute_force(spark, longest):
         x = np.unique(np.where(rng.random(100) < 0.06 * (i % 4), rng.integers(10_000, 99_999, 100), base)).astype("<u8") if i else np.empty(0, "<u8")
         sets[i] = set(x.tolist())
         rows.append((i % 2, i, x.tobytes()))
-    got = simhash._exact_links(spark.createDataFrame(rows, "cluster long, id long, held binary"), simhash.JACCARD_80, longest)
+    got = simhash._exact_links(spark.createDataFrame(rows, "cluster long, id long, held binary"), spark.createDataFrame([(0,), (1,)], "cluster long"), simhash.NEAR_80, longest)
     found = {r["node"]: r["component"] for r in components.connected_components(got).collect()}
-    links = [(a, b) for a in sets for b in range(a) if a % 2 == b % 2 and len(sets[a] | sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    links = [(a, b) for a in sets for b in range(a) if a % 2 == b % 2 and near(sets[a], sets[b])]
     want = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == want and len(want) > 20
 
@@ -160,10 +165,10 @@ def test_checked_links_lose_none_in_long_runs(spark, docs_of, words):
 
     for a in sets:
         for b in range(a):
-            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            if near(sets[a], sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs_of(rows), simhash.JACCARD_80).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs_of(rows), simhash.NEAR_80).collect()}
     assert sum(got[d] == find(d) for d in got) >= 88
     assert all(got[d] >= find(d) for d in got)
 
@@ -209,6 +214,30 @@ def test_copies_with_a_passage_more_or_another_are_found(docs_of, words):
     assert out == {d for d, _ in rows} - gone
 
 
+def test_recall_on_thousands_of_planted_pairs(docs_of, words):
+    """Texts of 30 to 120 words with scattered, replaced, inserted and cut words, held against the cosine of each pair."""
+    import random
+
+    rows, true, alike = [], set(), 0
+    for i in range(2500):
+        r = random.Random(i)
+        text = words(30 + i % 90, 50_000 + i).split()
+        copy = list(text)
+        for k in range(1 + i % 4):
+            at = r.randrange(len(copy))
+            way = r.randrange(4)
+            copy[at : at + (0 if way == 1 else 1 + 2 * (way == 3))] = [] if way in (2, 3) else [f"new{i}x{k}"]
+        a, b = (set(simhash.shingle_hashes(" ".join(t).encode().split(), 5).tolist()) for t in (text, copy))
+        rows += [(i, " ".join(text)), (10_000 + i, " ".join(copy))]
+        if near(a, b):
+            true.add(10_000 + i)
+            alike += len(a & b) / len(a | b) < 0.8
+    assert len(true) > 1200 and alike > 200
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs_of(rows, extra=False), simhash.NEAR_80).collect()}
+    linked = {d for d, c in groups.items() if d != c}
+    assert linked <= true and len(linked) >= 0.995 * len(true)
+
+
 def test_near_dedup_cases(docs_of):
     docs = docs_of([(3, "a b c d e f"), (3, "a b c d e f"), (3, "quite another text of its own"), (1, "A B C D E F"), (None, "a b c d e f"), (None, None)])
     out = simhash.near_dedup(docs)
