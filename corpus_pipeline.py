@@ -31,9 +31,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest doc_id."""
+    """Of near copies (five-word shingles, cosine 0.8 or more) the one with the smallest doc_id."""
     drop_scratch(spark)
-    return simhash.near_dedup(docs, simhash.JACCARD_80)
+    return simhash.near_dedup(docs, simhash.NEAR_80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
