@@ -10,50 +10,64 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python; bounds a worker's memory by texts, not by partitions.
-ROWS_PER_BATCH = 2000
+ROWS_PER_BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of our own only where none is set."""
+    """The shared folder of the session; a folder of our own only where none is set and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="claimflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-#: Paths handed out since the last :func:`new_chain`, so that a chain of stages can give its disk back.
-_handed: list[str] = []
+#: Paths handed out since the last :func:`new_chain` of this thread, so that a chain of stages can give its disk back.
+_handed: ContextVar[list[str] | None] = ContextVar("handed", default=None)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path in the shared folder; with ``keep`` no chain of stages takes it away."""
-    path = f"{shared_dir(spark)}/claimflow/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        _handed.append(path)
+    """A new path in the shared folder, deleted when the driver ends; with ``keep`` no chain of stages takes it away before."""
+    folder = f"{shared_dir(spark)}/claimflow/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, folder)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    if not keep and _handed.get() is not None:
+        _handed.get().append(path)
     return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of our own in the shared folder, on whatever file system that is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
 
 
 def new_chain() -> None:
-    """What was handed out before stays as it is."""
-    _handed.clear()
+    """Begins a chain of stages: what was handed out before stays until the driver ends."""
+    _handed.set([])
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes what was handed out since the chain began: only when every result that reads it has been written."""
-    while _handed:
-        remove(spark, _handed.pop())
+    for path in _handed.get() or ():
+        remove(spark, path)
+    if _handed.get() is not None:
+        new_chain()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -64,9 +78,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Bounds the Arrow batches of the Python operators of this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session: one number for all operators, as plans read it only when they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
 def text_or_empty(name: str = "text") -> Column:
