@@ -38,6 +38,7 @@ LONGEST_RUN = 20_000
 LONGEST_SETS = 800
 #: Places over which the members of one cluster are dealt where they meet what is known of the cluster.
 SALTS = 64
+KEEP_SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -450,8 +451,10 @@ def near_dedup(docs: DataFrame, scheme: Scheme = NEAR_80) -> DataFrame:
     doc_id stay. All columns are kept.
     """
     groups = stored(near_groups(docs, scheme), "near-groups")
-    stays = groups.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"))
-    gone = groups.join(stays, "component_id").where("struct(doc_id, text_hash) <> keep")
+    several = groups.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # A group's row that stays is copied to a few places over which its members are dealt: no task gets all of a large group.
+    several = several.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(KEEP_SALTS - 1))))
+    gone = groups.withColumn("place", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(KEEP_SALTS)).cast("int")).join(several, ["component_id", "place"]).where("struct(doc_id, text_hash) <> keep")
     gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
     here = F.xxhash64(text_or_empty())
     # The narrow side is hashed, so that texts are dealt out but never sorted.
