@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .frames import numbered
 
 REGIONS = [f"{r}{c}" for r in C.REGION_ROWS for c in range(1, 7)]
 
@@ -65,3 +66,32 @@ def paired_by_hash(current: DataFrame, replay: DataFrame, key: str, replay_key:
     sizes = r.select(*within, "__n").distinct()
     asked = current.join(sizes, within).withColumn("__i", C.keyed(F.col("__n"), F.lit(seed), key)).drop("__n")
     return asked.join(r.drop("__n"), [*within, "__i"]).drop("__i")
+
+
+def with_material(bases: DataFrame, pool: DataFrame, rows: int, per_signal: int, signals: int = 2) -> DataFrame:
+    """The manifest of replayed traces: what is appended to each of ``bases`` (trace_id, n).
+
+    ``pool`` (trace_id, n, level): of the traces with ``rows`` rows or more those
+    of the least level that has any serve as material, drawn by hash; then a
+    start in the material, and the ``signals`` signal rows (one for each
+    ``per_signal`` rows) that lie beside it.
+    """
+    fit = pool.where(F.col("n") >= rows)
+    level = fit.agg(F.min("level").alias("__level"), F.lit(0).alias("__one"))
+    best = fit.crossJoin(F.broadcast(level.drop("__one"))).where("level = __level").select(F.col("trace_id").alias("material_id"), F.col("n").alias("material_rows"))
+    placed = numbered(best, ["material_id"], "place")
+    count = placed.agg(F.count("*").alias("m"))
+    asked = bases.crossJoin(F.broadcast(count)).where("m > 0").select(F.col("trace_id").alias("claim_id"), F.col("n").alias("base_rows"), C.keyed(F.col("m"), F.lit("material"), "trace_id").alias("place"))
+    made = asked.join(placed, "place").withColumn("material_start", C.keyed(F.col("material_rows") - rows + 1, F.lit("start"), "claim_id", "material_id"))
+    whole = F.expr(f"(material_rows + {per_signal - 1}) div {per_signal}")
+    signal = F.greatest(F.lit(0), F.least(F.expr(f"material_start div {per_signal}"), whole - signals)).cast("bigint")
+    return made.select("claim_id", "material_id", "base_rows", (F.col("base_rows") + rows).alias("output_rows"), "material_start", (F.col("material_start") + rows).alias("material_end"), signal.alias("signal_start"), (signal + signals).alias("signal_end"))
+
+
+def with_replayed(trace: DataFrame, manifest: DataFrame, per_signal: int) -> DataFrame:
+    """The rows of ``trace`` (trace_id, row_idx, value) and behind them those that the manifest appends, each with its signal row."""
+    own = trace.select(F.col("trace_id").alias("claim_id"), "row_idx", "value", F.expr(f"row_idx div {per_signal}").alias("signal_row"), F.lit(False).alias("appended"))
+    taken = manifest.select("claim_id", F.col("material_id").alias("trace_id"), "base_rows", "material_start", "signal_start", "signal_end", F.explode(F.sequence("material_start", F.col("material_end") - 1)).alias("row_idx"))
+    far = F.expr(f"(row_idx - material_start) div {per_signal}")
+    more = taken.join(trace, ["trace_id", "row_idx"]).select("claim_id", (F.col("base_rows") + F.col("row_idx") - F.col("material_start")).alias("row_idx"), "value", (F.expr(f"(base_rows + {per_signal - 1}) div {per_signal}") + F.least(far, F.col("signal_end") - F.col("signal_start") - 1)).alias("signal_row"), F.lit(True).alias("appended"))
+    return own.unionByName(more)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import stored
 
 KEYS = ("trace_id",)
 
@@ -70,12 +72,16 @@ def zscore(df: DataFrame, value: str, out: str, sample: bool = False, keys: Sequ
 def sliding_windows(df: DataFrame, size: int, step: int, aggregates: dict[str, Column]) -> DataFrame:
     """Complete windows of ``size`` rows every ``step`` rows: one row each with ``start_row``, ``end_row`` and the aggregates.
 
-    A forward frame makes each window in one pass; incomplete windows are not made.
+    Each row goes to the windows that hold it, size / step of them, and only
+    these are aggregated; the aggregates must not depend on order. A trace's
+    rows are together already, so nothing is shuffled again.
     """
-    frame = rows(0, size - 1)
-    made = df.select(*KEYS, "row_idx", F.count("*").over(whole()).alias("__n"), *[a.over(frame).alias(k) for k, a in aggregates.items()])
-    made = made.where((F.col("row_idx") % step == 0) & (F.col("row_idx") + size <= F.col("__n")))
-    return made.select(*KEYS, F.col("row_idx").alias("start_row"), (F.col("row_idx") + size).alias("end_row"), *aggregates)
+    newest = (F.col("row_idx") - F.col("row_idx") % step).cast("bigint")
+    oldest = F.greatest(F.lit(0), F.ceil((F.col("row_idx") - size + 1) / step) * step).cast("bigint")
+    # With a step beyond the size some rows are in no window.
+    held = F.when(newest >= oldest, F.sequence(oldest, newest, F.lit(step).cast("bigint")))
+    made = df.withColumn("start_row", F.explode(held)).groupBy(*KEYS, "start_row").agg(F.count("*").alias("__n"), *[a.alias(k) for k, a in aggregates.items()])
+    return made.where(F.col("__n") == size).select(*KEYS, "start_row", (F.col("start_row") + size).alias("end_row"), *aggregates)
 
 
 def windowed_lists(df: DataFrame, value: str, size: int, step: int) -> DataFrame:
@@ -123,3 +129,63 @@ def bounds(df: DataFrame, value: str, factor: float = 0.07, sample: bool = True)
     """Upper and lower bound of each trace: mean plus or minus ``factor`` deviations of the absolute values."""
     sd = F.stddev_samp if sample else F.stddev_pop
     return df.groupBy(*KEYS).agg((F.avg(F.abs(value)) + factor * sd(F.abs(value))).alias("upper"), (F.avg(F.abs(value)) - factor * sd(F.abs(value))).alias("lower"))
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
+    """Adds ``name``, the place of each row from 0 in the order of all: one range sort, then places in a task plus counts by task."""
+    rows = stored(df.orderBy(*order).withColumn("__mono", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("__task", F.shiftright("__mono", 33)).withColumn("__nth", F.col("__mono").bitwiseAND((1 << 33) - 1))
+    # A row a task.
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = rows.groupBy("__task").agg(F.count("*").alias("__n")).select("__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(tasks), "__task").withColumn(name, F.col("__start") + F.col("__nth")).select(*df.columns, name)
+
+
+def gaussian(df: DataFrame, value: str, out: str, sigma: float, truncate: float = 4.0) -> DataFrame:
+    """(trace_id, row_idx, ``out``): the Gaussian mean of each row's neighbourhood, reflected at both ends of a trace; null counts as 0.
+
+    Each row gives its weighted value to the places around it, as itself and as
+    its mirror images, and a place adds up what it gets; no trace is gathered.
+    """
+    reach = int(truncate * sigma + 0.5)
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(reach + 1)]
+    weights = F.array(*[F.lit(x / (raw[0] + 2 * sum(raw[1:]))) for x in raw])
+    n = F.col("__n")
+    times = F.ceil(F.lit(reach) / (2 * n)).cast("bigint") + 1
+    images = F.flatten(F.transform(F.sequence(-times, times), lambda m: F.array(2 * n * m + F.col("row_idx"), 2 * n * m - 1 - F.col("row_idx"))))
+    near = F.filter(images, lambda p: (p >= -reach) & (p < n + reach))
+    rows = df.select(*KEYS, "row_idx", F.coalesce(F.col(value), F.lit(0.0)).alias("__v"), F.count("*").over(whole()).alias("__n"))
+    given = rows.select(*KEYS, "__v", "__n", F.explode(near).alias("__p"))
+    places = F.sequence(F.greatest(F.lit(0), F.col("__p") - reach), F.least(n - 1, F.col("__p") + reach))
+    given = given.select(*KEYS, "__v", "__p", F.explode(places).alias("row_idx"))
+    term = F.col("__v") * F.element_at(weights, (F.abs(F.col("__p") - F.col("row_idx")) + 1).cast("int"))
+    return given.groupBy(*KEYS, "row_idx").agg(F.sum(term).alias(out))
+
+
+def aligned(points: DataFrame, target: int, steps: int = 10) -> DataFrame:
+    """Paths (trace_id, row_idx, x, y) moved to the start of the path ``target`` and turned by its heading over the first ``steps`` steps: adds u, v.
+
+    A path, or a target, of fewer points is only moved.
+    """
+    ends = points.groupBy(*KEYS).agg(
+        *[F.max(F.when(F.col("row_idx") == i, F.col(c))).alias(f"__{c}{k}") for k, i in (("a", 0), ("b", steps)) for c in ("x", "y")],
+    )
+    # One row.
+    goal = ends.where(F.col("trace_id") == target).select(*[F.col(c).alias(f"__t{c[2:]}") for c in ends.columns if c.startswith("__")])
+    both = ends.crossJoin(F.broadcast(goal))
+    angle = F.atan2(F.col("__tyb") - F.col("__tya"), F.col("__txb") - F.col("__txa")) - F.atan2(F.col("__yb") - F.col("__ya"), F.col("__xb") - F.col("__xa"))
+    both = both.withColumn("__turn", F.coalesce(angle, F.lit(0.0)))
+    dx, dy = F.col("x") - F.col("__xa"), F.col("y") - F.col("__ya")
+    moved = points.join(both, list(KEYS)).withColumn("u", F.col("__txa") + dx * F.cos("__turn") - dy * F.sin("__turn")).withColumn("v", F.col("__tya") + dx * F.sin("__turn") + dy * F.cos("__turn"))
+    return moved.select(*points.columns, "u", "v")
+
+
+def in_time_window(df: DataFrame, ms: str, start: int, end: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows from ``start`` to ``end`` (milliseconds) by the clock; where a trace's clock does not meet the window, by the time since the trace's start."""
+    w = whole(keys)
+    t, first, last = F.col(ms), F.min(ms).over(w), F.max(ms).over(w)
+    day = 86_400_000
+    over = end + day if end < start else end
+    apart = (first > over) | (last < start)
+    marked = df.withColumn("__apart", apart).withColumn("__since", t - first)
+    return marked.where(F.when(F.col("__apart"), F.col("__since").between(start, over)).otherwise(C.between_clock(t, F.lit(start), F.lit(end)))).drop("__apart", "__since")

@@ -75,14 +75,24 @@ def missing_partners(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Da
     return left.join(right, list(on), "left_anti")
 
 
-def closest_key(claims: DataFrame, references: DataFrame, claim: str, reference: str) -> DataFrame:
+def closest_key(claims: DataFrame, references: DataFrame, key: str, claim: str, reference: str, block: int = 2_000) -> DataFrame:
     """The reference list most like each claim's list (exact first, then longest common part, then the smaller id).
 
-    ``references`` is a library of distinct traces: few rows, checked by the caller.
+    ``references`` (reference_id, a list) is gathered into blocks of about
+    ``block`` lists; a claim (``key``, unique) meets a block inside one
+    expression, and its best of each block is compared. With one block, which
+    is broadcast, nothing is shuffled; larger libraries are joined by block.
     """
-    scored = claims.crossJoin(F.broadcast(references.select(F.col("reference_id"), F.col(reference).alias("__ref"))))
-    rank = F.struct(-C.lcs_ratio(claim, "__ref"), F.col("reference_id"))
-    return scored.groupBy(*claims.columns).agg(F.min(rank).alias("__best")).select(*claims.columns, F.col("__best.reference_id").alias("reference_id"), (-F.col("__best.col1")).alias("likeness"))
+    blocks = max(1, -(-references.count() // block))
+    place = F.pmod(F.xxhash64("reference_id"), F.lit(blocks)).cast("int")
+    library = references.groupBy(place.alias("__block")).agg(F.collect_list(F.struct("reference_id", F.col(reference).alias("list"))).alias("__library"))
+    asked = claims.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = asked.join(F.broadcast(library) if blocks == 1 else library, "__block")
+    best = F.array_min(F.transform("__library", lambda x: F.struct((-C.lcs_ratio(F.col(claim), x["list"])).alias("far"), x["reference_id"].alias("id"))))
+    scored = met.withColumn("__best", best)
+    if blocks > 1:
+        scored = scored.groupBy(key).agg(F.min("__best").alias("__best")).join(claims, key)
+    return scored.select(*claims.columns, F.col("__best.id").alias("reference_id"), (-F.col("__best.far")).alias("likeness"))
 
 
 def resolved(claims: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -95,3 +105,18 @@ def resolved(claims: DataFrame, catalogue: DataFrame) -> DataFrame:
     files = catalogue.select(F.col("folder").alias("__f"), F.col("name").alias("__name"), F.col("path").alias("__path"))
     rank: Column = F.struct(F.when(F.col("__f") == F.col("__folder"), 0).otherwise(1), F.length("__path"), F.col("__path"))
     return asked.join(files, "__name", "left").groupBy(*claims.columns).agg(F.min(F.when(F.col("__path").isNotNull(), rank)).alias("__best")).select(*claims.columns, F.col("__best.__path").alias("resolved_path"))
+
+
+def first_existing(asked: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """(key, found): the first of each row's ``candidates`` that is a path of ``files``; none: null."""
+    each = asked.select(key, F.posexplode("candidates").alias("__rank", "path"))
+    known = files.select("path").distinct().withColumn("__there", F.lit(True))
+    ranked = each.join(known, "path", "left").select(key, F.when(F.col("__there"), F.struct("__rank", "path")).alias("one"))
+    return ranked.groupBy(key).agg(F.min("one").alias("one")).select(key, F.col("one.path").alias("found"))
+
+
+def by_stem(files: DataFrame) -> DataFrame:
+    """(stem, path): of the paths of a stem a merged one, then the shortest, then the first."""
+    name = C.file_name("path")
+    rank = F.struct(F.when(name.endswith("_merged.csv"), 0).otherwise(1).alias("plain"), F.length("path").alias("n"), F.col("path").alias("path"))
+    return files.groupBy(F.regexp_replace(name, r"(_merged)?\.csv$", "").alias("stem")).agg(F.min(rank).alias("best")).select("stem", "best.path")

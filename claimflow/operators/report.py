@@ -93,30 +93,14 @@ def id_statistics(df: DataFrame, keys: Sequence[str], item: str, k: int = 3) ->
 
 
 def area_under_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Accuracy at 0.5 and the area under the ROC curve by rank sums, ties at their mean rank; scores are counted before they are ranked."""
-    counts = df.groupBy(score).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n"), F.sum((F.col(label) == (F.col(score) >= 0.5).cast("int")).cast("int")).alias("right"))
+    """Accuracy at 0.5 and the area under the ROC curve by rank sums, ties at their mean rank; scores are rounded to six places and counted before they are ranked, so a million rows are ranked at most."""
+    counts = df.withColumn(score, F.round(score, 6)).groupBy(score).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n"), F.sum((F.col(label) == (F.col(score) >= 0.5).cast("int")).cast("int")).alias("right"))
     below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = counts.withColumn("rank", below + (F.col("n") + 1) / 2)
     total = ranked.agg(F.sum("n").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("right").alias("right"))
     return total.select((F.col("right") / F.col("n")).alias("accuracy"), ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
 
-def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean silhouette from a distance table (i, j, d; both directions) and labels (i, label)."""
-    own, other = labels.select("i", F.col("label").alias("li")), labels.select(F.col("i").alias("j"), F.col("label").alias("lj"))
-    by = pairs.where("i <> j").join(own, "i").join(other, "j").groupBy("i", "li", "lj").agg(F.avg("d").alias("d"))
-    one = by.groupBy("i").agg(F.min(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return one.agg(F.avg(s).alias("silhouette"), F.count("*").alias("n"))
-
-
-def medoids(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The item of each group with the least summed distance to the others (pairs i < j), ties to the smaller."""
-    both = pairs.select(*keys, "i", "d").unionByName(pairs.select(*keys, F.col("j").alias("i"), "d"))
-    sums = both.groupBy(*keys, "i").agg(F.sum("d").alias("total"))
-    return sums.groupBy(*keys).agg(F.min(F.struct("total", "i")).alias("__b")).select(*keys, F.col("__b.i").alias("medoid"), F.col("__b.total").alias("total_distance"))
-
-
 def minmax(value: str, w) -> Column:
     low, high = F.min(value).over(w), F.max(value).over(w)
     return F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0)

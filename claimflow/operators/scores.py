@@ -48,6 +48,35 @@ def heading_transition(boundary: Column, mean: Column, profile: Column) -> Colum
     return C.unit(1 - (0.5 * boundary + 0.3 * mean + 0.2 * profile) / 180.0)
 
 
+def seams(trace: DataFrame, window: int, tail: int, samples: int = 2) -> DataFrame:
+    """(trace_id, seam, start): ``samples`` keyed places with a whole window on both sides, and the place ``tail`` rows before the end; short traces have none."""
+    size = trace.groupBy("trace_id").agg(F.count("*").alias("n"))
+    drawn = size.where(F.col("n") >= 2 * window).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    drawn = drawn.select("trace_id", F.concat(F.lit("random"), F.col("j").cast("string")).alias("seam"), (window + C.keyed(F.col("n") - 2 * window + 1, F.lit("seam"), "trace_id", "j")).alias("start"))
+    last = size.where(F.col("n") >= tail + window).select("trace_id", F.lit("tail").alias("seam"), (F.col("n") - tail).alias("start"))
+    return drawn.unionByName(last)
+
+
+def seam_scores(trace: DataFrame, places: DataFrame, heading: str, window: int) -> DataFrame:
+    """(trace_id, seam, start, transition): the headings of the ``window`` rows before a seam against those of the rows after it.
+
+    Only rows of a window are joined, by trace and row number.
+    """
+    asked = places.withColumn("offset", F.explode(F.sequence(F.lit(-window), F.lit(window - 1)))).withColumn("row_idx", F.col("start") + F.col("offset"))
+    rows = asked.join(trace.select("trace_id", "row_idx", F.col(heading).alias("h")), ["trace_id", "row_idx"])
+    keys = ["trace_id", "seam", "start"]
+    pairs = rows.groupBy(*keys, F.pmod("offset", F.lit(window)).alias("at")).agg(F.max(F.when(F.col("offset") < 0, F.col("h"))).alias("before"), F.max(F.when(F.col("offset") >= 0, F.col("h"))).alias("current"))
+    told = pairs.groupBy(*keys).agg(
+        F.avg(C.circular_difference("before", "current")).alias("profile"),
+        F.max(F.when(F.col("at") == window - 1, F.col("before"))).alias("last"),
+        F.max(F.when(F.col("at") == 0, F.col("current"))).alias("first"),
+        C.circular_mean("before").alias("mean_before"),
+        C.circular_mean("current").alias("mean_current"),
+    )
+    score = heading_transition(C.circular_difference("last", "first"), C.circular_difference("mean_before", "mean_current"), F.col("profile"))
+    return told.select(*keys, score.alias("transition"))
+
+
 def topology(sequence: Column, whole: Column, reached: Column) -> Column:
     return F.when(reached, 0.5 * sequence + 0.5 * whole).otherwise(0.0)
 
@@ -96,13 +125,21 @@ def fingerprint(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return by.groupBy(*keys, "cell_id").agg(F.avg("m").alias("rssi"))
 
 
-def fingerprint_distance(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
-    """(a_key, b_key, distance) of fingerprints (key, cells map): root mean square over the cells of either, an absent cell being the floor."""
-    both = a.select(a_key, F.col("cells").alias("__a")).join(b.select(b_key, F.col("cells").alias("__b")))
-    ids = F.array_union(F.map_keys("__a"), F.map_keys("__b"))
-    gap = lambda k: F.coalesce(F.try_element_at("__a", k), F.lit(C.MISSING_RSSI)) - F.coalesce(F.try_element_at("__b", k), F.lit(C.MISSING_RSSI))
+def magnetic(trace: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """By trace the four statistics of the field (``meg``): mean, deviation, mean step and the spread between the tenths."""
+    w = Window.partitionBy(*keys).orderBy("row_idx")
+    steps = trace.withColumn("__step", F.abs(F.col(value) - F.lag(value).over(w)))
+    tenths = F.percentile(value, [0.1, 0.9])
+    return steps.groupBy(*keys).agg(F.array(F.avg(value), F.stddev_pop(value), F.coalesce(F.avg("__step"), F.lit(0.0)), tenths[1] - tenths[0]).alias("meg"))
+
+
+def fingerprint_distance(cells: Column, other: Column, meg: Column, other_meg: Column) -> Column:
+    """Distance of two fingerprints (maps of cells, field statistics): root mean square over the cells of either, an absent cell being the floor, and the field's part."""
+    ids = F.array_union(F.map_keys(cells), F.map_keys(other))
+    gap = lambda k: F.coalesce(F.try_element_at(cells, k), F.lit(C.MISSING_RSSI)) - F.coalesce(F.try_element_at(other, k), F.lit(C.MISSING_RSSI))
     total = F.aggregate(F.transform(ids, lambda k: gap(k) * gap(k)), F.lit(0.0), lambda s, x: s + x)
-    return both.select(a_key, b_key, F.when(F.size(ids) > 0, F.sqrt(total / F.size(ids)) / 18.0).otherwise(2.0).alias("distance"))
+    signal = F.when(F.size(ids) > 0, F.sqrt(total / F.size(ids)) / 18.0).otherwise(2.0)
+    return 0.85 * signal + 0.15 * C.euclidean(meg, other_meg, True) / 25.0
 
 
 def per_second(df: DataFrame, keys: Sequence[str]) -> DataFrame:

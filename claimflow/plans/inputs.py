@@ -87,7 +87,7 @@ SCANS = """cells AS (
 
 def claim_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """claim_id and a claim path in one of the spellings that occur."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     folder = F.concat(F.lit("data/route_"), F.lpad((F.col("o_custkey") % 9).cast("string"), 3, "0"))
     kind = F.col("o_orderkey") % 4
     number = (F.col("o_orderkey") % 50).cast("string")
@@ -102,12 +102,12 @@ def claim_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLAIM_PATHS = r"""claim_paths AS (
     SELECT o_orderkey AS claim_id,
            CASE o_orderkey % 4 WHEN 0 THEN f || '/' || n || '.csv' WHEN 2 THEN f || '/' || n || '_merged.csv' ELSE f || '\sensor_' || n END AS claim_path
-    FROM (SELECT o_orderkey, 'data/route_' || lpad(CAST(o_custkey % 9 AS VARCHAR), 3, '0') AS f, CAST(o_orderkey % 50 AS VARCHAR) AS n FROM orders WHERE o_orderkey % 10 = 0))"""
+    FROM (SELECT o_orderkey, 'data/route_' || lpad(CAST(o_custkey % 9 AS VARCHAR), 3, '0') AS f, CAST(o_orderkey % 50 AS VARCHAR) AS n FROM orders))"""
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """claim_id, claimed and detected lists of regions: an order's lines as grid cells."""
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    line = table(spark, sf_dir, "lineitem")
     cell = lambda a, b: F.concat(F.substring(F.lit("abcdef"), (a % 6 + 1).cast("int"), F.lit(1)), (b % 6 + 1).cast("string"))
     both = F.struct("l_linenumber", cell(F.col("l_partkey"), F.col("l_suppkey")).alias("a"), cell(F.col("l_partkey"), F.col("l_suppkey") % 2 + F.col("l_suppkey")).alias("b"))
     rows = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(both)).alias("x"))
@@ -116,7 +116,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGIONS = """cells AS (
     SELECT l_orderkey AS claim_id, l_linenumber AS n, substr('abcdef', CAST(l_partkey % 6 + 1 AS INT), 1) || CAST(l_suppkey % 6 + 1 AS VARCHAR) AS a,
-           substr('abcdef', CAST(l_partkey % 6 + 1 AS INT), 1) || CAST((l_suppkey % 2 + l_suppkey) % 6 + 1 AS VARCHAR) AS b FROM lineitem WHERE l_orderkey % 5 = 0),
+           substr('abcdef', CAST(l_partkey % 6 + 1 AS INT), 1) || CAST((l_suppkey % 2 + l_suppkey) % 6 + 1 AS VARCHAR) AS b FROM lineitem),
     regions AS (SELECT claim_id, list(a ORDER BY n, a, b) AS claimed, coalesce(list(b ORDER BY n, a, b) FILTER (n <> 3), []) AS detected FROM cells GROUP BY claim_id)"""
 
 

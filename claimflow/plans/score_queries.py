@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -9,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import kernels as K
-from ..operators import graph, joins, report, scores
+from ..operators import distances, frames, graph, joins, report, scores
 from ..operators.models import assembled_kmeans, logistic_scores, principal_components
+from ..session import stored
 from .inputs import LINKS, REGIONS, SCORES, TRACE, links, query, regions, table, trace
 from .inputs import scores as score_rows
+from .text_queries import CANDIDATE_LCS
 
 # -- statistics by group ------------------------------------------------------
 
@@ -75,7 +79,9 @@ def robust_sigmoid(s, d):
     return e.crossJoin(F.broadcast(q)).select("event_id", F.round(scores.robust(F.col("value"), F.col("m"), F.col("p")[0], F.col("p")[1], F.col("sd")), 6).alias("score"))
 
 
-_CELLS = f"""{TRACE}, c AS (SELECT trace_id, k % 8 AS cell_id, median(-value) AS m, channel FROM trace GROUP BY trace_id, k % 8, channel), fp AS (SELECT trace_id, cell_id, avg(m) AS rssi FROM c GROUP BY ALL)"""
+_CELLS = f"""{TRACE}, c AS (SELECT trace_id, k % 8 AS cell_id, median(-value) AS m, channel FROM trace GROUP BY trace_id, k % 8, channel), fp AS (SELECT trace_id, cell_id, avg(m) AS rssi FROM c GROUP BY ALL),
+    st AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY trace_id ORDER BY row_idx)) AS step FROM trace),
+    mg AS (SELECT trace_id, avg(value) AS m1, stddev_pop(value) AS m2, coalesce(avg(step), 0) AS m3, quantile_cont(value, 0.9) - quantile_cont(value, 0.1) AS m4 FROM st GROUP BY trace_id)"""
 
 
 def _fingerprints(s, d):
@@ -83,31 +89,68 @@ def _fingerprints(s, d):
     return scores.fingerprint(cells, ["trace_id"])
 
 
-@query(f"WITH {_CELLS} SELECT trace_id, cell_id, round(rssi, 6) AS rssi FROM fp")
+@query(f"WITH {_CELLS} SELECT trace_id, cell_id, round(rssi, 6) AS rssi, round(m1, 6) AS meg_mean, round(m2, 6) AS meg_deviation, round(m3, 6) AS meg_step, round(m4, 6) AS meg_spread FROM fp JOIN mg USING (trace_id)")
 def fingerprint(s, d):
-    return _fingerprints(s, d).select("trace_id", "cell_id", F.round("rssi", 6).alias("rssi"))
+    both = _fingerprints(s, d).join(scores.magnetic(trace(s, d), "value", ["trace_id"]), "trace_id")
+    return both.select("trace_id", "cell_id", F.round("rssi", 6).alias("rssi"), *[F.round(F.get("meg", F.lit(i)), 6).alias(n) for i, n in enumerate(("meg_mean", "meg_deviation", "meg_step", "meg_spread"))])
+
+
+def _route_sql(n: str) -> str:
+    """The five cells of the route numbered ``n``."""
+    return f"list_transform(range(0, 5), lambda i: substr('abcdef', CAST(({n} * 3 + i * i) % 6 + 1 AS INT), 1) || CAST(CAST(({n} + i) % 6 + 1 AS INT) AS VARCHAR))"
+
+
+def _route(n):
+    n = n.cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.substring(F.lit("abcdef"), (n * 3 + i * i) % 6 + 1, F.lit(1)), ((n + i) % 6 + 1).cast("string")))
 
 
-_FP = f"""WITH {_CELLS}, a AS (SELECT * FROM fp WHERE trace_id < 5), b AS (SELECT trace_id AS ref, cell_id, rssi FROM fp WHERE trace_id >= 5),
-    p AS (SELECT a.trace_id, b.ref, ids.cell_id FROM (SELECT DISTINCT trace_id FROM a) a, (SELECT DISTINCT ref FROM b) b, (SELECT DISTINCT cell_id FROM fp) ids),
-    g AS (SELECT p.trace_id, p.ref, coalesce(a.rssi, -110) - coalesce(b.rssi, -110) AS gap FROM p LEFT JOIN a ON a.trace_id = p.trace_id AND a.cell_id = p.cell_id LEFT JOIN b ON b.ref = p.ref AND b.cell_id = p.cell_id WHERE a.rssi IS NOT NULL OR b.rssi IS NOT NULL),
-    dist AS (SELECT trace_id, ref, sqrt(avg(gap * gap)) / 18.0 AS distance FROM g GROUP BY ALL)"""
+def _library(s, d):
+    """Routes that references were walked on: one a nation."""
+    return table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("reference_id"), _route(F.col("n_nationkey")).alias("ref"))
+
+
+_LCS_LIB = f"""lib AS (SELECT CAST(n_nationkey AS BIGINT) AS reference_id, {_route_sql("n_nationkey")} AS ref FROM nation),
+    r(claim_id, a, reference_id, b, i, line) AS (
+    SELECT q.claim_id, q.claimed, lib.reference_id, lib.ref, 0, list_transform(range(0, len(lib.ref) + 1), lambda j: 0) FROM asked q, lib
+    UNION ALL
+    SELECT claim_id, a, reference_id, b, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [CAST(j AS INT)]), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j[1]] THEN line[j[1]] + 1 ELSE greatest(line[j[1] + 1], acc[-1]) END), [0]) FROM r WHERE i < len(a)),
+    z AS (SELECT claim_id, reference_id, CAST(line[-1] AS DOUBLE) / greatest(len(a), len(b)) AS l FROM r WHERE i = len(a)),
+    best AS (SELECT claim_id, arg_min(reference_id, (-l, reference_id)) AS reference_id, max(l) AS likeness FROM z GROUP BY claim_id)"""
+
+# A trace claims one of 30 routes; references know 25 of them, and of each the first 30 traces walked on it.
+_FP = f"""WITH RECURSIVE {_CELLS}, asked AS (SELECT trace_id AS claim_id, {_route_sql("((trace_id * 3 + 1) % 30)")} AS claimed FROM mg), {_LCS_LIB},
+    b AS (SELECT * FROM (SELECT trace_id AS ref, trace_id % 25 AS reference_id, row_number() OVER (PARTITION BY trace_id % 25 ORDER BY trace_id) AS nth FROM mg) WHERE nth <= 30),
+    p AS (SELECT best.claim_id AS trace_id, ref, likeness FROM best JOIN b USING (reference_id) WHERE ref <> claim_id),
+    ids AS (SELECT DISTINCT p.trace_id, p.ref, fp.cell_id FROM p JOIN fp ON fp.trace_id = p.trace_id OR fp.trace_id = p.ref),
+    g AS (SELECT ids.trace_id, ids.ref, coalesce(x.rssi, -110) - coalesce(y.rssi, -110) AS gap FROM ids LEFT JOIN fp x ON x.trace_id = ids.trace_id AND x.cell_id = ids.cell_id LEFT JOIN fp y ON y.trace_id = ids.ref AND y.cell_id = ids.cell_id),
+    sig AS (SELECT trace_id, ref, sqrt(avg(gap * gap)) / 18.0 AS signal FROM g GROUP BY ALL),
+    dist AS (SELECT p.trace_id, p.ref, likeness, .85 * signal + .15 * sqrt(pow(x.m1 - y.m1, 2) + pow(x.m2 - y.m2, 2) + pow(x.m3 - y.m3, 2) + pow(x.m4 - y.m4, 2)) / 2 / 25 AS distance
+        FROM p JOIN sig USING (trace_id, ref) JOIN mg x ON x.trace_id = p.trace_id JOIN mg y ON y.trace_id = p.ref)"""
 
 
 def _reference_distances(s, d):
+    """Each trace with the fingerprints walked on the route that is most like the one it claims, and its distances to them."""
     maps = _fingerprints(s, d).groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("cell_id", "rssi"))).alias("cells"))
-    return scores.fingerprint_distance(maps.where("trace_id < 5"), maps.where("trace_id >= 5").withColumnRenamed("trace_id", "ref"), "trace_id", "ref")
+    prints = stored(maps.join(scores.magnetic(trace(s, d), "value", ["trace_id"]), "trace_id").withColumn("label", F.col("trace_id") % 25), "fingerprints")
+    asked = prints.select("trace_id", _route((F.col("trace_id") * 3 + 1) % 30).alias("claimed"))
+    route = joins.closest_key(asked, _library(s, d), "trace_id", "claimed", "ref").select("trace_id", F.col("reference_id").alias("label"), "likeness")
+    walked = distances.templates(prints, "trace_id", "label", ["cells", "meg"])
+    both = distances.with_templates(prints.drop("label").join(route, "trace_id"), walked, "trace_id", "label")
+    far = F.transform("items", lambda x: scores.fingerprint_distance(F.col("cells"), x["cells"], F.col("meg"), x["meg"]))
+    return both.select("trace_id", "likeness", F.col("items.trace_id").alias("refs"), far.alias("distances"))
 
 
 @query(f"{_FP} SELECT trace_id, ref, round(distance, 6) AS distance FROM dist")
 def fingerprint_distance(s, d):
-    return _reference_distances(s, d).select("trace_id", "ref", F.round("distance", 6).alias("distance"))
+    flat = _reference_distances(s, d).select("trace_id", F.explode(F.arrays_zip("refs", "distances")).alias("x"))
+    return flat.select("trace_id", F.col("x.refs").alias("ref"), F.round("x.distances", 6).alias("distance"))
 
 
-@query(f"{_FP} SELECT trace_id, round(avg(distance), 6) AS mean3, round(1 / (1 + avg(distance)), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY distance) AS r FROM dist) WHERE r <= 3 GROUP BY trace_id")
+@query(f"{_FP}, n AS (SELECT trace_id, avg(distance) + 1 - any_value(likeness) AS m FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY distance) AS r FROM dist) WHERE r <= 3 GROUP BY trace_id) SELECT trace_id, round(m, 6) AS mean3, round(1 / (1 + m), 6) AS score FROM n")
 def mean_3_smallest(s, d):
-    w = Window.partitionBy("trace_id").orderBy("distance")
-    near = _reference_distances(s, d).withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy("trace_id").agg(F.avg("distance").alias("m"))
+    """The mean of the three nearest references, and what the claimed route lacks to theirs."""
+    near = _reference_distances(s, d).withColumn("m", distances.nearest_mean(F.col("distances"), 3) + 1 - F.col("likeness")).where("m is not null")
     return near.select("trace_id", F.round("m", 6).alias("mean3"), F.round(C.similarity("m"), 6).alias("score"))
 
 
@@ -131,10 +174,39 @@ def id_stats(s, d):
     return _id_stats(s, d).select("user_id", "valid", "distinct_ids", *[c for i in (1, 2, 3) for c in (F.col(f"top{i}_id"), F.round(f"top{i}_ratio", 6).alias(f"top{i}_ratio"))])
 
 
-@query(f"{_IDS}, m AS (SELECT user_id, avg(value) AS mean, stddev_pop(value) AS sd FROM events GROUP BY user_id) SELECT user_id, round(mean, 6) AS mean, round(sd, 6) AS sd, distinct_ids, round(top1_ratio, 6) AS top1_ratio FROM m JOIN ids USING (user_id)")
+_FEATURES = f"""{_IDS.replace("WITH ", "", 1)}, {TRACE}, m AS (SELECT trace_id AS user_id, avg(value) AS mean, min(value) AS low, max(value) AS high, stddev_pop(value) AS sd, var_pop(value) AS variance FROM trace GROUP BY trace_id),
+    cg AS (SELECT trace_id, CASE WHEN lag(k) OVER w IS NULL THEN NULL WHEN k <> lag(k) OVER w THEN 1 ELSE 0 END AS changed FROM trace WINDOW w AS (PARTITION BY trace_id ORDER BY row_idx)),
+    ch AS (SELECT trace_id AS user_id, CAST(coalesce(sum(changed), 0) AS BIGINT) AS changes, coalesce(avg(changed), 0) AS change_rate FROM cg GROUP BY trace_id),
+    feats AS (SELECT * FROM m JOIN ids USING (user_id) JOIN ch USING (user_id))"""
+_FEATURE_NAMES = ["mean", "low", "high", "sd", "variance", "valid", "distinct_ids", "changes", "change_rate", "top1_id", "top2_id", "top3_id", "top1_ratio", "top2_ratio", "top3_ratio"]
+
+
+def _features(s, d):
+    """The fifteen features of each trace: five of the field, ten of the cell ids."""
+    t = trace(s, d)
+    m = t.groupBy("trace_id").agg(F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.stddev_pop("value").alias("sd"), F.var_pop("value").alias("variance"))
+    before = F.lag("k").over(frames.over())
+    changed = t.withColumn("changed", F.when(before.isNotNull(), (F.col("k") != before).cast("int"))).groupBy("trace_id").agg(F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"), F.coalesce(F.avg("changed"), F.lit(0.0)).alias("change_rate"))
+    return m.join(changed, "trace_id").withColumnRenamed("trace_id", "user_id").join(_id_stats(s, d), "user_id").select("user_id", *_FEATURE_NAMES)
+
+
+@query(f"WITH {_FEATURES} SELECT user_id, {', '.join(f'round({n}, 5) AS {n}' for n in _FEATURE_NAMES)} FROM feats")
 def file_features(s, d):
-    m = table(s, d, "events").groupBy("user_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    return m.join(_id_stats(s, d), "user_id").select("user_id", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "distinct_ids", F.round("top1_ratio", 6).alias("top1_ratio"))
+    return _features(s, d).select("user_id", *[F.round(n, 5).alias(n) for n in _FEATURE_NAMES])
+
+
+# The eight features that the learned baseline uses.
+_SELECTED = ["mean", "low", "high", "sd", "variance", "changes", "change_rate", "top1_id"]
+
+
+@query(f"""WITH {_FEATURES}, s AS (SELECT c_custkey AS claim_id, c_custkey // 10 AS user_id, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 2 AS INT) END AS label FROM customer)
+    SELECT claim_id, CASE WHEN label IS NULL THEN 'test' ELSE 'train' END AS part, label, {', '.join(f'round(coalesce({n}, 0), 5) AS {n}' for n in _SELECTED)} FROM s LEFT JOIN feats USING (user_id) WHERE label IS NULL OR mean IS NOT NULL""")
+def learning_sets(s, d):
+    """Claims with the eight chosen features: training rows without a trace go, test rows without one have zeros."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("claim_id"), F.expr("c_custkey div 10").alias("user_id"), F.when(F.col("c_custkey") % 3 == 0, (F.col("c_custkey") % 2).cast("int")).alias("label"))
+    both = c.join(_features(s, d), "user_id", "left").where("label is null or mean is not null")
+    part = F.when(F.col("label").isNull(), "test").otherwise("train")
+    return both.select("claim_id", part.alias("part"), "label", *[F.round(F.coalesce(F.col(n), F.lit(0)), 5).alias(n) for n in _SELECTED])
 
 
 _MAD = f"""{TRACE}, d AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY trace_id ORDER BY row_idx)) AS d FROM trace), m AS (SELECT trace_id, median(d) AS m FROM d GROUP BY trace_id),
@@ -251,29 +323,63 @@ def frr_calibrated_far(s, d):
     return out.select("attack", "frr", F.round("threshold", 8).alias("threshold"), F.round("far_percent", 6).alias("far_percent"))
 
 
-@query(f"""WITH {REGIONS}, g AS (SELECT claim_id, CAST(claim_id % 200 + 20 AS DOUBLE) AS t, CAST(claim_id % 170 + 25 AS DOUBLE) AS a, list_transform(claimed, lambda x: [ascii(x) - 97, CAST(substr(x, 2, 1) AS INT) - 1]) AS v FROM regions),
+@query(f"""WITH {REGIONS}, {_MAD}, act AS (SELECT trace_id, stddev_pop(value) / 600 AS activity FROM trace GROUP BY trace_id),
+    cont AS (SELECT trace_id, least(greatest(1 - (missing_ratio + CASE WHEN activity < 0.01 THEN 0.4 WHEN activity < 0.05 THEN 0.2 ELSE 0.0 END + least(0.5, 5 * coalesce(spike_ratio, 0))), 0), 1) AS c FROM sp JOIN act USING (trace_id)),
+    g AS (SELECT claim_id, coalesce(c, 0.0) AS c, CAST(claim_id % 200 + 20 AS DOUBLE) AS t, CAST(claim_id % 170 + 25 AS DOUBLE) AS a, list_transform(claimed, lambda x: [ascii(x) - 97, CAST(substr(x, 2, 1) AS INT) - 1]) AS v
+        FROM regions JOIN orders ON o_orderkey = claim_id LEFT JOIN cont ON trace_id = o_custkey // 10),
     j AS (SELECT *, list_transform(range(1, len(v)), lambda i: abs(v[i][1] - v[i + 1][1]) + abs(v[i][2] - v[i + 1][2])) AS jumps FROM g),
-    r AS (SELECT claim_id, exp(-(abs(t - a) / greatest(a, 1.0)) / 0.25) AS ts, coalesce(list_sum(list_transform(jumps, lambda x: greatest(x, 1))), 0) * 10.0 / t AS speed, len(jumps) AS n,
+    r AS (SELECT claim_id, c, exp(-(abs(t - a) / greatest(a, 1.0)) / 0.25) AS ts, coalesce(list_sum(list_transform(jumps, lambda x: greatest(x, 1))), 0) * 10.0 / t AS speed, len(jumps) AS n,
         1 - coalesce(list_avg(list_transform(jumps, lambda x: CASE WHEN x <= 1 THEN 0.0 WHEN x = 2 THEN 0.25 ELSE least(1.0, 0.25 + 0.25 * (x - 2)) END)), 0) AS route FROM j),
     q AS (SELECT *, CASE WHEN n = 0 THEN 0.0 WHEN speed <= 2 THEN 1.0 ELSE exp(-(speed - 2) / 2) END AS sp FROM r)
-    SELECT claim_id, round(ts, 6) AS time_check, round(sp, 6) AS speed_check, round(.3 * ts + .3 * sp + .2 + .2 * route, 6) AS rule_score FROM q""")
+    SELECT claim_id, round(ts, 6) AS time_check, round(sp, 6) AS speed_check, round(c, 6) AS continuity, round(.3 * ts + .3 * sp + .2 * c + .2 * route, 6) AS rule_score FROM q""")
 def rule_scores(s, d):
-    r = regions(s, d).withColumn("cells", F.transform("claimed", C.grid_cell)).withColumn("t", (F.col("claim_id") % 200 + 20).cast("double")).withColumn("a", (F.col("claim_id") % 170 + 25).cast("double"))
+    """Time, speed, continuity of the claim's trace (none: 0) and route."""
+    t = trace(s, d)
+    checks = scores.spikes(t, "value", ["trace_id"]).join(t.groupBy("trace_id").agg((F.stddev_pop("value") / 600).alias("activity")), "trace_id")
+    checks = checks.select("trace_id", scores.continuity(F.coalesce("spike_ratio", F.lit(0.0)), F.col("missing_ratio"), F.col("activity")).alias("c"))
+    r = regions(s, d).join(table(s, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.expr("o_custkey div 10").alias("trace_id")), "claim_id").join(checks, "trace_id", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
+    r = r.withColumn("cells", F.transform("claimed", C.grid_cell)).withColumn("t", (F.col("claim_id") % 200 + 20).cast("double")).withColumn("a", (F.col("claim_id") % 170 + 25).cast("double"))
     time, speed = scores.rule_time(F.col("t"), F.col("a")), scores.rule_speed(C.region_jumps("cells"), F.col("t"))
-    return r.select("claim_id", F.round(time, 6).alias("time_check"), F.round(speed, 6).alias("speed_check"), F.round(scores.rule_total(time, speed, F.lit(1.0), C.route_score("cells")), 6).alias("rule_score"))
+    return r.select("claim_id", F.round(time, 6).alias("time_check"), F.round(speed, 6).alias("speed_check"), F.round("c", 6).alias("continuity"), F.round(scores.rule_total(time, speed, F.col("c"), C.route_score("cells")), 6).alias("rule_score"))
 
 
-@query("""WITH x AS (SELECT c_custkey, (c_custkey % 100) / 100.0 AS a, (c_nationkey * 4) / 100.0 AS b, c_custkey % 11 AS hop FROM customer)
-    SELECT c_custkey, round(CASE WHEN hop = 10 THEN -1.0 ELSE .8 * (.2 * a + .8 * b) + .2 * CASE WHEN hop <= 4 THEN 1.0 ELSE pow(4.0 / hop, 2) END END, 6) AS s_current, round(CASE WHEN hop = 10 THEN 0.0 WHEN hop <= 4 THEN 1.0 ELSE pow(4.0 / hop, 2) END, 6) AS jump FROM x""")
-def current_score(s, d):
-    c = table(s, d, "customer").withColumn("a", (F.col("c_custkey") % 100) / 100.0).withColumn("b", (F.col("c_nationkey") * 4) / 100.0)
-    hop = F.when(F.col("c_custkey") % 11 != 10, F.col("c_custkey") % 11)
-    return c.select("c_custkey", F.round(scores.current_score(F.col("a"), F.col("b"), C.topology_break(hop), hop.isNotNull()), 6).alias("s_current"), F.round(C.topology_break(hop), 6).alias("jump"))
+_CIRC = lambda a, b: f"abs(fmod(fmod({a} - {b} + 180, 360) + 360, 360) - 180)"
+_MEAN = lambda x: f"fmod(degrees(atan2(avg(sin(radians({x}))), avg(cos(radians({x}))))) + 360.0, 360.0)"
+_SEAMS = f"""{TRACE}, h AS (SELECT trace_id, row_idx, fmod(value * 7.0, 360.0) AS h FROM trace), size AS (SELECT trace_id, count(*) AS n FROM trace GROUP BY trace_id),
+    seams AS (SELECT trace_id, 'random' || CAST(j AS VARCHAR) AS seam, 20 + CAST(('0x' || substr(md5('seam|' || CAST(trace_id AS VARCHAR) || '|' || CAST(j AS VARCHAR)), 1, 12)) AS BIGINT) % (n - 39) AS start FROM size, (SELECT unnest([0, 1]) AS j) WHERE n >= 40
+        UNION ALL SELECT trace_id, 'tail', n - 40 FROM size WHERE n >= 60),
+    pr AS (SELECT s.trace_id, seam, start, c.row_idx - start AS pos, b.h AS before, c.h AS now FROM seams s JOIN h c ON c.trace_id = s.trace_id AND c.row_idx >= start AND c.row_idx < start + 20 JOIN h b ON b.trace_id = c.trace_id AND b.row_idx = c.row_idx - 20),
+    ends AS (SELECT trace_id, seam, start, avg({_CIRC("before", "now")}) AS profile, max(before) FILTER (pos = 19) AS l, max(now) FILTER (pos = 0) AS f, {_MEAN("before")} AS mb, {_MEAN("now")} AS mn FROM pr GROUP BY ALL),
+    tr AS (SELECT trace_id, seam, start, least(greatest(1 - (.5 * {_CIRC("l", "f")} + .3 * {_CIRC("mb", "mn")} + .2 * profile) / 180.0, 0), 1) AS transition FROM ends)"""
+
+
+def _seam_scores(s, d):
+    t = trace(s, d).select("trace_id", "row_idx", F.expr("(value * 7.0D) % 360.0D").alias("heading"))
+    return scores.seam_scores(t, scores.seams(t, 20, 40), "heading", 20)
 
 
-@query("SELECT event_id, round(least(greatest(1 - (.5 * x + .3 * y + .2 * z) / 180.0, 0), 1), 6) AS transition FROM (SELECT event_id, abs(fmod(fmod(value - 190 + 180, 360) + 360, 360) - 180) AS x, event_id % 90 AS y, event_id % 45 AS z FROM events)")
+@query(f"WITH {_SEAMS} SELECT trace_id, seam, start, round(transition, 6) AS transition FROM tr")
 def heading_transition(s, d):
-    return table(s, d, "events").select("event_id", F.round(scores.heading_transition(C.circular_difference(F.col("value"), F.lit(190.0)), F.col("event_id") % 90, F.col("event_id") % 45), 6).alias("transition"))
+    """Headings before and after two random places and the tail of each trace."""
+    return _seam_scores(s, d).select("trace_id", "seam", "start", F.round("transition", 6).alias("transition"))
+
+
+_HOPS = """hp(src, dst, distance) AS (SELECT DISTINCT src, src, 0 FROM both_ways UNION SELECT hp.src, b.dst, distance + 1 FROM hp JOIN both_ways b ON b.src = hp.dst WHERE distance < 25),
+    hops AS (SELECT src, dst, min(distance) AS distance FROM hp GROUP BY src, dst)"""
+
+
+@query(f"""WITH RECURSIVE {LINKS}, {_HOPS}, {_SEAMS}, ps AS (SELECT trace_id, avg(transition) FILTER (seam <> 'tail') AS rnd, max(transition) FILTER (seam = 'tail') AS tail FROM tr GROUP BY trace_id),
+    x AS (SELECT ps.*, distance AS hop FROM ps LEFT JOIN hops ON src = trace_id % 25 AND dst = trace_id * 7 % 27)
+    SELECT trace_id, round(CASE WHEN hop IS NULL THEN -1.0 ELSE .8 * CASE WHEN rnd IS NULL THEN tail WHEN tail IS NULL THEN rnd ELSE .2 * rnd + .8 * tail END + .2 * CASE WHEN hop <= 4 THEN 1.0 ELSE pow(4.0 / hop, 2) END END, 6) AS s_current,
+        round(CASE WHEN hop IS NULL THEN 0.0 WHEN hop <= 4 THEN 1.0 ELSE pow(4.0 / hop, 2) END, 6) AS jump FROM x""")
+def current_score(s, d):
+    """From the seams of each trace and the links between the states it names; a state out of the graph can't be reached."""
+    tail = F.col("seam") == "tail"
+    post = _seam_scores(s, d).groupBy("trace_id").agg(F.avg(F.when(~tail, F.col("transition"))).alias("rnd"), F.max(F.when(tail, F.col("transition"))).alias("tail"))
+    named = post.withColumn("src", F.col("trace_id") % 25).withColumn("dst", F.col("trace_id") * 7 % 27)
+    c = named.join(F.broadcast(graph.hops(links(s, d))), ["src", "dst"], "left")
+    hop = F.col("distance")
+    return c.select("trace_id", F.round(scores.current_score(F.col("rnd"), F.col("tail"), C.topology_break(hop), hop.isNotNull()), 6).alias("s_current"), F.round(C.topology_break(hop), 6).alias("jump"))
 
 
 @query(f"""WITH {REGIONS} SELECT claim_id, list_has_any(claimed, detected) AS topology_passed, round(CASE WHEN list_has_any(claimed, detected) THEN .2 * (claim_id % 11) / 10.0 + .3 * (claim_id % 13) / 12.0 + .5 * (claim_id % 7) / 6.0 ELSE -1.0 END, 6) AS s_location FROM regions""")
@@ -290,43 +396,62 @@ def graph_symmetrize(s, d):
     return graph.adjacency(links(s, d)).select("src", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
-@query(f"""WITH RECURSIVE {LINKS}, r(src, dst, distance) AS (SELECT DISTINCT src, src, 0 FROM both_ways UNION SELECT r.src, b.dst, distance + 1 FROM r JOIN both_ways b ON b.src = r.dst WHERE distance < 8)
-    SELECT src, dst, min(distance) AS distance FROM r GROUP BY src, dst""")
+# Only walks that are shortest so far go on.
+_PATHS = f"""{LINKS}, {_HOPS}, p(src, dst, path) AS (SELECT DISTINCT src, src, [src] FROM both_ways UNION ALL
+        SELECT p.src, b.dst, list_append(path, b.dst) FROM p JOIN both_ways b ON b.src = p.dst JOIN hops h ON h.src = p.src AND h.dst = b.dst WHERE h.distance = len(path)),
+    sp AS (SELECT src, dst, min(path) AS path FROM p GROUP BY src, dst)"""
+_LENGTHS = f"""{LINKS}, w AS (SELECT src, dst, min(length) AS length FROM (SELECT * FROM links UNION ALL SELECT dst, src, length FROM links) WHERE src <> dst GROUP BY src, dst),
+    r(src, dst, length, n) AS (SELECT DISTINCT src, src, CAST(0 AS DOUBLE), 0 FROM w UNION SELECT r.src, w.dst, min(r.length + w.length), n + 1 FROM r JOIN w ON w.src = r.dst WHERE n < 25 GROUP BY r.src, w.dst, n),
+    sp AS (SELECT src, dst, min(length) AS length FROM r GROUP BY src, dst)"""
+
+
+@query(f"WITH RECURSIVE {LINKS}, {_HOPS} SELECT * FROM hops")
 def bfs_distance(s, d):
     return graph.hops(links(s, d))
 
 
-@query(f"""WITH RECURSIVE {LINKS}, r(src, dst, path) AS (SELECT DISTINCT src, src, [src] FROM both_ways UNION ALL SELECT r.src, b.dst, list_append(path, b.dst) FROM r JOIN both_ways b ON b.src = r.dst WHERE len(path) < 6 AND NOT list_contains(path, b.dst))
-    SELECT src, dst, array_to_string(list_transform(arg_min(path, (len(path), path)), lambda x: CAST(x AS VARCHAR)), '>') AS path FROM r GROUP BY src, dst""")
+@query(f"WITH RECURSIVE {_PATHS} SELECT src, dst, array_to_string(list_transform(path, lambda x: CAST(x AS VARCHAR)), '>') AS path FROM sp")
 def shortest_path_nodes(s, d):
-    return graph.shortest_paths(links(s, d), 5).select("src", "dst", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return graph.shortest_paths(links(s, d)).select("src", "dst", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {LINKS}, w AS (SELECT src, dst, min(length) AS length FROM (SELECT * FROM links UNION ALL SELECT dst, src, length FROM links) WHERE src <> dst GROUP BY src, dst),
-    r(src, dst, length, n) AS (SELECT DISTINCT src, src, CAST(0 AS DOUBLE), 0 FROM w UNION SELECT r.src, w.dst, min(r.length + w.length), n + 1 FROM r JOIN w ON w.src = r.dst WHERE n < 9 GROUP BY r.src, w.dst, n)
-    SELECT src, dst, min(length) AS length FROM r GROUP BY src, dst""")
+@query(f"WITH RECURSIVE {_LENGTHS} SELECT * FROM sp")
 def dijkstra(s, d):
     return graph.weighted(links(s, d))
 
 
-@query(f"""WITH {LINKS} SELECT DISTINCT a AS src, b AS dst FROM (SELECT CASE WHEN src % 5 = 4 THEN src - 4 ELSE src END AS a, CASE WHEN dst % 5 = 4 THEN dst - 4 ELSE dst END AS b FROM both_ways) WHERE a <> b""")
+_MERGE = f"""{LINKS}, m AS (SELECT n, CASE WHEN n % 5 = 4 THEN n - 4 ELSE n END AS node FROM n), moved AS (SELECT a.node AS src, b.node AS dst, length FROM links JOIN m a ON a.n = src JOIN m b ON b.n = dst WHERE a.node <> b.node)"""
+
+
+def _merged(s, d):
+    nodes = table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"))
+    mapping = nodes.where("node % 5 = 4").select(F.col("node").alias("old"), (F.col("node") - 4).alias("new"))
+    return graph.merged_nodes(nodes.withColumn("features", F.array(F.col("node") * 3 % 10, F.col("node") % 4 + 10)), links(s, d), mapping)
+
+
+@query(f"""WITH {_MERGE}, f AS (SELECT DISTINCT node, unnest([n * 3 % 10, n % 4 + 10]) AS f FROM m), g AS (SELECT node, string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) AS features FROM f GROUP BY node),
+    e AS (SELECT src, dst FROM moved UNION SELECT dst, src FROM moved), a AS (SELECT src AS node, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM e GROUP BY src)
+    SELECT node, features, neighbours FROM g LEFT JOIN a USING (node)""")
 def node_merge(s, d):
-    e = links(s, d)
-    mapping = e.select(F.col("src").alias("old")).distinct().where("old % 5 = 4").withColumn("new", F.col("old") - 4)
-    return graph.merged_nodes(e.select(F.col("src").alias("node")), e, mapping)[1]
+    nodes, edges, _ = _merged(s, d)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    near = graph.adjacency(edges).select(F.col("src").alias("node"), joined("neighbours").alias("neighbours"))
+    return nodes.select("node", joined("features").alias("features")).join(near, "node", "left")
 
 
-_PATHS = f"""{LINKS}, r(src, dst, path) AS (SELECT DISTINCT src, src, [src] FROM both_ways UNION ALL SELECT r.src, b.dst, list_append(path, b.dst) FROM r JOIN both_ways b ON b.src = r.dst WHERE len(path) < 6 AND NOT list_contains(path, b.dst)),
-    sp AS (SELECT src, dst, arg_min(path, (len(path), path)) AS path FROM r GROUP BY src, dst)"""
+@query(f"WITH {_MERGE} SELECT src, dst, length, count(*) AS n FROM moved GROUP BY ALL")
+def node_merge_paths(s, d):
+    """Paths between the new labels: those inside a merged node go."""
+    return _merged(s, d)[2].groupBy("src", "dst", "length").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {_PATHS}, v AS (SELECT c_custkey % 40 AS claim_id, c_custkey AS seq, CAST(c_nationkey AS BIGINT) AS node FROM customer WHERE c_custkey < 200),
-    p AS (SELECT *, lead(node) OVER (PARTITION BY claim_id ORDER BY seq) AS nx FROM v), k AS (SELECT p.*, sp.path FROM p LEFT JOIN sp ON sp.src = p.node AND sp.dst = p.nx),
+@query(f"""WITH RECURSIVE {_PATHS}, v AS (SELECT c_custkey // 50 AS claim_id, c_custkey AS seq, CAST(c_nationkey AS BIGINT) AS node FROM customer),
+    q AS (SELECT *, lead(node) OVER (PARTITION BY claim_id ORDER BY seq) AS nx FROM v), k AS (SELECT q.*, sp.path FROM q LEFT JOIN sp ON sp.src = q.node AND sp.dst = q.nx),
     f AS (SELECT *, coalesce(max(CASE WHEN nx IS NOT NULL AND path IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY claim_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broken FROM k)
     SELECT claim_id, array_to_string(flatten(list(CASE WHEN path IS NULL THEN [CAST(node AS VARCHAR)] ELSE list_transform(path[1:len(path) - 1], lambda x: CAST(x AS VARCHAR)) END ORDER BY seq)), '>') AS node_path FROM f WHERE broken = 0 GROUP BY claim_id""")
 def expand_path(s, d):
-    v = table(s, d, "customer").where("c_custkey < 200").select((F.col("c_custkey") % 40).alias("claim_id"), F.col("c_custkey").alias("seq"), F.col("c_nationkey").cast("bigint").alias("node"))
-    out = graph.expanded_path(v, graph.shortest_paths(links(s, d), 5), ["claim_id"])
+    v = table(s, d, "customer").select(F.expr("c_custkey div 50").alias("claim_id"), F.col("c_custkey").alias("seq"), F.col("c_nationkey").cast("bigint").alias("node"))
+    out = graph.expanded_path(v, graph.shortest_paths(links(s, d)), ["claim_id"])
     return out.select("claim_id", F.array_join(F.transform("node_path", lambda x: x.cast("string")), ">").alias("node_path"))
 
 
@@ -348,22 +473,27 @@ def claim_node_lookup(s, d):
     return c.select(F.col("c_custkey").alias("claim_id"), F.col("c_nationkey").cast("bigint").alias("node"), F.col("r_name").alias("region"))
 
 
-@query(f"""WITH RECURSIVE {LINKS}, w AS (SELECT src, dst, min(length) AS length FROM (SELECT * FROM links UNION ALL SELECT dst, src, length FROM links) WHERE src <> dst GROUP BY src, dst),
-    r(src, dst, length, n) AS (SELECT DISTINCT src, src, CAST(0 AS DOUBLE), 0 FROM w UNION SELECT r.src, w.dst, min(r.length + w.length), n + 1 FROM r JOIN w ON w.src = r.dst WHERE n < 9 GROUP BY r.src, w.dst, n),
-    sp AS (SELECT src, dst, min(length) AS length FROM r GROUP BY src, dst), v AS (SELECT c_custkey % 40 AS claim_id, CAST(c_nationkey AS BIGINT) AS node, lead(CAST(c_nationkey AS BIGINT)) OVER (PARTITION BY c_custkey % 40 ORDER BY c_custkey) AS nx FROM customer WHERE c_custkey < 200),
+@query(f"""WITH RECURSIVE {_LENGTHS}, v AS (SELECT c_custkey // 50 AS claim_id, CAST(c_nationkey AS BIGINT) AS node, lead(CAST(c_nationkey AS BIGINT)) OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) AS nx FROM customer),
     t AS (SELECT claim_id, sum(sp.length) AS topo, count(*) * 6.0 AS pdr FROM v JOIN sp ON sp.src = v.node AND sp.dst = v.nx GROUP BY claim_id)
     SELECT claim_id, round(least(greatest(1 - abs(pdr - topo) / greatest(abs(pdr), abs(topo), 1e-9), 0), 1), 6) AS s_length FROM t""")
 def length_score(s, d):
     w = Window.partitionBy("claim_id").orderBy("c_custkey")
-    v = table(s, d, "customer").where("c_custkey < 200").select((F.col("c_custkey") % 40).alias("claim_id"), "c_custkey", F.col("c_nationkey").cast("bigint").alias("src"))
+    v = table(s, d, "customer").select(F.expr("c_custkey div 50").alias("claim_id"), "c_custkey", F.col("c_nationkey").cast("bigint").alias("src"))
     legs = v.withColumn("dst", F.lead("src").over(w)).where("dst is not null").join(graph.weighted(links(s, d)), ["src", "dst"])
     t = legs.groupBy("claim_id").agg(F.sum("length").alias("topo"), (F.count("*") * 6.0).alias("pdr"))
     return t.select("claim_id", F.round(C.relative_score("pdr", "topo"), 6).alias("s_length"))
 
 
-@query(f"""WITH {REGIONS} SELECT claim_id, round(CASE WHEN claim_id % 9 = 0 THEN 0.0 ELSE .5 * .5 + .5 * CASE WHEN len(list_distinct(list_concat(claimed, detected))) = 0 THEN 1.0 ELSE CAST(len(list_distinct(list_intersect(claimed, detected))) AS DOUBLE) / len(list_distinct(list_concat(claimed, detected))) END END, 6) AS s_topo FROM regions""")
+@query(f"""WITH RECURSIVE {LINKS}, {_HOPS}, {REGIONS}, {CANDIDATE_LCS}, l AS (SELECT claim_id, claimed, detected, CAST(line[-1] AS DOUBLE) / greatest(len(claimed), len(detected)) AS lcs FROM r WHERE i = len(claimed))
+    SELECT claim_id, round(CASE WHEN distance IS NULL THEN 0.0 ELSE .5 * lcs + .5 * CAST(len(list_distinct(list_intersect(claimed, detected))) AS DOUBLE) / len(list_distinct(list_concat(claimed, detected))) END, 6) AS s_topo
+    FROM l LEFT JOIN hops ON src = claim_id % 25 AND dst = claim_id % 27""")
 def topology_score(s, d):
-    return regions(s, d).select("claim_id", F.round(scores.topology(F.lit(0.5), C.jaccard("claimed", "detected"), F.col("claim_id") % 9 != 0), 6).alias("s_topo"))
+    """Longest common part with the detected rows of the grid and shared regions, where the states are connected."""
+    row = lambda x: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.substring(x, 1, 1), i.cast("string")))
+    r = regions(s, d).withColumn("sets", F.transform("detected", row)).withColumn("src", F.col("claim_id") % 25).withColumn("dst", F.col("claim_id") % 27)
+    told = r.join(F.broadcast(graph.hops(links(s, d))), ["src", "dst"], "left")
+    score = scores.topology(C.lcs_candidates("claimed", "sets"), C.jaccard("claimed", "detected"), F.col("distance").isNotNull())
+    return told.select("claim_id", F.round(score, 6).alias("s_topo"))
 
 
 @query("""WITH a AS (SELECT r_regionkey AS id, n_nationkey AS k FROM region JOIN nation ON n_regionkey = r_regionkey) SELECT id, CAST(sum(k) AS BIGINT) AS total, count(*) AS n FROM a GROUP BY id""")
@@ -380,24 +510,27 @@ def concat_checked(s, d):
     return both.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("x"), 5).alias("mean_first"))
 
 
-@query("""WITH s AS (SELECT o_orderkey, o_totalprice / 1000 AS x, o_orderpriority AS g FROM orders), b AS (SELECT g, greatest(avg(x) - 1.5 * stddev_pop(x), 0) AS cut FROM s GROUP BY g) SELECT g AS label, count(*) AS candidates FROM s JOIN b USING (g) WHERE x < cut GROUP BY g""")
+@query("""WITH s AS (SELECT o_totalprice AS v, o_orderpriority AS g FROM orders), m AS (SELECT min(v) AS lo, max(v) AS hi FROM s), z AS (SELECT g, (v - lo) / (hi - lo) AS x FROM s, m),
+    b AS (SELECT g, greatest(avg(x) - 1.5 * stddev_pop(x), 0) AS cut FROM z GROUP BY g) SELECT g AS label, count(*) AS candidates, round(any_value(cut), 6) AS threshold FROM z JOIN b USING (g) WHERE x < cut GROUP BY g""")
 def merge_candidates(s, d):
-    """Pairs nearer than the mean less k deviations, floor 0."""
-    o = table(s, d, "orders").select("o_orderpriority", (F.col("o_totalprice") / 1000).alias("x"))
-    w = Window.partitionBy("o_orderpriority")
-    low = o.withColumn("cut", F.greatest(F.avg("x").over(w) - 1.5 * F.stddev_pop("x").over(w), F.lit(0.0)))
-    return low.where("x < cut").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("candidates"))
-
-
-@query(f"""WITH {TRACE}, f AS (SELECT trace_id, avg(value) AS x, stddev_pop(value) AS y FROM trace GROUP BY trace_id), o AS (SELECT min(trace_id) AS t FROM f), z AS (SELECT x AS x0, y AS y0, radians(30.0) AS a FROM f, o WHERE trace_id = t)
-    SELECT trace_id, round((x - x0) * cos(a) + (y - y0) * sin(a), 5) AS u, round((y - y0) * cos(a) - (x - x0) * sin(a), 5) AS v FROM f, z""")
+    """Distances between their least and largest, and of each group those below its mean less k deviations, floor 0."""
+    o = table(s, d, "orders").select(F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("v"))
+    ends = o.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    z = o.crossJoin(F.broadcast(ends)).select("label", ((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"))
+    cut = z.groupBy("label").agg(F.greatest(F.avg("x") - 1.5 * F.stddev_pop("x"), F.lit(0.0)).alias("cut"))
+    return z.join(F.broadcast(cut), "label").where("x < cut").groupBy("label").agg(F.count("*").alias("candidates"), F.round(F.first("cut"), 6).alias("threshold"))
+
+
+@query(f"""WITH {TRACE}, h AS (SELECT trace_id, row_idx, radians(fmod(value * 7.0, 360.0)) AS a FROM trace),
+    pts AS (SELECT trace_id, row_idx, sum(cos(a)) OVER w AS x, sum(sin(a)) OVER w AS y FROM h WINDOW w AS (PARTITION BY trace_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    e AS (SELECT trace_id, max(x) FILTER (row_idx = 0) AS xa, max(y) FILTER (row_idx = 0) AS ya, max(x) FILTER (row_idx = 10) AS xb, max(y) FILTER (row_idx = 10) AS yb FROM pts GROUP BY trace_id),
+    t AS (SELECT xa AS txa, ya AS tya, xb AS txb, yb AS tyb FROM e WHERE trace_id = 0), r AS (SELECT e.*, t.*, coalesce(atan2(tyb - tya, txb - txa) - atan2(yb - ya, xb - xa), 0) AS turn FROM e, t)
+    SELECT trace_id, row_idx, round(txa + (x - xa) * cos(turn) - (y - ya) * sin(turn), 5) AS u, round(tya + (x - xa) * sin(turn) + (y - ya) * cos(turn), 5) AS v FROM pts JOIN r USING (trace_id)""")
 def align_paths(s, d):
-    """Points moved to a common start and turned by its heading."""
-    f = trace(s, d).groupBy("trace_id").agg(F.avg("value").alias("x"), F.stddev_pop("value").alias("y"))
-    zero = f.agg(F.min_by(F.struct("x", "y"), "trace_id").alias("z")).select(F.col("z.x").alias("x0"), F.col("z.y").alias("y0"))
-    a = F.radians(F.lit(30.0))
-    dx, dy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-    return f.crossJoin(F.broadcast(zero)).select("trace_id", F.round(dx * F.cos(a) + dy * F.sin(a), 5).alias("u"), F.round(dy * F.cos(a) - dx * F.sin(a), 5).alias("v"))
+    """All paths moved to the start of the first and turned to its first steps."""
+    t = trace(s, d).withColumn("heading", F.expr("(value * 7.0D) % 360.0D")).withColumn("length", F.lit(1.0))
+    p = frames.cumulative_path(t, "length", "heading").select("trace_id", "row_idx", "x", "y")
+    return frames.aligned(p, 0).select("trace_id", "row_idx", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"))
 
 
 @query(f"""WITH {REGIONS}, lib AS (SELECT claim_id % 30 AS ref, array_to_string(claimed, ',') AS trace FROM regions) SELECT ref, trace, count(*) AS n FROM lib GROUP BY ALL""")
@@ -405,11 +538,11 @@ def reference_library(s, d):
     return regions(s, d).groupBy((F.col("claim_id") % 30).alias("ref"), F.array_join("claimed", ",").alias("trace")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY md5('proxy|' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r FROM orders WHERE o_orderkey % 20 = 0), h AS (SELECT *, sha256('p-' || CAST(o_orderkey AS VARCHAR)) AS h FROM a WHERE r <= 34)
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY md5('proxy|' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r FROM orders), h AS (SELECT *, sha256('p-' || CAST(o_orderkey AS VARCHAR)) AS h FROM a WHERE r <= 34)
     SELECT o_orderkey, round((o_custkey % 100) / 100.0 + (CAST(('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)) AS BIGINT) / 4294967296.0 - 0.5) * 2 * 0.035, 8) AS movement, true AS is_synthetic FROM h""")
 def proxy_noise(s, d):
     """At most 34 attack rows with keyed noise; the number is the feature."""
-    o = table(s, d, "orders").where("o_orderkey % 20 = 0").orderBy(F.md5(F.concat(F.lit("proxy|"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(34)
+    o = table(s, d, "orders").orderBy(F.md5(F.concat(F.lit("proxy|"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(34)
     return o.select("o_orderkey", F.round((F.col("o_custkey") % 100) / 100.0 + C.stable_noise(F.concat(F.lit("p-"), F.col("o_orderkey").cast("string"))), 8).alias("movement"), F.lit(True).alias("is_synthetic"))
 
 
@@ -421,74 +554,101 @@ def _vectors(s, d):
 
 
 _D = "CAST(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DOUBLE)"
-_NEAR = f"""WITH a AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 25 = 3), b AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 25 <> 3), p AS (SELECT a.vec_id, b.label, b.vec_id AS other, {_D} AS dist FROM a, b)"""
+_NEAR = f"""WITH b AS (SELECT * FROM (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 30),
+    p AS (SELECT a.vec_id, b.label, b.vec_id AS other, {_D} AS dist FROM embeddings a JOIN b ON a.vec_id <> b.vec_id)"""
 
 
-def _distances(s, d):
-    """Local vectors against the labelled templates: the templates are a bounded set of anchors."""
+def _against_templates(s, d):
+    """Every vector with the templates of each label and its distances to them."""
     v = _vectors(s, d)
-    return v.where("vec_id % 25 = 3").select("vec_id", F.col("v").alias("a")).crossJoin(v.where("vec_id % 25 <> 3").select(F.col("vec_id").alias("other"), "label", F.col("v").alias("b"))).withColumn("dist", C.euclidean("a", "b"))
+    listed = distances.templates(v, "vec_id", "label", ["v"])
+    both = distances.with_templates(v.select("vec_id", F.col("v").alias("own")), listed, "vec_id")
+    return both.withColumn("dist", F.transform("items", lambda x: C.euclidean(F.col("own"), x["v"])))
 
 
 @query(f"{_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY dist) AS r FROM p), m AS (SELECT vec_id, label, avg(dist) AS m FROM r WHERE r <= 3 GROUP BY ALL) SELECT vec_id, arg_min(label, (m, label)) AS label, round(min(m), 5) AS mean_distance FROM m GROUP BY vec_id")
 def euclid_topk(s, d):
-    return report.smallest_mean(_distances(s, d), ["vec_id"], "label", "dist", 3).select("vec_id", "label", F.round("mean_distance", 5).alias("mean_distance"))
+    near = _against_templates(s, d).select("vec_id", F.struct(distances.nearest_mean(F.col("dist"), 3).alias("m"), "label").alias("one")).where("one.m is not null")
+    return near.groupBy("vec_id").agg(F.min("one").alias("b")).select("vec_id", F.col("b.label").alias("label"), F.round("b.m", 5).alias("mean_distance"))
 
 
 @query(f"{_NEAR} SELECT vec_id, label, round(avg(1 / (1 + dist / 8)), 6) AS similarity FROM p GROUP BY ALL")
 def template_similarity(s, d):
-    out = _distances(s, d).withColumn("sim", C.similarity(F.col("dist") / 8))
-    return out.groupBy("vec_id", "label").agg(F.round(F.avg("sim"), 6).alias("similarity"))
+    mean = C.array_mean(F.transform("dist", lambda x: C.similarity(x / 8)))
+    return _against_templates(s, d).where(F.size("dist") > 0).select("vec_id", "label", F.round(mean, 6).alias("similarity"))
+
+
+def _scaled(values: str):
+    """An array between its least and largest value."""
+    low, high = F.array_min(values), F.array_max(values)
+    return F.transform(values, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(0.0))
+
+
+def _against_all(s, d):
+    """Every vector with all templates in one list."""
+    v = _vectors(s, d)
+    listed = distances.templates(v, "vec_id", "label", ["v"])
+    flat = listed.select(F.lit("all").alias("label"), F.explode("items").alias("x"), F.col("label").alias("of")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("x.vec_id", "x.v", "of"))).alias("items"))
+    both = distances.with_templates(v.select("vec_id", F.col("v").alias("own")), flat, "vec_id").drop("label")
+    return both.withColumn("dist", F.transform("items", lambda x: C.euclidean(F.col("own"), x["v"])))
 
 
 @query(f"""{_NEAR}, q AS (SELECT *, (dist - min(dist) OVER w) / (max(dist) OVER w - min(dist) OVER w) AS meg, CAST(other % 17 AS DOUBLE) / 16 AS lte FROM p WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, other, round(sqrt(pow(.3 * meg, 2) + pow(.7 * lte, 2)), 5) AS fused FROM q""")
 def fused_distance(s, d):
-    q = _distances(s, d).withColumn("meg", report.minmax("dist", Window.partitionBy("vec_id"))).withColumn("lte", F.col("other") % 17 / 16.0)
-    return q.select("vec_id", "other", F.round(C.fused_distance("meg", "lte"), 5).alias("fused"))
+    q = _against_all(s, d).withColumn("meg", _scaled("dist")).select("vec_id", F.explode(F.arrays_zip(F.col("items.vec_id").alias("other"), F.col("meg").alias("meg"))).alias("x"))
+    return q.select("vec_id", F.col("x.other").alias("other"), F.round(C.fused_distance(F.col("x.meg"), F.col("x.other") % 17 / 16.0), 5).alias("fused"))
 
 
-_HALF = f"WITH p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, {_D} AS dist FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
+_HALF = f"WITH p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, {_D} AS dist FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"
 
 
-def _half(s, d):
-    return joins.pairs(_vectors(s, d), "vec_id", ["v"], ["label"]).withColumn("d", C.euclidean("v_i", "v_j"))
+def _within(s, d, part=None):
+    v = _vectors(s, d)
+    return distances.totals(v if part is None else v.withColumn("v", part), "vec_id", "v", "label").withColumn("label", F.col("label").cast(dict(v.dtypes)["label"]))
 
 
-@query(f"{_HALF}, u AS (SELECT label, i, dist FROM p UNION ALL SELECT label, j, dist FROM p) SELECT label, i AS vec_id, round(avg(dist), 5) AS mean_distance FROM u GROUP BY ALL")
+@query(f"{_HALF} SELECT label, i AS vec_id, round(avg(dist), 5) AS mean_distance FROM p GROUP BY ALL")
 def pairwise_distances(s, d):
-    h = _half(s, d).select("label", "i", "j", "d")
-    both = h.select("label", F.col("i").alias("vec_id"), "d").unionByName(h.select("label", F.col("j").alias("vec_id"), "d"))
-    return both.groupBy("label", "vec_id").agg(F.round(F.avg("d"), 5).alias("mean_distance"))
+    return _within(s, d).select("label", F.col("key").alias("vec_id"), F.round(F.col("total") / F.col("n"), 5).alias("mean_distance"))
 
 
-@query(f"{_HALF}, u AS (SELECT label, i, dist FROM p UNION ALL SELECT label, j, dist FROM p), m AS (SELECT label, i, min(dist) AS m FROM u GROUP BY ALL), q AS (SELECT label, quantile_cont(m, 0.75) AS q FROM m GROUP BY label) SELECT label, i AS vec_id FROM m JOIN q USING (label) WHERE m <= q")
+@query(f"{_HALF}, m AS (SELECT label, i, min(dist) AS m FROM p GROUP BY ALL), q AS (SELECT label, quantile_cont(m, 0.75) AS q FROM m GROUP BY label) SELECT label, i AS vec_id FROM m JOIN q USING (label) WHERE m <= q")
 def pseudo_anchor_prune(s, d):
     """Keeps what has a near neighbour: least distance up to the third quartile."""
-    h = _half(s, d).select("label", "i", "j", "d")
-    least = h.select("label", F.col("i").alias("vec_id"), "d").unionByName(h.select("label", F.col("j").alias("vec_id"), "d")).groupBy("label", "vec_id").agg(F.min("d").alias("m"))
-    q = least.groupBy("label").agg(F.percentile("m", 0.75).alias("q"))
-    return least.join(q, "label").where("m <= q").select("label", "vec_id")
+    least = stored(_within(s, d).select("label", F.col("key").alias("vec_id"), "least"), "least-distances")
+    q = least.groupBy("label").agg(F.percentile("least", 0.75).alias("q"))
+    return least.join(F.broadcast(q), "label").where("least <= q").select("label", "vec_id")
 
 
-@query(f"{_HALF}, u AS (SELECT label, i, dist FROM p UNION ALL SELECT label, j, dist FROM p), t AS (SELECT label, i, sum(dist) AS t FROM u GROUP BY ALL) SELECT label, arg_min(i, (t, i)) AS medoid, round(min(t), 4) AS total_distance FROM t GROUP BY label")
+@query(f"{_HALF}, t AS (SELECT label, i, sum(dist) AS t FROM p GROUP BY ALL) SELECT label, arg_min(i, (t, i)) AS medoid, round(min(t), 4) AS total_distance FROM t GROUP BY label")
 def medoid(s, d):
-    return report.medoids(_half(s, d), ["label"]).select("label", "medoid", F.round("total_distance", 4).alias("total_distance"))
+    return distances.medoids(_within(s, d)).select("label", "medoid", F.round("total_distance", 4).alias("total_distance"))
+
+
+_ACROSS = f"""WITH p AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, {_D} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), m AS (SELECT i, li, lj, avg(dist) AS m FROM p WHERE NOISE GROUP BY ALL),
+    o AS (SELECT i, min(m) FILTER (li = lj) AS a, min(m) FILTER (li <> lj) AS b FROM m GROUP BY i) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM o"""
+
+
+def _across(s, d):
+    return distances.totals(_vectors(s, d), "vec_id", "v", "label", within=False)
 
 
-@query(f"""WITH g AS (SELECT * FROM embeddings WHERE vec_id % 5 = 0), p AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, {_D} AS dist FROM g a JOIN g b ON a.vec_id <> b.vec_id), m AS (SELECT i, li, lj, avg(dist) AS m FROM p GROUP BY ALL),
-    o AS (SELECT i, min(m) FILTER (li = lj) AS a, min(m) FILTER (li <> lj) AS b FROM m GROUP BY i) SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM o""")
+@query(_ACROSS.replace("NOISE", "true"))
 def silhouette(s, d):
-    v = _vectors(s, d).where("vec_id % 5 = 0")
-    pairs = v.select(F.col("vec_id").alias("i"), F.col("v").alias("a")).crossJoin(v.select(F.col("vec_id").alias("j"), F.col("v").alias("b"))).select("i", "j", C.euclidean("a", "b").alias("d"))
-    out = report.silhouette(pairs, v.select(F.col("vec_id").alias("i"), "label"))
-    return out.select(F.round("silhouette", 6).alias("silhouette"), "n")
+    return distances.silhouette(_across(s, d)).select(F.round("silhouette", 6).alias("silhouette"), "n")
 
 
-@query(f"WITH g AS (SELECT * FROM embeddings WHERE vec_id % 4 = 0) SELECT a.label AS left_label, b.label AS right_label, round(avg({_D}), 5) AS distance FROM g a JOIN g b ON a.label < b.label GROUP BY ALL")
+@query(_ACROSS.replace("NOISE", "CAST(li AS VARCHAR) <> '0' AND CAST(lj AS VARCHAR) <> '0'"))
+def silhouette_without_noise(s, d):
+    """One label is noise and takes no part."""
+    return distances.silhouette(_across(s, d), "0").select(F.round("silhouette", 6).alias("silhouette"), "n")
+
+
+@query(f"SELECT a.label AS left_label, b.label AS right_label, round(avg({_D}), 5) AS distance FROM embeddings a JOIN embeddings b ON a.label < b.label GROUP BY ALL")
 def set_distance(s, d):
-    v = _vectors(s, d).where("vec_id % 4 = 0")
-    p = v.select(F.col("label").alias("left_label"), F.col("v").alias("a")).join(v.select(F.col("label").alias("right_label"), F.col("v").alias("b")), F.col("left_label") < F.col("right_label"))
-    return p.groupBy("left_label", "right_label").agg(F.round(F.avg(C.euclidean("a", "b")), 5).alias("distance"))
+    label = dict(_vectors(s, d).dtypes)["label"]
+    pairs = _across(s, d).select(F.col("label").cast(label).alias("left_label"), F.col("other_label").cast(label).alias("right_label"), "total", "n").where("left_label < right_label")
+    return pairs.groupBy("left_label", "right_label").agg(F.round(F.sum("total") / F.sum("n"), 5).alias("distance"))
 
 
 @query("SELECT o_orderpriority AS attack, 's' || CAST(o_orderkey % 3 AS VARCHAR) AS kind, count(*) AS n, round(avg(o_totalprice), 4) AS mean_score FROM orders WHERE o_totalprice IS NOT NULL GROUP BY ALL")
@@ -502,19 +662,11 @@ def ablation_joins(s, d):
     return _fused(s, d).where("not missing_s_topo").select("sample_key", F.round("s_topo", 6).alias("s_topo"), F.round("s_signal", 6).alias("s_signal"))
 
 
-_FUZZY = """lib AS (SELECT DISTINCT claim_id AS reference_id, claimed AS ref FROM regions WHERE claim_id < 300),
-    r(claim_id, a, reference_id, b, i, line) AS (
-    SELECT q.claim_id, q.claimed, lib.reference_id, lib.ref, 0, list_transform(range(0, len(lib.ref) + 1), lambda j: 0) FROM regions q, lib WHERE q.claim_id >= 300 AND q.claim_id % 50 = 5
-    UNION ALL
-    SELECT claim_id, a, reference_id, b, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [CAST(j AS INT)]), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j[1]] THEN line[j[1]] + 1 ELSE greatest(line[j[1] + 1], acc[-1]) END), [0]) FROM r WHERE i < len(a))"""
-
-
-@query(f"WITH RECURSIVE {REGIONS}, {_FUZZY}, z AS (SELECT claim_id, reference_id, CAST(line[-1] AS DOUBLE) / greatest(len(a), len(b)) AS l FROM r WHERE i = len(a)) SELECT claim_id, arg_min(reference_id, (-l, reference_id)) AS reference_id, round(max(l), 6) AS likeness FROM z GROUP BY claim_id")
+@query(f"WITH RECURSIVE {REGIONS}, asked AS (SELECT claim_id, claimed FROM regions), {_LCS_LIB} SELECT claim_id, reference_id, round(likeness, 6) AS likeness FROM best")
 def fuzzy_trace_key(s, d):
-    r = regions(s, d)
-    refs = r.where("claim_id < 300").select(F.col("claim_id").alias("reference_id"), F.col("claimed").alias("ref"))
-    asked = r.where("claim_id >= 300 and claim_id % 50 = 5").select("claim_id", "claimed")
-    return joins.closest_key(asked, refs, "claimed", "ref").select("claim_id", "reference_id", F.round("likeness", 6).alias("likeness"))
+    """All claims against the library of routes."""
+    asked = regions(s, d).select("claim_id", "claimed")
+    return joins.closest_key(asked, _library(s, d), "claim_id", "claimed", "ref").select("claim_id", "reference_id", F.round("likeness", 6).alias("likeness"))
 
 
 # -- kernels and models (no SQL; tested against brute force) ---------------------
@@ -532,18 +684,33 @@ def _dtw_udf(squared: bool = False):
     return dtw
 
 
+def _reduced(s, d):
+    """Vectors in their first 20 principal components, which whole vectors go into."""
+    v = _vectors(s, d)
+    return stored(principal_components(v, "vec_id", "v", 20).join(v.select("vec_id", "label"), "vec_id").withColumnRenamed("components", "v"), "reduced")
+
+
 @query(None)
 def dtw_pairs(s, d):
-    v = _vectors(s, d).withColumn("v", F.slice("v", 1, 20))
-    p = joins.pairs(v, "vec_id", ["v"], ["label"])
+    """The distance matrix of each label's templates."""
+    r = _reduced(s, d)
+    kept = distances.templates(r, "vec_id", "label", ["v"]).select("label", F.explode("items").alias("x")).select("label", "x.vec_id", "x.v")
+    p = joins.pairs(kept, "vec_id", ["v"], ["label"])
     return p.select("label", "i", "j", F.round(_dtw_udf()("v_i", "v_j"), 6).alias("dtw"), F.round(_dtw_udf(True)("v_i", "v_j"), 6).alias("dtw_squared"))
 
 
 @query(None)
 def dtw_global_match(s, d):
-    q = _distances(s, d).withColumn("a", F.slice("a", 1, 20)).withColumn("b", F.slice("b", 1, 20)).withColumn("w", _dtw_udf()("a", "b"))
-    q = q.withColumn("meg", report.minmax("w", Window.partitionBy("vec_id"))).withColumn("lte", report.minmax("dist", Window.partitionBy("vec_id"))).withColumn("fused", C.fused_distance("meg", "lte"))
-    return report.smallest_mean(q, ["vec_id"], "label", "fused", 3)
+    """The label whose three nearest templates are nearest on average, warped and straight distances fused."""
+    r = _reduced(s, d)
+    listed = distances.templates(r, "vec_id", "label", ["v"])
+    q = distances.with_templates(r.select("vec_id", F.col("v").alias("a")), listed, "vec_id").select("vec_id", "a", "label", F.explode("items").alias("x"))
+    q = q.select("vec_id", "label", _dtw_udf()("a", F.col("x.v")).alias("w"), C.euclidean(F.col("a"), F.col("x.v")).alias("dist"))
+    each = q.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("label", "w", "dist"))).alias("t"))
+    each = each.select("vec_id", "t", F.col("t.w").alias("w"), F.col("t.dist").alias("dist"))
+    fused = each.withColumn("meg", _scaled("w")).withColumn("lte", _scaled("dist")).select("vec_id", F.explode(F.arrays_zip(F.col("t.label").alias("label"), F.col("meg").alias("meg"), F.col("lte").alias("lte"))).alias("x"))
+    fused = fused.select("vec_id", F.col("x.label").alias("label"), C.fused_distance(F.col("x.meg"), F.col("x.lte")).alias("fused"))
+    return report.smallest_mean(fused, ["vec_id"], "label", "fused", 3)
 
 
 def _by_trace(s, d, f, schema):
@@ -597,19 +764,40 @@ def wavelet_denoise(s, d):
     return _smoothed(s, d, K.denoised)
 
 
-@query(None)
+def _gaussian_sql(sigma: float, value: str, out: str) -> str:
+    reach = int(4 * sigma + 0.5)
+    return f"""WITH {TRACE}, s AS (SELECT trace_id, row_idx, {value} AS v, count(*) OVER (PARTITION BY trace_id) AS n FROM trace),
+    w AS (SELECT k, exp(-0.5 * k * k / {sigma * sigma}) / sum(exp(-0.5 * k * k / {sigma * sigma})) OVER () AS w FROM (SELECT unnest(range(-{reach}, {reach + 1})) AS k)),
+    q AS (SELECT trace_id, row_idx, w, n, (row_idx + k + 100 * n) % (2 * n) AS m FROM s, w)
+    SELECT q.trace_id, q.row_idx, {out} FROM q JOIN s ON s.trace_id = q.trace_id AND s.row_idx = CASE WHEN m < q.n THEN m ELSE 2 * q.n - 1 - m END GROUP BY q.trace_id, q.row_idx"""
+
+
+@query(_gaussian_sql(2.0, "value", "round(sum(w * v), 6) AS value"))
 def gaussian_smooth(s, d):
-    return _smoothed(s, d, lambda x: K.gaussian(x, 2.0))
+    return frames.gaussian(trace(s, d), "value", "value", 2.0).select("trace_id", "row_idx", F.round("value", 6).alias("value"))
 
 
 @query(None)
 def meg_preprocess(s, d):
-    return _smoothed(s, d, K.magnetic)
+    """Filled, denoised, smoothed and standardised; the current segment weighs four times."""
+    return _smoothed(s, d, K.magnetic).withColumn("current", 4 * F.col("value"))
 
 
-@query(None)
+@query(_gaussian_sql(1.5, "CASE WHEN event_id % 7 = 0 THEN value ELSE 0 END", "round(sum(w * v), 6) AS value, round(4 * sum(w * v), 6) AS current"))
 def lte_preprocess(s, d):
-    return _smoothed(s, d, K.cellular)
+    """Missing values are 0, then smoothed; the current segment weighs four times."""
+    t = trace(s, d).withColumn("sparse", F.when(F.col("event_id") % 7 == 0, F.col("value")))
+    return frames.gaussian(t, "sparse", "v", 1.5).select("trace_id", "row_idx", F.round("v", 6).alias("value"), F.round(4 * F.col("v"), 6).alias("current"))
+
+
+@query(f"""WITH {TRACE}, c AS (SELECT *, avg(value) OVER (PARTITION BY trace_id ORDER BY row_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m5,
+        avg(CASE WHEN event_id % 7 = 0 THEN value ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY row_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS lte FROM trace)
+    SELECT trace_id, row_idx, round((m5 - avg(m5) OVER p) / CASE WHEN stddev_pop(m5) OVER p = 0 THEN 1 ELSE stddev_pop(m5) OVER p END, 6) AS meg, round(lte, 6) AS lte FROM c WINDOW p AS (PARTITION BY trace_id)""")
+def detection_preprocess(s, d):
+    """What detection prepares: the field smoothed over five rows and standardised, signals with 0 for missing smoothed over three."""
+    t = trace(s, d).withColumn("sparse", F.when(F.col("event_id") % 7 == 0, F.col("value")).otherwise(0.0))
+    t = frames.zscore(frames.centred_mean(frames.centred_mean(t, "value", "m5", 5), "sparse", "lte", 3), "m5", "meg")
+    return t.select("trace_id", "row_idx", F.round("meg", 6).alias("meg"), F.round("lte", 6).alias("lte"))
 
 
 @query(None)
@@ -642,15 +830,20 @@ def pca_reduce(s, d):
 
 @query(None)
 def pca_variants(s, d):
-    """Components fitted on each half of the vectors by itself."""
+    """The numbers of components that are used: 2 to show, 20 to match, 30 to cluster."""
     v = _vectors(s, d)
-    halves = [principal_components(v.where(f"vec_id % 2 = {k}"), "vec_id", "v", n).withColumn("half", F.lit(k)) for k, n in ((0, 2), (1, 2))]
-    return halves[0].unionByName(halves[1])
+    return reduce(lambda a, b: a.unionByName(b), [principal_components(v, "vec_id", "v", k).withColumn("k", F.lit(k)) for k in (2, 20, 30)])
 
 
 @query(None)
 def kmeans_states(s, d):
-    return assembled_kmeans(_vectors(s, d), "vec_id", "v", 10)
+    """States by k-means on rows of the distance matrix to the templates, the best of twenty starts."""
+    rows = stored(_against_all(s, d).select("vec_id", F.transform("items", lambda x: C.euclidean(F.col("own"), x["v"])).alias("row"), F.col("items.vec_id").alias("others")), "distance-rows")
+    width = rows.agg(F.max(F.size("row"))).first()[0]
+    # A template's own place, which has no distance, holds 0, so that all rows are as wide.
+    every = rows.where(F.size("row") == width).select("others").limit(1)
+    full = rows.crossJoin(F.broadcast(every.withColumnRenamed("others", "every"))).select("vec_id", F.transform("every", lambda t: F.coalesce(F.try_element_at(F.map_from_arrays("others", "row"), t), F.lit(0.0))).alias("row"))
+    return assembled_kmeans(stored(full, "distance-rows"), "vec_id", "row", 10, starts=20)
 
 
 @query(None)
@@ -668,29 +861,51 @@ def logreg_baseline(s, d):
     return report.area_under_curve(out.withColumn("score", F.round("score", 6)), "label", "score")
 
 
-@query(None)
+_MEDOIDS = """WITH p AS (SELECT a.label, a.vec_id AS i, CAST(list_distance(CAST(a.embedding[A:B] AS DOUBLE[]), CAST(b.embedding[A:B] AS DOUBLE[])) AS DOUBLE) AS dist FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+    t AS (SELECT label, i, round(sum(dist), 6) AS t FROM p GROUP BY ALL) SELECT label, arg_min(i, (t, i)) AS medoid FROM t GROUP BY label"""
+
+
+@query(f"""SELECT label, a.medoid AS meg_medoid, b.medoid AS lte_medoid FROM ({_MEDOIDS.replace("A:B", "1:32")}) a JOIN ({_MEDOIDS.replace("A:B", "33:64")}) b USING (label)""")
 def medoid_table(s, d):
     """The medoid of each label by two halves of the vector, chosen independently."""
-    v = _vectors(s, d)
-    half = lambda a: report.medoids(joins.pairs(v.withColumn("v", F.slice("v", a, 32)), "vec_id", ["v"], ["label"]).withColumn("d", C.euclidean("v_i", "v_j")), ["label"])
+    half = lambda a: distances.medoids(_within(s, d, F.slice("v", a, 32)).withColumn("total", F.round("total", 6)))
     return half(1).select("label", F.col("medoid").alias("meg_medoid")).join(half(33).select("label", F.col("medoid").alias("lte_medoid")), "label")
 
 
+def _standard(df, column: str, n: int):
+    """Each of the first ``n`` places of an array column by its mean and deviation over all rows (deviation 0: 1)."""
+    stats = df.agg(*[f(F.get(column, F.lit(i))).alias(f"{k}{i}") for i in range(n) for k, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
+    means, spreads = [stats[f"m{i}"] or 0.0 for i in range(n)], [stats[f"d{i}"] or 1.0 for i in range(n)]
+    at = lambda values, i: F.element_at(F.array(*[F.lit(float(x)) for x in values]), i + 1)
+    return df.withColumn(column, F.transform(column, lambda x, i: (x - at(means, i)) / at(spreads, i)))
+
+
 @query(None)
 def signal_scores(s, d):
-    """Similarity to templates in reduced components, and in standardised columns."""
-    r = principal_components(_vectors(s, d), "vec_id", "v", 20).join(_vectors(s, d).select("vec_id", "label"), "vec_id")
-    local = r.where("vec_id % 25 = 3").select("vec_id", F.col("components").alias("a"))
-    both = local.crossJoin(F.broadcast(r.where("vec_id % 25 <> 3 and vec_id < 2000").select("label", F.col("components").alias("b"))))
-    sims = both.withColumn("meg", C.similarity(_dtw_udf()("a", "b"))).withColumn("lte", C.similarity(C.euclidean("a", "b", True)))
-    return sims.groupBy("vec_id", "label").agg(F.avg("meg").alias("s_meg"), F.avg("lte").alias("s_lte")).withColumn("s_signal", 0.5 * F.col("s_meg") + 0.5 * F.col("s_lte"))
+    """Similarity of each vector to its label's templates: 50 standardised components, standardised signal columns, and both side by side."""
+    v = _vectors(s, d)
+    r = principal_components(v, "vec_id", "v", 50).withColumnRenamed("components", "meg").join(v.select("vec_id", "label", F.slice("v", 33, 32).alias("lte")), "vec_id")
+    r = _standard(_standard(stored(r, "signal-features"), "meg", 50), "lte", 32).withColumn("joint", F.concat("meg", "lte"))
+    both = distances.with_templates(r.withColumnsRenamed({c: f"own_{c}" for c in ("meg", "lte", "joint")}), distances.templates(r, "vec_id", "label", ["meg", "lte", "joint"]), "vec_id", "label")
+    mean = lambda c: C.array_mean(F.transform("items", lambda x: C.similarity(C.euclidean(F.col(f"own_{c}"), x[c], True))))
+    return both.where(F.size("items") > 0).select("vec_id", "label", mean("meg").alias("s_meg"), mean("lte").alias("s_lte"), mean("joint").alias("s_signal"))
 
 
-@query(None)
+_TURNED = f"""{LINKS}, t AS (SELECT src, dst, length, row_number() OVER (ORDER BY src, dst, length) AS seq, CAST(src % 3 - 1 AS INT) AS turn FROM links WHERE src <> dst AND src % 6 <> 5),
+    ways AS (SELECT src, dst, seq, 0 AS t1, length AS l1, turn AS t2, length / 2 AS l2 FROM t UNION ALL SELECT dst, src, seq, -turn, length / 2, 0, length FROM t),
+    nodes AS (SELECT DISTINCT src AS node FROM ways),
+    h(dst, distance) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT w.dst, distance + 1 FROM h JOIN ways w ON w.src = h.dst WHERE distance < 25), hops AS (SELECT dst, min(distance) AS distance FROM h GROUP BY dst),
+    p(dst, came, x, y, a) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL
+        SELECT w.dst, list_append(came, seq), x + l1 * cos(radians(a - 90 * t1)) + l2 * cos(radians(a - 90 * t1 - 90 * t2)), y + l1 * sin(radians(a - 90 * t1)) + l2 * sin(radians(a - 90 * t1 - 90 * t2)), a - 90 * t1 - 90 * t2
+        FROM p JOIN ways w ON w.src = p.dst JOIN hops ON hops.dst = w.dst WHERE hops.distance = len(came) + 1),
+    placed AS (SELECT dst, arg_min(x, came) AS x, arg_min(y, came) AS y FROM p GROUP BY dst)"""
+
+
+@query(f"WITH RECURSIVE {_TURNED} SELECT node, round(coalesce(x, 9999.0), 5) + 0.0 AS x, round(coalesce(y, 9999.0), 5) + 0.0 AS y FROM nodes LEFT JOIN placed ON dst = node")
 def path_layout(s, d):
-    """Coordinates of nodes by walking the graph breadth first; what is not reached lies far off."""
-    p = graph.shortest_paths(links(s, d), 6).where("src = 0")
-    steps = p.select("dst", F.posexplode("path").alias("i", "node")).withColumn("a", F.radians((F.col("node") * 37) % 360))
-    xy = steps.where("i > 0").groupBy("dst").agg(F.sum(F.cos("a")).alias("x"), F.sum(F.sin("a")).alias("y"))
-    nodes = table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"))
-    return nodes.join(xy, nodes["node"] == xy["dst"], "left").select("node", F.coalesce("x", F.when(F.col("node") == 0, 0.0).otherwise(9999.0)).alias("x"), F.coalesce("y", F.when(F.col("node") == 0, 0.0).otherwise(9999.0)).alias("y"))
+    """Coordinates of nodes by the turns and lengths of the paths; what is not reached lies far off."""
+    e = links(s, d).where("src <> dst and src % 6 <> 5")
+    piece = lambda turn, length: F.struct(turn.cast("int").alias("turn"), length.alias("length"))
+    numbered = e.withColumn("seq", F.row_number().over(Window.orderBy("src", "dst", "length")))
+    turned = numbered.withColumn("turns", F.array(piece(F.lit(0), F.col("length")), piece(F.col("src") % 3 - 1, F.col("length") / 2)))
+    return graph.layout(turned).select("node", (F.round("x", 5) + 0.0).alias("x"), (F.round("y", 5) + 0.0).alias("y"))

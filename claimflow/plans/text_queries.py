@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import claims, frames, intervals, joins, report
+from ..sources import files
 from .inputs import CLAIM_PATHS, REGIONS, SCANS, TRACE, query, regions, scans, table, trace
 from .inputs import claim_paths as claim_rows
 
@@ -67,11 +68,15 @@ def trace_duration(s, d):
     return ends.select("trace_id", C.clock_duration("a", "b").alias("duration"))
 
 
-@query("""SELECT event_id FROM (SELECT event_id, ((event_id % 24 * 60 + event_id % 60) * 60) * 1000 AS ms FROM events)
-    WHERE ms >= 79200000 OR ms <= 10800000""")
+@query("""WITH t AS (SELECT user_id, event_id, ((event_id % 24 * 60 + event_id % 60) * 60) * 1000 AS ms FROM events), e AS (SELECT *, min(ms) OVER (PARTITION BY user_id) AS first, max(ms) OVER (PARTITION BY user_id) AS last FROM t)
+    SELECT event_id, 'night' AS asked FROM e WHERE ms >= 79200000 OR ms <= 10800000
+    UNION ALL SELECT event_id, 'elapsed' FROM e WHERE CASE WHEN first > 7200000 OR last < 3600000 THEN ms - first BETWEEN 3600000 AND 7200000 ELSE ms BETWEEN 3600000 AND 7200000 END""")
 def time_window_filter(s, d):
-    t = table(s, d, "events").select("event_id", ((F.col("event_id") % 24 * 60 + F.col("event_id") % 60) * 60000).alias("ms"))
-    return t.where(C.between_clock(F.col("ms"), F.lit(22 * 3_600_000), F.lit(3 * 3_600_000))).select("event_id")
+    """A window over midnight by the clock, and one that counts from a trace's start where the trace's clock does not meet it."""
+    t = table(s, d, "events").select("user_id", "event_id", ((F.col("event_id") % 24 * 60 + F.col("event_id") % 60) * 60000).alias("ms"))
+    night = t.where(C.between_clock(F.col("ms"), F.lit(22 * 3_600_000), F.lit(3 * 3_600_000))).select("event_id", F.lit("night").alias("asked"))
+    elapsed = frames.in_time_window(t, "ms", 3_600_000, 7_200_000, ["user_id"]).select("event_id", F.lit("elapsed").alias("asked"))
+    return night.unionByName(elapsed)
 
 
 # -- paths --------------------------------------------------------------------
@@ -124,6 +129,29 @@ def candidate_path_rank(s, d):
     return p.select("claim_id", F.posexplode(options).alias("rank", "candidate")).select("claim_id", "candidate", "rank")
 
 
+@query(f"""WITH {CLAIM_PATHS}, {_PARTS}, files AS (SELECT DISTINCT 'data/route_' || lpad(CAST(page_id % 9 AS VARCHAR), 3, '0') || '/' || CAST(page_id % 50 AS VARCHAR) || CASE WHEN page_id % 2 = 0 THEN '_merged.csv' ELSE '.csv' END AS path FROM pages),
+    c AS (SELECT claim_id, unnest(['data/' || folder || '/' || bare || '_merged.csv', 'data/' || folder || '/' || name, 'data/' || folder || '/' || bare || '.csv']) AS candidate, unnest([0, 1, 2]) AS rank FROM q)
+    SELECT claim_id, arg_min(candidate, rank) FILTER (path IS NOT NULL) AS source FROM c LEFT JOIN files ON path = candidate GROUP BY claim_id""")
+def first_candidate(s, d):
+    """The first candidate path that exists; none: null."""
+    p = claim_rows(s, d)
+    bare = F.regexp_replace(C.merged_name(C.file_name("claim_path")), r"_merged\.csv$", "")
+    there = lambda x: F.concat(F.lit("data/"), C.folder_name("claim_path"), F.lit("/"), x)
+    page = F.col("page_id")
+    known = table(s, d, "pages").select(F.concat(F.lit("data/route_"), F.lpad((page % 9).cast("string"), 3, "0"), F.lit("/"), (page % 50).cast("string"), F.when(page % 2 == 0, "_merged.csv").otherwise(".csv")).alias("path")).distinct()
+    options = F.array(there(F.concat(bare, F.lit("_merged.csv"))), there(C.file_name("claim_path")), there(F.concat(bare, F.lit(".csv"))))
+    return joins.first_existing(p.select("claim_id", options.alias("candidates")), known, "claim_id").select("claim_id", F.col("found").alias("source"))
+
+
+@query("""WITH f AS (SELECT 'route_' || CAST(page_id % 7 AS VARCHAR) || '/' || repeat('x/', page_id % 3) || CAST(page_id % 40 AS VARCHAR) || CASE WHEN page_id % 2 = 0 THEN '_merged.csv' ELSE '.csv' END AS path, CAST(page_id % 40 AS VARCHAR) AS stem, page_id % 2 AS plain FROM pages)
+    SELECT stem, arg_min(path, (plain, length(path), path)) AS path FROM f GROUP BY stem""")
+def stem_index(s, d):
+    """One file a stem: a merged one first, then the shortest path."""
+    page = F.col("page_id")
+    path = F.concat(F.lit("route_"), (page % 7).cast("string"), F.lit("/"), F.repeat(F.lit("x/"), (page % 3).cast("int")), (page % 40).cast("string"), F.when(page % 2 == 0, "_merged.csv").otherwise(".csv"))
+    return joins.by_stem(table(s, d, "pages").select(path.alias("path"))).select("stem", "path")
+
+
 @query("SELECT o_orderkey AS claim_id, coalesce(nullif(trim(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 3 = 1 THEN '  ' END), ''), o_orderstatus) AS submitted FROM orders")
 def submitted_path(s, d):
     o = table(s, d, "orders").withColumn("attack_path", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).when(F.col("o_orderkey") % 3 == 1, "  "))
@@ -195,7 +223,11 @@ def lcs_score(s, d):
     return regions(s, d).select("claim_id", F.round(C.lcs_ratio("claimed", "detected"), 6).alias("lcs"))
 
 
-@query(f"WITH RECURSIVE {REGIONS}, {_LCS.replace('SAME', 'detected[j[1]] = claimed[i + 1] OR substr(detected[j[1]], 1, 1) = substr(claimed[i + 1], 1, 1)')} SELECT claim_id, round(CASE WHEN greatest(len(claimed), len(detected)) = 0 THEN 0.0 ELSE CAST(line[-1] AS DOUBLE) / greatest(len(claimed), len(detected)) END, 6) AS lcs FROM r WHERE i = len(claimed)")
+#: Each detected place is the whole row of the grid.
+CANDIDATE_LCS = _LCS.replace("SAME", "detected[j[1]] = claimed[i + 1] OR substr(detected[j[1]], 1, 1) = substr(claimed[i + 1], 1, 1)")
+
+
+@query(f"WITH RECURSIVE {REGIONS}, {CANDIDATE_LCS} SELECT claim_id, round(CASE WHEN greatest(len(claimed), len(detected)) = 0 THEN 0.0 ELSE CAST(line[-1] AS DOUBLE) / greatest(len(claimed), len(detected)) END, 6) AS lcs FROM r WHERE i = len(claimed)")
 def lcs_candidate_score(s, d):
     """Each detected place is the whole row of the grid."""
     row = lambda x: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.substring(x, 1, 1), i.cast("string")))
@@ -241,11 +273,14 @@ def null_rssi_zero_id(s, d):
     return lists.select(F.col("l_orderkey").alias("scan_id"), F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"), F.size(ids).cast("bigint").alias("n"))
 
 
-@query(f"""WITH {SCANS} SELECT scan_id, count(*) AS cells, round(avg(rssi), 6) AS mean_rssi FROM cells GROUP BY scan_id""")
+@query(f"""WITH {SCANS}, n AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY pos) AS nth FROM cells)
+    SELECT 'list' AS form, scan_id, count(*) AS cells, round(avg(rssi), 6) AS mean_rssi FROM cells GROUP BY scan_id UNION ALL SELECT 'wide', scan_id, count(*), round(avg(rssi), 6) FROM n WHERE nth <= 3 GROUP BY scan_id""")
 def wide_or_list_cells(s, d):
-    """List columns in long form: no padding to the widest row."""
-    long = _cells(s, d).select("scan_id", F.explode("cells").alias("x"))
-    return long.groupBy("scan_id").agg(F.count("*").alias("cells"), F.round(F.avg("x.rssi"), 6).alias("mean_rssi"))
+    """Scans as lists, and with a column for each of three cells: both come in long form, without padding."""
+    lists = _cells(s, d).select("scan_id", F.transform("cells", lambda x: x["rssi"]).alias("Cell_RSSI"))
+    wide = lists.select("scan_id", *[F.get("Cell_RSSI", F.lit(i)).alias(f"Cell_RSSI_{i + 1}") for i in range(3)])
+    both = files.long_cells(lists, ["scan_id"]).withColumn("form", F.lit("list")).unionByName(files.long_cells(wide, ["scan_id"]).withColumn("form", F.lit("wide")))
+    return both.groupBy("form", "scan_id").agg(F.count("*").alias("cells"), F.round(F.avg("rssi"), 6).alias("mean_rssi"))
 
 
 # -- cleaning -----------------------------------------------------------------
@@ -271,12 +306,12 @@ def drop_null_keys(s, d):
     return o.dropna(subset=["k"]).where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
 
 
-@query("""SELECT o.o_orderkey, coalesce(l.total, 0.0) AS score, l.total IS NULL AS failed FROM (SELECT * FROM orders WHERE o_orderkey % 4 = 0) o
+@query("""SELECT o.o_orderkey, coalesce(l.total, 0.0) AS score, l.total IS NULL AS failed FROM orders o
     LEFT JOIN (SELECT l_orderkey, round(sum(l_quantity), 6) AS total FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY l_orderkey) l ON o_orderkey = l_orderkey""")
 def failure_policy(s, d):
     """Rows without features score 0 and are flagged, they never go."""
     feats = table(s, d, "lineitem").where("l_shipdate < timestamp_ntz'1996-01-01 00:00:00'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_quantity"), 6).alias("total"))
-    o = table(s, d, "orders").where("o_orderkey % 4 = 0").join(feats, "o_orderkey", "left")
+    o = table(s, d, "orders").join(feats, "o_orderkey", "left")
     return o.select("o_orderkey", F.coalesce("total", F.lit(0.0)).alias("score"), F.col("total").isNull().alias("failed"))
 
 
@@ -299,9 +334,9 @@ def set_ops(s, d):
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY CAST(p_partkey AS VARCHAR)) - 1 AS position FROM part")
 def stable_order(s, d):
-    """Names in text order (1, 10, 11, 2), numbered: one row a file, so few."""
+    """Names in text order (1, 10, 11, 2), numbered."""
     p = table(s, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("name"))
-    return p.select("p_partkey", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint").alias("position"))
+    return frames.numbered(p, ["name"]).select("p_partkey", "position")
 
 
 @query("SELECT l_orderkey, arg_min(l_linenumber, (l_quantity, l_linenumber)) AS first_min, arg_max(l_linenumber, (l_quantity, -l_linenumber)) AS first_max FROM lineitem GROUP BY l_orderkey")
@@ -435,3 +470,38 @@ def transplant(s, d):
     a = intervals.contiguous_sample(t, 6, "signal").select("trace_id", "sample_row", F.lit("signal").alias("part"), "event_id")
     b = intervals.contiguous_sample(t, 6, "label").select("trace_id", (F.col("sample_row") + 6).alias("sample_row"), F.lit("label").alias("part"), "event_id")
     return a.unionByName(b)
+
+
+_MATERIAL = f"""{TRACE}, size AS (SELECT trace_id, count(*) AS n FROM trace GROUP BY trace_id),
+    pool AS (SELECT trace_id, n, CASE WHEN trace_id % 4 = 0 THEN 0 ELSE 1 END AS level FROM size WHERE n >= 8 AND trace_id % 5 <> 4),
+    best AS (SELECT trace_id AS material_id, n AS material_rows, row_number() OVER (ORDER BY trace_id) - 1 AS place, count(*) OVER () AS m FROM pool WHERE level = (SELECT min(level) FROM pool)),
+    asked AS (SELECT trace_id AS claim_id, n AS base_rows, {draw('(SELECT count(*) FROM best)', chr(39) + 'material' + chr(39), 'CAST(trace_id AS VARCHAR)')} AS place FROM size),
+    made AS (SELECT claim_id, base_rows, material_id, {draw('(material_rows - 8 + 1)', chr(39) + 'start' + chr(39), 'CAST(claim_id AS VARCHAR)', 'CAST(material_id AS VARCHAR)')} AS material_start, material_rows FROM asked JOIN best USING (place)),
+    man AS (SELECT claim_id, material_id, base_rows, base_rows + 8 AS output_rows, material_start, material_start + 8 AS material_end, least(material_start // 4, (material_rows + 3) // 4 - 2) AS signal_start, least(material_start // 4, (material_rows + 3) // 4 - 2) + 2 AS signal_end FROM made)"""
+
+
+def _material(s, d):
+    size = trace(s, d).groupBy("trace_id").agg(F.count("*").alias("n"))
+    pool = size.where("trace_id % 5 <> 4").withColumn("level", F.when(F.col("trace_id") % 4 == 0, 0).otherwise(1))
+    return claims.with_material(size, pool, 8, 4)
+
+
+@query(f"WITH {_MATERIAL} SELECT * FROM man")
+def replay_manifest(s, d):
+    """Which rows of which trace are appended to each: from the preferred pool where it has any, with the signal rows beside them."""
+    return _material(s, d)
+
+
+@query(f"""WITH {_MATERIAL} SELECT t.trace_id AS claim_id, row_idx, round(value, 6) AS value, row_idx // 4 AS signal_row, false AS appended FROM trace t
+    UNION ALL SELECT claim_id, base_rows + row_idx - material_start, round(value, 6), (base_rows + 3) // 4 + least((row_idx - material_start) // 4, 1), true FROM man JOIN trace t ON t.trace_id = material_id AND row_idx >= material_start AND row_idx < material_end""")
+def replay_dataset(s, d):
+    """The traces with their appended rows, each row with its row in the appended signal."""
+    return claims.with_replayed(trace(s, d).select("trace_id", "row_idx", "value"), _material(s, d), 4).select("claim_id", "row_idx", F.round("value", 6).alias("value"), "signal_row", "appended")
+
+
+@query("""SELECT s_suppkey AS claim_id, arg_min(c_custkey, (abs(c_custkey * 13 % 1000 - s_suppkey * 7 % 1000), c_custkey)) AS replay_id, 'replay_location' AS attack FROM supplier JOIN customer ON c_nationkey = s_nationkey GROUP BY s_suppkey""")
+def replay_location(s, d):
+    """Each location claim with the replayed sample whose middle time is nearest."""
+    asked = table(s, d, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("claim_id"), (F.col("s_suppkey") * 7 % 1000).alias("at"))
+    samples = table(s, d, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("replay_id"), (F.col("c_custkey") * 13 % 1000).alias("mid"))
+    return joins.nearest(asked, samples, ["g"], "at", "mid", "replay_id").where("nearest_id is not null").select("claim_id", F.col("nearest_id").alias("replay_id"), F.lit("replay_location").alias("attack"))

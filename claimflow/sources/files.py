@@ -26,6 +26,12 @@ def same_columns(a: DataFrame, b: DataFrame) -> None:
         raise ValueError(f"columns differ: {a.columns} and {b.columns}")
 
 
+def rates_valid(*rates: float) -> None:
+    """Shares of claims that err: from 0 to 1."""
+    if any(not 0 <= r <= 1 for r in rates):
+        raise ValueError("error rates must be from 0 to 1")
+
+
 def weights_valid(weights: Sequence[float], tolerance: float = 1e-9) -> None:
     if abs(sum(weights) - 1) > tolerance or min(weights) < 0:
         raise ValueError("weights must be at least 0 and sum to 1")
@@ -51,6 +57,38 @@ def read_csv(spark: SparkSession, path: str, schema: str, encodings: Sequence[st
     return raw.select(*names, file.alias("file"), F.regexp_extract(file, r"(route_\d+)/", 1).alias("route"), F.regexp_extract(file, r"_(\d+)[^/]*\.csv$", 1).alias("trace_id"))
 
 
+def walk(spark: SparkSession, root: str, name: str = "*.csv") -> DataFrame:
+    """(path, folder, name, size): all files below ``root`` whose name matches, found by Spark's listing; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path", F.col("length").alias("size"))
+    return found.select("path", C.folder_name("path").alias("folder"), C.file_name("path").alias("name"), "size")
+
+
+def pairs(found: DataFrame) -> DataFrame:
+    """(folder, sensor, signal): sensor files of :func:`walk` with the signal file named alike in the same folder; without one null."""
+    kinds = found.withColumn("kind", C.file_kind("name"))
+    sensor = kinds.where("kind = 'sensor'").select("folder", F.regexp_replace("path", "[^/]*$", "").alias("__at"), C.paired_name("name").alias("__other"), F.col("path").alias("sensor"))
+    signal = kinds.where("kind = 'signal'").select(F.regexp_replace("path", "[^/]*$", "").alias("__at"), F.col("name").alias("__other"), F.col("path").alias("signal"))
+    return sensor.join(signal, ["__at", "__other"], "left").select("folder", "sensor", "signal")
+
+
+def marked_folder(found: DataFrame, marker: str) -> str | None:
+    """The first folder, by name, whose name holds ``marker``."""
+    first = found.where(F.contains("folder", F.lit(marker))).agg(F.min("folder")).first()
+    return first[0] if first else None
+
+
+def read_columns(spark: SparkSession, path: str, schema: str, names: Sequence[str]) -> DataFrame:
+    """Only ``names`` of CSV files: the reader parses no other column."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path).select(*names)
+
+
+def long_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, place, rssi): scans with a column ``Cell_RSSI_n`` for each cell, or with a list ``Cell_RSSI``; missing values have no row."""
+    wide = sorted((c for c in df.columns if c.startswith("Cell_RSSI_")), key=lambda c: int(c.rsplit("_", 1)[1]))
+    values = F.array(*[F.col(c) for c in wide]) if wide else F.col("Cell_RSSI")
+    return df.select(*keys, F.posexplode(values).alias("place", "rssi")).where("rssi is not null")
+
+
 def read_signals(spark: SparkSession, root: str, pattern: str = "*/signal*.csv") -> DataFrame:
     """Cell scans below ``root``: parsed, cleaned cells with the scan's place in its file.
 
@@ -71,6 +109,13 @@ def append_run(df: DataFrame, path: str, run: str) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
 
 
+def write_attacks(df: DataFrame, path: str, by: str) -> None:
+    """A folder for each attack below ``path/by`` and all rows in one table at ``path/all``, from one pass over ``df``."""
+    df.write.mode("errorifexists").parquet(f"{path}/all")
+    whole = df.sparkSession.read.schema(df.schema).parquet(f"{path}/all")
+    write_table(whole, f"{path}/by", "errorifexists", [by])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 

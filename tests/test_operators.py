@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from claimflow.functions import columns as C
-from claimflow.operators import claims, graph, intervals, joins, report, scores
+from claimflow.operators import claims, distances, frames, graph, intervals, joins, report, scores
 from claimflow.sources import files
 
 
@@ -166,3 +167,61 @@ def test_anchor_windows_by_brute_force(spark):
     for r in features:
         inside = [float(v) for v in meg[r["start_row"] : r["end_row"]]]
         assert r["cur"][: len(inside)] == inside and len(r["cur"]) == len(r["pre"]) == len(r["post"]) == 40 and len(r["rssi"]) == 12
+
+
+def test_graph_searches_have_no_depth(spark):
+    """A path of 45 nodes from one end, and a dense graph; an unconnected pair raises."""
+    chain = spark.createDataFrame([(i, i + 1, 2.0) for i in range(44)] + [(100, 101, 1.0)], "src long, dst long, length double")
+    one = spark.createDataFrame([(0,)], "src long")
+    far = {r["dst"]: r["distance"] for r in graph.hops(chain, one).collect()}
+    assert far == {i: i for i in range(45)}
+    pairs = spark.createDataFrame([(0, 9)], "src long, dst long")
+    short = spark.createDataFrame([(i, i + 1, 2.0) for i in range(9)] + [(0, 5, 30.0), (100, 101, 1.0)], "src long, dst long, length double")
+    assert graph.path_lengths(short, pairs).first()["length"] == 18.0
+    with pytest.raises(ValueError, match="0 and 101"):
+        graph.path_lengths(short, spark.createDataFrame([(0, 101)], "src long, dst long"))
+    rng = np.random.default_rng(5)
+    dense = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 1000, (8000, 2))], "src long, dst long")
+    near = {r["dst"]: r["path"] for r in graph.shortest_paths(dense, one).collect()}
+    links = {}
+    for r in dense.collect():
+        links.setdefault(r["src"], set()).add(r["dst"])
+        links.setdefault(r["dst"], set()).add(r["src"])
+    want, queue = {0: [0]}, [0]
+    for node in queue:
+        for n in sorted(links.get(node, ())):
+            if n not in want:
+                want[n] = want[node] + [n]
+                queue.append(n)
+    assert near == want
+
+
+def test_closest_key_by_blocks(spark):
+    refs = spark.createDataFrame([(i, ["a", "b", "cdef"[i % 4], str(i)]) for i in range(12)], "reference_id long, ref array<string>")
+    claims = spark.createDataFrame([(i, ["a", "cdef"[i % 4], str(i % 13)]) for i in range(30)], "claim_id long, claimed array<string>")
+    whole, dealt = ({r["claim_id"]: (r["reference_id"], r["likeness"]) for r in joins.closest_key(claims, refs, "claim_id", "claimed", "ref", n).collect()} for n in (100, 3))
+    assert whole == dealt and len(whole) == 30
+
+
+def test_block_distances_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x, labels = rng.normal(size=(70, 5)), ["hot" if i % 3 else f"l{i % 4}" for i in range(70)]
+    df = spark.createDataFrame([(i, labels[i], [float(v) for v in x[i]]) for i in range(70)], "vec_id long, label string, v array<double>")
+    for within in (True, False):
+        got = {(r["key"], r["other_label"]): (r["total"], r["n"], r["least"]) for r in distances.totals(df, "vec_id", "v", "label", within, block=16).collect()}
+        want = {}
+        for i in range(70):
+            for k in set(labels):
+                d = [np.linalg.norm(x[i] - x[j]) for j in range(70) if j != i and labels[j] == k]
+                if d and (not within or k == labels[i]):
+                    want[(i, k)] = (pytest.approx(sum(d)), len(d), pytest.approx(min(d)))
+        assert got == want
+
+
+def test_windows_and_places(spark):
+    df = spark.createDataFrame([(t, i, float(i)) for t, n in ((1, 23), (2, 4)) for i in range(n)], "trace_id long, row_idx long, value double")
+    for size, step in ((5, 2), (3, 5), (4, 4)):
+        got = {(r["trace_id"], r["start_row"]): r["m"] for r in frames.sliding_windows(df, size, step, {"m": F.avg("value")}).collect()}
+        assert got == {(t, s): s + (size - 1) / 2 for t, n in ((1, 23), (2, 4)) for s in range(0, n - size + 1, step)}
+    names = spark.createDataFrame([(str(i * 7919 % 500),) for i in range(500)], "name string")
+    assert [r["name"] for r in frames.numbered(names.repartition(5), ["name"]).orderBy("position").collect()] == sorted(str(i) for i in range(500))

@@ -52,18 +52,70 @@ def test_query_without_sql_runs(spark, name):
     assert df.count() > 0
 
 
+def reduced(spark):
+    """(label, 20 components) of each vector."""
+    label = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    return {r["vec_id"]: (label[r["vec_id"]], np.array(r["components"])) for r in catalogue.queries()["pca_reduce"](spark, DATA).collect()}
+
+
+def first_of_labels(v):
+    kept = {}
+    for i in sorted(v):
+        kept.setdefault(v[i][0], []).append(i)
+    return {k: x[:30] for k, x in kept.items()}
+
+
+def warped(a, b):
+    t = np.full((len(a) + 1, len(b) + 1), np.inf)
+    t[0, 0] = 0
+    for i in range(len(a)):
+        for j in range(len(b)):
+            t[i + 1, j + 1] = abs(a[i] - b[j]) + min(t[i, j], t[i, j + 1], t[i + 1, j])
+    return t[-1, -1] / (len(a) + len(b))
+
+
 def test_dtw_pairs_by_brute_force(spark):
-    v = {r["vec_id"]: (r["label"], np.array(r["embedding"], float)[:20]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    v = reduced(spark)
+    kept = first_of_labels(v)
     got = catalogue.queries()["dtw_pairs"](spark, DATA).collect()
-    assert len(got) == sum(a < b and v[a][0] == v[b][0] for a in v for b in v)
+    assert {(r["i"], r["j"]) for r in got} == {(i, j) for x in kept.values() for i in x for j in x if i < j}
     for r in got[:40]:
-        a, b = v[r["i"]][1], v[r["j"]][1]
-        t = np.full((21, 21), np.inf)
-        t[0, 0] = 0
-        for i in range(20):
-            for j in range(20):
-                t[i + 1, j + 1] = abs(a[i] - b[j]) + min(t[i, j], t[i, j + 1], t[i + 1, j])
-        assert r["dtw"] == pytest.approx(t[-1, -1] / 40, abs=1e-6)
+        assert r["dtw"] == pytest.approx(warped(v[r["i"]][1], v[r["j"]][1]), abs=1e-6)
+
+
+def test_dtw_global_match_by_brute_force(spark):
+    v = reduced(spark)
+    kept = first_of_labels(v)
+    got = {r["vec_id"]: (r["label"], r["mean_distance"]) for r in catalogue.queries()["dtw_global_match"](spark, DATA).collect()}
+    assert set(got) == set(v)
+    for i in sorted(v)[:8]:
+        others = [(k, j) for k, x in kept.items() for j in x if j != i]
+        w = np.array([warped(v[i][1], v[j][1]) for _, j in others])
+        d = np.array([np.linalg.norm(v[i][1] - v[j][1]) for _, j in others])
+        scale = lambda x: (x - x.min()) / (x.max() - x.min())
+        fused = np.sqrt((0.3 * scale(w)) ** 2 + (0.7 * scale(d)) ** 2)
+        means = {k: np.sort([f for f, (q, _) in zip(fused, others, strict=True) if q == k])[:3].mean() for k in kept}
+        label = min(means, key=lambda k: (means[k], k))
+        assert got[i] == (label, pytest.approx(means[label], abs=1e-9))
+
+
+def test_signal_scores_by_brute_force(spark):
+    raw = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in raw], float)
+    meg = K.components(x, 50)
+    z = lambda a: (a - a.mean(0)) / np.where(a.std(0) == 0, 1, a.std(0))
+    parts = {"s_meg": z(meg), "s_lte": z(x[:, 32:])}
+    parts["s_signal"] = np.concatenate([parts["s_meg"], parts["s_lte"]], 1)
+    ids, labels = [r["vec_id"] for r in raw], [r["label"] for r in raw]
+    place = {i: n for n, i in enumerate(ids)}
+    kept = first_of_labels({i: (k,) for i, k in zip(ids, labels, strict=True)})
+    got = {r["vec_id"]: r for r in catalogue.queries()["signal_scores"](spark, DATA).collect()}
+    assert set(got) == set(ids)
+    for i in ids[::25]:
+        others = [place[j] for j in kept[labels[place[i]]] if j != i]
+        for name, m in parts.items():
+            d = np.linalg.norm(m[others] - m[place[i]], axis=1) / np.sqrt(m.shape[1])
+            assert got[i][name] == pytest.approx((1 / (1 + d)).mean(), abs=1e-4), name
 
 
 def test_components_by_brute_force(spark):
