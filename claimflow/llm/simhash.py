@@ -428,8 +428,11 @@ def near_groups(docs: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
     nodes = stored(nodes.select(F.xxhash64("fp").alias("id") if scheme.width > 1 else _as_long("fp").alias("id"), *of_set, "least", "text_hash"), "nodes")
     found = _checked_components(docs, nodes, scheme) if scheme.cosine else connected_components(near_links(nodes, scheme))
     of = nodes.join(found, nodes["id"] == found["node"], "left").select("id", "fp", "least", F.coalesce("component", "id").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(of.join(least, "root").select("fp", "component_id"), "near-names")
+    # Only roots of several nodes have to be told their least doc_id; each is copied to a few places over which its nodes are dealt.
+    several = of.groupBy("root").agg(F.min("least").alias("told"), F.count("*").alias("n")).where("n > 1").drop("n")
+    several = several.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(KEEP_SALTS - 1))))
+    dealt = of.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(KEEP_SALTS)).cast("int"))
+    named = stored(dealt.join(several, ["root", "place"], "left").select("fp", F.coalesce("told", "least").alias("component_id")), "near-names")
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
