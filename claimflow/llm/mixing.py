@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     source that is undecided in the end gives a part of its words, so that the
     source meets its target to a word; without ``cut_last`` it is drawn like the others. Null text has size 0, null
     is a source of its own, sources without words have target 0 and are taken 0
-    times. All randomness is keyed by doc_id, so reruns agree on any layout.
+    times. All randomness is keyed by doc_id, source and size, so reruns agree on any layout.
     Rows that repeat doc_id, source and size count as that many documents. A
     null doc_id is a key like any other. An empty table gives no rows.
     """
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     sources = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     level = stored(targets(sources, weights, share, most), "mix-targets")
     rows = counted.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("nth"))
-    rows = rows.withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "nth"))
+    rows = rows.withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "source", "size", "nth"))
     joined = rows.alias("r").join(level.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("doc_id", "nth", "r.source", "size", "u", "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = joined.withColumn("whole", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate))
