@@ -1,14 +1,14 @@
 """Distances between vectors: to a bounded set of templates, and all pairs of a table in blocks.
 
 Templates are a few vectors a label; they are gathered, counted and broadcast,
-and every row meets them inside one expression, so no pair is shuffled. All
+and every row meets them where it is, so no pair is shuffled. All
 pairs are formed block against block of both sides in numpy, and only sums and
 least values by row leave a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,13 +36,42 @@ def templates(df: DataFrame, key: str, label: str, columns: Sequence[str], most:
     return listed
 
 
-def with_templates(df: DataFrame, listed: DataFrame, key: str, own_label: str | None = None) -> DataFrame:
-    """Each row with the templates of every label (or only of its own), itself left out; ``listed`` is bounded by :func:`templates`."""
-    if own_label is not None:
-        both = df.join(F.broadcast(listed), own_label)
-    else:
-        both = df.crossJoin(F.broadcast(listed.withColumnRenamed("label", "template_label") if "label" in df.columns else listed))
-    return both.withColumn("items", F.filter("items", lambda x: x[key] != F.col(key)))
+def with_templates(df: DataFrame, listed: DataFrame, key: str, label: str) -> DataFrame:
+    """Each row with the templates (``items``) of its own label, itself left out; ``listed`` is bounded by :func:`templates`."""
+    return df.join(F.broadcast(listed), label).withColumn("items", F.filter("items", lambda x: x[key] != F.col(key)))
+
+
+def euclidean_to(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.sqrt(((others - x) ** 2).sum(1))
+
+
+def against(df: DataFrame, key: str, vector: str, listed: DataFrame, measures: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """(key, label, others, a list for each measure): every row against the templates of every label, itself left out.
+
+    ``listed`` (label, items of key and vector) comes from :func:`templates`,
+    whose bounds hold for what is sent to all tasks; rows stay where they are.
+    """
+    rows = listed.select("label", F.transform("items", lambda x: x[key]).alias("k"), F.transform("items", lambda x: x[vector]).alias("v")).orderBy("label").collect()
+    held = df.sparkSession.sparkContext.broadcast([(r["label"], np.array(r["k"], np.int64), np.array(r["v"], float)) for r in rows])
+    label_type = dict(listed.dtypes)["label"]
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        labels = [label for label, _, _ in held.value]
+        ends = np.cumsum([len(k) for _, k, _ in held.value])
+        keys, vectors = (np.concatenate([x[i] for x in held.value]) for i in (1, 2)) if labels else (np.empty(0), np.empty((0, 0)))
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                out = []
+                for k, v in zip(batch["key"].iloc[at : at + 200], batch["v"].iloc[at : at + 200], strict=True):
+                    found = [f(np.asarray(v, float), vectors) for f in measures.values()] if labels else []
+                    for label, a, b in zip(labels, [0, *ends[:-1]], ends, strict=True):
+                        other = np.flatnonzero(keys[a:b] != k) + a
+                        if len(other):
+                            out.append((k, label, keys[other], *(x[other] for x in found)))
+                yield pd.DataFrame(out, columns=["key", "label", "others", *measures])
+
+    schema = f"key long, label {label_type}, others array<bigint>" + "".join(f", {m} array<double>" for m in measures)
+    return df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).mapInPandas(meet, schema).withColumnRenamed("key", key)
 
 
 def nearest_mean(distances: Column, k: int) -> Column:

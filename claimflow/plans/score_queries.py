@@ -559,11 +559,9 @@ _NEAR = f"""WITH b AS (SELECT * FROM (SELECT vec_id, label, embedding, row_numbe
 
 
 def _against_templates(s, d):
-    """Every vector with the templates of each label and its distances to them."""
+    """(vec_id, label, others, dist): every vector with the templates of each label."""
     v = _vectors(s, d)
-    listed = distances.templates(v, "vec_id", "label", ["v"])
-    both = distances.with_templates(v.select("vec_id", F.col("v").alias("own")), listed, "vec_id")
-    return both.withColumn("dist", F.transform("items", lambda x: C.euclidean(F.col("own"), x["v"])))
+    return distances.against(v, "vec_id", "v", distances.templates(v, "vec_id", "label", ["v"]), {"dist": distances.euclidean_to})
 
 
 @query(f"{_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY dist) AS r FROM p), m AS (SELECT vec_id, label, avg(dist) AS m FROM r WHERE r <= 3 GROUP BY ALL) SELECT vec_id, arg_min(label, (m, label)) AS label, round(min(m), 5) AS mean_distance FROM m GROUP BY vec_id")
@@ -584,19 +582,22 @@ def _scaled(values: str):
     return F.transform(values, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(0.0))
 
 
+def _in_one(listed):
+    """The templates of all labels as those of one."""
+    flat = listed.select(F.explode("items").alias("x")).groupBy(F.lit("all").alias("label"))
+    return flat.agg(F.array_sort(F.collect_list("x")).alias("items"))
+
+
 def _against_all(s, d):
-    """Every vector with all templates in one list."""
+    """(vec_id, others, dist): every vector with all templates in one list."""
     v = _vectors(s, d)
-    listed = distances.templates(v, "vec_id", "label", ["v"])
-    flat = listed.select(F.lit("all").alias("label"), F.explode("items").alias("x"), F.col("label").alias("of")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("x.vec_id", "x.v", "of"))).alias("items"))
-    both = distances.with_templates(v.select("vec_id", F.col("v").alias("own")), flat, "vec_id").drop("label")
-    return both.withColumn("dist", F.transform("items", lambda x: C.euclidean(F.col("own"), x["v"])))
+    return distances.against(v, "vec_id", "v", _in_one(distances.templates(v, "vec_id", "label", ["v"])), {"dist": distances.euclidean_to})
 
 
 @query(f"""{_NEAR}, q AS (SELECT *, (dist - min(dist) OVER w) / (max(dist) OVER w - min(dist) OVER w) AS meg, CAST(other % 17 AS DOUBLE) / 16 AS lte FROM p WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, other, round(sqrt(pow(.3 * meg, 2) + pow(.7 * lte, 2)), 5) AS fused FROM q""")
 def fused_distance(s, d):
-    q = _against_all(s, d).withColumn("meg", _scaled("dist")).select("vec_id", F.explode(F.arrays_zip(F.col("items.vec_id").alias("other"), F.col("meg").alias("meg"))).alias("x"))
-    return q.select("vec_id", F.col("x.other").alias("other"), F.round(C.fused_distance(F.col("x.meg"), F.col("x.other") % 17 / 16.0), 5).alias("fused"))
+    q = _against_all(s, d).withColumn("meg", _scaled("dist")).select("vec_id", F.explode(F.arrays_zip("others", "meg")).alias("x"))
+    return q.select("vec_id", F.col("x.others").alias("other"), F.round(C.fused_distance(F.col("x.meg"), F.col("x.others") % 17 / 16.0), 5).alias("fused"))
 
 
 _HALF = f"WITH p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, {_D} AS dist FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"
@@ -704,9 +705,10 @@ def dtw_global_match(s, d):
     """The label whose three nearest templates are nearest on average, warped and straight distances fused."""
     r = _reduced(s, d)
     listed = distances.templates(r, "vec_id", "label", ["v"])
-    q = distances.with_templates(r.select("vec_id", F.col("v").alias("a")), listed, "vec_id").select("vec_id", "a", "label", F.explode("items").alias("x"))
-    q = q.select("vec_id", "label", _dtw_udf()("a", F.col("x.v")).alias("w"), C.euclidean(F.col("a"), F.col("x.v")).alias("dist"))
-    each = q.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("label", "w", "dist"))).alias("t"))
+    measures = {"w": lambda x, others: K.dtw(np.repeat(x[None], len(others), 0), others), "dist": distances.euclidean_to}
+    q = distances.against(r, "vec_id", "v", listed, measures)
+    each = q.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("label", F.arrays_zip("w", "dist").alias("m")))).alias("t"))
+    each = each.select("vec_id", F.flatten(F.transform("t", lambda x: F.transform(x["m"], lambda m: F.struct(x["label"].alias("label"), m["w"].alias("w"), m["dist"].alias("dist"))))).alias("t"))
     each = each.select("vec_id", "t", F.col("t.w").alias("w"), F.col("t.dist").alias("dist"))
     fused = each.withColumn("meg", _scaled("w")).withColumn("lte", _scaled("dist")).select("vec_id", F.explode(F.arrays_zip(F.col("t.label").alias("label"), F.col("meg").alias("meg"), F.col("lte").alias("lte"))).alias("x"))
     fused = fused.select("vec_id", F.col("x.label").alias("label"), C.fused_distance(F.col("x.meg"), F.col("x.lte")).alias("fused"))
@@ -838,7 +840,7 @@ def pca_variants(s, d):
 @query(None)
 def kmeans_states(s, d):
     """States by k-means on rows of the distance matrix to the templates, the best of twenty starts."""
-    rows = stored(_against_all(s, d).select("vec_id", F.transform("items", lambda x: C.euclidean(F.col("own"), x["v"])).alias("row"), F.col("items.vec_id").alias("others")), "distance-rows")
+    rows = stored(_against_all(s, d).select("vec_id", F.col("dist").alias("row"), "others"), "distance-rows")
     width = rows.agg(F.max(F.size("row"))).first()[0]
     # A template's own place, which has no distance, holds 0, so that all rows are as wide.
     every = rows.where(F.size("row") == width).select("others").limit(1)

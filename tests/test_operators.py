@@ -225,3 +225,52 @@ def test_windows_and_places(spark):
         assert got == {(t, s): s + (size - 1) / 2 for t, n in ((1, 23), (2, 4)) for s in range(0, n - size + 1, step)}
     names = spark.createDataFrame([(str(i * 7919 % 500),) for i in range(500)], "name string")
     assert [r["name"] for r in frames.numbered(names.repartition(5), ["name"]).orderBy("position").collect()] == sorted(str(i) for i in range(500))
+
+
+def test_files_below_a_root(spark, tmp_path):
+    for path in ("route_004_a/sensor_1.csv", "route_004_a/signal_1.csv", "route_002/x/sensor_2.csv", "route_002/notes.txt"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("Time,Ore\n00:00:01:000,5\n")
+    found = files.walk(spark, str(tmp_path))
+    assert {(r["folder"], r["name"]) for r in found.collect()} == {("route_004_a", "sensor_1.csv"), ("route_004_a", "signal_1.csv"), ("x", "sensor_2.csv")}
+    pairs = {r["folder"]: r["signal"] for r in files.pairs(found).collect()}
+    assert pairs["x"] is None and pairs["route_004_a"].endswith("/signal_1.csv")
+    assert files.marked_folder(found, "004") == "route_004_a" and files.marked_folder(found, "9") is None
+    one = files.read_columns(spark, str(tmp_path / "route_004_a/sensor_1.csv"), "Time STRING, Ore DOUBLE", ["Ore"])
+    assert [tuple(r) for r in one.collect()] == [(5.0,)]
+
+
+def test_cells_in_either_form(spark):
+    wide = spark.createDataFrame([(1, -50.0, None, -70.0)], "scan long, Cell_RSSI_1 double, Cell_RSSI_2 double, Cell_RSSI_10 double")
+    lists = spark.createDataFrame([(1, [-50.0, None, -70.0])], "scan long, Cell_RSSI array<double>")
+    got = [sorted(map(tuple, files.long_cells(df, ["scan"]).collect())) for df in (wide, lists)]
+    assert got[0] == got[1] == [(1, 0, -50.0), (1, 2, -70.0)]
+
+
+def test_attack_tables_and_rates(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "attack string, n long")
+    files.write_attacks(df, f"{tmp_path}/out", "attack")
+    assert spark.read.parquet(f"{tmp_path}/out/all").count() == 2 and spark.read.parquet(f"{tmp_path}/out/by/attack=b").first()["n"] == 2
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        files.write_attacks(df, f"{tmp_path}/out", "attack")
+    files.rates_valid(0.0, 0.5, 1.0)
+    with pytest.raises(ValueError):
+        files.rates_valid(1.5)
+
+
+def test_time_window_by_clock_or_since_start(spark):
+    hour = 3_600_000
+    df = spark.createDataFrame([(1, 10 * hour), (1, 12 * hour), (2, h := 20 * hour), (2, h + 90 * 60_000), (2, h + 3 * hour)], "trace_id long, ms long")
+    got = sorted(map(tuple, frames.in_time_window(df, "ms", 1 * hour, 2 * hour).collect()))
+    assert got == [(1, 12 * hour), (2, h + 90 * 60_000)]
+    assert sorted(map(tuple, frames.in_time_window(df, "ms", 11 * hour, 13 * hour).collect())) == [(1, 12 * hour)]
+
+
+def test_layout_by_turns(spark):
+    """Right at the first corner, read backwards from its end; an unreached pair lies far off."""
+    rows = [(0, 1, 1, [(0, 2.0), (1, 3.0)]), (2, 1, 2, [(0, 1.0), (-1, 4.0)]), (8, 9, 3, [(0, 1.0)])]
+    paths = spark.createDataFrame(rows, "src long, dst long, seq long, turns array<struct<turn:int,length:double>>")
+    got = {r["node"]: (round(r["x"], 6), round(r["y"], 6)) for r in graph.layout(paths).collect()}
+    assert got[0] == (0, 0) and got[1] == (2, -3) and got[9] == (9999, 9999)
+    # From node 1, heading down: right turn (the other way round of -1), 4 ahead, then 1 straight on.
+    assert got[2] == (-3, -3)
