@@ -136,10 +136,6 @@ def magnetic(x: np.ndarray, sigma: float = 2.0) -> np.ndarray:
     return (y - y.mean()) / (sd if sd > 0 else 1.0)
 
 
-def cellular(x: np.ndarray, sigma: float = 1.5) -> np.ndarray:
-    return gaussian(np.nan_to_num(np.asarray(x, float)), sigma)
-
-
 def components(x: np.ndarray, k: int) -> np.ndarray:
     """Principal components by a centred SVD; the largest loading of each is positive, so results do not flip."""
     x = np.asarray(x, float)
