@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterable
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python; bounds a worker's memory by texts, not by partitions.
@@ -87,6 +87,19 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: What counts as a word for the operators that compare words: letters and digits of ASCII in lower case, and everything beyond ASCII.
+LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def lowered(text: Column) -> Column:
+    """A-Z in lower case; no other letter changes."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def word_array(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(LOWER_WORD), F.lit(0))
+
+
 def need(df: DataFrame, names: Iterable[str]) -> None:
     """Raises when a column that an operator reads is missing."""
     missing = [n for n in names if n not in df.columns]
@@ -110,8 +123,6 @@ def exclusive_sums(df: DataFrame, within: list[str], fine: str, order: list[str]
     together, so that no task sees all rows of a ``within`` group. Ties in
     ``order`` may come in any order; the sums then stay gapless all the same.
     """
-    from pyspark.sql import Window
-
     keys = [*within, fine]
     bins = df.groupBy(*keys).agg(F.sum(amount).alias("__bin"))
     run = Window.partitionBy(*within).orderBy(fine) if within else Window.orderBy(fine)
@@ -120,3 +131,17 @@ def exclusive_sums(df: DataFrame, within: list[str], fine: str, order: list[str]
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), F.lit(0).cast("long")))
     return rows.join(bins, keys).withColumn(out, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``, the place of each row from 0 in the order of all: a range sort, then places in a task plus counts by task.
+
+    Rows that tie are told apart by where they come from, so that equal rows by the million are spread as well.
+    """
+    rows = df.withColumn("__from", F.monotonically_increasing_id()).orderBy(*order, "__from").drop("__from")
+    rows = stored(rows.withColumn("__mono", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("__task", F.shiftright("__mono", 33)).withColumn("__nth", F.col("__mono").bitwiseAND((1 << 33) - 1))
+    # A row for each task; what is broadcast is as long as the sort had partitions.
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = rows.groupBy("__task").agg(F.count("*").alias("__n")).select("__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(tasks), "__task").withColumn(name, F.col("__start") + F.col("__nth")).select(*df.columns, name)
