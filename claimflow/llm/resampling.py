@@ -24,11 +24,12 @@ LEAST_WORDS = 20
 
 def runs_of_words(words: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by one space."""
-    parts = [words]
-    for n in range(2, longest + 1):
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i, n=n: i <= F.size(words) - n + 1)
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*parts) if longest > 1 else words
+
+    def runs(n: int) -> Column:
+        ahead = lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)])
+        return F.slice(F.transform(words, ahead), F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(0)))
+
+    return F.concat(words, *[runs(n) for n in range(2, longest + 1)]) if longest > 1 else words
 
 
 def bucketed(rows: DataFrame, buckets: int = BUCKETS, longest: int = 1) -> DataFrame:

@@ -411,14 +411,15 @@ def _checked_components(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> Da
 def near_groups(docs: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id long, text; other columns are ignored).
 
-    Returns (doc_id, text_hash, fp, component_id) for every row: rows link when their
+    Returns (doc_id, text_hash, fp, component_id, root) for every row: rows link when their
     fingerprints differ in at most ``scheme.most_bits`` bits (and, with ``scheme.cosine``,
     their shingle sets are that similar), and component_id is
     the smallest doc_id that links reach, the row's own included. Null text
     counts as empty; texts without words share the zero fingerprint and link
-    like any other. Rows that repeat a doc_id all come back and share a
-    component only if their texts link. A null doc_id comes back with the
-    component of its fingerprint. An empty table gives no rows.
+    like any other. Rows that repeat a doc_id all come back. component_id being a
+    doc_id, unrelated texts under one doc_id may carry the same; ``root``, which
+    names a group by its fingerprints, tells them apart. A null doc_id comes
+    back with the component of its fingerprint. An empty table gives no rows.
     """
     need(docs, ["doc_id", "text"])
     prints = stored(fingerprints(docs, scheme), "fingerprints")
@@ -432,8 +433,8 @@ def near_groups(docs: DataFrame, scheme: Scheme = THREE_BITS) -> DataFrame:
     several = of.groupBy("root").agg(F.min("least").alias("told"), F.count("*").alias("n")).where("n > 1").drop("n")
     several = several.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(KEEP_SALTS - 1))))
     dealt = of.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(KEEP_SALTS)).cast("int"))
-    named = stored(dealt.join(several, ["root", "place"], "left").select("fp", F.coalesce("told", "least").alias("component_id")), "near-names")
-    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = stored(dealt.join(several, ["root", "place"], "left").select("fp", F.coalesce("told", "least").alias("component_id"), "root"), "near-names")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def _as_long(name: str):
@@ -449,15 +450,16 @@ def fingerprint_hex(name: str = "fp"):
 def near_dedup(docs: DataFrame, scheme: Scheme = NEAR_80) -> DataFrame:
     """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest doc_id.
 
-    Of rows of a group that share this doc_id the one with the smallest text
-    hash stays; of rows that repeat both doc_id and text, one. Rows with a null
-    doc_id stay. All columns are kept.
+    Groups are those of linked texts: a doc_id that comes with unrelated texts
+    is in several, and each keeps a row. Of rows of a group that share this
+    doc_id the one with the smallest text hash stays; of rows that repeat both
+    doc_id and text, one. Rows with a null doc_id stay. All columns are kept.
     """
     groups = stored(near_groups(docs, scheme), "near-groups")
-    several = groups.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    several = groups.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
     # A group's row that stays is copied to a few places over which its members are dealt: no task gets all of a large group.
     several = several.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(KEEP_SALTS - 1))))
-    gone = groups.withColumn("place", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(KEEP_SALTS)).cast("int")).join(several, ["component_id", "place"]).where("struct(doc_id, text_hash) <> keep")
+    gone = groups.withColumn("place", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(KEEP_SALTS)).cast("int")).join(several, ["root", "place"]).where("struct(doc_id, text_hash) <> keep")
     gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
     here = F.xxhash64(text_or_empty())
     # The narrow side is hashed, so that texts are dealt out but never sorted.

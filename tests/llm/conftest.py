@@ -34,3 +34,17 @@ def words():
         return " ".join(r.choice(vocabulary) for _ in range(n))
 
     return text
+
+
+@pytest.fixture
+def sql_rows():
+    """Rows of an oracle on the smallest tables, as sorted text."""
+    import duckdb
+
+    def rows(name, oracles):
+        c = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+        return sorted(map(repr, c.sql(oracles[name]).fetchall()))
+
+    return rows

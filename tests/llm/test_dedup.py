@@ -246,6 +246,17 @@ def test_near_dedup_cases(docs_of):
     assert simhash.near_dedup(docs_of([])).count() == 0
 
 
+def test_near_dedup_of_unrelated_texts_under_one_id(docs_of, words):
+    """A doc_id is no group: texts that do not link all stay, linked ones under one id or null lose what they should."""
+    a, b = words(60, 1), words(60, 2)
+    got = lambda rows: sorted(((r["doc_id"], r["text"]) for r in simhash.near_dedup(docs_of(rows)).collect()), key=repr)
+    assert got([(7, a), (7, b), (8, a)]) == sorted([(7, a), (7, b)], key=repr)
+    many = [(i % 3, words(50, 100 + i)) for i in range(40)]
+    assert got(many) == sorted(many, key=repr)
+    linked = got([(7, a), (7, a + " more"), (9, b), (None, a)])
+    assert len(linked) == 3 and (9, b) in linked and (None, a) in linked
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (None, 3), (200, 199)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
