@@ -93,7 +93,7 @@ def test_whole_rows(docs_of):
     assert got[2] == [("mit", False, 1, 4, 1), ("mit", True, 7, 10, 0)]
     assert got[3] == [] and got[6] == got[7] == got[8] == []
     assert got[4] == [("apache-2", False, 3, 6, 1)]
-    assert [x[2] for x in got[5]] == [0, 3, 7]
+    assert [x[2] for x in got[5]] == [0, 3, 8]
     assert got[9] == [("mit", True, 200_000, 200_003, 0)]
     assert got[10] == [("gpl-3", False, 0, 5, 2)]
     assert got[None] == [("cc-by-nc", True, 0, 2, 0)]

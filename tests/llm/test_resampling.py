@@ -48,7 +48,7 @@ def test_against_plain_python(spark, docs_of, words, longest, buckets):
 
 def test_documents_like_the_target_are_drawn(docs_of, words, spark):
     rows = [(i, words(200, i)) for i in range(300)] + [(1000 + i, "the old harbour sleeps under a grey winter sky " * 20) for i in range(30)]
-    target = spark.createDataFrame([("the old harbour sleeps under a grey winter sky " * 50,)], "text string")
+    target = spark.createDataFrame([("the old harbour sleeps under a grey winter sky " * 5000,)], "text string")
     drawn = {r["doc_id"] for r in resampling.resample(docs_of(rows), target).where("rank is not null").collect()}
     # The noise lets others in, now and then.
     assert len(drawn) == 33 and len(drawn & set(range(1000, 1030))) >= 25
