@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -11,18 +13,150 @@ def dtw(a: np.ndarray, b: np.ndarray, squared: bool = False) -> np.ndarray:
     Absolute cost over the summed lengths; squared: the root of summed squares.
     """
     a, b = np.atleast_2d(np.asarray(a, float)), np.atleast_2d(np.asarray(b, float))
-    n, m = a.shape[1], b.shape[1]
-    before = np.full((len(a), m + 1), np.inf)
-    before[:, 0] = 0.0
+    return warped_of(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), squared)
+
+
+def straight(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``x`` to all of ``y``: one matrix product, with near pairs computed anew from their differences."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    own, other = (x * x).sum(1)[:, None], (y * y).sum(1)[None]
+    d = own + other - 2 * x @ y.T
+    i, j = np.nonzero(d < 1e-6 * (own + other))
+    for at in range(0, len(i), 100_000):
+        p, q = i[at : at + 100_000], j[at : at + 100_000]
+        d[p, q] = ((x[p] - y[q]) ** 2).sum(1)
+    return np.sqrt(np.maximum(d, 0.0))
+
+
+def warped_of(a: np.ndarray, b: np.ndarray, squared: bool = False, limit: np.ndarray | None = None) -> np.ndarray:
+    """Warped distances of columns: series k is column k of ``a`` and of ``b``; infinite where all ways exceed ``limit``.
+
+    Series lie along the first axis, so that a step works on neighbours in memory.
+    """
+    n, m, p = len(a), len(b), a.shape[1]
+    out, alive = np.full(p, np.inf), np.arange(p)
+    most = None if limit is None else (limit**2 if squared else limit * (n + m)) * (1 + 1e-12)
+    before = np.full((m + 1, p), np.inf)
+    before[0] = 0.0
     for i in range(n):
-        cost = np.abs(a[:, i : i + 1] - b)
-        cost = cost * cost if squared else cost
-        now = np.full_like(before, np.inf)
-        up = np.minimum(before[:, 1:], before[:, :-1])
+        cost = np.abs(a[i][None] - b)
+        if squared:
+            cost *= cost
+        now = np.empty_like(before)
+        now[0] = np.inf
+        np.minimum(before[1:], before[:-1], out=before[:-1])
         for j in range(m):
-            now[:, j + 1] = cost[:, j] + np.minimum(up[:, j], now[:, j])
+            np.minimum(before[j], now[j], out=now[j + 1])
+            now[j + 1] += cost[j]
         before = now
-    return np.sqrt(before[:, m]) if squared else before[:, m] / (n + m)
+        if most is not None and i % 4 == 3:
+            fit = now.min(0) <= most
+            if fit.sum() < 0.7 * len(fit):
+                alive, most, a, b, before = alive[fit], most[fit], a[:, fit], b[:, fit], np.ascontiguousarray(now[:, fit])
+                if not len(alive):
+                    return out
+    end = before[m] if most is None else np.where(before[m] <= most, before[m], np.inf)
+    out[alive] = np.sqrt(end) if squared else end / (n + m)
+    return out
+
+
+def warped(x: np.ndarray, y: np.ndarray, squared: bool = False, at_once: int = 8_192) -> np.ndarray:
+    """Warped distances of all rows of ``x`` to all of ``y``, some thousand pairs at a time."""
+    out, xt, yt = np.empty((len(x), len(y))), np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    flat = out.ravel()
+    for start in range(0, len(flat), at_once):
+        i, j = np.divmod(np.arange(start, min(start + at_once, len(flat))), len(y))
+        flat[start : start + at_once] = warped_of(xt[:, i], yt[:, j], squared)
+    return out
+
+
+def least_warped(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the warped distances of all rows of ``x`` to all of ``y``.
+
+    The first values meet and so do the last; and each value costs at least what it lies outside the other's range.
+    """
+
+    def outside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high, out = b.min(1), b.max(1), np.empty((len(a), len(b)))
+        for k, row in enumerate(np.sort(a, 1)):
+            sums = np.concatenate([[0.0], np.cumsum(row)])
+            over, under = np.searchsorted(row, high, "right"), np.searchsorted(row, low, "left")
+            out[k] = sums[-1] - sums[over] - (len(row) - over) * high + under * low - sums[under]
+        return out
+
+    ends = np.abs(x[:, :1] - y[None, :, 0])
+    if x.shape[1] > 1 or y.shape[1] > 1:
+        ends = ends + np.abs(x[:, -1:] - y[None, :, -1])
+    return np.maximum(ends, np.maximum(outside(x, y), outside(y, x).T)) / (x.shape[1] + y.shape[1])
+
+
+def nearest_warped(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray, at_once: int = 8_192) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, distances) of the ``k`` rows of ``y`` nearest to each row of ``x`` by warped distance, ties to the first; ``own`` marks pairs that do not count."""
+    bound = np.where(own, np.inf, least_warped(x, y) * (1 - 1e-9) - 1e-12)
+    d, xt, yt = np.full(bound.shape, np.inf), np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+
+    def compute(i: np.ndarray, j: np.ndarray, limit: np.ndarray | None) -> None:
+        for at in range(0, len(i), at_once):
+            p, q = i[at : at + at_once], j[at : at + at_once]
+            d[p, q] = warped_of(xt[:, p], yt[:, q], False, None if limit is None else limit[p])
+
+    first = np.argsort(bound, axis=1, kind="stable")[:, : 2 * k]
+    i, j = np.repeat(np.arange(len(x)), first.shape[1]), first.ravel()
+    seen = np.isfinite(bound[i, j])
+    compute(i[seen], j[seen], None)
+    worst = np.sort(d, 1)[:, k - 1] if len(y) >= k else np.full(len(x), np.inf)
+    open_ = (bound <= worst[:, None]) & np.isfinite(bound)
+    open_[i, j] = False
+    compute(*np.nonzero(open_), worst)
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return [(o[np.isfinite(r[o])], r[o][np.isfinite(r[o])]) for o, r in zip(order, d, strict=True)]
+
+
+def _warping_path(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+    """(cost, cells) of the cheapest warping that stays within places ``low`` to ``high`` (exclusive) of y in each row of x."""
+    rows, before = [], np.array([0.0])
+    first, last = -1, 0  # the row before the first one: a single cell, to which all lead back
+    for i in range(len(x)):
+        a, b = int(low[i]), int(high[i])
+        cost = np.abs(x[i] - y[a:b])
+        now = np.empty(b - a)
+        for k in range(b - a):
+            j = a + k
+            up = before[j - first] if first <= j < last else np.inf
+            across = before[j - 1 - first] if first <= j - 1 < last else np.inf
+            now[k] = cost[k] + min(up, across, now[k - 1] if k else np.inf)
+        rows.append((a, now))
+        before, first, last = now, a, b
+    i, j, cells = len(x) - 1, len(y) - 1, []
+    at = lambda i, j: rows[i][1][j - rows[i][0]] if i >= 0 and 0 <= j - rows[i][0] < len(rows[i][1]) else np.inf
+    while i > 0 or j > 0:
+        cells.append((i, j))
+        _, i, j = min((at(i - 1, j - 1), i - 1, j - 1), (at(i - 1, j), i - 1, j), (at(i, j - 1), i, j - 1), key=lambda c: c[0])
+    return float(rows[-1][1][-1]), [(0, 0), *reversed(cells)]
+
+
+def fast_warped(x: np.ndarray, y: np.ndarray, radius: int = 1) -> float:
+    """Warped distance (absolute cost over the summed lengths) along a way refined from coarse to fine; never below the exact one.
+
+    Both series are halved until they are short, warped there, and the way is
+    searched again at each finer step within ``radius`` of where it was, so the
+    work grows with the length and not with its square.
+    """
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    levels = [(x, y)]
+    while min(map(len, levels[-1])) > radius + 2:
+        levels.append(tuple(np.add.reduceat(v, np.arange(0, len(v), 2)) / np.minimum(2, len(v) - np.arange(0, len(v), 2)) for v in levels[-1]))
+    cost, path = 0.0, None
+    for a, b in reversed(levels):
+        low, high = np.zeros(len(a), int), np.full(len(a), len(b))
+        if path is not None:
+            low, high = np.full(len(a), len(b)), np.zeros(len(a), int)
+            for i, j in path:
+                rows = slice(max(0, 2 * (i - radius)), min(len(a), 2 * (i + radius) + 2))
+                low[rows] = np.minimum(low[rows], max(0, 2 * (j - radius)))
+                high[rows] = np.maximum(high[rows], min(len(b), 2 * (j + radius) + 2))
+        cost, path = _warping_path(a, b, low, high)
+    return cost / (len(x) + len(y))
 
 
 def spaced_peaks(x: np.ndarray, distance: int, height: float | None = None) -> np.ndarray:
@@ -61,6 +195,28 @@ def kept_peaks(x: np.ndarray, distance: int, valleys: bool = False) -> np.ndarra
     return np.array(sorted(kept), int)
 
 
+def suppressed(at: np.ndarray, rank: np.ndarray, tie: np.ndarray, state: np.ndarray, own: np.ndarray, distance: int) -> np.ndarray:
+    """States (0 undecided, 1 stays, 2 gone) of candidates in order of place, as far as they can be told.
+
+    Only ``own`` candidates are decided, as only they see all others within the
+    distance; the highest goes first, so what it hangs on has been looked at.
+    """
+    state = state.copy()
+    low, high = np.searchsorted(at, at - distance, "right"), np.searchsorted(at, at + distance, "left")
+    order = np.lexsort((-tie, -rank))
+    place = np.empty(len(at), int)
+    place[order] = np.arange(len(at))
+    for i in order:
+        if state[i] or not own[i]:
+            continue
+        near = slice(low[i], high[i])
+        if (state[near] == 1).any():
+            state[i] = 2
+        elif not ((state[near] == 0) & (place[near] < place[i])).any():
+            state[i] = 1
+    return state
+
+
 # The decomposition low-pass filter of the Daubechies wavelet with six vanishing moments.
 DB6 = np.array([-0.00107730108499558, 0.004777257511010651, 0.0005538422009938016, -0.031582039318031156, 0.02752286553001629, 0.09750160558707936, -0.12976686756709563, -0.22626469396516913, 0.3152503517092432, 0.7511339080215775, 0.4946238903983854, 0.11154074335008017])
 
@@ -82,8 +238,13 @@ def _synthesise(a: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray,
     return full[n - 2 : n - 2 + size]
 
 
-def denoised(x: np.ndarray, level: int = 3, factor: float = 0.5) -> np.ndarray:
-    """Soft thresholds on all wavelet bands (db6, symmetric ends); the threshold comes from the finest band."""
+def details(x: np.ndarray) -> np.ndarray:
+    """The finest band; coefficient k ends at row 2 k + 1."""
+    return _analyse(np.asarray(x, float), DB6, DB6[::-1] * np.where(np.arange(len(DB6)) % 2 == 0, -1.0, 1.0))[1]
+
+
+def denoised(x: np.ndarray, level: int = 3, factor: float = 0.5, cut: float | None = None) -> np.ndarray:
+    """Soft thresholds on all wavelet bands (db6, symmetric ends); the threshold comes from the finest band unless it is given."""
     x = np.asarray(x, float)
     if len(x) < 2:
         return x.copy()
@@ -94,7 +255,8 @@ def denoised(x: np.ndarray, level: int = 3, factor: float = 0.5) -> np.ndarray:
         sizes.append(len(a))
         a, d = _analyse(a, low, high)
         bands.append(d)
-    cut = factor * np.median(np.abs(bands[0])) / 0.6745
+    if cut is None:
+        cut = factor * np.median(np.abs(bands[0])) / 0.6745
     soft = lambda c: np.sign(c) * np.maximum(np.abs(c) - cut, 0)
     a = soft(a)
     for d, size in zip(reversed(bands), reversed(sizes), strict=True):
@@ -136,6 +298,27 @@ def magnetic(x: np.ndarray, sigma: float = 2.0) -> np.ndarray:
     return (y - y.mean()) / (sd if sd > 0 else 1.0)
 
 
+def filled(values) -> np.ndarray:
+    """Forward, then backward; without any value zeros."""
+    x = np.array([np.nan if v is None else v for v in values], float)
+    at = np.flatnonzero(~np.isnan(x))
+    return x[at[np.clip(np.searchsorted(at, np.arange(len(x)), "right") - 1, 0, None)]] if len(at) else np.zeros(len(x))
+
+
+def centred_mean(x: np.ndarray, window: int) -> np.ndarray:
+    """Means over the window around each value, of what there is of it at the ends."""
+    half, sums = window // 2, np.concatenate([[0.0], np.cumsum(x)])
+    low, high = np.maximum(np.arange(len(x)) - half, 0), np.minimum(np.arange(len(x)) + half + 1, len(x))
+    return (sums[high] - sums[low]) / (high - low)
+
+
+def row_standard(values, window: int = 5) -> np.ndarray:
+    """A list filled, smoothed and standardised by the population deviation (0: only centred)."""
+    x = centred_mean(filled(values), window)
+    sd = x.std() if len(x) else 0.0
+    return (x - (x.mean() if len(x) else 0.0)) / (sd if sd > 1e-12 else 1.0)
+
+
 def components(x: np.ndarray, k: int) -> np.ndarray:
     """Principal components by a centred SVD; the largest loading of each is positive, so results do not flip."""
     x = np.asarray(x, float)
@@ -146,20 +329,37 @@ def components(x: np.ndarray, k: int) -> np.ndarray:
     return x @ v.T
 
 
+def linked_starts(x: np.ndarray, cut: float) -> np.ndarray:
+    """For each of the ascending values ``x`` the place of its cluster's first: neighbouring clusters join, narrowest span first, up to ``cut``.
+
+    A heap holds the spans of neighbours; one that has changed since is passed over.
+    """
+    n = len(x)
+    last, after, before = np.arange(n), np.arange(1, n + 1), np.arange(-1, n - 1)
+    spans = [(x[i + 1] - x[i], i, i + 1) for i in range(n - 1)]
+    heapq.heapify(spans)
+    while spans and spans[0][0] <= cut:
+        span, a, end = heapq.heappop(spans)
+        b = after[a]
+        # Gone, or one of the two has grown: then another entry stands for it.
+        if last[a] < a or b >= n or last[b] != end or span != x[end] - x[a]:
+            continue
+        last[a], after[a], last[b] = end, after[b], -1
+        if after[a] < n:
+            before[after[a]] = a
+            heapq.heappush(spans, (x[last[after[a]]] - x[a], a, last[after[a]]))
+        if before[a] >= 0:
+            heapq.heappush(spans, (x[end] - x[before[a]], int(before[a]), end))
+    starts = np.flatnonzero(last >= np.arange(n))
+    return np.repeat(starts, np.diff(np.append(starts, n)))
+
+
 def complete_linkage(x: np.ndarray, cut: float) -> np.ndarray:
-    """Labels of agglomerative clusters on a line, joined while their farthest members are within ``cut``."""
+    """Labels of agglomerative clusters on a line, ascending, joined while their farthest members are within ``cut``."""
     x = np.asarray(x, float)
     order = np.argsort(x, kind="stable")
-    groups = [[i] for i in order]
-    while len(groups) > 1:
-        span = [x[b[-1]] - x[a[0]] for a, b in zip(groups, groups[1:], strict=False)]
-        k = int(np.argmin(span))
-        if span[k] > cut:
-            break
-        groups[k : k + 2] = [groups[k] + groups[k + 1]]
     out = np.empty(len(x), int)
-    for label, g in enumerate(groups):
-        out[g] = label
+    out[order] = np.unique(linked_starts(x[order], cut), return_inverse=True)[1]
     return out
 
 

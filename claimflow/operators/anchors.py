@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..functions import kernels as K
-from . import frames, intervals
+from ..session import stored
+from . import frames, intervals, series
 
 
 @dataclass(frozen=True)
@@ -54,27 +55,22 @@ def extremes(distance: int, wobble: int):
     return of
 
 
-def peak_bounds(distance: int, up: float, down: float):
-    """A vectorised function of a whole trace: mean of its peaks plus, of its valleys less, so many sample deviations."""
+def peak_bounds(trace: DataFrame, value: str, how: Detection) -> DataFrame:
+    """(trace_id, peak_bound, valley_bound): mean of a trace's peaks plus, of its valleys less, so many sample deviations; fewer than two give none."""
 
-    @F.pandas_udf("peak_bound double, valley_bound double")
-    def of(lists: pd.Series) -> pd.DataFrame:
-        out = np.full((len(lists), 2), np.nan)
-        for i, values in enumerate(lists):
-            x = np.array([v for v in values if v is not None], float)
-            for k, (at, factor) in enumerate(((K.spaced_peaks(x, distance), up), (K.spaced_peaks(-x, distance), -down))):
-                if len(at) > 1:
-                    out[i, k] = x[at].mean() + factor * x[at].std(ddof=1)
-        return pd.DataFrame(out, columns=["peak_bound", "valley_bound"])
+    def bound(sign: int, factor: float, name: str) -> DataFrame:
+        at = series.find_peaks(trace.select(*frames.KEYS, "row_idx", (sign * F.col(value)).alias("__v")).where("__v is not null"), "__v", how.spacing)
+        level = sign * F.avg("height") + sign * factor * F.stddev_samp("height")
+        return at.groupBy(*frames.KEYS).agg(F.when(F.count("*") > 1, level).alias(name))
 
-    return of
+    return bound(1, how.peak_factor, "peak_bound").join(bound(-1, how.valley_factor, "valley_bound"), list(frames.KEYS), "full")
 
 
 def flagged_windows(trace: DataFrame, value: str, rssi: list[str], ids: list[str], how: Detection = Detection(), both: bool = False) -> DataFrame:
     """Windows that show a change: magnetic (activity, peaks, valleys and wobble all beyond their bounds) or, with ``both`` and, cellular.
 
     A channel without any deviation to take leaves the cellular flag unset. A
-    list holds one trace or one window; traces are a walk's length.
+    list holds one window; of a whole trace only its peaks' statistics are kept.
     """
     z = activity(trace, value, how.smooth)
     for c in (*rssi, *ids):
@@ -83,9 +79,9 @@ def flagged_windows(trace: DataFrame, value: str, rssi: list[str], ids: list[str
         z = frames.trailing_mean(z, c, c, how.smooth)
     for c in ids:
         z = frames.changes(z, [c], f"__new_{c}")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "z"))), lambda x: x["z"])
-    bounds = z.groupBy(*frames.KEYS).agg((F.avg("az") + how.activity_factor * F.stddev_samp("az")).alias("activity_bound"), listed.alias("__z"))
-    bounds = bounds.withColumn("__p", peak_bounds(how.spacing, how.peak_factor, how.valley_factor)("__z")).select(*frames.KEYS, "activity_bound", "__p.*")
+    z = stored(z.select(*frames.KEYS, "row_idx", "z", "az", *rssi, *[f"__new_{c}" for c in ids]), "activity")
+    bounds = z.groupBy(*frames.KEYS).agg((F.avg("az") + how.activity_factor * F.stddev_samp("az")).alias("activity_bound"))
+    bounds = bounds.join(peak_bounds(z, "z", how), list(frames.KEYS), "left")
     parts: dict[str, Column] = {"mean_activity": F.avg("az"), "items": F.collect_list(F.struct(F.col("row_idx"), F.col("z")))}
     parts |= {f"__sd_{c}": F.stddev_samp(c) for c in rssi}
     parts |= {f"__n_{c}": F.sum(f"__new_{c}") for c in ids} | {f"__f_{c}": F.first(f"__new_{c}") for c in ids}
@@ -112,17 +108,22 @@ def anchor_segments(trace: DataFrame, value: str, rssi: list[str], ids: list[str
 
 def anchor_features(trace: DataFrame, segments: DataFrame, value: str, size: int = 400, around: int = 12, lead: int = 4, cells: list[str] = ()) -> DataFrame:
     """The values inside each segment, before and after it, and ``around`` cell rows from ``lead`` before its start; short lists are filled with nulls."""
-    columns = [value, *cells]
-    rows = F.array_sort(F.collect_list(F.struct("row_idx", *columns)))
-    whole = trace.groupBy(*frames.KEYS).agg(rows.alias("__r"))
-    both = segments.join(whole, list(frames.KEYS))
-
-    def part(name: str, start: Column, end: Column, n: int, front: bool = False) -> Column:
-        low = F.greatest(start, F.lit(0))
-        taken = F.transform(F.slice("__r", (low + 1).cast("int"), F.greatest(end - low, F.lit(0)).cast("int")), lambda x: x[name])
-        return C.fit_length(taken, n, front)
-
+    # Each segment asks for its rows by number: a fixed number of places, and no trace is gathered.
     s, e = F.col("start_row"), F.col("end_row")
-    out = [part(value, s, e, size).alias("cur"), part(value, s - size, s, size, True).alias("pre"), part(value, e, e + size, size).alias("post")]
-    out += [part(c, s - lead, s - lead + around, around).alias(c) for c in cells]
-    return both.select(*frames.KEYS, "start_row", "end_row", *out)
+    low = F.greatest(s - lead, F.lit(0))
+    spans = {"cur": (s, e), "pre": (s - size, s), "post": (e, e + size)} | ({"cells": (low, s - lead + around)} if cells else {})
+    most = {"cur": size, "pre": size, "post": size, "cells": around}
+    asked = [
+        segments.select(*frames.KEYS, "start_row", "end_row", F.lit(part).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(most[part] - 1))).alias("place"), a.alias("from"), b.alias("to")).withColumn("row_idx", F.col("from") + F.col("place"))
+        for part, (a, b) in spans.items()
+    ]
+    # A place beyond its part asks for a row below 0, which no trace has.
+    wanted = reduce(DataFrame.unionByName, asked).withColumn("row_idx", F.when(F.col("row_idx") < F.col("to"), F.col("row_idx")).otherwise(-1 - F.abs("row_idx")))
+    columns = [value, *cells]
+    found = wanted.join(trace.select(*frames.KEYS, "row_idx", *columns), [*frames.KEYS, "row_idx"], "left")
+    rows = F.array_sort(F.collect_list(F.struct("place", *columns)))
+    lists = found.groupBy(*frames.KEYS, "start_row", "end_row").pivot("part", list(spans)).agg(rows)
+    out = [F.transform(part, lambda x: x[value]).alias(part) for part in ("cur", "pre", "post")]
+    of = lambda c: lambda x: x[c]
+    out += [F.transform("cells", of(c)).alias(c) for c in cells]
+    return lists.select(*frames.KEYS, "start_row", "end_row", *out)

@@ -95,3 +95,18 @@ def with_replayed(trace: DataFrame, manifest: DataFrame, per_signal: int) -> Dat
     far = F.expr(f"(row_idx - material_start) div {per_signal}")
     more = taken.join(trace, ["trace_id", "row_idx"]).select("claim_id", (F.col("base_rows") + F.col("row_idx") - F.col("material_start")).alias("row_idx"), "value", (F.expr(f"(base_rows + {per_signal - 1}) div {per_signal}") + F.least(far, F.col("signal_end") - F.col("signal_start") - 1)).alias("signal_row"), F.lit(True).alias("appended"))
     return own.unionByName(more)
+
+
+def transplant_manifest(sizes: DataFrame, rows: int, seed: str, attack: str = "transplant_location") -> DataFrame:
+    """What each transplanted sample is made of: ``rows`` rows from a keyed place of the signal's trace, then as many of the label's.
+
+    ``sizes`` has claim_id, signal_source, signal_rows, label_source and
+    label_rows; a claim either of whose traces is shorter has no sample. Windows
+    are half open, samples numbered by claim, and the sample's name carries its number.
+    """
+    fit = sizes.where((F.col("signal_rows") >= rows) & (F.col("label_rows") >= rows))
+    placed = numbered(fit, ["claim_id"], "__place").withColumn("sample_id", F.col("__place") + 1)
+    window = lambda part: C.keyed(F.col(f"{part}_rows") - rows + 1, F.lit(seed), F.lit(part), "claim_id")
+    name = F.concat(F.lit(f"{attack}/"), F.col("sample_id").cast("string"), F.lit("_merged.csv"))
+    told = placed.withColumn("signal_start", window("signal")).withColumn("label_start", window("label"))
+    return told.select("sample_id", "claim_id", name.alias("output_source"), F.lit(2 * rows).alias("output_rows"), "signal_source", "signal_start", (F.col("signal_start") + rows).alias("signal_end"), "label_source", "label_start", (F.col("label_start") + rows).alias("label_end"), F.lit(seed).alias("seed"))

@@ -1,9 +1,9 @@
-"""Distances between vectors: to a bounded set of templates, and all pairs of a table in blocks.
+"""Distances between rows, block against block: all rows of a group meet all others, whatever the group's size.
 
-Templates are a few vectors a label; they are gathered, counted and broadcast,
-and every row meets them where it is, so no pair is shuffled. All
-pairs are formed block against block of both sides in numpy, and only sums and
-least values by row leave a task.
+Rows are dealt into blocks by a hash of their key, each two blocks of a group
+meet in one task, and what leaves it are sums, extremes and the nearest few of
+each row by label. No pair is ever listed, and a group that holds many rows is
+spread over as many tasks as it has pairs of blocks.
 """
 
 from __future__ import annotations
@@ -16,118 +16,313 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import kernels as K
 
-#: Vectors of a label that serve as its templates at most (a fixed value of the method: samples kept of an anchor).
-SAMPLES = 30
-#: Labels with templates at most: environment states are a few dozen.
-MOST_LABELS = 2_000
-#: Rows of one side of a block of pairs.
-BLOCK = 2_000
+#: Rows of one side of a pair of blocks.
+BLOCK = 1_000
 
+#: Distances of the rows of one block (left) to those of another (right): a matrix.
+Measure = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
-def templates(df: DataFrame, key: str, label: str, columns: Sequence[str], most: int = SAMPLES) -> DataFrame:
-    """(label, items): for each label the ``most`` rows of smallest key, as structs of (key, columns); raises with more than MOST_LABELS labels."""
-    first = Window.partitionBy(label).orderBy(key)
-    kept = df.select(key, label, *columns).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most)
-    by_key = lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
-    listed = kept.groupBy(label).agg(F.array_sort(F.collect_list(F.struct(key, *columns)), by_key).alias("items"))
-    if listed.count() > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    return listed
 
+def _stack(rows: pd.DataFrame, name: str) -> np.ndarray:
+    return np.stack(rows[name].to_numpy()).astype(float)
 
-def with_templates(df: DataFrame, listed: DataFrame, key: str, label: str) -> DataFrame:
-    """Each row with the templates (``items``) of its own label, itself left out; ``listed`` is bounded by :func:`templates`."""
-    return df.join(F.broadcast(listed), label).withColumn("items", F.filter("items", lambda x: x[key] != F.col(key)))
 
+def euclidean(name: str, normalised: bool = False) -> Measure:
+    """Straight distance of two array columns; normalised: over the root of their length."""
 
-def euclidean_to(x: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return np.sqrt(((others - x) ** 2).sum(1))
+    def measure(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        x, y = _stack(left, name), _stack(right, name)
+        return K.straight(x, y) / (np.sqrt(max(x.shape[1], 1)) if normalised else 1.0)
 
+    return measure
 
-def against(df: DataFrame, key: str, vector: str, listed: DataFrame, measures: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
-    """(key, label, others, a list for each measure): every row against the templates of every label, itself left out.
 
-    ``listed`` (label, items of key and vector) comes from :func:`templates`,
-    whose bounds hold for what is sent to all tasks; rows stay where they are.
+def warped(name: str, squared: bool = False) -> Measure:
+    """Warped distance of two array columns of any, but one, length."""
+    return lambda left, right: K.warped(_stack(left, name), _stack(right, name), squared)
+
+
+def likeness(measure: Measure, scale: float = 1.0) -> Measure:
+    """1 / (1 + d / scale) of a distance; 0 where that is not finite."""
+
+    def of(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        d = measure(left, right) / scale
+        return np.where(np.isfinite(d), 1.0 / (1.0 + np.maximum(d, 0.0)), 0.0)
+
+    return of
+
+
+def scaled(measure: Measure, low: str | None, high: str, by_right: bool) -> Measure:
+    """A distance between its least (0 without ``low``) and largest, which are columns of the right or of the left row; 0 where they agree."""
+
+    def of(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        side = right if by_right else left
+        a, b = side[low].to_numpy(float) if low else np.zeros(len(side)), side[high].to_numpy(float)
+        a, b = (a[None], b[None]) if by_right else (a[:, None], b[:, None])
+        return np.where(b > a, (measure(left, right) - a) / np.where(b > a, b - a, 1.0), 0.0)
+
+    return of
+
+
+def fused(first: Measure, second: Measure, alpha: float = 0.3) -> Measure:
+    """Root of summed squares of two distances, weighed ``alpha`` and the rest."""
+    return lambda left, right: np.sqrt((alpha * first(left, right)) ** 2 + ((1 - alpha) * second(left, right)) ** 2)
+
+
+def _sized(rows: DataFrame, block: int) -> DataFrame:
+    return rows.groupBy("by").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+
+
+def _own(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("key"), F.col(blocks)).cast("int")
+
+
+def dealt(df: DataFrame, key: str, by: str | None, label: str | None, payload: Sequence[str], block: int = BLOCK, right: DataFrame | None = None) -> DataFrame:
+    """Rows copied to the pairs of blocks in which they meet others of their ``by``: (by, one, two, left, on_right, key, label, payload).
+
+    Without ``right`` a table meets itself and each two blocks come once, one <= two.
+    Rows without ``by`` or ``label`` meet none.
     """
-    rows = listed.select("label", F.transform("items", lambda x: x[key]).alias("k"), F.transform("items", lambda x: x[vector]).alias("v")).orderBy("label").collect()
-    held = df.sparkSession.sparkContext.broadcast([(r["label"], np.array(r["k"], np.int64), np.array(r["v"], float)) for r in rows])
-    label_type = dict(listed.dtypes)["label"]
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labels = [label for label, _, _ in held.value]
-        ends = np.cumsum([len(k) for _, k, _ in held.value])
-        keys, vectors = (np.concatenate([x[i] for x in held.value]) for i in (1, 2)) if labels else (np.empty(0), np.empty((0, 0)))
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                out = []
-                for k, v in zip(batch["key"].iloc[at : at + 200], batch["v"].iloc[at : at + 200], strict=True):
-                    found = [f(np.asarray(v, float), vectors) for f in measures.values()] if labels else []
-                    for label, a, b in zip(labels, [0, *ends[:-1]], ends, strict=True):
-                        other = np.flatnonzero(keys[a:b] != k) + a
-                        if len(other):
-                            out.append((k, label, keys[other], *(x[other] for x in found)))
-                yield pd.DataFrame(out, columns=["key", "label", "others", *measures])
-
-    schema = f"key long, label {label_type}, others array<bigint>" + "".join(f", {m} array<double>" for m in measures)
-    return df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).mapInPandas(meet, schema).withColumnRenamed("key", key)
-
-
-def nearest_mean(distances: Column, k: int) -> Column:
-    """Mean of the ``k`` smallest of an array of distances; none: null."""
-    few = F.slice(F.array_sort(distances), 1, k)
-    return F.when(F.size(few) > 0, C.array_mean(few))
-
-
-def totals(df: DataFrame, key: str, vector: str, label: str, within: bool = True, block: int = BLOCK) -> DataFrame:
-    """(key, label, other_label, total, n, least): Euclidean distances of each row to the others, by the others' label.
-
-    ``within`` compares rows of one label only. Rows are dealt into blocks by a
-    hash, each two blocks meet in one task, and their distances are added up
-    there, so a label that holds many rows is spread like any other.
+    columns = lambda t: t.select((F.col(by) if by else F.lit(0)).alias("by"), F.col(key).cast("long").alias("key"), (F.col(label) if label else F.lit("")).alias("label"), *payload).where("by is not null and label is not null")
+    rows = columns(df)
+    if right is None:
+        own = rows.join(_sized(rows, block), "by").withColumn("own", _own("blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        one, two = F.least("own", "other"), F.greatest("own", "other")
+        return own.select("by", one.alias("one"), two.alias("two"), (F.col("own") == one).alias("left"), (F.col("own") == two).alias("on_right"), "key", "label", *payload)
+    others = columns(right)
+    sizes = _sized(rows, block).withColumnRenamed("blocks", "a").join(_sized(others, block).withColumnRenamed("blocks", "b"), "by")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left_rows = rows.join(sizes, "by").withColumn("one", _own("a")).withColumn("two", every("b"))
+    right_rows = others.join(sizes, "by").withColumn("two", _own("b")).withColumn("one", every("a"))
+    names = ["by", "one", "two", "left", "on_right", "key", "label", *payload]
+    return left_rows.withColumn("left", F.lit(True)).withColumn("on_right", F.lit(False)).select(*names).unionByName(right_rows.withColumn("left", F.lit(False)).withColumn("on_right", F.lit(True)).select(*names))
+
+
+def _sums(left: pd.DataFrame, right: pd.DataFrame, found: dict[str, np.ndarray], nearest: int) -> pd.DataFrame:
+    """What the rows of ``left`` keep of their distances to ``right``, by the label of the right rows, which are in order of (label, key)."""
+    keys, others, names = left["key"].to_numpy(), right["key"].to_numpy(), right["label"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    ends = np.append(starts[1:], len(names))
+    ok = keys[:, None] != others[None]
+    n = np.add.reduceat(ok.astype(np.int64), starts, axis=1)
+    out = {"key": np.repeat(keys, len(starts)), "label": np.repeat(left["label"].to_numpy(), len(starts)), "other_label": np.tile(names[starts], len(keys)), "n": n.ravel()}
+    for m, d in found.items():
+        out[f"{m}_total"] = np.add.reduceat(np.where(ok, d, 0.0), starts, axis=1).ravel()
+        out[f"{m}_least"] = np.minimum.reduceat(np.where(ok, d, np.inf), starts, axis=1).ravel()
+        out[f"{m}_most"] = np.maximum.reduceat(np.where(ok, d, -np.inf), starts, axis=1).ravel()
+    if nearest:
+        d = np.where(ok, next(iter(found.values())), np.inf)
+        near_d, near_k = [], []
+        places = [np.argsort(d[:, a:b], axis=1, kind="stable")[:, :nearest] + a for a, b in zip(starts, ends, strict=True)]
+        for i in range(len(keys)):
+            for at in places:
+                row = at[i][np.isfinite(d[i, at[i]])]
+                near_d.append(d[i, row])
+                near_k.append(others[row])
+        out |= {"near_d": near_d, "near_k": near_k}
+    table = pd.DataFrame(out)
+    return table[table["n"] > 0]
+
+
+def met(df: DataFrame, key: str, label: str, payload: Sequence[str], measures: dict[str, Measure], by: str | None = None, nearest: int = 0, block: int = BLOCK, right: DataFrame | None = None, symmetric: bool = True) -> DataFrame:
+    """(key, label, other_label, n, for each measure its _total, _least and _most, near): every row against the others, itself left out.
+
+    ``by`` restricts it to rows of one group, ``right`` makes them meet another
+    table. ``measures`` that look at columns of one side only are not
+    ``symmetric``; ``near`` lists the ``nearest`` others by the first
+    measure as (distance, other), ties to the smaller key. Rows of one key do not meet.
     """
-    blocks = max(1, -(-df.count() // block))
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = rows.select(F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "key", "label", "v")
+    types = dict(df.dtypes) if right is None else dict(right.dtypes)
+    schema = f"key long, label {dict(df.dtypes)[label]}, other_label {types[label]}, n long" + "".join(f", {m}_{s} double" for m in measures for s in ("total", "least", "most")) + (", near_d array<double>, near_k array<bigint>" if nearest else "")
+    names, alone = [x.split(" ")[0] for x in schema.split(", ")], right is None
 
     def meet(t: pd.DataFrame) -> pd.DataFrame:
-        one, two = int(t["one"].iloc[0]), int(t["two"].iloc[0])
-        left, right = t[t["own"] == one], t[t["own"] == two]
-        parts = []
-        for a, b in ((left, right),) if one == two else ((left, right), (right, left)):
-            if not len(a) or not len(b):
-                continue
-            x, y, names = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float), b["label"].to_numpy()
-            keys, others = a["key"].to_numpy(), b["key"].to_numpy()
-            for at in range(0, len(x), 64):
-                d = np.sqrt(((x[at : at + 64, None] - y[None]) ** 2).sum(2))
-                for name in np.unique(names):
-                    ok = (names == name)[None] & (keys[at : at + 64, None] != others[None])
-                    if within:
-                        ok &= (a["label"].to_numpy()[at : at + 64] == name)[:, None]
-                    n = ok.sum(1)
-                    some = n > 0
-                    least = np.where(ok, d, np.inf).min(1)
-                    parts.append(pd.DataFrame({"key": keys[at : at + 64][some], "label": a["label"].to_numpy()[at : at + 64][some], "other_label": name, "total": np.where(ok, d, 0).sum(1)[some], "n": n[some], "least": least[some]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"key": [], "label": [], "other_label": [], "total": [], "n": [], "least": []})
-
-    out = met.groupBy("one", "two").applyInPandas(meet, "key long, label string, other_label string, total double, n long, least double")
-    return out.groupBy("key", "label", "other_label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("least").alias("least"))
-
-
-def silhouette(by_label: DataFrame, noise: str | None = None) -> DataFrame:
-    """Mean silhouette (and number) of the rows of :func:`totals` over all labels; rows labelled ``noise`` are left out on both sides."""
+        a, b = (t[t[side]].sort_values(["label", "key"], kind="stable") for side in ("left", "on_right"))
+        parts = [pd.DataFrame({c: [] for c in names})]
+        if len(a) and len(b):
+            found = {m: f(a, b) for m, f in measures.items()}
+            parts = [_sums(a, b, found, nearest)]
+            if alone and t["one"].iloc[0] != t["two"].iloc[0]:
+                parts.append(_sums(b, a, {m: found[m].T if symmetric else f(b, a) for m, f in measures.items()}, nearest))
+        return pd.concat(parts)[names]
+
+    out = dealt(df, key, by, label, payload, block, right).groupBy("by", "one", "two").applyInPandas(meet, schema)
+    parts = [F.sum("n").alias("n")] + [f(f"{m}_{s}").alias(f"{m}_{s}") for m in measures for s, f in (("total", F.sum), ("least", F.min), ("most", F.max))]
+    if nearest:
+        parts.append(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("near_d").alias("distance"), F.col("near_k").alias("other"))))), 1, nearest).alias("near"))
+    return out.groupBy("key", "label", "other_label").agg(*parts)
+
+
+def near_mean() -> Column:
+    """Mean distance of the nearest few that :func:`met` lists."""
+    return C.array_mean(F.transform("near", lambda x: x["distance"]))
+
+
+def warped_neighbours(df: DataFrame, key: str, vector: str, label: str, k: int = 3, block: int = BLOCK) -> DataFrame:
+    """(key, label, near): the ``k`` nearest of each row among the others of its label by warped distance, without warping most pairs.
+
+    Lower bounds come first: of two series their ends always meet, and each
+    value costs at least what it lies outside the other's range. Only pairs
+    whose bound is within the distance of the k-th so far are warped, and
+    those are given up as soon as they exceed it.
+    """
+
+    def meet(t: pd.DataFrame) -> pd.DataFrame:
+        a, b = (t[t[side]].sort_values("key", kind="stable") for side in ("left", "on_right"))
+        parts = [pd.DataFrame({c: [] for c in ("key", "label", "near_d", "near_k")})]
+        for x, y in ((a, b),) if t["one"].iloc[0] == t["two"].iloc[0] else ((a, b), (b, a)):
+            if len(x) and len(y):
+                others = y["key"].to_numpy()
+                found = K.nearest_warped(_stack(x, vector), _stack(y, vector), k, x["key"].to_numpy()[:, None] == others[None])
+                parts.append(pd.DataFrame({"key": x["key"], "label": x["label"], "near_d": [d for _, d in found], "near_k": [others[at] for at, _ in found]}))
+        return pd.concat(parts[1:] or parts)
+
+    out = dealt(df, key, label, label, [vector], block).groupBy("by", "one", "two").applyInPandas(meet, f"key long, label {dict(df.dtypes)[label]}, near_d array<double>, near_k array<bigint>")
+    near = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("near_d").alias("distance"), F.col("near_k").alias("other"))))), 1, k)
+    return out.groupBy("key", "label").agg(near.alias("near"))
+
+
+def drawn(df: DataFrame, key: str, label: str, most: int, seed: str = "drawn") -> DataFrame:
+    """At most ``most`` rows of each label, drawn by a keyed hash: the bounded sample of templates that a caller may ask for."""
+    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
+    return df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__r")
+
+
+def silhouette(by_label: DataFrame, noise: str | None = None, measure: str = "dist") -> DataFrame:
+    """Mean silhouette (and number) of the rows of :func:`met` over all labels; rows labelled ``noise`` are left out on both sides."""
     if noise is not None:
         by_label = by_label.where((F.col("label") != noise) & (F.col("other_label") != noise))
-    mean, own = F.col("total") / F.col("n"), F.col("label") == F.col("other_label")
+    mean, own = F.col(f"{measure}_total") / F.col("n"), F.col("label") == F.col("other_label")
     one = by_label.groupBy("key").agg(F.min(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return one.agg(F.avg(s).alias("silhouette"), F.count("*").alias("n"))
 
 
-def medoids(within: DataFrame) -> DataFrame:
+def medoids(within: DataFrame, total: str = "dist_total") -> DataFrame:
     """(label, medoid, total_distance): the row of each label with the least summed distance to the others, ties to the smaller key."""
-    best = within.groupBy("label").agg(F.min(F.struct("total", "key")).alias("b"))
-    return best.select("label", F.col("b.key").alias("medoid"), F.col("b.total").alias("total_distance"))
+    best = within.groupBy("label").agg(F.min(F.struct(total, "key")).alias("b"))
+    return best.select("label", F.col("b.key").alias("medoid"), F.col(f"b.{total}").alias("total_distance"))
+
+
+# -- a whole matrix in tiles ---------------------------------------------------
+
+
+def tiles(df: DataFrame, key: str, payload: Sequence[str], measure: Measure, block: int = BLOCK) -> DataFrame:
+    """(rows, cols, row_keys, cells): the matrix of ``measure`` cut into tiles, keys ascending inside a block, 0 on the diagonal.
+
+    ``measure`` may look at columns of one side, so both tiles of two blocks are made.
+    """
+
+    def meet(t: pd.DataFrame) -> pd.DataFrame:
+        one, two = int(t["one"].iloc[0]), int(t["two"].iloc[0])
+        a, b = (t[t[side]].sort_values("key", kind="stable") for side in ("left", "on_right"))
+        out = []
+        for i, j, x, y in ((one, two, a, b),) if one == two else ((one, two, a, b), (two, one, b, a)):
+            if len(x) and len(y):
+                d = np.where(x["key"].to_numpy()[:, None] == y["key"].to_numpy()[None], 0.0, measure(x, y))
+                out.append((i, j, x["key"].to_numpy(), d.tobytes()))
+        return pd.DataFrame(out, columns=["rows", "cols", "row_keys", "cells"])
+
+    return dealt(df, key, None, None, payload, block).groupBy("by", "one", "two").applyInPandas(meet, "rows int, cols int, row_keys array<bigint>, cells binary")
+
+
+def _folded(parts: DataFrame, by: str, step: int = 32) -> DataFrame:
+    """Sums the arrays (``part``) of each ``by``: first of every few, then of these, so that no task holds many."""
+
+    def add(t: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(t["part"].iloc[0]).copy()
+        for x in t["part"].iloc[1:]:
+            total += np.frombuffer(x)
+        return pd.DataFrame({by: t[by].iloc[:1], "fold": t["fold"].iloc[:1] // step, "part": [total.tobytes()]})
+
+    schema = f"{by} int, fold int, part binary"
+    return parts.groupBy(by, "fold").applyInPandas(add, schema).groupBy(by, "fold").applyInPandas(add, schema).groupBy(by).applyInPandas(add, schema)
+
+
+def kmeans_rows(matrix: DataFrame, k: int, starts: int = 20, most_rounds: int = 100, store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """(key, state): k-means on the rows of a matrix in :func:`tiles`, the best of ``starts`` by its cost; states are numbered by their least key.
+
+    A row of the matrix is as long as the table and is never put together: the
+    centres of all starts are cut like the columns, each tile gives its part of
+    the products of its rows and these centres, and the parts are added up. A
+    start begins with the ``k`` rows that come first by a hash of (key, start).
+    A state that loses all rows is gone. What the driver sees is as large as
+    ``starts`` times ``k``.
+    """
+    from ..session import stored
+
+    store = store or stored
+    slots = starts * k
+    matrix = store(matrix, "tiles")
+    blocks = matrix.where("rows = cols").select(F.col("rows").alias("block"), "row_keys")
+
+    def first_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for keys, hashes in zip(b["row_keys"], b["hashes"], strict=True):
+                h = np.stack(hashes)
+                for s in range(starts):
+                    at = np.lexsort((keys, h[:, s]))[:k]
+                    yield pd.DataFrame({"start": s, "h": h[at, s], "key": keys[at]})
+
+    hashes = F.transform("row_keys", lambda x: F.transform(F.sequence(F.lit(0), F.lit(starts - 1)), lambda s: F.xxhash64(x, s)))
+    few = blocks.select("row_keys", hashes.alias("hashes")).mapInPandas(first_rows, "start int, h long, key long")
+    # Some rows of each block are ranked, not all.
+    ranked = few.withColumn("slot", F.row_number().over(Window.partitionBy("start").orderBy("h", "key")) - 1).where(F.col("slot") < k)
+    chosen = {(r["start"], r["key"]): r["slot"] for r in ranked.collect()}
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            codes = [np.array([[chosen.get((s, int(x)), -1) for s in range(starts)] for x in keys], np.int32).tobytes() for keys in b["row_keys"]]
+            yield pd.DataFrame({"block": b["block"], "codes": codes, "cost": [[0.0] * starts] * len(b)})
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each tile the sums of its rows by slot, and behind them how many they are."""
+        for b in batches:
+            out = []
+            for cells, codes in zip(b["cells"], b["codes"], strict=True):
+                c = np.frombuffer(codes, np.int32).reshape(-1, starts)
+                x = np.frombuffer(cells).reshape(len(c), -1)
+                member = (c[:, :, None] == np.arange(k)[None, None]).reshape(len(c), slots).astype(float)
+                out.append(np.concatenate([member.T @ x, member.sum(0)[:, None]], 1).tobytes())
+            yield pd.DataFrame({"cols": b["cols"], "fold": b["rows"] // 32, "part": out})
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each tile its part of the squared distances of rows to centres, less what is the same for all centres."""
+        for b in batches:
+            out = []
+            for cells, part in zip(b["cells"], b["part"], strict=True):
+                c = np.frombuffer(part).reshape(slots, -1)
+                n = c[:, -1]
+                centre = c[:, :-1] / np.maximum(n, 1)[:, None]
+                x = np.frombuffer(cells).reshape(-1, centre.shape[1])
+                out.append((np.where(n > 0, (centre**2).sum(1), np.inf)[None] - 2 * x @ centre.T).tobytes())
+            yield pd.DataFrame({"rows": b["rows"], "fold": b["cols"] // 32, "part": out})
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            d = [np.frombuffer(x).reshape(-1, starts, k) for x in b["part"]]
+            yield pd.DataFrame({"block": b["rows"], "codes": [x.argmin(2).astype(np.int32).tobytes() for x in d], "cost": [x.min(2).sum(0) for x in d]})
+
+    codes_schema, mark = "block int, codes binary, cost array<double>", None
+    codes = store(blocks.mapInPandas(begin, codes_schema), "codes")
+    for _ in range(most_rounds):
+        added = matrix.join(codes.select(F.col("block").alias("rows"), "codes"), "rows").select("rows", "cols", "cells", "codes").mapInPandas(sums, "cols int, fold int, part binary")
+        centres = store(_folded(added, "cols").select("cols", "part"), "centres")
+        parts = matrix.join(centres, "cols").select("rows", "cols", "cells", "part").mapInPandas(products, "rows int, fold int, part binary")
+        codes = store(_folded(parts, "rows").select("rows", "part").mapInPandas(nearest, codes_schema), "codes")
+        before, mark = mark, codes.agg(F.sum(F.xxhash64("block", "codes").cast("decimal(38,0)"))).first()[0]
+        if before == mark:
+            break
+    costs = [r["c"] for r in codes.select(F.posexplode("cost").alias("start", "c")).groupBy("start").agg(F.sum("c").alias("c")).orderBy("start").collect()]
+    best = int(np.argmin(costs)) if costs else 0
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for keys, code in zip(b["row_keys"], b["codes"], strict=True):
+                yield pd.DataFrame({"key": keys, "slot": np.frombuffer(code, np.int32).reshape(-1, starts)[:, best]})
+
+    rows = blocks.join(codes, "block").select("row_keys", "codes").mapInPandas(told, "key long, slot int")
+    order = rows.groupBy("slot").agg(F.min("key").alias("first")).withColumn("state", (F.row_number().over(Window.orderBy("first")) - 1).cast("int"))
+    return rows.join(F.broadcast(order), "slot").select("key", "state")

@@ -48,8 +48,9 @@ def trailing_sum(df: DataFrame, value: str, out: str, n: int = 200) -> DataFrame
 
 
 def filled(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Forward, then backward fill."""
-    return df.withColumn(out, F.coalesce(F.last(value, True).over(rows(None, 0)), F.first(value, True).over(rows(0, None))))
+    """Forward, then backward fill; both are running windows, the second from the end, so that each row is looked at once."""
+    back = Window.partitionBy(*KEYS).orderBy(F.desc("row_idx")).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.coalesce(F.last(value, True).over(rows(None, 0)), F.last(value, True).over(back)))
 
 
 def filled_up_to(df: DataFrame, value: str, out: str, n: int = 100) -> DataFrame:
@@ -165,13 +166,16 @@ def gaussian(df: DataFrame, value: str, out: str, sigma: float, truncate: float
 def aligned(points: DataFrame, target: int, steps: int = 10) -> DataFrame:
     """Paths (trace_id, row_idx, x, y) moved to the start of the path ``target`` and turned by its heading over the first ``steps`` steps: adds u, v.
 
-    A path, or a target, of fewer points is only moved.
+    A path, or a target, of fewer points is only moved. Without the target
+    there is nothing to align to, which is an error.
     """
     ends = points.groupBy(*KEYS).agg(
         *[F.max(F.when(F.col("row_idx") == i, F.col(c))).alias(f"__{c}{k}") for k, i in (("a", 0), ("b", steps)) for c in ("x", "y")],
     )
     # One row.
     goal = ends.where(F.col("trace_id") == target).select(*[F.col(c).alias(f"__t{c[2:]}") for c in ends.columns if c.startswith("__")])
+    if goal.isEmpty():
+        raise ValueError(f"no path {target} to align to")
     both = ends.crossJoin(F.broadcast(goal))
     angle = F.atan2(F.col("__tyb") - F.col("__tya"), F.col("__txb") - F.col("__txa")) - F.atan2(F.col("__yb") - F.col("__ya"), F.col("__xb") - F.col("__xa"))
     both = both.withColumn("__turn", F.coalesce(angle, F.lit(0.0)))

@@ -32,19 +32,18 @@ def recentred(segments: DataFrame, trace: DataFrame, value: str, width: int, key
 
 
 def paired_off(df: DataFrame, gap: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Two neighbours at most ``gap`` apart become one, two at a time and not transitively; a fold over each trace's segments."""
-    listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_row", "end_row"))).alias("__s"))
-    blank = F.struct(F.array().cast("array<struct<start_row:bigint,end_row:bigint,full:boolean>>").alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc["done"], F.lit(-1))
-        joins = last.isNotNull() & ~last["full"] & (x["start_row"] - last["end_row"] <= gap)
-        both = F.struct(last["start_row"].alias("start_row"), x["end_row"].alias("end_row"), F.lit(True).alias("full"))
-        one = F.struct(x["start_row"].alias("start_row"), x["end_row"].alias("end_row"), F.lit(False).alias("full"))
-        grown = F.when(joins, F.concat(F.slice(acc["done"], F.lit(1), F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc["done"], F.array(one)))
-        return F.struct(grown.alias("done"))
-
-    return listed.select(*keys, F.explode(F.aggregate("__s", blank, step)["done"]).alias("x")).select(*keys, "x.start_row", "x.end_row")
+    """Two neighbours at most ``gap`` apart become one, two at a time and not transitively.
+
+    In a chain of segments that each lie near the one before, the first joins
+    the second, the third the fourth, and an odd last one stays: the place in
+    the chain tells it.
+    """
+    w = Window.partitionBy(*keys).orderBy("start_row", "end_row")
+    apart = F.coalesce((F.col("start_row") - F.lag("end_row").over(w) > gap).cast("int"), F.lit(1))
+    chained = df.withColumn("__apart", apart).withColumn("__chain", F.sum("__apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(*keys, "__chain").orderBy("start_row", "end_row")) - 1
+    pairs = chained.withColumn("__pair", F.floor(place / 2)).groupBy(*keys, "__chain", "__pair")
+    return pairs.agg(F.min("start_row").alias("start_row"), F.max(F.struct("start_row", "end_row"))["end_row"].alias("end_row")).select(*keys, "start_row", "end_row")
 
 
 def greedy_peaks(df: DataFrame, value: str, height: Column, distance: int, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -40,8 +40,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str
     both = l.withColumn("__left", F.lit(1)).unionByName(r.withColumn("__left", F.lit(0)), allowMissingColumns=True)
     # Of right rows at one place the smallest id counts: it is last before and first after.
     back = Window.partitionBy(*keys).orderBy(F.col("__at"), F.col("__left"), F.col("__id").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col("__at"), F.col("__left").desc(), F.col("__id")).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("__b", F.last(F.when(F.col("__left") == 0, F.struct("__at", "__id")), True).over(back)).withColumn("__f", F.first(F.when(F.col("__left") == 0, F.struct("__at", "__id")), True).over(ahead))
+    # The same from the end, so that this window runs on as well.
+    ahead = Window.partitionBy(*keys).orderBy(F.col("__at").desc(), F.col("__left"), F.col("__id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__b", F.last(F.when(F.col("__left") == 0, F.struct("__at", "__id")), True).over(back)).withColumn("__f", F.last(F.when(F.col("__left") == 0, F.struct("__at", "__id")), True).over(ahead))
     found = found.where("__left = 1")
     db, df = F.col("__at") - F.col("__b.__at"), F.col("__f.__at") - F.col("__at")
     first = (db < df) | df.isNull() | ((db == df) & (F.col("__b.__id") <= F.col("__f.__id")))

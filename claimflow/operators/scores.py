@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import kernels as K
+from . import frames, graph
 from .joins import chained
 
 # How the four scores are weighed, and the location scores.
@@ -60,8 +64,9 @@ def seams(trace: DataFrame, window: int, tail: int, samples: int = 2) -> DataFra
 def seam_scores(trace: DataFrame, places: DataFrame, heading: str, window: int) -> DataFrame:
     """(trace_id, seam, start, transition): the headings of the ``window`` rows before a seam against those of the rows after it.
 
-    Only rows of a window are joined, by trace and row number.
+    Missing headings are filled both ways first. Only rows of a window are joined, by trace and row number.
     """
+    trace = frames.filled(trace, heading, heading)
     asked = places.withColumn("offset", F.explode(F.sequence(F.lit(-window), F.lit(window - 1)))).withColumn("row_idx", F.col("start") + F.col("offset"))
     rows = asked.join(trace.select("trace_id", "row_idx", F.col(heading).alias("h")), ["trace_id", "row_idx"])
     keys = ["trace_id", "seam", "start"]
@@ -133,13 +138,32 @@ def magnetic(trace: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return steps.groupBy(*keys).agg(F.array(F.avg(value), F.stddev_pop(value), F.coalesce(F.avg("__step"), F.lit(0.0)), tenths[1] - tenths[0]).alias("meg"))
 
 
-def fingerprint_distance(cells: Column, other: Column, meg: Column, other_meg: Column) -> Column:
-    """Distance of two fingerprints (maps of cells, field statistics): root mean square over the cells of either, an absent cell being the floor, and the field's part."""
-    ids = F.array_union(F.map_keys(cells), F.map_keys(other))
-    gap = lambda k: F.coalesce(F.try_element_at(cells, k), F.lit(C.MISSING_RSSI)) - F.coalesce(F.try_element_at(other, k), F.lit(C.MISSING_RSSI))
-    total = F.aggregate(F.transform(ids, lambda k: gap(k) * gap(k)), F.lit(0.0), lambda s, x: s + x)
-    signal = F.when(F.size(ids) > 0, F.sqrt(total / F.size(ids)) / 18.0).otherwise(2.0)
-    return 0.85 * signal + 0.15 * C.euclidean(meg, other_meg, True) / 25.0
+def fingerprint_distances(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Distances of fingerprints (``ids`` with ``rssi``, and ``meg``): root mean square over the cells of either, an absent cell being the floor, and the field's part."""
+    known = np.unique(np.concatenate([np.asarray(x, np.int64) for x in (*left["ids"], *right["ids"])]))
+
+    def spread(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        strength, there = np.full((len(rows), len(known)), float(C.MISSING_RSSI)), np.zeros((len(rows), len(known)))
+        for i, (ids, rssi) in enumerate(zip(rows["ids"], rows["rssi"], strict=True)):
+            at = np.searchsorted(known, ids)
+            strength[i, at], there[i, at] = rssi, 1.0
+        return strength, there
+
+    (a, in_a), (b, in_b) = spread(left), spread(right)
+    either = in_a.sum(1)[:, None] + in_b.sum(1)[None] - in_a @ in_b.T
+    signal = np.where(either > 0, K.straight(a, b) / np.sqrt(np.maximum(either, 1)) / 18.0, 2.0)
+    x, y = (np.stack(rows["meg"].to_numpy()).astype(float) for rows in (left, right))
+    return 0.85 * signal + 0.15 * K.straight(x, y) / np.sqrt(x.shape[1]) / 25.0
+
+
+def length_scores(legs: DataFrame, edges: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """(key, s_length): the summed ``walked`` length of each claim's legs (src, dst) against the shortest way through ``edges``.
+
+    A leg between nodes that are not connected is an error; without ``strict`` its claim scores 0.
+    """
+    ways = graph.path_lengths(edges, legs.select("src", "dst").distinct(), strict)
+    both = legs.join(ways, ["src", "dst"]).groupBy(key).agg(F.sum("walked").alias("walked"), F.sum("length").alias("way"), (F.count("length") == F.count("*")).alias("whole"))
+    return both.select(key, F.when(F.col("whole"), C.relative_score("walked", "way")).otherwise(0.0).alias("s_length"))
 
 
 def per_second(df: DataFrame, keys: Sequence[str]) -> DataFrame:

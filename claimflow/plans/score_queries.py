@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import kernels as K
-from ..operators import distances, frames, graph, joins, report, scores
-from ..operators.models import assembled_kmeans, logistic_scores, principal_components
+from ..operators import anchors, distances, embedding, frames, graph, intervals, joins, report, scores, series, states
+from ..operators.models import logistic_scores, principal_components
 from ..session import stored
 from .inputs import LINKS, REGIONS, SCORES, TRACE, links, query, regions, table, trace
 from .inputs import scores as score_rows
@@ -118,9 +118,9 @@ _LCS_LIB = f"""lib AS (SELECT CAST(n_nationkey AS BIGINT) AS reference_id, {_rou
     z AS (SELECT claim_id, reference_id, CAST(line[-1] AS DOUBLE) / greatest(len(a), len(b)) AS l FROM r WHERE i = len(a)),
     best AS (SELECT claim_id, arg_min(reference_id, (-l, reference_id)) AS reference_id, max(l) AS likeness FROM z GROUP BY claim_id)"""
 
-# A trace claims one of 30 routes; references know 25 of them, and of each the first 30 traces walked on it.
+# A trace claims one of 30 routes; references know 25 of them, and of each all traces walked on it.
 _FP = f"""WITH RECURSIVE {_CELLS}, asked AS (SELECT trace_id AS claim_id, {_route_sql("((trace_id * 3 + 1) % 30)")} AS claimed FROM mg), {_LCS_LIB},
-    b AS (SELECT * FROM (SELECT trace_id AS ref, trace_id % 25 AS reference_id, row_number() OVER (PARTITION BY trace_id % 25 ORDER BY trace_id) AS nth FROM mg) WHERE nth <= 30),
+    b AS (SELECT trace_id AS ref, trace_id % 25 AS reference_id FROM mg),
     p AS (SELECT best.claim_id AS trace_id, ref, likeness FROM best JOIN b USING (reference_id) WHERE ref <> claim_id),
     ids AS (SELECT DISTINCT p.trace_id, p.ref, fp.cell_id FROM p JOIN fp ON fp.trace_id = p.trace_id OR fp.trace_id = p.ref),
     g AS (SELECT ids.trace_id, ids.ref, coalesce(x.rssi, -110) - coalesce(y.rssi, -110) AS gap FROM ids LEFT JOIN fp x ON x.trace_id = ids.trace_id AND x.cell_id = ids.cell_id LEFT JOIN fp y ON y.trace_id = ids.ref AND y.cell_id = ids.cell_id),
@@ -130,27 +130,31 @@ _FP = f"""WITH RECURSIVE {_CELLS}, asked AS (SELECT trace_id AS claim_id, {_rout
 
 
 def _reference_distances(s, d):
-    """Each trace with the fingerprints walked on the route that is most like the one it claims, and its distances to them."""
-    maps = _fingerprints(s, d).groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("cell_id", "rssi"))).alias("cells"))
-    prints = stored(maps.join(scores.magnetic(trace(s, d), "value", ["trace_id"]), "trace_id").withColumn("label", F.col("trace_id") % 25), "fingerprints")
+    """Each trace against all fingerprints walked on the route that is most like the one it claims."""
+    t = stored(trace(s, d), "trace")
+    cells = scores.fingerprint(t.select("trace_id", (F.col("k") % 8).alias("cell_id"), "channel", (-F.col("value")).alias("rssi")), ["trace_id"])
+    listed = F.array_sort(F.collect_list(F.struct("cell_id", "rssi")))
+    maps = cells.groupBy("trace_id").agg(listed.alias("x")).select("trace_id", F.col("x.cell_id").alias("ids"), F.col("x.rssi").alias("rssi"))
+    prints = stored(maps.join(scores.magnetic(t, "value", ["trace_id"]), "trace_id"), "fingerprints")
     asked = prints.select("trace_id", _route((F.col("trace_id") * 3 + 1) % 30).alias("claimed"))
     route = joins.closest_key(asked, _library(s, d), "trace_id", "claimed", "ref").select("trace_id", F.col("reference_id").alias("label"), "likeness")
-    walked = distances.templates(prints, "trace_id", "label", ["cells", "meg"])
-    both = distances.with_templates(prints.drop("label").join(route, "trace_id"), walked, "trace_id", "label")
-    far = F.transform("items", lambda x: scores.fingerprint_distance(F.col("cells"), x["cells"], F.col("meg"), x["meg"]))
-    return both.select("trace_id", "likeness", F.col("items.trace_id").alias("refs"), far.alias("distances"))
+    claims = stored(prints.join(route, "trace_id"), "fingerprint-claims")
+    walked = prints.withColumn("label", F.col("trace_id") % 25)
+    far = distances.met(claims, "trace_id", "label", ["ids", "rssi", "meg"], {"dist": scores.fingerprint_distances}, by="label", nearest=3, right=walked)
+    return far.withColumnRenamed("key", "trace_id").join(route.select("trace_id", "likeness"), "trace_id")
 
 
-@query(f"{_FP} SELECT trace_id, ref, round(distance, 6) AS distance FROM dist")
+@query(f"{_FP} SELECT trace_id, count(*) AS n, arg_min(ref, (round(distance, 9), ref)) AS ref, round(min(distance), 6) AS distance, round(avg(distance), 6) AS mean_distance FROM dist GROUP BY trace_id")
 def fingerprint_distance(s, d):
-    flat = _reference_distances(s, d).select("trace_id", F.explode(F.arrays_zip("refs", "distances")).alias("x"))
-    return flat.select("trace_id", F.col("x.refs").alias("ref"), F.round("x.distances", 6).alias("distance"))
+    """Of all references of a route how many there are, the nearest, and the mean distance."""
+    near = _reference_distances(s, d)
+    return near.select("trace_id", "n", F.col("near")[0]["other"].alias("ref"), F.round("dist_least", 6).alias("distance"), F.round(F.col("dist_total") / F.col("n"), 6).alias("mean_distance"))
 
 
 @query(f"{_FP}, n AS (SELECT trace_id, avg(distance) + 1 - any_value(likeness) AS m FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY distance) AS r FROM dist) WHERE r <= 3 GROUP BY trace_id) SELECT trace_id, round(m, 6) AS mean3, round(1 / (1 + m), 6) AS score FROM n")
 def mean_3_smallest(s, d):
     """The mean of the three nearest references, and what the claimed route lacks to theirs."""
-    near = _reference_distances(s, d).withColumn("m", distances.nearest_mean(F.col("distances"), 3) + 1 - F.col("likeness")).where("m is not null")
+    near = _reference_distances(s, d).withColumn("m", distances.near_mean() + 1 - F.col("likeness"))
     return near.select("trace_id", F.round("m", 6).alias("mean3"), F.round(C.similarity("m"), 6).alias("score"))
 
 
@@ -377,11 +381,19 @@ def current_score(s, d):
     tail = F.col("seam") == "tail"
     post = _seam_scores(s, d).groupBy("trace_id").agg(F.avg(F.when(~tail, F.col("transition"))).alias("rnd"), F.max(F.when(tail, F.col("transition"))).alias("tail"))
     named = post.withColumn("src", F.col("trace_id") % 25).withColumn("dst", F.col("trace_id") * 7 % 27)
-    c = named.join(F.broadcast(graph.hops(links(s, d))), ["src", "dst"], "left")
+    c = named.join(graph.hops(links(s, d), named.select("src")), ["src", "dst"], "left")
     hop = F.col("distance")
     return c.select("trace_id", F.round(scores.current_score(F.col("rnd"), F.col("tail"), C.topology_break(hop), hop.isNotNull()), 6).alias("s_current"), F.round(C.topology_break(hop), 6).alias("jump"))
 
 
+@query(None)
+def location_score(s, d):
+    """The gate over measured similarities: the claim numbered like a vector takes its three signal scores."""
+    measured = signal_scores(s, d).withColumnRenamed("vec_id", "claim_id")
+    both = regions(s, d).join(measured, "claim_id")
+    return scores.location_gate(both, "claimed", "detected").select("claim_id", "topology_passed", "s_lte", "s_meg", "s_signal", "s_location")
+
+
 @query(f"""WITH {REGIONS} SELECT claim_id, list_has_any(claimed, detected) AS topology_passed, round(CASE WHEN list_has_any(claimed, detected) THEN .2 * (claim_id % 11) / 10.0 + .3 * (claim_id % 13) / 12.0 + .5 * (claim_id % 7) / 6.0 ELSE -1.0 END, 6) AS s_location FROM regions""")
 def location_gate(s, d):
     r = regions(s, d).withColumn("s_lte", F.col("claim_id") % 11 / 10.0).withColumn("s_meg", F.col("claim_id") % 13 / 12.0).withColumn("s_signal", F.col("claim_id") % 7 / 6.0)
@@ -463,7 +475,7 @@ def chain_edges(s, d):
 
 @query(f"WITH {LINKS} SELECT row_number() OVER (ORDER BY src, dst, length) + 500 AS path_id, src, dst, length FROM links")
 def path_table(s, d):
-    return links(s, d).select((F.row_number().over(Window.orderBy("src", "dst", "length")) + 500).cast("bigint").alias("path_id"), "src", "dst", "length")
+    return frames.numbered(links(s, d), ["src", "dst", "length"], "place").select((F.col("place") + 501).cast("bigint").alias("path_id"), "src", "dst", "length")
 
 
 @query("SELECT c.c_custkey AS claim_id, CAST(c.c_nationkey AS BIGINT) AS node, r.r_name AS region FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_nationkey % 4 <> 0 LEFT JOIN region r ON r.r_regionkey = n.n_regionkey")
@@ -474,14 +486,14 @@ def claim_node_lookup(s, d):
 
 
 @query(f"""WITH RECURSIVE {_LENGTHS}, v AS (SELECT c_custkey // 50 AS claim_id, CAST(c_nationkey AS BIGINT) AS node, lead(CAST(c_nationkey AS BIGINT)) OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) AS nx FROM customer),
-    t AS (SELECT claim_id, sum(sp.length) AS topo, count(*) * 6.0 AS pdr FROM v JOIN sp ON sp.src = v.node AND sp.dst = v.nx GROUP BY claim_id)
-    SELECT claim_id, round(least(greatest(1 - abs(pdr - topo) / greatest(abs(pdr), abs(topo), 1e-9), 0), 1), 6) AS s_length FROM t""")
+    t AS (SELECT claim_id, sum(sp.length) AS topo, count(*) * 6.0 AS pdr, count(sp.length) = count(*) AS whole FROM v LEFT JOIN sp ON sp.src = v.node AND sp.dst = v.nx WHERE nx IS NOT NULL GROUP BY claim_id)
+    SELECT claim_id, CASE WHEN whole THEN round(least(greatest(1 - abs(pdr - topo) / greatest(abs(pdr), abs(topo), 1e-9), 0), 1), 6) ELSE 0.0 END AS s_length FROM t""")
 def length_score(s, d):
+    """Walked against topological length; a claim with a leg between states that are not connected scores 0, as rows that fail do."""
     w = Window.partitionBy("claim_id").orderBy("c_custkey")
     v = table(s, d, "customer").select(F.expr("c_custkey div 50").alias("claim_id"), "c_custkey", F.col("c_nationkey").cast("bigint").alias("src"))
-    legs = v.withColumn("dst", F.lead("src").over(w)).where("dst is not null").join(graph.weighted(links(s, d)), ["src", "dst"])
-    t = legs.groupBy("claim_id").agg(F.sum("length").alias("topo"), (F.count("*") * 6.0).alias("pdr"))
-    return t.select("claim_id", F.round(C.relative_score("pdr", "topo"), 6).alias("s_length"))
+    legs = v.withColumn("dst", F.lead("src").over(w)).where("dst is not null").select("claim_id", "src", "dst", F.lit(6.0).alias("walked"))
+    return scores.length_scores(legs, links(s, d), "claim_id", strict=False).select("claim_id", F.round("s_length", 6).alias("s_length"))
 
 
 @query(f"""WITH RECURSIVE {LINKS}, {_HOPS}, {REGIONS}, {CANDIDATE_LCS}, l AS (SELECT claim_id, claimed, detected, CAST(line[-1] AS DOUBLE) / greatest(len(claimed), len(detected)) AS lcs FROM r WHERE i = len(claimed))
@@ -491,7 +503,7 @@ def topology_score(s, d):
     """Longest common part with the detected rows of the grid and shared regions, where the states are connected."""
     row = lambda x: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.substring(x, 1, 1), i.cast("string")))
     r = regions(s, d).withColumn("sets", F.transform("detected", row)).withColumn("src", F.col("claim_id") % 25).withColumn("dst", F.col("claim_id") % 27)
-    told = r.join(F.broadcast(graph.hops(links(s, d))), ["src", "dst"], "left")
+    told = r.join(graph.hops(links(s, d), r.select("src")), ["src", "dst"], "left")
     score = scores.topology(C.lcs_candidates("claimed", "sets"), C.jaccard("claimed", "detected"), F.col("distance").isNotNull())
     return told.select("claim_id", F.round(score, 6).alias("s_topo"))
 
@@ -554,50 +566,47 @@ def _vectors(s, d):
 
 
 _D = "CAST(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DOUBLE)"
-_NEAR = f"""WITH b AS (SELECT * FROM (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 30),
-    p AS (SELECT a.vec_id, b.label, b.vec_id AS other, {_D} AS dist FROM embeddings a JOIN b ON a.vec_id <> b.vec_id)"""
-
-
-def _against_templates(s, d):
-    """(vec_id, label, others, dist): every vector with the templates of each label."""
-    v = _vectors(s, d)
-    return distances.against(v, "vec_id", "v", distances.templates(v, "vec_id", "label", ["v"]), {"dist": distances.euclidean_to})
+_NEAR = f"WITH p AS (SELECT a.vec_id, b.label, b.vec_id AS other, {_D} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
 
 
 @query(f"{_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY dist) AS r FROM p), m AS (SELECT vec_id, label, avg(dist) AS m FROM r WHERE r <= 3 GROUP BY ALL) SELECT vec_id, arg_min(label, (m, label)) AS label, round(min(m), 5) AS mean_distance FROM m GROUP BY vec_id")
 def euclid_topk(s, d):
-    near = _against_templates(s, d).select("vec_id", F.struct(distances.nearest_mean(F.col("dist"), 3).alias("m"), "label").alias("one")).where("one.m is not null")
-    return near.groupBy("vec_id").agg(F.min("one").alias("b")).select("vec_id", F.col("b.label").alias("label"), F.round("b.m", 5).alias("mean_distance"))
+    """The label whose three nearest templates are nearest on average, of all templates."""
+    near = distances.met(_vectors(s, d), "vec_id", "label", ["v"], {"dist": distances.euclidean("v")}, nearest=3)
+    best = near.groupBy("key").agg(F.min(F.struct(distances.near_mean().alias("m"), "other_label")).alias("b"))
+    return best.select(F.col("key").alias("vec_id"), F.col("b.other_label").alias("label"), F.round("b.m", 5).alias("mean_distance"))
 
 
 @query(f"{_NEAR} SELECT vec_id, label, round(avg(1 / (1 + dist / 8)), 6) AS similarity FROM p GROUP BY ALL")
 def template_similarity(s, d):
-    mean = C.array_mean(F.transform("dist", lambda x: C.similarity(x / 8)))
-    return _against_templates(s, d).where(F.size("dist") > 0).select("vec_id", "label", F.round(mean, 6).alias("similarity"))
+    found = distances.met(_vectors(s, d), "vec_id", "label", ["v"], {"like": distances.likeness(distances.euclidean("v"), 8.0)})
+    return found.select(F.col("key").alias("vec_id"), F.col("other_label").alias("label"), F.round(F.col("like_total") / F.col("n"), 6).alias("similarity"))
 
 
-def _scaled(values: str):
-    """An array between its least and largest value."""
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(0.0))
+def _with_scales(rows, measures, low: bool):
+    """Rows with the largest (and least) of each measure over all others, whatever their label: {measure}_high (and _low)."""
+    ends = distances.met(rows, "vec_id", "label", ["meg", "lte"], measures)
+    parts = [f(f"{m}_{x}").alias(f"{m}_{name}") for m in measures for name, x, f in (("high", "most", F.max), *((("low", "least", F.min),) if low else ()))]
+    return stored(rows.join(ends.groupBy(F.col("key").alias("vec_id")).agg(*parts), "vec_id"), "scales")
 
 
-def _in_one(listed):
-    """The templates of all labels as those of one."""
-    flat = listed.select(F.explode("items").alias("x")).groupBy(F.lit("all").alias("label"))
-    return flat.agg(F.array_sort(F.collect_list("x")).alias("items"))
+def _fused_columns(meg, lte):
+    """Two distances fused, each over the largest of its column, as the whole matrix is scaled (its diagonal is 0)."""
+    return distances.fused(distances.scaled(meg, None, "meg_high", True), distances.scaled(lte, None, "lte_high", True))
 
 
-def _against_all(s, d):
-    """(vec_id, others, dist): every vector with all templates in one list."""
-    v = _vectors(s, d)
-    return distances.against(v, "vec_id", "v", _in_one(distances.templates(v, "vec_id", "label", ["v"])), {"dist": distances.euclidean_to})
+_PART = lambda a, b: f"CAST(list_distance(CAST(a.embedding[{a}:{b}] AS DOUBLE[]), CAST(b.embedding[{a}:{b}] AS DOUBLE[])) AS DOUBLE)"
 
 
-@query(f"""{_NEAR}, q AS (SELECT *, (dist - min(dist) OVER w) / (max(dist) OVER w - min(dist) OVER w) AS meg, CAST(other % 17 AS DOUBLE) / 16 AS lte FROM p WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, other, round(sqrt(pow(.3 * meg, 2) + pow(.7 * lte, 2)), 5) AS fused FROM q""")
+@query(f"""WITH p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_PART(1, 32)} AS meg, {_PART(33, 64)} AS lte FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), top AS (SELECT j, max(meg) AS x, max(lte) AS y FROM p GROUP BY j),
+    f AS (SELECT i, j, sqrt(pow(.3 * meg / x, 2) + pow(.7 * lte / y, 2)) AS fused FROM p JOIN top USING (j)) SELECT i AS vec_id, count(*) AS n, arg_min(j, (round(fused, 9), j)) AS nearest, round(min(fused), 5) AS least, round(avg(fused), 5) AS mean FROM f GROUP BY i""")
 def fused_distance(s, d):
-    q = _against_all(s, d).withColumn("meg", _scaled("dist")).select("vec_id", F.explode(F.arrays_zip("others", "meg")).alias("x"))
-    return q.select("vec_id", F.col("x.others").alias("other"), F.round(C.fused_distance(F.col("x.meg"), F.col("x.others") % 17 / 16.0), 5).alias("fused"))
+    """Rows of the fused matrix of all vectors: two distances, each scaled by column, weighed .3 and .7."""
+    meg, lte = distances.euclidean("meg"), distances.euclidean("lte")
+    rows = _vectors(s, d).select("vec_id", F.lit(0).alias("label"), F.slice("v", 1, 32).alias("meg"), F.slice("v", 33, 32).alias("lte"))
+    rows = _with_scales(rows, {"meg": meg, "lte": lte}, False)
+    found = distances.met(rows, "vec_id", "label", ["meg", "lte", "meg_high", "lte_high"], {"fused": _fused_columns(meg, lte)}, nearest=1, symmetric=False)
+    return found.select(F.col("key").alias("vec_id"), "n", F.col("near")[0]["other"].alias("nearest"), F.round("fused_least", 5).alias("least"), F.round(F.col("fused_total") / F.col("n"), 5).alias("mean"))
 
 
 _HALF = f"WITH p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, {_D} AS dist FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"
@@ -605,20 +614,20 @@ _HALF = f"WITH p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, {_D} AS dist
 
 def _within(s, d, part=None):
     v = _vectors(s, d)
-    return distances.totals(v if part is None else v.withColumn("v", part), "vec_id", "v", "label").withColumn("label", F.col("label").cast(dict(v.dtypes)["label"]))
+    return distances.met(v if part is None else v.withColumn("v", part), "vec_id", "label", ["v"], {"dist": distances.euclidean("v")}, by="label")
 
 
 @query(f"{_HALF} SELECT label, i AS vec_id, round(avg(dist), 5) AS mean_distance FROM p GROUP BY ALL")
 def pairwise_distances(s, d):
-    return _within(s, d).select("label", F.col("key").alias("vec_id"), F.round(F.col("total") / F.col("n"), 5).alias("mean_distance"))
+    return _within(s, d).select("label", F.col("key").alias("vec_id"), F.round(F.col("dist_total") / F.col("n"), 5).alias("mean_distance"))
 
 
 @query(f"{_HALF}, m AS (SELECT label, i, min(dist) AS m FROM p GROUP BY ALL), q AS (SELECT label, quantile_cont(m, 0.75) AS q FROM m GROUP BY label) SELECT label, i AS vec_id FROM m JOIN q USING (label) WHERE m <= q")
 def pseudo_anchor_prune(s, d):
     """Keeps what has a near neighbour: least distance up to the third quartile."""
-    least = stored(_within(s, d).select("label", F.col("key").alias("vec_id"), "least"), "least-distances")
+    least = stored(_within(s, d).select("label", F.col("key").alias("vec_id"), F.col("dist_least").alias("least")), "least-distances")
     q = least.groupBy("label").agg(F.percentile("least", 0.75).alias("q"))
-    return least.join(F.broadcast(q), "label").where("least <= q").select("label", "vec_id")
+    return least.join(q, "label").where("least <= q").select("label", "vec_id")
 
 
 @query(f"{_HALF}, t AS (SELECT label, i, sum(dist) AS t FROM p GROUP BY ALL) SELECT label, arg_min(i, (t, i)) AS medoid, round(min(t), 4) AS total_distance FROM t GROUP BY label")
@@ -631,7 +640,7 @@ _ACROSS = f"""WITH p AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, {_D
 
 
 def _across(s, d):
-    return distances.totals(_vectors(s, d), "vec_id", "v", "label", within=False)
+    return distances.met(_vectors(s, d), "vec_id", "label", ["v"], {"dist": distances.euclidean("v")})
 
 
 @query(_ACROSS.replace("NOISE", "true"))
@@ -642,14 +651,13 @@ def silhouette(s, d):
 @query(_ACROSS.replace("NOISE", "CAST(li AS VARCHAR) <> '0' AND CAST(lj AS VARCHAR) <> '0'"))
 def silhouette_without_noise(s, d):
     """One label is noise and takes no part."""
-    return distances.silhouette(_across(s, d), "0").select(F.round("silhouette", 6).alias("silhouette"), "n")
+    return distances.silhouette(_across(s, d), 0).select(F.round("silhouette", 6).alias("silhouette"), "n")
 
 
 @query(f"SELECT a.label AS left_label, b.label AS right_label, round(avg({_D}), 5) AS distance FROM embeddings a JOIN embeddings b ON a.label < b.label GROUP BY ALL")
 def set_distance(s, d):
-    label = dict(_vectors(s, d).dtypes)["label"]
-    pairs = _across(s, d).select(F.col("label").cast(label).alias("left_label"), F.col("other_label").cast(label).alias("right_label"), "total", "n").where("left_label < right_label")
-    return pairs.groupBy("left_label", "right_label").agg(F.round(F.sum("total") / F.sum("n"), 5).alias("distance"))
+    pairs = _across(s, d).where("label < other_label").groupBy(F.col("label").alias("left_label"), F.col("other_label").alias("right_label"))
+    return pairs.agg(F.round(F.sum("dist_total") / F.sum("n"), 5).alias("distance"))
 
 
 @query("SELECT o_orderpriority AS attack, 's' || CAST(o_orderkey % 3 AS VARCHAR) AS kind, count(*) AS n, round(avg(o_totalprice), 4) AS mean_score FROM orders WHERE o_totalprice IS NOT NULL GROUP BY ALL")
@@ -673,18 +681,6 @@ def fuzzy_trace_key(s, d):
 # -- kernels and models (no SQL; tested against brute force) ---------------------
 
 
-def _dtw_udf(squared: bool = False):
-    @F.pandas_udf("double")
-    def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.full(len(a), np.nan)
-        shapes = pd.Series([(len(x), len(y)) for x, y in zip(a, b, strict=True)])
-        for _, at in shapes.groupby(shapes).indices.items():  # equal lengths go through as one batch
-            out[at] = K.dtw(np.stack(a.to_numpy()[at]), np.stack(b.to_numpy()[at]), squared)
-        return pd.Series(out)
-
-    return dtw
-
-
 def _reduced(s, d):
     """Vectors in their first 20 principal components, which whole vectors go into."""
     v = _vectors(s, d)
@@ -693,77 +689,94 @@ def _reduced(s, d):
 
 @query(None)
 def dtw_pairs(s, d):
-    """The distance matrix of each label's templates."""
-    r = _reduced(s, d)
-    kept = distances.templates(r, "vec_id", "label", ["v"]).select("label", F.explode("items").alias("x")).select("label", "x.vec_id", "x.v")
-    p = joins.pairs(kept, "vec_id", ["v"], ["label"])
-    return p.select("label", "i", "j", F.round(_dtw_udf()("v_i", "v_j"), 6).alias("dtw"), F.round(_dtw_udf(True)("v_i", "v_j"), 6).alias("dtw_squared"))
+    """Rows of the warped distance matrix of each label: all its vectors against each other, by both costs."""
+    both = {"dtw": distances.warped("v"), "squared": distances.warped("v", True)}
+    found = distances.met(_reduced(s, d), "vec_id", "label", ["v"], both, by="label", nearest=1)
+    mean = lambda m: F.round(F.col(f"{m}_total") / F.col("n"), 6)
+    return found.select("label", F.col("key").alias("vec_id"), "n", mean("dtw").alias("mean_dtw"), F.round("dtw_least", 6).alias("least_dtw"), F.col("near")[0]["other"].alias("nearest"), mean("squared").alias("mean_squared"), F.round("squared_least", 6).alias("least_squared"), F.round("squared_most", 6).alias("most_squared"))
 
 
 @query(None)
-def dtw_global_match(s, d):
-    """The label whose three nearest templates are nearest on average, warped and straight distances fused."""
-    r = _reduced(s, d)
-    listed = distances.templates(r, "vec_id", "label", ["v"])
-    measures = {"w": lambda x, others: K.dtw(np.repeat(x[None], len(others), 0), others), "dist": distances.euclidean_to}
-    q = distances.against(r, "vec_id", "v", listed, measures)
-    each = q.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("label", F.arrays_zip("w", "dist").alias("m")))).alias("t"))
-    each = each.select("vec_id", F.flatten(F.transform("t", lambda x: F.transform(x["m"], lambda m: F.struct(x["label"].alias("label"), m["w"].alias("w"), m["dist"].alias("dist"))))).alias("t"))
-    each = each.select("vec_id", "t", F.col("t.w").alias("w"), F.col("t.dist").alias("dist"))
-    fused = each.withColumn("meg", _scaled("w")).withColumn("lte", _scaled("dist")).select("vec_id", F.explode(F.arrays_zip(F.col("t.label").alias("label"), F.col("meg").alias("meg"), F.col("lte").alias("lte"))).alias("x"))
-    fused = fused.select("vec_id", F.col("x.label").alias("label"), C.fused_distance(F.col("x.meg"), F.col("x.lte")).alias("fused"))
-    return report.smallest_mean(fused, ["vec_id"], "label", "fused", 3)
+def dtw_neighbours(s, d):
+    """The three nearest of each vector in its label by warped distance, found with lower bounds."""
+    near = distances.warped_neighbours(_reduced(s, d), "vec_id", "v", "label", 3)
+    flat = near.select("label", F.col("key").alias("vec_id"), F.posexplode("near").alias("rank", "x"))
+    return flat.select("label", "vec_id", (F.col("rank") + 1).alias("rank"), F.col("x.other").alias("other"), F.col("x.distance").alias("distance"))
 
 
-def _by_trace(s, d, f, schema):
-    return trace(s, d).select("trace_id", "row_idx", "value").groupBy("trace_id").applyInPandas(f, schema)
+@query(None)
+def fast_warping(s, d):
+    """Each trace against the one after it, warped from coarse to fine."""
+    lists = trace(s, d).groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "value"))), lambda x: x["value"]).alias("v"))
+    lists = stored(lists, "trace-lists")
+    both = lists.join(lists.select((F.col("trace_id") - 1).alias("trace_id"), F.col("v").alias("w")), "trace_id")
+
+    @F.pandas_udf("double")
+    def fast(v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([K.fast_warped(a, b, 2) for a, b in zip(v, w, strict=True)])
+
+    return both.select("trace_id", (F.col("trace_id") + 1).alias("other_id"), fast("v", "w").alias("distance"))
 
 
 @query(None)
-def find_peaks(s, d):
-    def peaks(t: pd.DataFrame) -> pd.DataFrame:
-        x = t.sort_values("row_idx")["value"].to_numpy()
-        at = K.spaced_peaks(x, 5)
-        return pd.DataFrame({"trace_id": t["trace_id"].iloc[0], "row_idx": at, "height": x[at]})
+def dtw_global_match(s, d):
+    """The label whose three nearest templates are nearest on average: all templates, warped and straight distances scaled by row and fused."""
+    warped, straight = distances.warped("meg"), distances.euclidean("lte")
+    rows = _reduced(s, d).select("vec_id", "label", F.col("v").alias("meg"), F.col("v").alias("lte"))
+    rows = _with_scales(rows, {"meg": warped, "lte": straight}, True)
+    fused = distances.fused(distances.scaled(warped, "meg_low", "meg_high", False), distances.scaled(straight, "lte_low", "lte_high", False))
+    near = distances.met(rows, "vec_id", "label", ["meg", "lte", "meg_low", "meg_high", "lte_low", "lte_high"], {"fused": fused}, nearest=3, symmetric=False)
+    best = near.groupBy("key").agg(F.min(F.struct(distances.near_mean().alias("m"), "other_label")).alias("b"))
+    return best.select(F.col("key").alias("vec_id"), F.col("b.other_label").alias("label"), F.col("b.m").alias("mean_distance"))
 
-    return _by_trace(s, d, peaks, "trace_id long, row_idx long, height double")
 
+# Peaks: runs of equal values between lower ones; then one after another by rank, as a list that grows.
+_TOPS = f"""{TRACE}, n AS (SELECT *, CASE WHEN lag(value) OVER w IS DISTINCT FROM value THEN 1 ELSE 0 END AS new FROM trace WINDOW w AS (PARTITION BY trace_id ORDER BY row_idx)),
+    u AS (SELECT *, sum(new) OVER (PARTITION BY trace_id ORDER BY row_idx) AS run FROM n), g AS (SELECT trace_id, run, min(row_idx) AS a, max(row_idx) AS e, any_value(value) AS height FROM u GROUP BY ALL),
+    o AS (SELECT *, lag(height) OVER w AS l, lead(height) OVER w AS r FROM g WINDOW w AS (PARTITION BY trace_id ORDER BY run)), tops AS (SELECT trace_id, (a + e) // 2 AS row_idx, height FROM o WHERE l < height AND r < height)"""
 
-@query(None)
-def local_peaks(s, d):
-    def peaks(t: pd.DataFrame) -> pd.DataFrame:
-        x = t.sort_values("row_idx")["value"].to_numpy()
-        at = K.kept_peaks(x, 5)
-        low = K.kept_peaks(x, 5, valleys=True)
-        return pd.DataFrame({"trace_id": t["trace_id"].iloc[0], "row_idx": np.concatenate([at, low]), "kind": ["peak"] * len(at) + ["valley"] * len(low)})
 
-    return _by_trace(s, d, peaks, "trace_id long, row_idx long, kind string")
+def _spaced_sql(name: str, rows: str, order: str, distance: int) -> str:
+    """Of ``rows`` (a query) the ones that stay, as {name}_kept (trace_id, row_idx)."""
+    return f"""{name} AS ({rows}), {name}_n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY {order}) AS nth FROM {name}),
+    {name}_k(trace_id, nth, kept) AS (SELECT DISTINCT trace_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM {name} UNION ALL
+        SELECT k.trace_id, k.nth + 1, CASE WHEN len(list_filter(kept, lambda x: abs(x - row_idx) < {distance})) = 0 THEN list_append(kept, row_idx) ELSE kept END FROM {name}_k k JOIN {name}_n c ON c.trace_id = k.trace_id AND c.nth = k.nth + 1),
+    {name}_kept AS (SELECT trace_id, unnest(arg_max(kept, nth)) AS row_idx FROM {name}_k GROUP BY trace_id)"""
 
 
-@query(None)
-def step_peaks_scipy(s, d):
-    """Peaks a deviation above the mean, the higher of near ones kept; beside them the greedy left-to-right form."""
+@query(f"""WITH RECURSIVE {_TOPS}, {_spaced_sql("p", "SELECT * FROM tops", "height DESC, row_idx DESC", 5)} SELECT trace_id, row_idx, height FROM p_kept JOIN tops USING (trace_id, row_idx)""")
+def find_peaks(s, d):
+    return series.find_peaks(trace(s, d), "value", 5)
+
 
-    def steps(t: pd.DataFrame) -> pd.DataFrame:
-        x = t.sort_values("row_idx")["value"].to_numpy()
-        high = x.mean() + x.std()
-        at, greedy = K.spaced_peaks(x, 4, high), K.greedy_steps(x, high, 4)
-        return pd.DataFrame({"trace_id": t["trace_id"].iloc[0], "row_idx": np.concatenate([at, np.array(greedy, int)]), "rule": ["spaced"] * len(at) + ["greedy"] * len(greedy)})
+_SHOULDERS = "SELECT trace_id, row_idx, {0} AS v FROM (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r FROM trace WINDOW w AS (PARTITION BY trace_id ORDER BY row_idx)) WHERE value {1} l AND value {1} r"
 
-    return _by_trace(s, d, steps, "trace_id long, row_idx long, rule string")
 
+@query(f"""WITH RECURSIVE {TRACE}, {_spaced_sql("p", _SHOULDERS.format("value", ">="), "abs(v) DESC, row_idx", 5)}, {_spaced_sql("q", _SHOULDERS.format("-value", "<="), "abs(v) DESC, row_idx", 5)}
+    SELECT trace_id, row_idx, 'peak' AS kind FROM p_kept UNION ALL SELECT trace_id, row_idx, 'valley' FROM q_kept""")
+def local_peaks(s, d):
+    t = trace(s, d)
+    of = lambda kind: series.kept_peaks(t, "value", 5, valleys=kind == "valley").select("trace_id", "row_idx", F.lit(kind).alias("kind"))
+    return of("peak").unionByName(of("valley"))
 
-def _smoothed(s, d, f):
-    def smooth(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("row_idx")
-        return pd.DataFrame({"trace_id": t["trace_id"], "row_idx": t["row_idx"], "value": f(t["value"].to_numpy())})
 
-    return _by_trace(s, d, smooth, "trace_id long, row_idx long, value double")
+@query(f"""WITH RECURSIVE {_TOPS}, h AS (SELECT trace_id, avg(value) + stddev_pop(value) AS least FROM trace GROUP BY trace_id), {_spaced_sql("p", "SELECT tops.* FROM tops JOIN h USING (trace_id) WHERE height >= least", "height DESC, row_idx DESC", 4)},
+    b AS (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r FROM trace WINDOW w AS (PARTITION BY trace_id ORDER BY row_idx)),
+    t AS (SELECT trace_id, list(struct_pack(row_idx := row_idx, v := value) ORDER BY row_idx) AS tops FROM b JOIN h USING (trace_id) WHERE value >= least AND value > l AND value >= r GROUP BY trace_id),
+    k AS (SELECT trace_id, list_reduce(list_transform(tops, lambda x: [x]), lambda acc, x: CASE WHEN x[1].row_idx - acc[-1].row_idx < 4 THEN CASE WHEN x[1].v > acc[-1].v THEN list_append(acc[1:len(acc) - 1], x[1]) ELSE acc END ELSE list_append(acc, x[1]) END) AS kept FROM t)
+    SELECT trace_id, row_idx, 'spaced' AS rule FROM p_kept UNION ALL SELECT trace_id, u.row_idx, 'greedy' FROM (SELECT trace_id, unnest(kept) AS u FROM k)""")
+def step_peaks_scipy(s, d):
+    """Peaks a deviation above the mean, the higher of near ones kept; beside them the greedy left-to-right form."""
+    t = trace(s, d)
+    spaced = series.find_peaks(t, "value", 4, F.avg("value") + F.stddev_pop("value"))
+    least = t.withColumn("least", F.avg("value").over(frames.whole()) + F.stddev_pop("value").over(frames.whole()))
+    greedy = intervals.greedy_peaks(least, "value", F.col("least"), 4)
+    return spaced.select("trace_id", "row_idx", F.lit("spaced").alias("rule")).unionByName(greedy.select("trace_id", "row_idx", F.lit("greedy").alias("rule")))
 
 
 @query(None)
 def wavelet_denoise(s, d):
-    return _smoothed(s, d, K.denoised)
+    return series.denoised(trace(s, d), "value", "value")
 
 
 def _gaussian_sql(sigma: float, value: str, out: str) -> str:
@@ -782,7 +795,7 @@ def gaussian_smooth(s, d):
 @query(None)
 def meg_preprocess(s, d):
     """Filled, denoised, smoothed and standardised; the current segment weighs four times."""
-    return _smoothed(s, d, K.magnetic).withColumn("current", 4 * F.col("value"))
+    return series.magnetic(trace(s, d), "value", "meg").select("trace_id", "row_idx", F.col("meg").alias("value"), (4 * F.col("meg")).alias("current"))
 
 
 @query(_gaussian_sql(1.5, "CASE WHEN event_id % 7 = 0 THEN value ELSE 0 END", "round(sum(w * v), 6) AS value, round(4 * sum(w * v), 6) AS current"))
@@ -802,27 +815,33 @@ def detection_preprocess(s, d):
     return t.select("trace_id", "row_idx", F.round("meg", 6).alias("meg"), F.round("lte", 6).alias("lte"))
 
 
-@query(None)
-def savgol_turns(s, d):
-    """Smoothed headings, their summed turns, and the places where these pass a threshold, debounced."""
+def _polynomial_rows(window: int, order: int) -> str:
+    """(place, j, weight): what row j of a window weighs in the polynomial's value at ``place``."""
+    design = np.vander(np.arange(window) - window // 2, order + 1, increasing=True)
+    weights = design @ np.linalg.pinv(design)
+    return ", ".join(f"({i}, {j}, CAST({weights[i, j]!r} AS DOUBLE))".replace("np.float64(", "").replace(") AS", " AS") for i in range(window) for j in range(window))
 
-    def turns(t: pd.DataFrame) -> pd.DataFrame:
-        x = K.polynomial_smooth(t.sort_values("row_idx")["value"].to_numpy(), 9, 2)
-        turn = (np.diff(x, prepend=x[:1]) + 180) % 360 - 180
-        total = pd.Series(turn).rolling(10, min_periods=1).sum().to_numpy()
-        at = np.array(K.debounced(np.abs(total) > 30, 8), int)
-        return pd.DataFrame({"trace_id": t["trace_id"].iloc[0], "row_idx": at, "turn": np.sign(total[at]).astype(int)})
 
-    return _by_trace(s, d, turns, "trace_id long, row_idx long, turn int")
+@query(f"""WITH RECURSIVE {TRACE}, weights(place, j, w) AS (VALUES {_polynomial_rows(9, 2)}), n AS (SELECT trace_id, count(*) AS n FROM trace GROUP BY trace_id),
+    p AS (SELECT trace_id, row_idx, value, n, CASE WHEN row_idx < 4 THEN row_idx WHEN row_idx >= n - 4 THEN row_idx - (n - 9) ELSE 4 END AS place FROM trace JOIN n USING (trace_id)),
+    x AS (SELECT p.trace_id, p.row_idx, CASE WHEN any_value(n) < 9 THEN any_value(p.value) ELSE sum(w * t.value) END AS x FROM p JOIN weights USING (place) LEFT JOIN trace t ON t.trace_id = p.trace_id AND t.row_idx = p.row_idx - p.place + j GROUP BY ALL),
+    d AS (SELECT trace_id, row_idx, coalesce(x - lag(x) OVER (PARTITION BY trace_id ORDER BY row_idx), 0) AS d FROM x),
+    s AS (SELECT trace_id, row_idx, sum(fmod(fmod(d + 180, 360) + 360, 360) - 180) OVER (PARTITION BY trace_id ORDER BY row_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS total FROM d),
+    f AS (SELECT trace_id, row_idx, CAST(sign(total) AS INT) AS turn FROM s WHERE abs(total) > 30),
+    k AS (SELECT trace_id, min(row_idx) AS row_idx FROM f GROUP BY trace_id UNION ALL SELECT trace_id, (SELECT min(f.row_idx) FROM f WHERE f.trace_id = k.trace_id AND f.row_idx >= k.row_idx + 8) FROM k WHERE k.row_idx IS NOT NULL)
+    SELECT trace_id, row_idx, turn FROM k JOIN f USING (trace_id, row_idx)""")
+def savgol_turns(s, d):
+    """Smoothed headings, their summed turns, and the places where these pass a threshold, debounced."""
+    x = series.polynomial_smooth(trace(s, d).select("trace_id", "row_idx", "value"), "value", "x", 9, 2)
+    turn = F.pmod(F.coalesce(F.col("x") - F.lag("x").over(frames.over()), F.lit(0.0)) + 180, F.lit(360.0)) - 180
+    total = frames.trailing_sum(x.withColumn("turned", turn), "turned", "total", 10)
+    flags = stored(total.where("abs(total) > 30").select("trace_id", "row_idx", F.sign("total").cast("int").alias("turn")), "turn-flags")
+    return series.debounced(flags, 8).join(flags, ["trace_id", "row_idx"])
 
 
 @query(None)
 def complete_linkage(s, d):
-    def link(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("row_idx")
-        return pd.DataFrame({"trace_id": t["trace_id"], "row_idx": t["row_idx"], "cluster": K.complete_linkage(t["value"].to_numpy(), 10.0)})
-
-    return _by_trace(s, d, link, "trace_id long, row_idx long, cluster long")
+    return series.complete_linkage(trace(s, d).select("trace_id", "row_idx", "value"), "value", 10.0).select("trace_id", "row_idx", "cluster")
 
 
 @query(None)
@@ -830,6 +849,12 @@ def pca_reduce(s, d):
     return principal_components(_vectors(s, d), "vec_id", "v", 20)
 
 
+@query(None)
+def neighbour_layout(s, d):
+    """All vectors in the plane, near neighbours near each other."""
+    return embedding.laid_out(_vectors(s, d), "vec_id", "v")
+
+
 @query(None)
 def pca_variants(s, d):
     """The numbers of components that are used: 2 to show, 20 to match, 30 to cluster."""
@@ -839,20 +864,39 @@ def pca_variants(s, d):
 
 @query(None)
 def kmeans_states(s, d):
-    """States by k-means on rows of the distance matrix to the templates, the best of twenty starts."""
-    rows = stored(_against_all(s, d).select("vec_id", F.col("dist").alias("row"), "others"), "distance-rows")
-    width = rows.agg(F.max(F.size("row"))).first()[0]
-    # A template's own place, which has no distance, holds 0, so that all rows are as wide.
-    every = rows.where(F.size("row") == width).select("others").limit(1)
-    full = rows.crossJoin(F.broadcast(every.withColumnRenamed("others", "every"))).select("vec_id", F.transform("every", lambda t: F.coalesce(F.try_element_at(F.map_from_arrays("others", "row"), t), F.lit(0.0))).alias("row"))
-    return assembled_kmeans(stored(full, "distance-rows"), "vec_id", "row", 10, starts=20)
+    """States by k-means on rows of the fused matrix (warped field, straight signals, scaled by column), the best of twenty starts."""
+    v = _vectors(s, d)
+    meg, lte = distances.warped("meg"), distances.euclidean("lte")
+    rows = principal_components(v, "vec_id", "v", 20).withColumnRenamed("components", "meg").join(v.select("vec_id", F.lit(0).alias("label"), F.slice("v", 33, 32).alias("lte")), "vec_id")
+    rows = _with_scales(stored(rows, "state-features"), {"meg": meg, "lte": lte}, False)
+    matrix = distances.tiles(rows, "vec_id", ["meg", "lte", "meg_high", "lte_high"], _fused_columns(meg, lte))
+    return distances.kmeans_rows(matrix, 10, 20).withColumnRenamed("key", "vec_id")
 
 
 @query(None)
 def heading_kmeans(s, d):
-    """Headings replaced by the centre of their cluster."""
-    h = table(s, d, "events").select("event_id", F.array("value").alias("v"))
-    return assembled_kmeans(h, "event_id", "v", 8)
+    """Headings of each path replaced by the centre of their cluster, path by path."""
+    h = table(s, d, "events").select("event_id", F.col("user_id").alias("trace_id"), F.expr("(value * 7.0D) % 360.0D").alias("heading"))
+    return states.grouped_kmeans(h, ["trace_id"], "heading", 8).select("event_id", "trace_id", "state", "centre")
+
+
+@query(None)
+def separate_components(s, d):
+    """Mean distance of two labels' vectors, each label reduced by a fit of its own."""
+    fitted = stored(states.grouped_components(_vectors(s, d), "vec_id", "label", "v", 20), "label-components")
+    found = distances.met(fitted, "vec_id", "label", ["n", "components"], {"dist": states.first_places})
+    pairs = found.where("label < other_label").groupBy(F.col("label").alias("left_label"), F.col("other_label").alias("right_label"))
+    return pairs.agg(F.round(F.sum("dist_total") / F.sum("n"), 5).alias("distance"))
+
+
+@query(None)
+def composite_features(s, d):
+    """States of all traces in one space: the field prepared and reduced, the signals before, in and after side by side."""
+    t = trace(s, d).withColumn("rssi", -F.col("value")).withColumn("cell", (F.col("k") % 3).cast("double"))
+    how = anchors.Detection(size=20, step=5, spacing=4, wobble_rows=5, peak_factor=0.0, valley_factor=0.0, rssi_deviation=40.0, id_rate=0.99, gap=6)
+    found = stored(anchors.anchor_segments(t, "value", ["rssi"], ["cell"], how), "states")
+    features = anchors.anchor_features(t, found, "value", 20, 12, 4, ["rssi", "cell"])
+    return states.prepared(features, ["trace_id", "start_row"], "cur", ["rssi", "cell"])
 
 
 @query(None)
@@ -870,7 +914,7 @@ _MEDOIDS = """WITH p AS (SELECT a.label, a.vec_id AS i, CAST(list_distance(CAST(
 @query(f"""SELECT label, a.medoid AS meg_medoid, b.medoid AS lte_medoid FROM ({_MEDOIDS.replace("A:B", "1:32")}) a JOIN ({_MEDOIDS.replace("A:B", "33:64")}) b USING (label)""")
 def medoid_table(s, d):
     """The medoid of each label by two halves of the vector, chosen independently."""
-    half = lambda a: distances.medoids(_within(s, d, F.slice("v", a, 32)).withColumn("total", F.round("total", 6)))
+    half = lambda a: distances.medoids(_within(s, d, F.slice("v", a, 32)).withColumn("dist_total", F.round("dist_total", 6)))
     return half(1).select("label", F.col("medoid").alias("meg_medoid")).join(half(33).select("label", F.col("medoid").alias("lte_medoid")), "label")
 
 
@@ -884,13 +928,13 @@ def _standard(df, column: str, n: int):
 
 @query(None)
 def signal_scores(s, d):
-    """Similarity of each vector to its label's templates: 50 standardised components, standardised signal columns, and both side by side."""
+    """Similarity of each vector to all templates of its label: 50 standardised components warped, standardised signal columns straight, both side by side warped."""
     v = _vectors(s, d)
     r = principal_components(v, "vec_id", "v", 50).withColumnRenamed("components", "meg").join(v.select("vec_id", "label", F.slice("v", 33, 32).alias("lte")), "vec_id")
     r = _standard(_standard(stored(r, "signal-features"), "meg", 50), "lte", 32).withColumn("joint", F.concat("meg", "lte"))
-    both = distances.with_templates(r.withColumnsRenamed({c: f"own_{c}" for c in ("meg", "lte", "joint")}), distances.templates(r, "vec_id", "label", ["meg", "lte", "joint"]), "vec_id", "label")
-    mean = lambda c: C.array_mean(F.transform("items", lambda x: C.similarity(C.euclidean(F.col(f"own_{c}"), x[c], True))))
-    return both.where(F.size("items") > 0).select("vec_id", "label", mean("meg").alias("s_meg"), mean("lte").alias("s_lte"), mean("joint").alias("s_signal"))
+    mean = {"s_meg": distances.warped("meg"), "s_lte": distances.euclidean("lte", True), "s_signal": distances.warped("joint")}
+    found = distances.met(stored(r, "signal-joint"), "vec_id", "label", ["meg", "lte", "joint"], {m: distances.likeness(f) for m, f in mean.items()}, by="label")
+    return found.select(F.col("key").alias("vec_id"), "label", *[(F.col(f"{m}_total") / F.col("n")).alias(m) for m in mean])
 
 
 _TURNED = f"""{LINKS}, t AS (SELECT src, dst, length, row_number() OVER (ORDER BY src, dst, length) AS seq, CAST(src % 3 - 1 AS INT) AS turn FROM links WHERE src <> dst AND src % 6 <> 5),
@@ -908,6 +952,6 @@ def path_layout(s, d):
     """Coordinates of nodes by the turns and lengths of the paths; what is not reached lies far off."""
     e = links(s, d).where("src <> dst and src % 6 <> 5")
     piece = lambda turn, length: F.struct(turn.cast("int").alias("turn"), length.alias("length"))
-    numbered = e.withColumn("seq", F.row_number().over(Window.orderBy("src", "dst", "length")))
+    numbered = frames.numbered(e, ["src", "dst", "length"], "seq").withColumn("seq", F.col("seq") + 1)
     turned = numbered.withColumn("turns", F.array(piece(F.lit(0), F.col("length")), piece(F.col("src") % 3 - 1, F.col("length") / 2)))
     return graph.layout(turned).select("node", (F.round("x", 5) + 0.0).alias("x"), (F.round("y", 5) + 0.0).alias("y"))

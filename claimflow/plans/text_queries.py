@@ -472,6 +472,18 @@ def transplant(s, d):
     return a.unionByName(b)
 
 
+@query(f"""WITH {TRACE}, size AS (SELECT trace_id, count(*) AS n FROM trace GROUP BY trace_id), c AS (SELECT a.trace_id AS claim_id, a.trace_id AS s, a.n AS sn, b.trace_id AS l, b.n AS ln FROM size a JOIN size b ON b.trace_id = a.trace_id + 1 WHERE a.n >= 6 AND b.n >= 6),
+    p AS (SELECT *, row_number() OVER (ORDER BY claim_id) AS i, {draw('(sn - 6 + 1)', chr(39) + 'tl' + chr(39), chr(39) + 'signal' + chr(39), 'CAST(claim_id AS VARCHAR)')} AS ss, {draw('(ln - 6 + 1)', chr(39) + 'tl' + chr(39), chr(39) + 'label' + chr(39), 'CAST(claim_id AS VARCHAR)')} AS ls FROM c)
+    SELECT i AS sample_id, claim_id, 'transplant_location/' || i || '_merged.csv' AS output_source, 12 AS output_rows, 'trace_' || s AS signal_source, ss AS signal_start, ss + 6 AS signal_end, 'trace_' || l AS label_source, ls AS label_start, ls + 6 AS label_end, 'tl' AS seed FROM p""")
+def transplant_manifest(s, d):
+    """Which rows of which traces each transplanted sample holds: its own and those of the trace after it."""
+    size = trace(s, d).groupBy("trace_id").agg(F.count("*").alias("n"))
+    name = lambda c: F.concat(F.lit("trace_"), F.col(c).cast("string"))
+    other = size.select((F.col("trace_id") - 1).alias("trace_id"), F.col("trace_id").alias("label_id"), F.col("n").alias("label_rows"))
+    both = size.join(other, "trace_id").select(F.col("trace_id").alias("claim_id"), name("trace_id").alias("signal_source"), F.col("n").alias("signal_rows"), name("label_id").alias("label_source"), "label_rows")
+    return claims.transplant_manifest(both, 6, "tl")
+
+
 _MATERIAL = f"""{TRACE}, size AS (SELECT trace_id, count(*) AS n FROM trace GROUP BY trace_id),
     pool AS (SELECT trace_id, n, CASE WHEN trace_id % 4 = 0 THEN 0 ELSE 1 END AS level FROM size WHERE n >= 8 AND trace_id % 5 <> 4),
     best AS (SELECT trace_id AS material_id, n AS material_rows, row_number() OVER (ORDER BY trace_id) - 1 AS place, count(*) OVER () AS m FROM pool WHERE level = (SELECT min(level) FROM pool)),

@@ -26,14 +26,18 @@ def session(master: str = "local[*]", partitions: int = 8, **more: str) -> Spark
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; a folder of our own only where none is set and all tasks run on this machine."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names, deleted when the driver ends; a folder of our own only where none is set and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="claimflow-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/claimflow/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/claimflow/{spark.sparkContext.applicationId}")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return f"{folder.toString()}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

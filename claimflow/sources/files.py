@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import stored
 
 SIGNAL = "Time STRING, Cell_Type STRING, Cell_ID STRING, Cell_RSSI STRING"
 SENSOR = "Time STRING, Acc_X DOUBLE, Acc_Y DOUBLE, Acc_Z DOUBLE, Meg DOUBLE, Gyr_X DOUBLE, Gyr_Y DOUBLE, Gyr_Z DOUBLE, Ore DOUBLE"
@@ -40,21 +42,29 @@ def weights_valid(weights: Sequence[float], tolerance: float = 1e-9) -> None:
 def read_csv(spark: SparkSession, path: str, schema: str, encodings: Sequence[str] = ("UTF-8", "GBK")) -> DataFrame:
     """CSV files with a header under an explicit schema, with their provenance.
 
-    Reads under the first encoding in which no text holds a replacement
-    character (one pass over the text columns to see); a byte order mark before
-    the header is ignored. Rows carry route, trace_id and file.
+    Each file is read under the first encoding in which none of its texts holds
+    a replacement character; a pass over the text columns tells which files need
+    the next one. A byte order mark before the header is ignored. Rows carry
+    route, trace_id and file.
     """
     names = [c.strip().split()[0] for c in schema.split(",")]
+    parts, asked = [], None
     for i, encoding in enumerate(encodings):
         raw = spark.read.schema(schema).option("header", True).option("encoding", encoding).option("enforceSchema", True).option("mode", "PERMISSIVE").option("escape", '"').csv(path)
-        texts = [F.col(n).contains("�") for n, t in raw.dtypes if t == "string"]
+        rows = raw.select(*names, F.col("_metadata.file_path").alias("file"))
+        rows = rows if asked is None else rows.join(asked, "file", "left_semi")
         bad: Column = F.lit(False)
-        for t in texts:
-            bad = bad | F.coalesce(t, F.lit(False))
-        if i == len(encodings) - 1 or raw.where(bad).isEmpty():
+        for n, t in raw.dtypes:
+            if t == "string":
+                bad = bad | F.coalesce(F.col(n).contains("\ufffd"), F.lit(False))
+        asked = None if i == len(encodings) - 1 else stored(rows.groupBy("file").agg(F.max(bad).alias("bad")).where("bad").select("file"), "other-encodings")
+        if asked is None or asked.isEmpty():
+            parts.append(rows)
             break
-    file = F.col("_metadata.file_path")
-    return raw.select(*names, file.alias("file"), F.regexp_extract(file, r"(route_\d+)/", 1).alias("route"), F.regexp_extract(file, r"_(\d+)[^/]*\.csv$", 1).alias("trace_id"))
+        parts.append(rows.join(asked, "file", "left_anti"))
+    read = reduce(DataFrame.unionByName, parts)
+    file = F.col("file")
+    return read.select(*names, file, F.regexp_extract(file, r"(route_\d+)/", 1).alias("route"), F.regexp_extract(file, r"_(\d+)[^/]*\.csv$", 1).alias("trace_id"))
 
 
 def walk(spark: SparkSession, root: str, name: str = "*.csv") -> DataFrame:

@@ -35,6 +35,60 @@ def test_dtw_by_hand():
     assert K.dtw([[0, 0]], [[3, 4]], squared=True)[0] == pytest.approx(5)
 
 
+def test_all_pairs_of_rows():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(37, 6)), np.concatenate([rng.normal(size=(20, 6)), np.zeros((1, 6))])
+    y[3] = x[5]
+    assert np.allclose(K.straight(x, y), np.linalg.norm(x[:, None] - y[None], axis=2), atol=1e-12) and K.straight(x, y)[5, 3] == 0
+    want = np.array([[plain_dtw(a, b) for b in y] for a in x])
+    assert np.allclose(K.warped(x, y, at_once=50), want)
+    assert (K.least_warped(x, y) <= want + 1e-12).all()
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_nearest_by_warping(seed):
+    """Bounds and abandoning lose nothing, ties go to the first, and pairs that do not count stay out."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 4, size=(25, 5)).astype(float) if seed % 2 else np.cumsum(rng.normal(size=(25, 30)), 1)
+    y = np.concatenate([x[:12], x[3:9] + 0.5])
+    own = np.arange(25)[:, None] == np.arange(18)[None]
+    d = np.array([[plain_dtw(a, b) for b in y] for a in x])
+    d[own] = np.inf
+    for i, (at, far) in enumerate(K.nearest_warped(x, y, 4, own, at_once=33)):
+        order = np.argsort(np.round(d[i], 12), kind="stable")[:4]
+        assert np.allclose(far, d[i][order]) and np.allclose(d[i][at], far) and i not in at[at < 12][at[at < 12] == i]
+    assert all(len(at) == 1 for at, _ in K.nearest_warped(x[:2], x[:2], 4, np.eye(2, dtype=bool)))
+
+
+@pytest.mark.parametrize("radius", [1, 3, 20])
+def test_warping_from_coarse_to_fine(radius):
+    """Never below the exact distance, within a fifth of it in the mean on walks, and exact once the radius spans the series."""
+    rng = np.random.default_rng(5)
+    ratios = []
+    for n, m in ((40, 40), (37, 52), (64, 33), (9, 9), (3, 8), (1, 5)) * 3:
+        a, b = np.cumsum(rng.normal(size=n)), np.cumsum(rng.normal(size=m))
+        exact, fast = plain_dtw(a, b), K.fast_warped(a, b, radius)
+        assert fast >= exact - 1e-12
+        ratios.append(fast / exact)
+    assert np.mean(ratios) < {1: 1.5, 3: 1.2, 20: 1.05}[radius]
+    assert K.fast_warped(a, b, 100) == pytest.approx(plain_dtw(a, b)) and K.fast_warped(a, a) == 0
+
+
+def test_warping_a_long_series_takes_few_cells():
+    import time
+
+    x = np.cumsum(np.random.default_rng(6).normal(size=20_000))
+    began = time.perf_counter()
+    assert 0 <= K.fast_warped(x, x[::-1].copy(), 1) < np.abs(x - x[::-1]).sum()
+    assert time.perf_counter() - began < 20
+
+
+def test_a_limit_gives_pairs_up():
+    a, b = np.zeros((40, 3)), np.stack([np.zeros(40), np.full(40, 9.0), np.full(40, 1.0)], 1)
+    got = K.warped_of(a, b, limit=np.array([1.0, 1.0, 1.0]))
+    assert got[0] == 0 and np.isinf(got[1]) and got[2] == pytest.approx(0.5)
+
+
 def test_peaks():
     x = [0, 3, 0, 5, 5, 5, 0, 4, 0]
     assert K.spaced_peaks(x, 1).tolist() == [1, 4, 7]

@@ -161,12 +161,94 @@ def test_anchor_windows_by_brute_force(spark):
         if magnetic or cellular:
             want.add((start, start + 40))
     assert got == want and 0 < len(want) < (n - 40) // 10
+    # Segments: windows joined, recentred on the strongest activity, near ones paired, recentred again.
+    az = z.abs().to_numpy()
+
+    def recentred(spans):
+        out = []
+        for a, b in spans:
+            c = a + int(np.nanargmax(az[a:b]))
+            low = max(a, c - 20)
+            out.append((low, min(low + 40, b)) if b - a > 40 else (a, b))
+        return out
+
+    joined = []
+    for a, b in sorted(want):
+        if joined and a <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(joined[-1][1], b))
+        else:
+            joined.append((a, b))
+    paired = []
+    for a, b in sorted(recentred(joined)):
+        if paired and not paired[-1][2] and a - paired[-1][1] <= 20:
+            paired[-1] = (paired[-1][0], b, True)
+        else:
+            paired.append((a, b, False))
     segments = anchors.anchor_segments(t, "meg", ["rssi"], ["cell"], how)
-    assert segments.where("end_row - start_row > 40").count() == 0
-    features = anchors.anchor_features(t, segments, "meg", 40, 12, 4, ["rssi"]).collect()
-    for r in features:
-        inside = [float(v) for v in meg[r["start_row"] : r["end_row"]]]
-        assert r["cur"][: len(inside)] == inside and len(r["cur"]) == len(r["pre"]) == len(r["post"]) == 40 and len(r["rssi"]) == 12
+    assert sorted((r["start_row"], r["end_row"]) for r in segments.collect()) == sorted(recentred([x[:2] for x in paired]))
+    # Features: rows by number, nulls where there is none.
+    at = lambda x, i, low=0, high=n: None if not max(low, 0) <= i < min(high, n) or np.isnan(x[i]) else float(x[i])
+    features = anchors.anchor_features(t, segments, "meg", 40, 12, 4, ["rssi", "cell"]).collect()
+    edges = anchors.anchor_features(t, spark.createDataFrame([(1, 2, 30), (1, 230, 258)], "trace_id long, start_row long, end_row long"), "meg", 40, 12, 4, ["rssi", "cell"]).collect()
+    assert len(features) == len(paired) and len(edges) == 2
+    for r in features + edges:
+        s, e = r["start_row"], r["end_row"]
+        assert r["cur"] == [at(meg, s + p, s, e) for p in range(40)]
+        assert r["pre"] == [at(meg, s - 40 + p) for p in range(40)]
+        assert r["post"] == [at(meg, e + p) for p in range(40)]
+        low = max(s - 4, 0)
+        assert r["rssi"] == [at(rssi, low + p, low, s + 8) for p in range(12)]
+        assert r["cell"] == [None if (v := at(ids, low + p, low, s + 8)) is None else int(v) for p in range(12)]
+
+
+def test_pairs_in_chains(spark):
+    """Two at a time along a chain of near segments, against a walk from left to right."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for t in range(30):
+        at = 0
+        for _ in range(rng.integers(1, 15)):
+            at += int(rng.integers(1, 12))
+            rows.append((t, at, at := at + int(rng.integers(1, 9))))
+    got = sorted(map(tuple, intervals.paired_off(spark.createDataFrame(rows, "trace_id long, start_row long, end_row long"), 6).collect()))
+    want = []
+    for t in range(30):
+        out = []
+        for _, a, b in sorted(r for r in rows if r[0] == t):
+            if out and not out[-1][2] and a - out[-1][1] <= 6:
+                out[-1] = (out[-1][0], b, True)
+            else:
+                out.append((a, b, False))
+        want += [(t, a, b) for a, b, _ in out]
+    assert got == sorted(want)
+
+
+def test_legs_that_are_not_connected(spark):
+    edges = spark.createDataFrame([(0, 1, 4.0), (1, 2, 4.0), (8, 9, 1.0)], "src long, dst long, length double")
+    legs = spark.createDataFrame([(1, 0, 2, 6.0), (1, 2, 1, 6.0), (2, 0, 1, 4.0), (2, 1, 9, 4.0)], "claim long, src long, dst long, walked double")
+    got = {r["claim"]: r["s_length"] for r in scores.length_scores(legs, edges, "claim", strict=False).collect()}
+    assert got == {1: pytest.approx(1.0), 2: 0.0}
+    with pytest.raises(ValueError, match="1 and 9"):
+        scores.length_scores(legs, edges, "claim")
+
+
+def test_alignment_needs_its_target(spark):
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0)], "trace_id long, row_idx long, x double, y double")
+    assert frames.aligned(points, 1).count() == 1
+    with pytest.raises(ValueError, match="no path 5"):
+        frames.aligned(points, 5)
+
+
+def test_encodings_by_file(spark, tmp_path):
+    """Each file of a folder under its own encoding."""
+    folder = tmp_path / "route_001"
+    folder.mkdir()
+    text = lambda k: f"Time,Cell_Type,Cell_ID,Cell_RSSI\n0{k}:00,信号,[1],[-60]\n"
+    for k in range(4):
+        (folder / f"signal_{k}.csv").write_bytes(text(k).encode("gbk" if k % 2 else "utf-8-sig"))
+    got = {r["trace_id"]: (r["Time"], r["Cell_Type"]) for r in files.read_csv(spark, str(folder), files.SIGNAL).collect()}
+    assert got == {str(k): (f"0{k}:00", "信号") for k in range(4)}
+    assert files.read_csv(spark, str(folder), files.SIGNAL, ("UTF-8",)).count() == 4
 
 
 def test_graph_searches_have_no_depth(spark):
@@ -206,18 +288,53 @@ def test_closest_key_by_blocks(spark):
 def test_block_distances_by_brute_force(spark):
     rng = np.random.default_rng(6)
     x, labels = rng.normal(size=(70, 5)), ["hot" if i % 3 else f"l{i % 4}" for i in range(70)]
-    df = spark.createDataFrame([(i, labels[i], [float(v) for v in x[i]]) for i in range(70)], "vec_id long, label string, v array<double>")
-    for within in (True, False):
-        got = {(r["key"], r["other_label"]): (r["total"], r["n"], r["least"]) for r in distances.totals(df, "vec_id", "v", "label", within, block=16).collect()}
+    x[40] = x[7]
+    df = spark.createDataFrame([(i, labels[i], [float(v) for v in x[i]]) for i in range(70)] + [(99, None, [0.0] * 5)], "vec_id long, label string, v array<double>")
+    for by in ("label", None):
+        found = distances.met(df, "vec_id", "label", ["v"], {"dist": distances.euclidean("v")}, by=by, nearest=4, block=16).collect()
+        got = {(r["key"], r["other_label"]): (r["dist_total"], r["n"], r["dist_least"], r["dist_most"], [n["other"] for n in r["near"]]) for r in found}
         want = {}
         for i in range(70):
             for k in set(labels):
-                d = [np.linalg.norm(x[i] - x[j]) for j in range(70) if j != i and labels[j] == k]
-                if d and (not within or k == labels[i]):
-                    want[(i, k)] = (pytest.approx(sum(d)), len(d), pytest.approx(min(d)))
+                d = {j: np.linalg.norm(x[i] - x[j]) for j in range(70) if j != i and labels[j] == k}
+                if d and (by is None or k == labels[i]):
+                    want[(i, k)] = (pytest.approx(sum(d.values())), len(d), pytest.approx(min(d.values())), pytest.approx(max(d.values())), sorted(d, key=lambda j: (d[j], j))[:4])
         assert got == want
 
 
+def test_two_tables_meet_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(45, 3)), rng.normal(size=(38, 3))
+    make = lambda a, n: spark.createDataFrame([(i, i % n, [float(v) for v in a[i]]) for i in range(len(a))], "id long, route int, v array<double>")
+    found = distances.met(make(x, 4), "id", "route", ["v"], {"dist": distances.euclidean("v")}, by="route", nearest=2, block=3, right=make(y, 3)).collect()
+    got = {r["key"]: (r["n"], r["dist_total"], [n["other"] for n in r["near"]]) for r in found}
+    want = {}
+    for i in range(45):
+        d = {j: np.linalg.norm(x[i] - y[j]) for j in range(38) if j != i and j % 3 == i % 4}
+        if d:
+            want[i] = (len(d), pytest.approx(sum(d.values())), sorted(d, key=d.get)[:2])
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_kmeans_on_a_matrix_in_tiles(spark, block):
+    """The same states whatever the tiles, and three clear groups found."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.3, size=(14, 4)) for c in (0, 5, 11)])
+    df = spark.createDataFrame([(i * 3, [float(v) for v in x[i]]) for i in range(42)], "id long, v array<double>")
+    tiles = distances.tiles(df, "id", ["v"], distances.euclidean("v"), block)
+    assert tiles.count() == len({(r["rows"], r["cols"]) for r in tiles.collect()})
+    got = {r["key"]: r["state"] for r in distances.kmeans_rows(tiles, 3, 6).collect()}
+    assert got == {i * 3: i // 14 for i in range(42)}
+
+
+def test_drawn_templates(spark):
+    df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 3).alias("label"))
+    few = distances.drawn(df, "k", "label", 5)
+    assert {r["label"]: r["count"] for r in few.groupBy("label").count().collect()} == {0: 5, 1: 5, 2: 5}
+    assert few.where("k >= 15").count() > 5 and sorted(few.collect()) == sorted(distances.drawn(df.repartition(4), "k", "label", 5).collect())
+
+
 def test_windows_and_places(spark):
     df = spark.createDataFrame([(t, i, float(i)) for t, n in ((1, 23), (2, 4)) for i in range(n)], "trace_id long, row_idx long, value double")
     for size, step in ((5, 2), (3, 5), (4, 4)):

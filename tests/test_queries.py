@@ -58,13 +58,6 @@ def reduced(spark):
     return {r["vec_id"]: (label[r["vec_id"]], np.array(r["components"])) for r in catalogue.queries()["pca_reduce"](spark, DATA).collect()}
 
 
-def first_of_labels(v):
-    kept = {}
-    for i in sorted(v):
-        kept.setdefault(v[i][0], []).append(i)
-    return {k: x[:30] for k, x in kept.items()}
-
-
 def warped(a, b):
     t = np.full((len(a) + 1, len(b) + 1), np.inf)
     t[0, 0] = 0
@@ -74,27 +67,51 @@ def warped(a, b):
     return t[-1, -1] / (len(a) + len(b))
 
 
-def test_dtw_pairs_by_brute_force(spark):
-    v = reduced(spark)
-    kept = first_of_labels(v)
-    got = catalogue.queries()["dtw_pairs"](spark, DATA).collect()
-    assert {(r["i"], r["j"]) for r in got} == {(i, j) for x in kept.values() for i in x for j in x if i < j}
-    for r in got[:40]:
-        assert r["dtw"] == pytest.approx(warped(v[r["i"]][1], v[r["j"]][1]), abs=1e-6)
+def matrix(v, f):
+    """(ids, labels, distances) of all rows."""
+    ids = sorted(v)
+    return ids, np.array([v[i][0] for i in ids]), np.array([[f(v[i][1], v[j][1]) if i != j else 0.0 for j in ids] for i in ids])
 
 
-def test_dtw_global_match_by_brute_force(spark):
-    v = reduced(spark)
-    kept = first_of_labels(v)
+@pytest.fixture(scope="module")
+def warped_matrix(spark):
+    return matrix(reduced(spark), warped)
+
+
+def test_dtw_pairs_by_brute_force(spark, warped_matrix):
+    ids, labels, d = warped_matrix
+    got = {r["vec_id"]: r for r in catalogue.queries()["dtw_pairs"](spark, DATA).collect()}
+    assert set(got) == {i for i, k in zip(ids, labels, strict=True) if (labels == k).sum() > 1}
+    for n, i in enumerate(ids):
+        others = np.flatnonzero((labels == labels[n]) & (np.arange(len(ids)) != n))
+        if len(others):
+            r, row = got[i], d[n, others]
+            assert r["n"] == len(others) and r["mean_dtw"] == pytest.approx(row.mean(), abs=2e-6) and r["least_dtw"] == pytest.approx(row.min(), abs=2e-6)
+            assert r["nearest"] == ids[others[row.argmin()]]
+            assert 0 < r["least_squared"] <= r["mean_squared"] <= r["most_squared"]
+
+
+def test_dtw_neighbours_by_brute_force(spark, warped_matrix):
+    ids, labels, d = warped_matrix
+    got = {}
+    for r in catalogue.queries()["dtw_neighbours"](spark, DATA).orderBy("vec_id", "rank").collect():
+        got.setdefault(r["vec_id"], []).append((r["other"], r["distance"]))
+    for n, i in enumerate(ids):
+        others = [o for o in np.argsort(d[n], kind="stable") if o != n and labels[o] == labels[n]][:3]
+        assert [x for x, _ in got.get(i, [])] == [ids[o] for o in others]
+        assert [x for _, x in got.get(i, [])] == pytest.approx([d[n, o] for o in others])
+
+
+def test_dtw_global_match_by_brute_force(spark, warped_matrix):
+    ids, labels, w = warped_matrix
+    _, _, e = matrix(reduced(spark), lambda a, b: np.linalg.norm(a - b))
     got = {r["vec_id"]: (r["label"], r["mean_distance"]) for r in catalogue.queries()["dtw_global_match"](spark, DATA).collect()}
-    assert set(got) == set(v)
-    for i in sorted(v)[:8]:
-        others = [(k, j) for k, x in kept.items() for j in x if j != i]
-        w = np.array([warped(v[i][1], v[j][1]) for _, j in others])
-        d = np.array([np.linalg.norm(v[i][1] - v[j][1]) for _, j in others])
+    assert set(got) == set(ids)
+    for n, i in enumerate(ids):
+        others = np.flatnonzero(np.arange(len(ids)) != n)
         scale = lambda x: (x - x.min()) / (x.max() - x.min())
-        fused = np.sqrt((0.3 * scale(w)) ** 2 + (0.7 * scale(d)) ** 2)
-        means = {k: np.sort([f for f, (q, _) in zip(fused, others, strict=True) if q == k])[:3].mean() for k in kept}
+        fused = np.sqrt((0.3 * scale(w[n, others])) ** 2 + (0.7 * scale(e[n, others])) ** 2)
+        means = {k: np.sort(fused[labels[others] == k])[:3].mean() for k in set(labels[others])}
         label = min(means, key=lambda k: (means[k], k))
         assert got[i] == (label, pytest.approx(means[label], abs=1e-9))
 
@@ -102,20 +119,47 @@ def test_dtw_global_match_by_brute_force(spark):
 def test_signal_scores_by_brute_force(spark):
     raw = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").collect()
     x = np.array([r["embedding"] for r in raw], float)
-    meg = K.components(x, 50)
     z = lambda a: (a - a.mean(0)) / np.where(a.std(0) == 0, 1, a.std(0))
-    parts = {"s_meg": z(meg), "s_lte": z(x[:, 32:])}
-    parts["s_signal"] = np.concatenate([parts["s_meg"], parts["s_lte"]], 1)
-    ids, labels = [r["vec_id"] for r in raw], [r["label"] for r in raw]
-    place = {i: n for n, i in enumerate(ids)}
-    kept = first_of_labels({i: (k,) for i, k in zip(ids, labels, strict=True)})
+    meg, lte = z(K.components(x, 50)), z(x[:, 32:])
+    joint = np.concatenate([meg, lte], 1)
+    ids, labels = [r["vec_id"] for r in raw], np.array([r["label"] for r in raw])
     got = {r["vec_id"]: r for r in catalogue.queries()["signal_scores"](spark, DATA).collect()}
     assert set(got) == set(ids)
-    for i in ids[::25]:
-        others = [place[j] for j in kept[labels[place[i]]] if j != i]
-        for name, m in parts.items():
-            d = np.linalg.norm(m[others] - m[place[i]], axis=1) / np.sqrt(m.shape[1])
-            assert got[i][name] == pytest.approx((1 / (1 + d)).mean(), abs=1e-4), name
+    for n, i in enumerate(ids):
+        others = np.flatnonzero((labels == labels[n]) & (np.arange(len(ids)) != n))
+        mean = lambda d: (1 / (1 + np.array(d))).mean()
+        assert got[i]["s_lte"] == pytest.approx(mean(np.linalg.norm(lte[others] - lte[n], axis=1) / np.sqrt(32)), abs=1e-4)
+        assert got[i]["s_meg"] == pytest.approx(mean([warped(meg[n], meg[o]) for o in others]), abs=1e-4)
+        if n % 5 == 0:  # plain Python takes a second for ten of these
+            assert got[i]["s_signal"] == pytest.approx(mean([warped(joint[n], joint[o]) for o in others]), abs=1e-4)
+
+
+def test_kmeans_states_by_brute_force(spark, warped_matrix):
+    """Lloyd's steps on the whole fused matrix in numpy, from the same starts."""
+    from pyspark.sql import functions as F
+
+    ids, _, w = warped_matrix
+    raw = {r["vec_id"]: np.array(r["embedding"], float)[32:] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    _, _, e = matrix({i: (0, raw[i]) for i in ids}, lambda a, b: np.linalg.norm(a - b))
+    x = np.sqrt((0.3 * w / w.max(0)) ** 2 + (0.7 * e / e.max(0)) ** 2)
+    hashes = spark.createDataFrame([(i, s) for i in ids for s in range(20)], "i long, s int").withColumn("h", F.xxhash64("i", "s")).collect()
+    best = None
+    for s in range(20):
+        first = [i for _, i in sorted((r["h"], r["i"]) for r in hashes if r["s"] == s)[:10]]
+        centres, code = x[[ids.index(i) for i in first]], None
+        while True:
+            d = ((x[:, None] - centres[None]) ** 2).sum(2)
+            if code is not None and (d.argmin(1) == code).all():
+                break
+            code = d.argmin(1)
+            centres = np.stack([x[code == k].mean(0) if (code == k).any() else np.full(len(ids), np.inf) for k in range(10)])
+        if best is None or d.min(1).sum() < best[0] - 1e-9:
+            best = d.min(1).sum(), code
+    got = {r["vec_id"]: r["state"] for r in catalogue.queries()["kmeans_states"](spark, DATA).collect()}
+    parts = lambda code: {frozenset(i for i, c in code.items() if c == k) for k in set(code.values())}
+    assert parts(got) == parts(dict(zip(ids, best[1].tolist(), strict=True)))
+    firsts = [min(i for i in got if got[i] == k) for k in range(len(set(got.values())))]
+    assert firsts == sorted(firsts)
 
 
 def test_components_by_brute_force(spark):
