@@ -126,7 +126,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosine of q and each row of x in double precision; the same vector always gives the same number."""
+    """Cosine of q and each row of x in double precision; the same vector always gives the same number.
+
+    Vectors are scaled by a power of two first, which changes no digit, so that squares neither overflow nor vanish.
+    """
+    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if len(x) else x
     return (x * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
 
 
@@ -237,7 +242,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
             yield pa.RecordBatch.from_arrays([b.column("q").take(pick), b.column("v").take(pick), pa.array(bundle, pa.int32()), pa.array(leaves, pa.list_(pa.int64()))], ["q", "v", "bundle", "leaves"])
 
     routed = keyed.mapInArrow(route, f"q long, v {dict(keyed.dtypes)['v']}, bundle int, leaves array<long>").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
-    split = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Entries go where a block of queries asks for their bundle, and nowhere else.
+    routed = stored(routed, "ann-routes")
+    split = split.join(routed.select("bundle", "block").distinct(), "bundle")
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):

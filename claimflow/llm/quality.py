@@ -158,7 +158,8 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: Column | None, most: int
         return np.empty((0, len(FEATURES))), np.empty(0, int)
     ids = docs.sparkSession.createDataFrame(said[["doc_id"]])
     some = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = document_statistics(some).toPandas().merge(said, on="doc_id").sort_values("doc_id")
+    # A doc_id that comes several times counts with one of its texts: as many rows as sampled ids reach the driver.
+    rows = document_statistics(some).groupBy("doc_id").agg(F.min("x").alias("x")).toPandas().merge(said, on="doc_id").sort_values("doc_id")
     return np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["y"].to_numpy()
 
 

@@ -9,6 +9,7 @@ is guessed from the text's function words, so the text stays the only input.
 from __future__ import annotations
 
 import copy
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import need, small_batches, stored
@@ -25,8 +26,6 @@ WORD_BUCKETS = 1 << 16
 STEM_BUCKETS = 1 << 14
 STEM = 5
 WIDTHS = (1, 2, 3)
-FILTERS = 12
-DIM = 16
 #: Labelled rows that training uses at most, drawn by a hash of doc_id: all toxic ones first, up to half of them.
 MOST_LABELLED = 6_000
 #: Words of the labelled rows that training uses at most: rows beyond it (in the order of that hash) are left out, as are rows that alone have more.
@@ -35,6 +34,8 @@ MOST_WORDS = 8_000_000
 ROUND_BATCHES = 100
 #: Random starts, of which the best on watched documents stays.
 STARTS = 4
+#: Parts of the learning rows between which settings are compared.
+FOLDS = 2
 MARKS = b"".join(bytes([i]) for i in range(33, 127) if not bytes([i]).isalnum())
 
 # Frequent function words of the languages that thresholds are kept for.
@@ -50,6 +51,21 @@ _LANGUAGE_OF = {w.encode(): [i for i, k in enumerate(sorted(FUNCTION_WORDS)) if
 _MOST_KEPT = 300_000
 
 
+@dataclass(frozen=True)
+class Setting:
+    """Filters of each width, length of embeddings, rates of weights and of embedding rows, and whether a maximum can only add to a score."""
+
+    filters: int = 12
+    dim: int = 16
+    rate: float = 0.005
+    row_rate: float = 0.05
+    adds_only: bool = True
+
+
+#: What is compared on folds of the learning rows; the first where these are too few to compare.
+SETTINGS = (Setting(), Setting(adds_only=False), Setting(filters=6, dim=8), Setting(rate=0.002, row_rate=0.02))
+
+
 class Words:
     """Hashes words to (word bucket, stem bucket, language votes); keeps what it has hashed."""
 
@@ -138,13 +154,13 @@ class Network:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _fresh(rng: np.random.Generator) -> Network:
+def _fresh(rng: np.random.Generator, how: Setting) -> Network:
     """Random weights: small embeddings, so that words never met in training hardly move a maximum."""
-    n = len(WIDTHS) * FILTERS
+    n, dim = len(WIDTHS) * how.filters, how.dim
     small = lambda *shape: (rng.standard_normal(shape) * 0.02).astype(np.float32)
-    filters = [(rng.standard_normal((k, DIM, FILTERS)) / np.sqrt(k * DIM)).astype(np.float32) for k in WIDTHS]
+    filters = [(rng.standard_normal((k, dim, how.filters)) / np.sqrt(k * dim)).astype(np.float32) for k in WIDTHS]
     out = (np.abs(rng.standard_normal(n)) / np.sqrt(n)).astype(np.float32)
-    return Network(small(WORD_BUCKETS, DIM), small(STEM_BUCKETS, DIM), filters, np.zeros(n, np.float32), out, 0.0)
+    return Network(small(WORD_BUCKETS, dim), small(STEM_BUCKETS, dim), filters, np.zeros(n, np.float32), out, 0.0)
 
 
 def _loss(net: Network, docs: list, y: np.ndarray) -> float:
@@ -158,7 +174,7 @@ def _in_parts(net: Network, docs: list) -> np.ndarray:
     return np.concatenate([net.logits(docs[at : at + 256]) for at in range(0, len(docs), 256)]) if docs else np.empty(0)
 
 
-def train(docs: list, y: np.ndarray, watched: tuple[list, np.ndarray] | None = None, epochs: int = 6, batch: int = 32, rate: float = 0.005, row_rate: float = 0.05, seed: int = 1) -> Network:
+def train(docs: list, y: np.ndarray, watched: tuple[list, np.ndarray] | None = None, epochs: int = 6, batch: int = 32, how: Setting = SETTINGS[0], seed: int = 1) -> Network:
     """Trains from random weights on mini-batches, both classes weighing the same; gradients pass the maxima only.
 
     Filters and weights move by running means of squared gradients, embedding
@@ -167,7 +183,7 @@ def train(docs: list, y: np.ndarray, watched: tuple[list, np.ndarray] | None = N
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(y, int)
-    net = _fresh(rng)
+    net = _fresh(rng, how)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         net.out[:], net.bias = 0, float(np.log(share / (1 - share)))
@@ -198,7 +214,7 @@ def train(docs: list, y: np.ndarray, watched: tuple[list, np.ndarray] | None = N
             grads = {"out": h.T @ g + 1e-4 * net.out, "shift": gh.sum(0), "bias": g.sum()}
             met, gx = [], []
             for i, (k, f) in enumerate(zip(WIDTHS, net.filters, strict=True)):
-                cols = slice(i * FILTERS, (i + 1) * FILTERS)
+                cols = slice(i * how.filters, (i + 1) * how.filters)
                 first = where[:, cols]
                 ghk = np.where((ends - starts >= k)[:, None], gh[:, cols], 0)
                 live = ghk != 0
@@ -212,17 +228,18 @@ def train(docs: list, y: np.ndarray, watched: tuple[list, np.ndarray] | None = N
             for k, v in grads.items():
                 squares[k] *= 0.99
                 squares[k] += 0.01 * v * v
-                dense[k] -= rate * v / np.sqrt(squares[k] + 1e-8)
-            # A passage can make a text toxic, and no further text makes it less so.
-            np.maximum(net.out, 0, out=net.out)
+                dense[k] -= how.rate * v / np.sqrt(squares[k] + 1e-8)
+            if how.adds_only:
+                # A passage can make a text toxic, and no further text makes it less so.
+                np.maximum(net.out, 0, out=net.out)
             met, gx = np.concatenate(met), np.concatenate(gx)
             for name, ids in (("words", w), ("stems", s)):
                 table, sums = rows[name]
                 once, back = np.unique(ids[met], return_inverse=True)
-                total = np.zeros((len(once), DIM), np.float32)
+                total = np.zeros((len(once), how.dim), np.float32)
                 np.add.at(total, back, gx)
                 sums[once] += (total * total).mean(1)
-                table[once] -= row_rate * total / np.sqrt(sums[once])[:, None]
+                table[once] -= how.row_rate * total / np.sqrt(sums[once])[:, None]
         net.bias = float(bias[0])
         if watched:
             lost = _loss(net, *watched)
@@ -258,6 +275,44 @@ def calibrate(net: Network, docs: list, y: np.ndarray) -> None:
             net.thresholds[k] = best(z[here], y[here])
 
 
+def _trained(spark: SparkSession, docs: list, y: np.ndarray, jobs: list[tuple[Setting, int, np.ndarray]], keep: bool) -> list[tuple[float, Network | None]]:
+    """(loss on the watched documents, network) of each job (setting, seed, which documents are watched), a task for each.
+
+    The documents are a bounded sample, so they are broadcast; networks come back only to ``keep`` them.
+    """
+    held = spark.sparkContext.broadcast((docs, y, jobs))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs, y, jobs = held.value
+        for job in (int(i) for b in batches for i in b["id"]):
+            how, seed, watched = jobs[job]
+            look = [d for d, w in zip(docs, watched, strict=True) if w], y[watched]
+            net = train([d for d, w in zip(docs, watched, strict=True) if not w], y[~watched], look, how=how, seed=seed)
+            yield pd.DataFrame({"job": [job], "loss": [_loss(net, *look)], "net": [pickle.dumps(net) if keep else None]})
+
+    rows = spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(run, "job long, loss double, net binary").collect()
+    held.unpersist()
+    return [(r["loss"], pickle.loads(r["net"]) if keep else None) for r in sorted(rows)]
+
+
+def _every(y: np.ndarray, n: int, at: int) -> np.ndarray:
+    """Marks each ``n``-th document of each class, from the one at ``at``."""
+    marked = np.zeros(len(y), bool)
+    for k in (0, 1):
+        marked[np.flatnonzero(y == k)[at::n]] = True
+    return marked
+
+
+def chosen_setting(spark: SparkSession, docs: list, y: np.ndarray) -> Setting:
+    """The setting that loses least on folds it was not trained on; these are the learning rows themselves, no others are looked at."""
+    folds = [_every(y, FOLDS, f) for f in range(FOLDS)]
+    if min(min(np.bincount(y[f], minlength=2)) for f in folds) < 5:
+        return SETTINGS[0]
+    losses = _trained(spark, docs, y, [(how, 1, f) for how in SETTINGS for f in folds], False)
+    means = [sum(x for x, _ in losses[at : at + FOLDS]) for at in range(0, len(losses), FOLDS)]
+    return SETTINGS[int(np.argmin(means))]
+
+
 def _sample(labels: DataFrame, learn: Column | None, most: int) -> pd.DataFrame:
     one = labels.where("toxic is not null and doc_id is not null").where(F.lit(True) if learn is None else learn)
     one = one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
@@ -267,7 +322,10 @@ def _sample(labels: DataFrame, learn: Column | None, most: int) -> pd.DataFrame:
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = MOST_LABELLED, words: int = MOST_WORDS) -> Network:
-    """Trains on at most ``most`` labelled documents of ``words`` words together and calibrates on a fifth of them that training leaves out."""
+    """Trains on at most ``most`` labelled documents of ``words`` words together and calibrates on a fifth of them that training leaves out.
+
+    The setting is chosen on folds of the rest; all trainings run as tasks side by side.
+    """
     said = _sample(labels, learn, most)
     if not len(said):
         return train([], np.empty(0, int))
@@ -284,31 +342,30 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), pa.array([g[2] for g in got], pa.int32())], ["doc_id", "ids", "lang"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(each, "doc_id long, ids binary, lang int")
-    rows = stored(rows.withColumn("turn", F.xxhash64("doc_id", "ids")), "toxic-words")
+    # A doc_id that comes several times counts with one of its texts, the first by their hash: as many rows as sampled ids.
+    first = F.min(F.struct(F.xxhash64("doc_id", "ids").alias("turn"), "ids", "lang")).alias("one")
+    rows = stored(rows.groupBy("doc_id").agg(first).select("doc_id", "one.*"), "toxic-words")
     # Of each row its number of words; then the words of those that fit, which bounds what the driver gets in bytes.
-    sizes = rows.select("doc_id", "turn", (F.length("ids") / 8).cast("long").alias("n")).toPandas().drop_duplicates().sort_values(["turn", "doc_id"])
+    sizes = rows.select("doc_id", "turn", (F.length("ids") / 8).cast("long").alias("n")).toPandas().sort_values(["turn", "doc_id"])
     sizes = sizes[sizes["n"] <= words]
     fit = sizes[sizes["n"].cumsum() <= words]
     if not len(fit):
         return train([], np.empty(0, int))
-    rows = rows.join(F.broadcast(spark.createDataFrame(fit[["doc_id", "turn"]])), ["doc_id", "turn"], "left_semi").toPandas()
-    rows = rows.merge(said, on="doc_id").drop_duplicates(["doc_id", "turn"]).sort_values(["doc_id", "turn"], ignore_index=True)
+    rows = rows.join(F.broadcast(spark.createDataFrame(fit[["doc_id"]])), "doc_id", "left_semi").toPandas()
+    rows = rows.merge(said, on="doc_id").sort_values("doc_id", ignore_index=True)
     pairs = [np.frombuffer(x, "<i4").reshape(2, -1) for x in rows["ids"]]
     data = [(p[0], p[1], int(k)) for p, k in zip(pairs, rows["lang"], strict=True)]
     y = rows["y"].to_numpy(int)
     # A fifth of each class is watched while training and calibrates the thresholds.
-    held = np.zeros(len(y), bool)
-    for k in (0, 1):
-        held[np.flatnonzero(y == k)[4::5]] = True
+    held = _every(y, 5, 4)
     if min(np.bincount(y[held], minlength=2)) < 5:
         net = train(data, y)
         calibrate(net, data, y)
         return net
-    watched = [d for d, h in zip(data, held, strict=True) if h], y[held]
-    rest = [d for d, h in zip(data, held, strict=True) if not h]
+    how = chosen_setting(spark, [d for d, h in zip(data, held, strict=True) if not h], y[~held])
     # Random starts differ in how much they find: the one that loses least on the watched documents stays.
-    net = min((train(rest, y[~held], watched, seed=seed) for seed in range(1, STARTS + 1)), key=lambda n: _loss(n, *watched))
-    calibrate(net, *watched)
+    net = min(_trained(spark, data, y, [(how, seed, held) for seed in range(1, STARTS + 1)], True), key=lambda x: x[0])[1]
+    calibrate(net, [d for d, h in zip(data, held, strict=True) if h], y[held])
     return net
 
 

@@ -92,7 +92,7 @@ def test_look_ups_are_the_convolutions():
         x, h = net.words[w] + net.stems[s], []
         for k, f in zip(toxicity.WIDTHS, net.filters, strict=True):
             spans = [sum(x[i + o] @ f[o] for o in range(k)) for i in range(len(x) - k + 1)]
-            h.append(np.max(spans, 0) if spans else np.zeros(toxicity.FILTERS))
+            h.append(np.max(spans, 0) if spans else np.zeros(toxicity.SETTINGS[0].filters))
         assert z == pytest.approx(np.maximum(np.concatenate(h) + net.shift, 0) @ net.out + net.bias, abs=1e-3)
 
 
@@ -115,6 +115,28 @@ def test_the_convolution_learns(corpus):
     assert caught > 0.9 and wrong < 0.05
 
 
+def test_the_setting_is_chosen_on_folds_of_the_learning_rows(spark, corpus, monkeypatch):
+    """A setting that cannot learn is not taken, wherever it stands; too few rows take the first."""
+    rows, labels = corpus
+    hashed = toxicity.Words()
+    docs, y = [hashed(t) for _, t in rows], np.array([t for _, _, t in labels])
+    still = toxicity.Setting(rate=1e-9, row_rate=1e-9)
+    monkeypatch.setattr(toxicity, "SETTINGS", (still, toxicity.Setting()))
+    assert toxicity.chosen_setting(spark, docs, y) == toxicity.Setting()
+    assert toxicity.chosen_setting(spark, docs[:12], y[:12]) == still
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark, docs_of, corpus):
+    """A doc_id that comes a thousand times gives training one text of it, whichever partition comes first."""
+    rows, labels = corpus
+    many = docs_of([*rows, *[(0, f"copy {i % 7}") for i in range(1000)]])
+    x, y = quality.labelled(many, spark.createDataFrame(labels, LABELS), None)
+    assert len(x) == len(y) == len({d for d, _ in rows})
+    again, _ = quality.labelled(many.repartition(7), spark.createDataFrame(labels, LABELS), None)
+    assert np.array_equal(x, again)
+    assert np.isfinite(toxicity.learn_toxicity(many, spark.createDataFrame(labels, LABELS)).scores([hashed := toxicity.Words()("a b")])).all() and len(hashed) == 3
+
+
 def test_training_words_are_bounded(spark, docs_of, corpus):
     """A text with more words than training may use is left out of it and scored all the same."""
     rows, labels = corpus
