@@ -21,6 +21,9 @@ from ..functions import kernels as K
 #: Rows of one side of a pair of blocks.
 BLOCK = 1_000
 
+#: Partial sums of a whole matrix that one task adds up.
+FOLD = 32
+
 #: Distances of the rows of one block (left) to those of another (right): a matrix.
 Measure = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
@@ -228,17 +231,19 @@ def tiles(df: DataFrame, key: str, payload: Sequence[str], measure: Measure, blo
     return dealt(df, key, None, None, payload, block).groupBy("by", "one", "two").applyInPandas(meet, "rows int, cols int, row_keys array<bigint>, cells binary")
 
 
-def _folded(parts: DataFrame, by: str, step: int = 32) -> DataFrame:
-    """Sums the arrays (``part``) of each ``by``: first of every few, then of these, so that no task holds many."""
+def _folded(parts: DataFrame, by: str, blocks: int) -> DataFrame:
+    """Sums the arrays (``part``) of each ``by`` over its ``blocks`` parts: FOLD of them at a time, so that no task holds many."""
 
     def add(t: pd.DataFrame) -> pd.DataFrame:
         total = np.frombuffer(t["part"].iloc[0]).copy()
         for x in t["part"].iloc[1:]:
             total += np.frombuffer(x)
-        return pd.DataFrame({by: t[by].iloc[:1], "fold": t["fold"].iloc[:1] // step, "part": [total.tobytes()]})
+        return pd.DataFrame({by: t[by].iloc[:1], "fold": t["fold"].iloc[:1] // FOLD, "part": [total.tobytes()]})
 
-    schema = f"{by} int, fold int, part binary"
-    return parts.groupBy(by, "fold").applyInPandas(add, schema).groupBy(by, "fold").applyInPandas(add, schema).groupBy(by).applyInPandas(add, schema)
+    while True:
+        parts, blocks = parts.groupBy(by, "fold").applyInPandas(add, f"{by} int, fold int, part binary"), -(-blocks // FOLD)
+        if blocks == 1:
+            return parts.select(by, "part")
 
 
 def kmeans_rows(matrix: DataFrame, k: int, starts: int = 20, most_rounds: int = 100, store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
@@ -286,7 +291,7 @@ def kmeans_rows(matrix: DataFrame, k: int, starts: int = 20, most_rounds: int =
                 x = np.frombuffer(cells).reshape(len(c), -1)
                 member = (c[:, :, None] == np.arange(k)[None, None]).reshape(len(c), slots).astype(float)
                 out.append(np.concatenate([member.T @ x, member.sum(0)[:, None]], 1).tobytes())
-            yield pd.DataFrame({"cols": b["cols"], "fold": b["rows"] // 32, "part": out})
+            yield pd.DataFrame({"cols": b["cols"], "fold": b["rows"] // FOLD, "part": out})
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of each tile its part of the squared distances of rows to centres, less what is the same for all centres."""
@@ -298,20 +303,20 @@ def kmeans_rows(matrix: DataFrame, k: int, starts: int = 20, most_rounds: int =
                 centre = c[:, :-1] / np.maximum(n, 1)[:, None]
                 x = np.frombuffer(cells).reshape(-1, centre.shape[1])
                 out.append((np.where(n > 0, (centre**2).sum(1), np.inf)[None] - 2 * x @ centre.T).tobytes())
-            yield pd.DataFrame({"rows": b["rows"], "fold": b["cols"] // 32, "part": out})
+            yield pd.DataFrame({"rows": b["rows"], "fold": b["cols"] // FOLD, "part": out})
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             d = [np.frombuffer(x).reshape(-1, starts, k) for x in b["part"]]
             yield pd.DataFrame({"block": b["rows"], "codes": [x.argmin(2).astype(np.int32).tobytes() for x in d], "cost": [x.min(2).sum(0) for x in d]})
 
-    codes_schema, mark = "block int, codes binary, cost array<double>", None
+    codes_schema, mark, width = "block int, codes binary, cost array<double>", None, max(1, (matrix.agg(F.max("rows")).first()[0] or 0) + 1)
     codes = store(blocks.mapInPandas(begin, codes_schema), "codes")
     for _ in range(most_rounds):
         added = matrix.join(codes.select(F.col("block").alias("rows"), "codes"), "rows").select("rows", "cols", "cells", "codes").mapInPandas(sums, "cols int, fold int, part binary")
-        centres = store(_folded(added, "cols").select("cols", "part"), "centres")
+        centres = store(_folded(added, "cols", width), "centres")
         parts = matrix.join(centres, "cols").select("rows", "cols", "cells", "part").mapInPandas(products, "rows int, fold int, part binary")
-        codes = store(_folded(parts, "rows").select("rows", "part").mapInPandas(nearest, codes_schema), "codes")
+        codes = store(_folded(parts, "rows", width).mapInPandas(nearest, codes_schema), "codes")
         before, mark = mark, codes.agg(F.sum(F.xxhash64("block", "codes").cast("decimal(38,0)"))).first()[0]
         if before == mark:
             break

@@ -45,8 +45,10 @@ def read_csv(spark: SparkSession, path: str, schema: str, encodings: Sequence[st
     Each file is read under the first encoding in which none of its texts holds
     a replacement character; a pass over the text columns tells which files need
     the next one. A byte order mark before the header is ignored. Rows carry
-    route, trace_id and file.
+    route, trace_id and file. Encodings beyond Unicode and ASCII need the
+    session to allow those of Java, which this turns on.
     """
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     names = [c.strip().split()[0] for c in schema.split(",")]
     parts, asked = [], None
     for i, encoding in enumerate(encodings):

@@ -68,14 +68,24 @@ def warped(a, b):
 
 
 def matrix(v, f):
-    """(ids, labels, distances) of all rows."""
+    """(ids, labels, distances) of all rows, one row of pairs at a time."""
     ids = sorted(v)
-    return ids, np.array([v[i][0] for i in ids]), np.array([[f(v[i][1], v[j][1]) if i != j else 0.0 for j in ids] for i in ids])
+    x = np.array([v[i][1] for i in ids])
+    return ids, np.array([v[i][0] for i in ids]), np.array([f(np.repeat(x[i : i + 1], len(x), 0), x) for i in range(len(x))])
+
+
+def straight(a, b):
+    return np.linalg.norm(a - b, axis=1)
 
 
 @pytest.fixture(scope="module")
 def warped_matrix(spark):
-    return matrix(reduced(spark), warped)
+    """All pairs by the kernel for given pairs, which plain loops check in test_kernels and, on some pairs, here."""
+    ids, labels, d = matrix(reduced(spark), K.dtw)
+    v = reduced(spark)
+    for i, j in np.random.default_rng(1).integers(0, len(ids), (300, 2)):
+        assert d[i, j] == pytest.approx(warped(v[ids[i]][1], v[ids[j]][1]))
+    return ids, labels, d
 
 
 def test_dtw_pairs_by_brute_force(spark, warped_matrix):
@@ -104,7 +114,7 @@ def test_dtw_neighbours_by_brute_force(spark, warped_matrix):
 
 def test_dtw_global_match_by_brute_force(spark, warped_matrix):
     ids, labels, w = warped_matrix
-    _, _, e = matrix(reduced(spark), lambda a, b: np.linalg.norm(a - b))
+    _, _, e = matrix(reduced(spark), straight)
     got = {r["vec_id"]: (r["label"], r["mean_distance"]) for r in catalogue.queries()["dtw_global_match"](spark, DATA).collect()}
     assert set(got) == set(ids)
     for n, i in enumerate(ids):
@@ -129,9 +139,8 @@ def test_signal_scores_by_brute_force(spark):
         others = np.flatnonzero((labels == labels[n]) & (np.arange(len(ids)) != n))
         mean = lambda d: (1 / (1 + np.array(d))).mean()
         assert got[i]["s_lte"] == pytest.approx(mean(np.linalg.norm(lte[others] - lte[n], axis=1) / np.sqrt(32)), abs=1e-4)
-        assert got[i]["s_meg"] == pytest.approx(mean([warped(meg[n], meg[o]) for o in others]), abs=1e-4)
-        if n % 5 == 0:  # plain Python takes a second for ten of these
-            assert got[i]["s_signal"] == pytest.approx(mean([warped(joint[n], joint[o]) for o in others]), abs=1e-4)
+        assert got[i]["s_meg"] == pytest.approx(mean(K.dtw(np.repeat(meg[n : n + 1], len(others), 0), meg[others])), abs=1e-4)
+        assert got[i]["s_signal"] == pytest.approx(mean(K.dtw(np.repeat(joint[n : n + 1], len(others), 0), joint[others])), abs=1e-4)
 
 
 def test_kmeans_states_by_brute_force(spark, warped_matrix):
@@ -140,7 +149,7 @@ def test_kmeans_states_by_brute_force(spark, warped_matrix):
 
     ids, _, w = warped_matrix
     raw = {r["vec_id"]: np.array(r["embedding"], float)[32:] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
-    _, _, e = matrix({i: (0, raw[i]) for i in ids}, lambda a, b: np.linalg.norm(a - b))
+    _, _, e = matrix({i: (0, raw[i]) for i in ids}, straight)
     x = np.sqrt((0.3 * w / w.max(0)) ** 2 + (0.7 * e / e.max(0)) ** 2)
     hashes = spark.createDataFrame([(i, s) for i in ids for s in range(20)], "i long, s int").withColumn("h", F.xxhash64("i", "s")).collect()
     best = None

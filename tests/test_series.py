@@ -83,7 +83,7 @@ def test_magnetic_preparation(spark):
     x = np.cumsum(rng.normal(size=700))
     x[::9] = np.nan
     x[:4] = np.nan
-    traces = {1: x, 2: np.full(20, np.nan), 3: np.array([4.0, np.nan])}
+    traces = {1: x, 2: np.full(20, np.nan), 3: np.array([4.0, 1.0, np.nan])}
     got = rows_by_trace(series.magnetic(make(spark, traces), "value", "y"), "y")
     for t, v in traces.items():
         assert np.allclose([y for (y,) in got[t]], K.magnetic(v), atol=1e-8), t

@@ -110,7 +110,7 @@ def test_neighbours_stay_near_in_the_plane(spark):
     x = np.array([r["v"] for r in rows])
     got = {r["vec_id"]: (r["x"], r["y"]) for r in catalogue.queries()["neighbour_layout"](spark, DATA).collect()}
     flat = trustworthiness(x, K.components(x, 2))
-    assert trustworthiness(x, np.array([got[r["vec_id"]] for r in rows])) > flat + 0.02
+    assert trustworthiness(x, np.array([got[r["vec_id"]] for r in rows])) > flat + 0.03
     w = {(r["a"], r["b"]): r["w"] for r in embedding.neighbour_graph(v, "vec_id", "v", 8).collect()}
     assert all(w[(b, a)] == pytest.approx(x) and 0 < x <= 1 + 1e-9 for (a, b), x in w.items())
 
