@@ -244,7 +244,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     routed = keyed.mapInArrow(route, f"q long, v {dict(keyed.dtypes)['v']}, bundle int, leaves array<long>").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     # Entries go where a block of queries asks for their bundle, and nowhere else.
     routed = stored(routed, "ann-routes")
-    split = split.join(routed.select("bundle", "block").distinct(), "bundle")
+    asking = routed.select("bundle", F.col("block").alias("asking")).distinct()
+    split = split.join(asking, "bundle").select(F.col("bundle").alias("bundle"), F.col("asking").alias("block"), "leaf", "key", "v", "ids")
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):

@@ -72,3 +72,14 @@ def test_queries_of_a_bundle_are_dealt_into_blocks(vectors, monkeypatch):
     whole = sorted(map(tuple, ann.search(vectors, asked, 5).collect()))
     assert whole == sorted(map(tuple, ann.search(vectors, asked, 5, block=30).collect()))
     assert seen[0] > 250 and seen[1] <= 60
+
+
+def test_cosines_of_any_size():
+    """Components near the ends of doubles give the same numbers as scaled ones."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20, 8))
+    plain = ann.cosines(x[0], x)
+    assert np.array_equal(plain, (x * x[0]).sum(1) / (np.sqrt((x[0] * x[0]).sum()) * np.sqrt((x * x).sum(1))))
+    for size in (1e200, 1e-200):
+        assert np.allclose(ann.cosines(x[0] * size, x * size), plain, atol=1e-12)
+        assert np.allclose(ann.cosines(x[0], x * size), plain, atol=1e-12)
