@@ -314,8 +314,7 @@ def kmeans_rows(matrix: DataFrame, k: int, starts: int = 20, most_rounds: int =
     codes = store(blocks.mapInPandas(begin, codes_schema), "codes")
     for _ in range(most_rounds):
         added = matrix.join(codes.select(F.col("block").alias("rows"), "codes"), "rows").select("rows", "cols", "cells", "codes").mapInPandas(sums, "cols int, fold int, part binary")
-        centres = store(_folded(added, "cols", width), "centres")
-        parts = matrix.join(centres, "cols").select("rows", "cols", "cells", "part").mapInPandas(products, "rows int, fold int, part binary")
+        parts = matrix.join(_folded(added, "cols", width), "cols").select("rows", "cols", "cells", "part").mapInPandas(products, "rows int, fold int, part binary")
         codes = store(_folded(parts, "rows", width).mapInPandas(nearest, codes_schema), "codes")
         before, mark = mark, codes.agg(F.sum(F.xxhash64("block", "codes").cast("decimal(38,0)"))).first()[0]
         if before == mark:

@@ -31,17 +31,23 @@ def _starts(edges: DataFrame, sources: DataFrame | None) -> DataFrame:
     return nodes if sources is None else nodes.join(sources.select("src").distinct(), "src", "left_semi")
 
 
-def _rounds(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """All rows of ``start`` and of the rounds of ``step`` (frontier, all rows so far) until one adds nothing."""
+def _rounds(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], back: int | None = 2) -> DataFrame:
+    """All rows of ``start`` and of the rounds of ``step`` (frontier, what is known) until one adds nothing.
+
+    What is known are the last ``back`` rounds: a link leads from a node to
+    nodes at most one link nearer or farther, so a search by fewest links meets
+    none of an earlier round again, and each row is read a fixed number of times.
+    ``None``: all rounds, for searches that may come back to a node.
+    """
     spark, schema, base = start.sparkSession, start.schema, shared_path(start.sparkSession, "frontier")
+    read = lambda first, last: spark.read.schema(schema).parquet(*[f"{base}/round={k}" for k in range(first, last + 1)])
     at = 0
     start.write.parquet(f"{base}/round={at}")
     while True:
-        front = spark.read.schema(schema).parquet(f"{base}/round={at}")
+        front = read(at, at)
         if front.isEmpty():
             return spark.read.schema(schema).parquet(base).select(*schema.names)
-        so_far = spark.read.schema(schema).parquet(base).select(*schema.names)
-        new = step(front, so_far).select(*schema.names)
+        new = step(front, read(0 if back is None else max(0, at + 1 - back), at)).select(*schema.names)
         at += 1
         new.write.parquet(f"{base}/round={at}")
 
@@ -86,7 +92,7 @@ def weighted(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
         found = _onward(front, links, (F.col("f.length") + F.col("l.length")).alias("length")).groupBy("src", "dst").agg(F.min("length").alias("length"))
         return found.join(best, ["src", "dst"], "left").where("best is null or length < best")
 
-    return _rounds(start, step).groupBy("src", "dst").agg(F.min("length").alias("length"))
+    return _rounds(start, step, back=None).groupBy("src", "dst").agg(F.min("length").alias("length"))
 
 
 def path_lengths(edges: DataFrame, pairs: DataFrame, strict: bool = True) -> DataFrame:

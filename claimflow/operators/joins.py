@@ -80,20 +80,21 @@ def closest_key(claims: DataFrame, references: DataFrame, key: str, claim: str,
     """The reference list most like each claim's list (exact first, then longest common part, then the smaller id).
 
     ``references`` (reference_id, a list) is gathered into blocks of about
-    ``block`` lists; a claim (``key``, unique) meets a block inside one
-    expression, and its best of each block is compared. With one block, which
-    is broadcast, nothing is shuffled; larger libraries are joined by block.
+    ``block`` lists. Each distinct claimed list meets a block once, inside one
+    expression, its best of each block is compared, and all claims (``key``,
+    unique) with that list take it. One block is broadcast; larger libraries are joined by block.
     """
     blocks = max(1, -(-references.count() // block))
     place = F.pmod(F.xxhash64("reference_id"), F.lit(blocks)).cast("int")
     library = references.groupBy(place.alias("__block")).agg(F.collect_list(F.struct("reference_id", F.col(reference).alias("list"))).alias("__library"))
-    asked = claims.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = claims.select(F.col(claim).alias("__list")).distinct().withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = asked.join(F.broadcast(library) if blocks == 1 else library, "__block")
-    best = F.array_min(F.transform("__library", lambda x: F.struct((-C.lcs_ratio(F.col(claim), x["list"])).alias("far"), x["reference_id"].alias("id"))))
-    scored = met.withColumn("__best", best)
+    best = F.array_min(F.transform("__library", lambda x: F.struct((-C.lcs_ratio(F.col("__list"), x["list"])).alias("far"), x["reference_id"].alias("id"))))
+    scored = met.select("__list", best.alias("__best"))
     if blocks > 1:
-        scored = scored.groupBy(key).agg(F.min("__best").alias("__best")).join(claims, key)
-    return scored.select(*claims.columns, F.col("__best.id").alias("reference_id"), (-F.col("__best.far")).alias("likeness"))
+        scored = scored.groupBy("__list").agg(F.min("__best").alias("__best"))
+    told = claims.join(scored, F.col(claim).eqNullSafe(F.col("__list")))
+    return told.select(*claims.columns, F.col("__best.id").alias("reference_id"), (-F.col("__best.far")).alias("likeness"))
 
 
 def resolved(claims: DataFrame, catalogue: DataFrame) -> DataFrame:

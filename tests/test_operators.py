@@ -278,6 +278,17 @@ def test_graph_searches_have_no_depth(spark):
     assert near == want
 
 
+def test_seams_with_missing_headings(spark):
+    """A heading that is missing at a seam takes the one before it, at the start the one after it."""
+    full = [float(i * 11 % 360) for i in range(100)]
+    gaps = [None if i in (0, 1, 39, 40, 60) else v for i, v in enumerate(full)]
+    filled = [22.0 if i < 2 else full[{39: 38, 40: 38, 60: 59}.get(i, i)] for i in range(100)]
+    make = lambda x: spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "trace_id long, row_idx long, h double")
+    places = spark.createDataFrame([(1, "tail", 60), (1, "random0", 40), (1, "random1", 20)], "trace_id long, seam string, start long")
+    got, want = ({r["seam"]: r["transition"] for r in scores.seam_scores(make(x), places, "h", 20).collect()} for x in (gaps, filled))
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and len(got) == 3
+
+
 def test_closest_key_by_blocks(spark):
     refs = spark.createDataFrame([(i, ["a", "b", "cdef"[i % 4], str(i)]) for i in range(12)], "reference_id long, ref array<string>")
     claims = spark.createDataFrame([(i, ["a", "cdef"[i % 4], str(i % 13)]) for i in range(30)], "claim_id long, claimed array<string>")
