@@ -86,21 +86,26 @@ def dealt(df: DataFrame, key: str, by: str | None, label: str | None, payload: S
     """Rows copied to the pairs of blocks in which they meet others of their ``by``: (by, one, two, left, on_right, key, label, payload).
 
     Without ``right`` a table meets itself and each two blocks come once, one <= two.
-    Rows without ``by`` or ``label`` meet none.
+    Rows without ``by`` or ``label`` meet none. A pair of blocks is few bytes
+    and much to compute, so pairs are dealt over all partitions, whatever their size.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = lambda t: t.select((F.col(by) if by else F.lit(0)).alias("by"), F.col(key).cast("long").alias("key"), (F.col(label) if label else F.lit("")).alias("label"), *payload).where("by is not null and label is not null")
     rows = columns(df)
     if right is None:
         own = rows.join(_sized(rows, block), "by").withColumn("own", _own("blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         one, two = F.least("own", "other"), F.greatest("own", "other")
-        return own.select("by", one.alias("one"), two.alias("two"), (F.col("own") == one).alias("left"), (F.col("own") == two).alias("on_right"), "key", "label", *payload)
+        met_in = own.select("by", one.alias("one"), two.alias("two"), (F.col("own") == one).alias("left"), (F.col("own") == two).alias("on_right"), "key", "label", *payload)
+        return met_in.repartition(parts, "by", "one", "two")
     others = columns(right)
     sizes = _sized(rows, block).withColumnRenamed("blocks", "a").join(_sized(others, block).withColumnRenamed("blocks", "b"), "by")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left_rows = rows.join(sizes, "by").withColumn("one", _own("a")).withColumn("two", every("b"))
     right_rows = others.join(sizes, "by").withColumn("two", _own("b")).withColumn("one", every("a"))
     names = ["by", "one", "two", "left", "on_right", "key", "label", *payload]
-    return left_rows.withColumn("left", F.lit(True)).withColumn("on_right", F.lit(False)).select(*names).unionByName(right_rows.withColumn("left", F.lit(False)).withColumn("on_right", F.lit(True)).select(*names))
+    left_rows = left_rows.withColumn("left", F.lit(True)).withColumn("on_right", F.lit(False)).select(*names)
+    right_rows = right_rows.withColumn("left", F.lit(False)).withColumn("on_right", F.lit(True)).select(*names)
+    return left_rows.unionByName(right_rows).repartition(parts, "by", "one", "two")
 
 
 def _sums(left: pd.DataFrame, right: pd.DataFrame, found: dict[str, np.ndarray], nearest: int) -> pd.DataFrame:
