@@ -29,7 +29,22 @@ NEUTRAL_TITLES = ("Dr", "Prof", "Доктор")
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga ge ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te to va ve".split(), "cyrillic": "ба бе бо ва ве да де до за зе ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се та те".split()}
 ENDINGS = {"latin": {"f": ["lia", "nna", "ra", "tta"], "m": ["lo", "n", "rt", "s"], "n": ["l", "m", "r", "nd"]}, "cyrillic": {"f": ["лия", "нна", "ра", "ва"], "m": ["лан", "в", "р", "н"], "n": ["к", "л", "м", "ц"]}}
 
-_TITLE = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES), key=len, reverse=True))
+# Titles that are other words or units in capitals or in small letters ("MS DOS", "miss the bus", "20 ms"), and such that names without capitals follow.
+NOT_CAPITAL, NOT_SMALL, BEFORE_SMALL = ("Ms", "Sr"), ("Miss", "Ms", "Sr"), ("mr", "mrs")
+_TITLES = sorted((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES), key=len, reverse=True)
+
+
+def _names() -> str:
+    """One or two names behind a title: written as such behind a title with or without a capital, all in capitals
+    behind one in capitals, and one name in small letters behind ``mr`` and ``mrs``."""
+    usual, capital = r"\p{Lu}[\p{L}'\-]+", r"\p{Lu}[\p{Lu}'\-]+"
+    titles = "|".join((*_TITLES, *(x.lower() for x in _TITLES if x not in NOT_SMALL)))
+    capitals = "|".join(x.upper() for x in _TITLES if x not in NOT_CAPITAL)
+    initials = "".join(sorted({c for x in _TITLES for c in (x[0], x[0].lower())}))
+    small = rf"(?:{'|'.join(BEFORE_SMALL)})\.? (?!(?:and|or|und|y|et) )\p{{Ll}}[\p{{Ll}}'\-]+(?!\p{{L}})"
+    return rf"(?=[{initials}])(?<![\p{{L}}])(?:(?:{titles})\.? {usual}(?: {usual})?|(?:{capitals})\.? {capital}(?: {capital})?(?!\p{{L}})|{small})"
+
+
 #: Types in the order in which they are looked for. No pattern has a group that captures, or repeats a group without
 #: a small bound: classes of characters are matched in a loop, so that no text is too long.
 PATTERNS = {
@@ -42,7 +57,7 @@ PATTERNS = {
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{2,4}\) ?[0-9]{3,4}[ .\-][0-9]{3,4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9\-])(?!\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ \-]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
-    "name": rf"(?=[DFHMPSГД])(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
+    "name": _names(),
 }
 ANY = rf"(?<![A-Za-z0-9])(?:{'|'.join(PATTERNS.values())})"
 DIGITS = ("phone", "ssn", "card")
@@ -64,7 +79,7 @@ def type_of(mention: Column) -> Column:
 
 
 def canonical(kind: Column, mention: Column) -> Column:
-    """What mentions of one entity have in common: digits, or lower case; a name keeps its title's gender apart."""
+    """What mentions of one entity have in common: digits, or lower case; a name keeps its title."""
     return F.when(kind.isin(*DIGITS), F.regexp_replace(mention, "[^0-9]", "")).when(kind == "key", mention).otherwise(F.lower(mention))
 
 
@@ -169,12 +184,25 @@ def _settled(rows: DataFrame, draw: Callable[[DataFrame], DataFrame]) -> DataFra
         now = stored(fixed.unionByName(redrawn.select(*extra, "attempt", "made")), "pii-drawn")
 
 
-def _shared_parts(entities: DataFrame, key: str) -> DataFrame:
+def _named(entities: DataFrame) -> DataFrame:
+    """(canon, title, given, last, role) of the names: ``role`` is the kind of part that the given name is.
+
+    It follows the title's gender. A neutral title takes the gender of the
+    titles that the same full name has elsewhere, so that one person stays one;
+    where there are none, or both, it stays neutral. A full name has no more
+    forms than there are titles, so no group of the join is large.
+    """
+    names = entities.where("kind = 'name'").withColumn("p", F.split("canon", " ")).withColumn("title", F.element_at("p", 1))
+    names = names.select("canon", "title", F.when(F.size("p") > 2, F.get("p", F.lit(1))).alias("given"), F.element_at("p", -1).alias("last"), _gender(F.regexp_replace("title", r"\.$", "")).alias("told"))
+    genders = names.where("given is not null and told <> 'n'").groupBy("given", "last").agg(F.min("told").alias("low"), F.max("told").alias("high")).where("low = high").select("given", "last", F.col("low").alias("seen"))
+    gender = F.when(F.col("told") == "n", F.coalesce("seen", "told")).otherwise(F.col("told"))
+    return names.join(genders, ["given", "last"], "left").select("canon", "title", "given", "last", F.concat(F.lit("name-"), gender).alias("role"))
+
+
+def _shared_parts(entities: DataFrame, named: DataFrame, key: str) -> DataFrame:
     """(kind, canon, made) of the parts that entities share: ``name-f``, ``name-m``, ``name-n`` (surnames too) and ``domain``."""
-    named = entities.where("kind = 'name'").select(F.split("canon", " ").alias("p"))
-    title = F.regexp_replace(F.element_at("p", 1), r"\.$", "")
-    given = F.when(F.size("p") > 2, F.struct(F.concat(F.lit("name-"), _gender(title)).alias("kind"), F.get("p", F.lit(1)).alias("canon")))
-    names = named.select(F.explode(F.array(F.struct(F.lit("name-n").alias("kind"), F.element_at("p", -1).alias("canon")), given)).alias("x")).where("x is not null").select("x.kind", "x.canon")
+    given = F.when(F.col("given").isNotNull(), F.struct(F.col("role").alias("kind"), F.col("given").alias("canon")))
+    names = named.select(F.explode(F.array(F.struct(F.lit("name-n").alias("kind"), F.col("last").alias("canon")), given)).alias("x")).where("x is not null").select("x.kind", "x.canon")
     hosts = entities.where("kind = 'email'").select(F.lit("domain").alias("kind"), F.substring_index("canon", "@", -1).alias("canon"))
 
     def draw(rows: DataFrame) -> DataFrame:
@@ -281,21 +309,28 @@ def _shuffled(entities: DataFrame, key: str) -> DataFrame:
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, made) for distinct (kind, canon): within a kind no surrogate twice."""
-    parts = stored(_shared_parts(entities, key), "pii-parts")
-    named = entities.where("kind = 'name'").withColumn("p", F.split("canon", " "))
-    title = F.element_at("p", 1)
-    named = named.select("kind", "canon", title.alias("title"), F.concat(F.lit("name-"), _gender(F.regexp_replace(title, r"\.$", ""))).alias("role"), F.when(F.size("p") > 2, F.get("p", F.lit(1))).alias("given"), F.element_at("p", -1).alias("last"))
+    named = stored(_named(entities), "pii-named")
+    parts = stored(_shared_parts(entities, named, key), "pii-parts")
     firsts = parts.select(F.col("kind").alias("role"), F.col("canon").alias("given"), F.col("made").alias("first"))
     lasts = parts.where("kind = 'name-n'").select(F.col("canon").alias("last"), F.col("made").alias("surname"))
-    names = named.join(firsts, ["role", "given"], "left").join(lasts, "last").select("kind", "canon", F.concat_ws(" ", "title", "first", "surname").alias("made"))
+    names = named.join(firsts, ["role", "given"], "left").join(lasts, "last").select(F.lit("name").alias("kind"), "canon", F.concat_ws(" ", "title", "first", "surname").alias("made"))
     return names.unionByName(_drawn(entities, parts, key)).unionByName(_shuffled(entities, key))
 
 
+def _cased(mention: Column, made: Column) -> Column:
+    """``made`` with capitals where ``mention`` has them, letter by letter."""
+    return F.array_join(F.zip_with(F.split(mention, ""), F.split(made, ""), lambda m, c: F.when(m.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+
+
 def _rendered(kind: Column, mention: Column, made: Column) -> Column:
-    """A surrogate in the format of a mention: its punctuation, its case."""
+    """A surrogate in the format of a mention: its punctuation, its case; both sides of an address have their own."""
     marks = F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), lambda i: F.when(F.substring(mention, i, F.lit(1)).rlike("[0-9]"), F.substring(made, F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^0-9]", "")), F.lit(1))).otherwise(F.substring(mention, i, F.lit(1)))), "")
-    title = F.concat(F.substring_index(mention, " ", 1), F.lit(" "), F.initcap(F.substring(made, F.instr(made, " ") + 1, F.length(made))))
-    cased = F.when((mention == F.upper(mention)) & (kind != "key"), F.upper(made)).otherwise(made)
+    behind = lambda text: F.substring(text, F.instr(text, " ") + 1, F.length(text))
+    names = F.when(behind(mention) == F.upper(behind(mention)), F.upper(behind(made))).when(behind(mention) == F.lower(behind(mention)), behind(made)).otherwise(F.initcap(behind(made)))
+    title = F.concat(F.substring_index(mention, " ", 1), F.lit(" "), names)
+    sides = [_cased(F.substring_index(mention, "@", i), F.substring_index(made, "@", i)) for i in (1, -1)]
+    mixed = F.when(kind == "email", F.concat_ws("@", *sides)).otherwise(_cased(mention, made))
+    cased = F.when((kind == "key") | (mention == F.lower(mention)), made).when(mention == F.upper(mention), F.upper(made)).otherwise(mixed)
     return F.when(kind.isin(*DIGITS), marks).when(kind == "name", title).otherwise(cased)
 
 
