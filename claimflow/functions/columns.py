@@ -319,8 +319,15 @@ def fused_distance(meg: Column | str, lte: Column | str, alpha: float = 0.3) ->
     return F.sqrt(F.pow(_c(meg) * alpha, F.lit(2.0)) + F.pow(_c(lte) * (1 - alpha), F.lit(2.0)))
 
 
+# The regions that a true walk passes before so many seconds, and after the last of them.
+TRUE_REGIONS = ((50, ("e4",)), (100, ("d3", "d4")), (150, ("d3", "c4")), (None, ("d4",)))
+
+
 def time_bucket_regions(seconds: Column | str) -> Column:
     """The regions that a true walk passes at a time."""
     s = _c(seconds)
-    lists = lambda *r: F.array(*[F.lit(x) for x in r])
-    return F.when(s < 50, lists("e4")).when(s < 100, lists("d3", "d4")).when(s < 150, lists("d3", "c4")).otherwise(lists("d4"))
+    listed = [(end, F.array(*[F.lit(x) for x in regions])) for end, regions in TRUE_REGIONS]
+    out = listed[-1][1]
+    for end, regions in reversed(listed[:-1]):
+        out = F.when(s < end, regions).otherwise(out)
+    return out

@@ -429,17 +429,18 @@ def forged_location(s, d):
     return e.select("event_id", F.array_join(claims.mutated_regions("label", "event_id"), ",").alias("forged"))
 
 
-_TRUE = "['e4', 'e3', 'e4', 'e3', 'd3', 'd4', 'e4', 'd4']"
+# Fixed value: the regions of the true walk, in order.
+TRUE_WALK = ["e4", "e3", "e4", "e3", "d3", "d4", "e4", "d4"]
 
 
-@query(f"""WITH o AS (SELECT o_orderkey AS k, o_custkey % 10 AS g, CAST(o_orderkey % 300 + 60 AS DOUBLE) AS t, {_TRUE} AS label FROM orders),
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_custkey % 10 AS g, CAST(o_orderkey % 300 + 60 AS DOUBLE) AS t, {TRUE_WALK} AS label FROM orders),
     p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5('tr|' || CAST(k AS VARCHAR)), k) AS place, count(*) OVER (PARTITION BY g) AS n, ({draw('2001', chr(39) + 't' + chr(39), 'CAST(k AS VARCHAR)')} - 1000) / 1000.0 * 0.25 AS share FROM o),
     q AS (SELECT *, CASE WHEN place <= floor(n * 0.4) THEN (['time', 'trace', 'both'])[CAST({draw('3', chr(39) + 'kind' + chr(39), 'CAST(k AS VARCHAR)')} + 1 AS INT)] ELSE 'none' END AS kind FROM p)
     SELECT k AS claim_id, kind AS error_kind, round(CASE WHEN kind IN ('time', 'both') THEN greatest(t + CASE WHEN share < 0 THEN least(share * t, -1.0) ELSE greatest(share * t, 1.0) END, 0.001) ELSE t END, 6) AS claim_time,
            array_to_string(CASE WHEN kind IN ('trace', 'both') THEN {_mutated('label', 'k')} ELSE label END, ',') AS claim_trace FROM q""")
 def trace_errors(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("claim_id"), (F.col("o_custkey") % 10).alias("g"), (F.col("o_orderkey") % 300 + 60).cast("double").alias("seconds"))
-    walk = F.array(*[F.lit(x) for x in "e4 e3 e4 e3 d3 d4 e4 d4".split()])
+    walk = F.array(*[F.lit(x) for x in TRUE_WALK])
     out = claims.trace_claims(o, "claim_id", "seconds", walk, 0.4, "tr", ["g"])
     return out.select("claim_id", "error_kind", F.round("claim_time", 6).alias("claim_time"), F.array_join("claim_trace", ",").alias("claim_trace"))
 
