@@ -259,7 +259,8 @@ def route_score(cells: Column | str) -> Column:
 
 
 def wrap180(degrees: Column | str) -> Column:
-    return F.pmod(_c(degrees) + 180.0, F.lit(360.0)) - 180.0
+    """From -180 up to 180: a turn that is 180 but for its last bits is -180 from both sides, as adding 360 rounds these away."""
+    return ((_c(degrees) + 180.0) % 360.0 + 360.0) % 360.0 - 180.0
 
 
 def circular_difference(a: Column | str, b: Column | str) -> Column:

@@ -402,3 +402,13 @@ def test_layout_by_turns(spark):
     assert got[0] == (0, 0) and got[1] == (2, -3) and got[9] == (9999, 9999)
     # From node 1, heading down: right turn (the other way round of -1), 4 ahead, then 1 straight on.
     assert got[2] == (-3, -3)
+
+
+def test_half_turns_are_the_same_from_both_sides(spark):
+    import duckdb
+
+    turns = [180.0, -180.0, 180.0 - 2**-44, -180.0 + 2**-44, 180.0 + 2**-44, 540.0 - 2**-43, 179.999, -0.5, 0.0, 359.5, -359.5]
+    want = [duckdb.execute("SELECT fmod(fmod(?::DOUBLE + 180.0, 360.0) + 360.0, 360.0) - 180.0", [t]).fetchone()[0] for t in turns]
+    df = spark.createDataFrame(list(enumerate(turns)), "i long, t double")
+    assert [r["w"] for r in df.select("i", C.wrap180("t").alias("w")).orderBy("i").collect()] == want
+    assert want[2] == -180.0
