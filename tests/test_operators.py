@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimflow.functions import columns as C
+from claimflow.functions import kernels as K
 from claimflow.operators import claims, distances, frames, graph, intervals, joins, report, scores
 from claimflow.sources import files
 
@@ -412,3 +413,25 @@ def test_half_turns_are_the_same_from_both_sides(spark):
     df = spark.createDataFrame(list(enumerate(turns)), "i long, t double")
     assert [r["w"] for r in df.select("i", C.wrap180("t").alias("w")).orderBy("i").collect()] == want
     assert want[2] == -180.0
+
+
+def test_rows_are_copied_a_bounded_number_of_times(spark):
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("v"))
+    copies = lambda n: distances.dealt(df, "vec_id", None, None, ["v"], 10, copies=n).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert copies(None) == 300 and copies(distances.COPIES) == distances.COPIES
+
+
+def test_tiles_of_two_blocks_add_up(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(90, 6)), 1)
+    df = spark.createDataFrame([(i, i % 5, [float(v) for v in x[i]]) for i in range(90)], "vec_id long, label int, v array<double>")
+    told = []
+    for tile, block in (((250, 2000), 1000), ((4, 7), 40)):
+        monkeypatch.setattr(distances, "TILE", tile)
+        measures = {("start", "whole"): distances.warped_starts("v", 3), "far": distances.euclidean("v")}
+        found = distances.met(df, "vec_id", "label", ["v"], measures, nearest=3, block=block).collect()
+        told.append({(r["key"], r["other_label"]): (r["n"], *[pytest.approx(r[f"{m}_{s}"]) for m in ("start", "whole", "far") for s in ("total", "least", "most")], [tuple(n) for n in r["near"]]) for r in found})
+    assert told[0] == told[1] and len(told[0]) == 450
+    d = K.warped(x[:, :3], x[5::5][:, :3])[0]
+    row = next(r for r in found if r["key"] == 0 and r["other_label"] == 0)
+    assert row["n"] == 17 and row["start_total"] == pytest.approx(d.sum()) and [n["distance"] for n in row["near"]] == sorted(d)[:3]
