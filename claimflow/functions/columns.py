@@ -225,6 +225,27 @@ def lcs_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(_lcs(a, b, lambda x, y: x == y) / n)
 
 
+def marked(items: Column | str) -> Column:
+    """A list (items, n) with a word of bits for each of its items (masks: the places where it stands) and one for all places, for :func:`marked_ratio`; longer ones than a word have none."""
+    v = _c(items)
+    n = F.size(v)
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))
+    known = F.array_distinct(F.filter(v, lambda x: x.isNotNull()))
+    places = lambda x: F.aggregate(F.transform(v, lambda y, i: F.when(x == y, bit(i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    return F.struct(v.alias("items"), n.alias("n"), F.when(n <= 60, F.map_from_arrays(known, F.transform(known, places))).alias("masks"), F.when(n <= 60, bit(n) - 1).alias("whole"))
+
+
+def marked_ratio(a: Column | str, b: Column) -> Column:
+    """:func:`lcs_ratio` with a list that is :func:`marked`: a step takes one item of ``a`` and all of ``b`` at once."""
+    a, zero = _c(a), F.lit(0).cast("bigint")
+    masks = F.transform(a, lambda x: F.coalesce(F.try_element_at(b["masks"], x), zero))
+    # A bit that is still set is a place of b that no common subsequence has used.
+    left = F.aggregate(masks, b["whole"], lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(b["whole"]))
+    n = F.greatest(F.size(a), b["n"])
+    short = F.when(n == 0, F.lit(1.0)).otherwise((b["n"] - F.bit_count(left)) / n)
+    return F.when(b["whole"].isNotNull(), short).otherwise(lcs_ratio(a, b["items"]))
+
+
 def lcs_candidates(claimed: Column | str, detected: Column | str) -> Column:
     """As :func:`lcs_ratio`, each detected place being a list of regions that would do."""
     a, b = _c(claimed), _c(detected)

@@ -86,12 +86,12 @@ def closest_key(claims: DataFrame, references: DataFrame, key: str, claim: str,
     """
     blocks = max(1, -(-references.count() // block))
     place = F.pmod(F.xxhash64("reference_id"), F.lit(blocks)).cast("int")
-    library = references.groupBy(place.alias("__block")).agg(F.collect_list(F.struct("reference_id", F.col(reference).alias("list"))).alias("__library"))
+    library = references.groupBy(place.alias("__block")).agg(F.collect_list(F.struct("reference_id", C.marked(reference).alias("list"))).alias("__library"))
     # Few bytes but much to compare: lists are dealt over all partitions, whatever their size.
     parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = claims.select(F.col(claim).alias("__list")).repartition(parts, "__list").distinct().withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = asked.join(F.broadcast(library) if blocks == 1 else library, "__block")
-    best = F.array_min(F.transform("__library", lambda x: F.struct((-C.lcs_ratio(F.col("__list"), x["list"])).alias("far"), x["reference_id"].alias("id"))))
+    best = F.array_min(F.transform("__library", lambda x: F.struct((-C.marked_ratio(F.col("__list"), x["list"])).alias("far"), x["reference_id"].alias("id"))))
     scored = met.select("__list", best.alias("__best"))
     if blocks > 1:
         scored = scored.groupBy("__list").agg(F.min("__best").alias("__best"))

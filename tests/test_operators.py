@@ -435,3 +435,13 @@ def test_tiles_of_two_blocks_add_up(spark, monkeypatch):
     d = K.warped(x[:, :3], x[5::5][:, :3])[0]
     row = next(r for r in found if r["key"] == 0 and r["other_label"] == 0)
     assert row["n"] == 17 and row["start_total"] == pytest.approx(d.sum()) and [n["distance"] for n in row["near"]] == sorted(d)[:3]
+
+
+def test_marked_lists_give_the_same_ratio(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda n: [None if x == 5 else "abcde"[x] for x in rng.integers(0, 6, n)]
+    sizes = [(0, 0), (0, 3), (3, 0), (4, 5), (9, 60), (70, 12), (12, 61), (5, 90), *[(int(a), int(b)) for a, b in rng.integers(1, 12, (40, 2))]]
+    df = spark.createDataFrame([(i, draw(a), draw(b)) for i, (a, b) in enumerate(sizes)], "i long, a array<string>, b array<string>")
+    for r in df.select("i", C.lcs_ratio("a", "b").alias("want"), C.marked_ratio("a", C.marked("b")).alias("got")).collect():
+        assert r["got"] == r["want"], r["i"]
+    assert df.select(F.max(F.size(C.marked("b")["masks"]))).first()[0] == 5
