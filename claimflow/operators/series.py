@@ -256,11 +256,15 @@ def complete_linkage(df: DataFrame, value: str, cut: float) -> DataFrame:
     gap = F.coalesce((F.col("__v") - F.lag("__v").over(w) > cut).cast("int"), F.lit(0))
     pieces = once.withColumn("__gap", gap).withColumn("__piece", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def link(t: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(t["__v"].to_numpy())
-        first = x[K.linked_starts(x, cut)]
-        return pd.DataFrame({"trace_id": t["trace_id"].iloc[0], "__v": x, "__first": first})
-
-    told = pieces.groupBy(*KEYS, "__piece").applyInPandas(link, f"trace_id {dict(df.dtypes)['trace_id']}, __v double, __first double")
+    @F.pandas_udf("array<double>")
+    def link(lists: pd.Series) -> pd.Series:
+        return pd.Series([x[K.linked_starts(x, cut)] for x in map(np.asarray, lists)])
+
+    # A piece that spans no more than ``cut`` is one cluster: only the others, many to a call, are linked.
+    pieces = pieces.groupBy(*KEYS, "__piece").agg(F.array_sort(F.collect_list("__v")).alias("__x"))
+    one = F.element_at("__x", -1) - F.get("__x", F.lit(0)) <= cut
+    whole = pieces.where(one).select(*KEYS, F.explode("__x").alias("__v"), F.get("__x", F.lit(0)).alias("__first"))
+    cut_up = pieces.where(~one).select(*KEYS, "__x", link("__x").alias("__y")).select(*KEYS, F.explode(F.arrays_zip("__x", "__y")).alias("z"))
+    told = whole.unionByName(cut_up.select(*KEYS, F.col("z.__x").alias("__v"), F.col("z.__y").alias("__first")))
     named = told.withColumn("cluster", (F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("__first")) - 1).cast("bigint"))
     return df.withColumn("__v", F.col(value).cast("double")).join(named.drop("__first"), [*KEYS, "__v"], "left").drop("__v")
