@@ -39,17 +39,19 @@ def activity(df: DataFrame, value: str, smooth: int = 5) -> DataFrame:
     return frames.zscore(d, "__m", "z").withColumn("az", F.abs("z")).drop("__d", "__m")
 
 
-def extremes(distance: int, wobble: int):
+def extremes(wobble: int):
     """A vectorised function of lists: the highest peak, the lowest valley (0 without one) and the mean trailing deviation."""
 
     @F.pandas_udf("top double, bottom double, wobble double")
     def of(lists: pd.Series) -> pd.DataFrame:
-        out = np.zeros((len(lists), 3))
-        for i, values in enumerate(lists):
-            x = np.array([v for v in values if v is not None], float)
-            up, down = K.spaced_peaks(x, distance), K.spaced_peaks(-x, distance)
-            sd = pd.Series(x).rolling(wobble, min_periods=1).std()
-            out[i] = x[up].max() if len(up) else 0.0, x[down].min() if len(down) else 0.0, sd.mean()
+        out, sizes = np.zeros((len(lists), 3)), np.array([len(v) for v in lists], int)
+        # Lists of one length are one table, some thousand at a time.
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            for i in range(0, len(at), 4_096):
+                some = at[i : i + 4_096]
+                x = np.array([lists.iloc[k] for k in some], float).reshape(len(some), size)
+                out[some] = np.stack([K.highest_peaks(x), -K.highest_peaks(-x), K.mean_trailing_deviations(x, wobble)], 1)
         return pd.DataFrame(out, columns=["top", "bottom", "wobble"])
 
     return of
@@ -86,7 +88,7 @@ def flagged_windows(trace: DataFrame, value: str, rssi: list[str], ids: list[str
     parts |= {f"__sd_{c}": F.stddev_samp(c) for c in rssi}
     parts |= {f"__n_{c}": F.sum(f"__new_{c}") for c in ids} | {f"__f_{c}": F.first(f"__new_{c}") for c in ids}
     w = frames.sliding_windows(z, how.size, how.step, parts).join(bounds, list(frames.KEYS))
-    w = w.withColumn("__x", extremes(how.spacing, how.wobble_rows)(F.transform(F.array_sort("items"), lambda x: x["z"])))
+    w = w.withColumn("__x", extremes(how.wobble_rows)(F.filter(F.transform(F.array_sort("items"), lambda x: x["z"]), lambda v: v.isNotNull())))
     magnetic = (F.col("mean_activity") >= F.col("activity_bound")) & (F.col("__x.top") >= F.col("peak_bound")) & (F.col("__x.bottom") <= F.col("valley_bound")) & (F.col("__x.wobble") >= how.least_wobble)
     deviation, changed = F.lit(0.0), F.lit(0)
     for c in rssi:

@@ -78,14 +78,22 @@ def spaced(candidates: DataFrame, rank: Column, tie: Column, distance: int, size
     now = stored(candidates.withColumn("__rank", rank.cast("double")).withColumn("__tie", tie.cast("double")).withColumn("__state", F.lit(0)), "candidates")
     size = max(size, 2 * distance)
 
-    def decide(t: pd.DataFrame, start: int, end: int) -> pd.DataFrame:
-        at = t["row_idx"].to_numpy()
-        own = (at >= start) & (at < end)
-        state = K.suppressed(at, t["__rank"].to_numpy(), t["__tie"].to_numpy(), t["__state"].to_numpy(), own, distance)
-        return pd.DataFrame({"row_idx": at[own], "__state": state[own]})
+    def decide(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values([*KEYS, "part", "row_idx"], kind="stable")
+        at, part = t["row_idx"].to_numpy(), t["part"].to_numpy()
+        own = (at >= part * size) & (at < (part + 1) * size)
+        # Ranges lie so far apart that they don't meet.
+        nth = t.groupby([*KEYS, "part"], sort=False).ngroup().to_numpy()
+        apart = at - at.min() + nth * (at.max() - at.min() + 2 * distance)
+        state = K.suppressed(apart, t["__rank"].to_numpy(), t["__tie"].to_numpy(), t["__state"].to_numpy(), own, distance)
+        return pd.DataFrame({"trace_id": t["trace_id"].to_numpy()[own], "row_idx": at[own], "__state": state[own]})
 
     while True:
-        told = by_range(now.where("__state < 2"), ["__rank", "__tie", "__state"], size, distance - 1, decide, "row_idx long, __state int")
+        # Many short ranges go to one call: about as many rows as a long one has.
+        left = now.where("__state < 2")
+        calls = max(1, -(-left.count() // size))
+        told = ranges(left, ["__rank", "__tie", "__state"], size, distance - 1).withColumn("__call", F.pmod(F.xxhash64(*KEYS, "part"), F.lit(calls)))
+        told = told.groupBy("__call").applyInPandas(decide, f"trace_id {dict(candidates.dtypes)['trace_id']}, row_idx long, __state int")
         now = stored(now.where("__state < 2").drop("__state").join(told, [*KEYS, "row_idx"]), "candidates")
         if now.where("__state = 0").isEmpty():
             return now.where("__state = 1").select(*names)

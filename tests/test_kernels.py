@@ -128,3 +128,14 @@ def test_complete_linkage():
     labels = K.complete_linkage([0, 4, 9, 30, 31], 10)
     assert labels[0] == labels[1] == labels[2] and labels[3] == labels[4] != labels[0]
     assert len(set(K.complete_linkage([0, 6, 12, 18], 10))) == 2
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 20])
+def test_windows_at_once_are_as_one_by_one(size):
+    import pandas as pd
+
+    x = np.random.default_rng(size).normal(size=(200, size)).round(0 if size > 2 else 2)
+    for row, top, wobble in zip(x, K.highest_peaks(x), K.mean_trailing_deviations(x, 5), strict=True):
+        at = K.spaced_peaks(row, 4)
+        assert top == (row[at].max() if len(at) else 0.0)
+        assert wobble == pytest.approx(pd.Series(row).rolling(5, min_periods=1).std().mean(), abs=1e-9, nan_ok=True)

@@ -135,3 +135,12 @@ def test_many_values_on_a_line():
     assert time.perf_counter() - began < 20
     first, last = x[starts], np.append(np.flatnonzero(np.diff(starts)), len(x) - 1)
     assert (x - first <= 10.0).all() and (x[starts[last[1:]]] > x[last[:-1]]).all()
+
+
+def test_short_traces_that_share_a_call_do_not_meet(spark):
+    traces = {i: np.random.default_rng(i).normal(size=30) for i in range(40)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in traces.items() for i, v in enumerate(x)], "trace_id long, row_idx long, value double")
+    got = {}
+    for r in series.find_peaks(df, "value", 4).collect():
+        got.setdefault(r["trace_id"], set()).add(r["row_idx"])
+    assert got == {k: set(K.spaced_peaks(x, 4).tolist()) for k, x in traces.items()}
