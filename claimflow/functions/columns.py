@@ -7,6 +7,8 @@ list), never an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ MISSING_RSSI = -110.0
 REGION_ROWS = "abcdef"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it: inside higher-order functions an expression is worked out again for each item."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

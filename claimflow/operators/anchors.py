@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import kernels as K
 from ..session import stored
 from . import frames, intervals, series
+from .frames import KEYS
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,7 @@ def flagged_windows(trace: DataFrame, value: str, rssi: list[str], ids: list[str
     parts: dict[str, Column] = {"mean_activity": F.avg("az"), "items": F.collect_list(F.struct(F.col("row_idx"), F.col("z")))}
     parts |= {f"__sd_{c}": F.stddev_samp(c) for c in rssi}
     parts |= {f"__n_{c}": F.sum(f"__new_{c}") for c in ids} | {f"__f_{c}": F.first(f"__new_{c}") for c in ids}
-    w = frames.sliding_windows(z, how.size, how.step, parts).join(bounds, list(frames.KEYS))
+    w = frames.sliding_windows(z, how.size, how.step, parts, series.RANGE // how.step).join(bounds, list(frames.KEYS))
     w = w.withColumn("__x", extremes(how.wobble_rows)(F.filter(F.transform(F.array_sort("items"), lambda x: x["z"]), lambda v: v.isNotNull())))
     magnetic = (F.col("mean_activity") >= F.col("activity_bound")) & (F.col("__x.top") >= F.col("peak_bound")) & (F.col("__x.bottom") <= F.col("valley_bound")) & (F.col("__x.wobble") >= how.least_wobble)
     deviation, changed = F.lit(0.0), F.lit(0)
@@ -110,22 +111,28 @@ def anchor_segments(trace: DataFrame, value: str, rssi: list[str], ids: list[str
 
 def anchor_features(trace: DataFrame, segments: DataFrame, value: str, size: int = 400, around: int = 12, lead: int = 4, cells: list[str] = ()) -> DataFrame:
     """The values inside each segment, before and after it, and ``around`` cell rows from ``lead`` before its start; short lists are filled with nulls."""
-    # Each segment asks for its rows by number: a fixed number of places, and no trace is gathered.
+    # A trace's rows lie in blocks of ``size`` and each segment asks for the few blocks that its parts touch, so no trace is gathered.
     s, e = F.col("start_row"), F.col("end_row")
     low = F.greatest(s - lead, F.lit(0))
-    spans = {"cur": (s, e), "pre": (s - size, s), "post": (e, e + size)} | ({"cells": (low, s - lead + around)} if cells else {})
+    spans = {"cur": (s, F.least(e, s + size)), "pre": (s - size, s), "post": (e, e + size)} | ({"cells": (low, s - lead + around)} if cells else {})
     most = {"cur": size, "pre": size, "post": size, "cells": around}
-    asked = [
-        segments.select(*frames.KEYS, "start_row", "end_row", F.lit(part).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(most[part] - 1))).alias("place"), a.alias("from"), b.alias("to")).withColumn("row_idx", F.col("from") + F.col("place"))
-        for part, (a, b) in spans.items()
-    ]
-    # A place beyond its part asks for a row below 0, which no trace has.
-    wanted = reduce(DataFrame.unionByName, asked).withColumn("row_idx", F.when(F.col("row_idx") < F.col("to"), F.col("row_idx")).otherwise(-1 - F.abs("row_idx")))
     columns = [value, *cells]
-    found = wanted.join(trace.select(*frames.KEYS, "row_idx", *columns), [*frames.KEYS, "row_idx"], "left")
-    rows = F.array_sort(F.collect_list(F.struct("place", *columns)))
-    lists = found.groupBy(*frames.KEYS, "start_row", "end_row").pivot("part", list(spans)).agg(rows)
-    out = [F.transform(part, lambda x: x[value]).alias(part) for part in ("cur", "pre", "post")]
+    block = lambda row: F.floor(row / size).cast("bigint")
+    blocks = trace.groupBy(*KEYS, block(F.col("row_idx")).alias("block")).agg(F.collect_list(F.struct("row_idx", *columns)).alias("__rows"))
+    touched = [F.when(b > a, F.sequence(block(a), block(b - 1))).otherwise(F.array().cast("array<bigint>")) for a, b in spans.values()]
+    asked = segments.select(*KEYS, "start_row", "end_row", F.explode(F.array_distinct(F.concat(*touched))).alias("block"))
+    lists = asked.join(blocks, [*KEYS, "block"], "left").groupBy(*KEYS, "start_row", "end_row").agg(F.flatten(F.collect_list("__rows")).alias("__rows"))
+
+    def placed(part: str) -> Column:
+        """(place, columns) of a part in order, with nulls where the trace has no row."""
+        a, b = spans[part]
+        within = F.filter("__rows", lambda x: (x["row_idx"] >= a) & (x["row_idx"] < b))
+        have = F.transform(within, lambda x: F.struct((x["row_idx"] - a).cast("int").alias("place"), *[x[c].alias(c) for c in columns]))
+        blank = lambda i: F.struct(i.alias("place"), *[F.lit(None).cast(trace.schema[c].dataType).alias(c) for c in columns])
+        return C.bound(have, lambda h: F.sort_array(F.concat(h, F.transform(F.array_except(F.sequence(F.lit(0), F.lit(most[part] - 1)), F.transform(h, lambda x: x["place"])), blank))))
+
+    parts = lists.select(*KEYS, "start_row", "end_row", *[placed(p).alias(f"__{p}") for p in spans])
     of = lambda c: lambda x: x[c]
-    out += [F.transform("cells", of(c)).alias(c) for c in cells]
-    return lists.select(*frames.KEYS, "start_row", "end_row", *out)
+    out = [F.transform(f"__{p}", of(value)).alias(p) for p in ("cur", "pre", "post")]
+    out += [F.transform("__cells", of(c)).alias(c) for c in cells]
+    return parts.select(*KEYS, "start_row", "end_row", *out)

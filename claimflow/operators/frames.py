@@ -70,18 +70,27 @@ def zscore(df: DataFrame, value: str, out: str, sample: bool = False, keys: Sequ
     return df.withColumn(out, (F.col(value) - F.avg(value).over(w)) / F.when((sd == 0) | sd.isNull(), 1.0).otherwise(sd))
 
 
-def sliding_windows(df: DataFrame, size: int, step: int, aggregates: dict[str, Column]) -> DataFrame:
+def sliding_windows(df: DataFrame, size: int, step: int, aggregates: dict[str, Column], dealt: int | None = None) -> DataFrame:
     """Complete windows of ``size`` rows every ``step`` rows: one row each with ``start_row``, ``end_row`` and the aggregates.
 
     Each row goes to the windows that hold it, size / step of them, and only
     these are aggregated; the aggregates must not depend on order. A trace's
-    rows are together already, so nothing is shuffled again.
+    rows are together already, so nothing is shuffled again. Where they are not
+    (after a table was written), ``dealt`` brings those of so many windows
+    together first, so that rows are shuffled and not the lists of windows.
     """
     newest = (F.col("row_idx") - F.col("row_idx") % step).cast("bigint")
     oldest = F.greatest(F.lit(0), F.ceil((F.col("row_idx") - size + 1) / step) * step).cast("bigint")
+    keys = list(KEYS)
+    if dealt:
+        span = dealt * step
+        parts = F.when(newest >= oldest, F.sequence(F.floor(oldest / span).cast("bigint"), F.floor(newest / span).cast("bigint")))
+        df = df.withColumn("__part", F.explode(parts)).repartition(*KEYS, "__part")
+        oldest, newest = F.greatest(oldest, F.col("__part") * span), F.least(newest, (F.col("__part") + 1) * span - step)
+        keys.append("__part")
     # With a step beyond the size some rows are in no window.
     held = F.when(newest >= oldest, F.sequence(oldest, newest, F.lit(step).cast("bigint")))
-    made = df.withColumn("start_row", F.explode(held)).groupBy(*KEYS, "start_row").agg(F.count("*").alias("__n"), *[a.alias(k) for k, a in aggregates.items()])
+    made = df.withColumn("start_row", F.explode(held)).groupBy(*keys, "start_row").agg(F.count("*").alias("__n"), *[a.alias(k) for k, a in aggregates.items()])
     return made.where(F.col("__n") == size).select(*KEYS, "start_row", (F.col("start_row") + size).alias("end_row"), *aggregates)
 
 

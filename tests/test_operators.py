@@ -445,3 +445,37 @@ def test_marked_lists_give_the_same_ratio(spark):
     for r in df.select("i", C.lcs_ratio("a", "b").alias("want"), C.marked_ratio("a", C.marked("b")).alias("got")).collect():
         assert r["got"] == r["want"], r["i"]
     assert df.select(F.max(F.size(C.marked("b")["masks"]))).first()[0] == 5
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_anchor_features_ask_for_blocks(spark):
+    """A segment asks for a few blocks of rows, not for each of its rows, and copes with gaps and with rows that a trace lacks."""
+    from claimflow.operators import anchors
+
+    held = [i for i in range(400) if i % 7]
+    t = spark.createDataFrame([(1, i, float(i), -float(i)) for i in held], "trace_id long, row_idx long, v double, rssi double")
+    segments = spark.createDataFrame([(1, 3, 12), (1, 100, 190), (1, 385, 400), (2, 5, 9)], "trace_id long, start_row long, end_row long")
+    df = anchors.anchor_features(t, segments, "v", 20, 12, 4, ["rssi"])
+    assert "pivotfirst" not in plan(df).lower() and "explode([0,1,2" not in plan(df) and "explode(sequence(0" not in plan(df)
+    got = {(r["trace_id"], r["start_row"]): r for r in df.collect()}
+    at = lambda i, low, high, trace, sign=1.0: sign * i if trace == 1 and low <= i < high and i in held else None
+    for k, s, e in segments.collect():
+        r, low = got[k, s], max(s - 4, 0)
+        assert r["cur"] == [at(s + p, s, e, k) for p in range(20)]
+        assert r["pre"] == [at(s - 20 + p, 0, s, k) for p in range(20)]
+        assert r["post"] == [at(e + p, e, 400, k) for p in range(20)]
+        assert r["rssi"] == [at(low + p, low, s + 8, k, -1.0) for p in range(12)]
+
+
+def test_rows_are_dealt_to_windows(spark):
+    """Windows over the ends of ranges are whole, and those of a written table shuffle its rows once."""
+    t = spark.createDataFrame([(k, i, float(i * k % 7)) for k in (1, 2) for i in range(95)], "trace_id long, row_idx long, v double")
+    for size, step in ((20, 5), (7, 3), (3, 5)):
+        parts = {"s": F.sum("v"), "items": F.sort_array(F.collect_list("row_idx"))}
+        whole = frames.sliding_windows(t, size, step, parts)
+        dealt = frames.sliding_windows(t, size, step, parts, 4)
+        assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
