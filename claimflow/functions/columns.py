@@ -129,10 +129,15 @@ def int_list(text: Column | str) -> Column:
 def scan_cells(types: Column | str, ids: Column | str, rssi: Column | str) -> Column:
     """Cells of one scan from three parallel lists, cut to the shortest: LTE cells with a known strength."""
     t, i, r = F.from_json(_c(types), "array<string>"), F.from_json(_c(ids), "array<int>"), F.from_json(_c(rssi), "array<int>")
-    n = F.least(F.size(t), F.size(i), F.size(r))
-    zipped = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.lower(F.get(t, k)).alias("type"), F.get(i, k).alias("id"), F.get(r, k).alias("rssi")))
-    kept = F.filter(zipped, lambda x: (x["type"] == "lte") & (x["rssi"].isNull() | (x["rssi"] != INVALID_RSSI)))
-    return F.when(n > 0, kept).otherwise(F.from_json(F.lit("[]"), "array<struct<type:string,id:int,rssi:int>>"))
+    blank = F.from_json(F.lit("[]"), "array<struct<type:string,id:int,rssi:int>>")
+
+    def cells(x: Column) -> Column:
+        n = F.least(F.size(x["t"]), F.size(x["i"]), F.size(x["r"]))
+        zipped = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.lower(F.get(x["t"], k)).alias("type"), F.get(x["i"], k).alias("id"), F.get(x["r"], k).alias("rssi")))
+        kept = F.filter(zipped, lambda x: (x["type"] == "lte") & (x["rssi"].isNull() | (x["rssi"] != INVALID_RSSI)))
+        return F.when(n > 0, kept).otherwise(blank)
+
+    return bound(F.struct(t.alias("t"), i.alias("i"), r.alias("r")), cells)
 
 
 def small_ids(cells: Column | str) -> Column:

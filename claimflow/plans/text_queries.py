@@ -278,9 +278,9 @@ def null_rssi_zero_id(s, d):
 def wide_or_list_cells(s, d):
     """Scans as lists, and with a column for each of three cells: both come in long form, without padding."""
     lists = _cells(s, d).select("scan_id", F.transform("cells", lambda x: x["rssi"]).alias("Cell_RSSI"))
-    wide = lists.select("scan_id", *[F.get("Cell_RSSI", F.lit(i)).alias(f"Cell_RSSI_{i + 1}") for i in range(3)])
-    both = files.long_cells(lists, ["scan_id"]).withColumn("form", F.lit("list")).unionByName(files.long_cells(wide, ["scan_id"]).withColumn("form", F.lit("wide")))
-    return both.groupBy("form", "scan_id").agg(F.count("*").alias("cells"), F.round(F.avg("rssi"), 6).alias("mean_rssi"))
+    both = lists.select("scan_id", "Cell_RSSI", *[F.get("Cell_RSSI", F.lit(i)).alias(f"Cell_RSSI_{i + 1}") for i in range(3)])
+    # A scan's cells stay together, so that neither form is shuffled again.
+    return files.long_cells(both, ["scan_id"], "form").groupBy("form", "scan_id").agg(F.count("*").alias("cells"), F.round(F.avg("rssi"), 6).alias("mean_rssi"))
 
 
 # -- cleaning -----------------------------------------------------------------

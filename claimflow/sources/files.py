@@ -94,11 +94,21 @@ def read_columns(spark: SparkSession, path: str, schema: str, names: Sequence[st
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path).select(*names)
 
 
-def long_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, place, rssi): scans with a column ``Cell_RSSI_n`` for each cell, or with a list ``Cell_RSSI``; missing values have no row."""
+def long_cells(df: DataFrame, keys: Sequence[str], form: str | None = None) -> DataFrame:
+    """(keys, place, rssi): scans with a column ``Cell_RSSI_n`` for each cell, or with a list ``Cell_RSSI``; missing values have no row.
+
+    With a name for ``form``, scans that hold both come in both, told apart by
+    that column (list, wide), from one pass over them.
+    """
     wide = sorted((c for c in df.columns if c.startswith("Cell_RSSI_")), key=lambda c: int(c.rsplit("_", 1)[1]))
-    values = F.array(*[F.col(c) for c in wide]) if wide else F.col("Cell_RSSI")
-    return df.select(*keys, F.posexplode(values).alias("place", "rssi")).where("rssi is not null")
+    forms = ({"list": F.col("Cell_RSSI")} if "Cell_RSSI" in df.columns else {}) | ({"wide": F.array(*[F.col(c) for c in wide])} if wide else {})
+    if form:
+        df = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(name).alias(form), v.alias("__values")) for name, v in forms.items()])))
+        keys, values = [*keys, form], F.col("__values")
+    else:
+        values = forms["wide" if wide else "list"]
+    # An inner explode of a column is filtered by its size first, which works out the lists twice.
+    return df.select(*keys, F.posexplode_outer(values).alias("place", "rssi")).where("rssi is not null")
 
 
 def read_signals(spark: SparkSession, root: str, pattern: str = "*/signal*.csv") -> DataFrame:

@@ -183,3 +183,15 @@ def test_flagship(spark):
     df = catalogue.flagship(spark, DATA)
     assert set(df.columns) == {"trace_id", "start_row", "end_row", "score"} and df.count() > 0
     assert df.where("end_row - start_row > 20").count() == 0
+
+
+def plan_of(spark, name):
+    return catalogue.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["wide_or_list_cells", "parse_filter_cells"])
+def test_scans_are_read_and_parsed_once(spark, name):
+    """One pass over the lines, and each of a scan's three lists is parsed in one place (its cells refer to that)."""
+    plan = plan_of(spark, name)
+    assert plan.count("Relation [") == 1
+    assert plan.count("from_json(") == 3
