@@ -158,6 +158,15 @@ def zero_missing_ids(ids: Column | str, rssi: Column | str) -> Column:
     return F.zip_with(_c(ids), _c(rssi), lambda i, r: F.when(r.isNull(), F.lit(0)).otherwise(i))
 
 
+def last_wins(keys: Column, values: Column) -> Column:
+    """A map from two parallel lists in which the last of equal keys wins, whatever the session does with equal keys."""
+
+    def built(x: Column) -> Column:
+        return bound(F.array_distinct(x["k"]), lambda d: F.map_from_arrays(d, F.transform(d, lambda k: F.get(x["v"], (F.array_position(x["k"], k) - 1).cast("int")))))
+
+    return bound(F.struct(F.reverse(keys).alias("k"), F.reverse(values).alias("v")), built)
+
+
 def resampled(values: Column | str, n: int) -> Column:
     """``n`` points of a list by linear interpolation, both ends kept."""
     v = _c(values)

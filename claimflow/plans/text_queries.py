@@ -369,9 +369,9 @@ def array_scalars(s, d):
     SELECT scan_id, count(*) AS keys, CAST(coalesce(max(rssi) FILTER (k = 20), -110) AS INT) AS at20 FROM last GROUP BY scan_id""")
 def map_scalars(s, d):
     """A map in which the last of equal keys wins, with a default for absent ones."""
-    cells = _cells(s, d).where(F.size("cells") > 0).select("scan_id", F.posexplode("cells").alias("pos", "x")).select("scan_id", "pos", (F.col("x.id") % 100).alias("k"), F.col("x.rssi").alias("rssi"))
-    last = cells.groupBy("scan_id", "k").agg(F.max_by("rssi", "pos").alias("rssi"))
-    maps = last.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "rssi"))).alias("m"))
+    # An exploded list, unlike a filter on its size, is worked out once.
+    cells = _cells(s, d).select("scan_id", F.explode(F.array("cells")).alias("cells")).where(F.size("cells") > 0)
+    maps = cells.select("scan_id", C.last_wins(F.transform("cells", lambda x: x["id"] % 100), F.transform("cells", lambda x: x["rssi"])).alias("m"))
     return maps.select("scan_id", F.size("m").cast("bigint").alias("keys"), F.coalesce(F.try_element_at("m", F.lit(20)), F.lit(-110)).alias("at20"))
 
 

@@ -8,7 +8,9 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from claimflow.functions import columns as C
 from claimflow.functions import kernels as K
 from claimflow.plans import catalogue
 
@@ -189,9 +191,16 @@ def plan_of(spark, name):
     return catalogue.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["wide_or_list_cells", "parse_filter_cells"])
+@pytest.mark.parametrize("name", ["wide_or_list_cells", "map_scalars", "parse_filter_cells"])
 def test_scans_are_read_and_parsed_once(spark, name):
     """One pass over the lines, and each of a scan's three lists is parsed in one place (its cells refer to that)."""
     plan = plan_of(spark, name)
     assert plan.count("Relation [") == 1
     assert plan.count("from_json(") == 3
+
+
+def test_last_of_equal_keys_wins(spark):
+    """Cells become a map within their scan, without aggregates of cells."""
+    made = spark.range(1).select(C.last_wins(F.array(F.lit(3), F.lit(5), F.lit(3), F.lit(9)), F.array(F.lit(1), F.lit(2), F.lit(None), F.lit(4))).alias("m"), C.last_wins(F.array().cast("array<int>"), F.array().cast("array<int>")).alias("none")).first()
+    assert made["m"] == {3: None, 5: 2, 9: 4} and made["none"] == {}
+    assert plan_of(spark, "map_scalars").count("Aggregate [") == 1
