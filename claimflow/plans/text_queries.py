@@ -264,13 +264,12 @@ def int_neighbours(s, d):
 @query(f"""WITH {SCANS.replace("AND rssi <> 2147483647", "")}, x AS (SELECT scan_id, pos, CASE WHEN rssi = 2147483647 THEN 0 ELSE id END AS id FROM cells)
     SELECT scan_id, CAST(sum(id) AS BIGINT) AS id_sum, count(*) AS n FROM x GROUP BY scan_id""")
 def null_rssi_zero_id(s, d):
-    line = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "A", "Gsm").otherwise("Lte").alias("t"), (F.col("l_partkey") * 20).cast("int").alias("i"), F.when(F.col("l_linenumber") == 5, F.lit(2147483647)).otherwise(-F.col("l_quantity").cast("int")).alias("r"))
-    scan = Window.partitionBy("l_orderkey")
-    kept = line.withColumn("n", F.count("*").over(scan)).withColumn("pos", F.row_number().over(scan.orderBy("l_linenumber", "t", "i", "r")))
-    kept = kept.where((F.col("t") == "Lte") & (F.col("pos") <= F.col("n") - F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)))
-    lists = kept.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "i", F.nullif("r", F.lit(2147483647)).alias("r")))).alias("x"))
-    ids = C.zero_missing_ids(F.transform("x", lambda x: x["i"]), F.transform("x", lambda x: x["r"]))
-    return lists.select(F.col("l_orderkey").alias("scan_id"), F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"), F.size(ids).cast("bigint").alias("n"))
+    line = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "A", False).otherwise(True).alias("lte"), (F.col("l_partkey") * 20).cast("int").alias("i"), F.when(F.col("l_linenumber") == 5, F.lit(2147483647)).otherwise(-F.col("l_quantity").cast("int")).alias("r"))
+    lists = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "lte", "i", "r"))).alias("x"))
+    kept = F.filter(F.slice("x", F.lit(1), F.size("x") - F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)), lambda x: x["lte"])
+    lists = lists.select("l_orderkey", F.explode(F.array(kept)).alias("x")).where(F.size("x") > 0)
+    ids = C.zero_missing_ids(F.transform("x", lambda x: x["i"]), F.transform("x", lambda x: F.nullif(x["r"], F.lit(2147483647))))
+    return lists.select(F.col("l_orderkey").alias("scan_id"), F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"), F.size("x").cast("bigint").alias("n"))
 
 
 @query(f"""WITH {SCANS}, n AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY pos) AS nth FROM cells)

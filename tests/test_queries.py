@@ -204,3 +204,9 @@ def test_last_of_equal_keys_wins(spark):
     made = spark.range(1).select(C.last_wins(F.array(F.lit(3), F.lit(5), F.lit(3), F.lit(9)), F.array(F.lit(1), F.lit(2), F.lit(None), F.lit(4))).alias("m"), C.last_wins(F.array().cast("array<int>"), F.array().cast("array<int>")).alias("none")).first()
     assert made["m"] == {3: None, 5: 2, 9: 4} and made["none"] == {}
     assert plan_of(spark, "map_scalars").count("Aggregate [") == 1
+
+
+def test_missing_ids_take_one_aggregate(spark):
+    """A scan's lines come together once: no window sorts them beside that."""
+    plan = plan_of(spark, "null_rssi_zero_id")
+    assert plan.count("Aggregate [") == 1 and "Window" not in plan
