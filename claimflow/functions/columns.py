@@ -291,10 +291,12 @@ def array_mean(values: Column, empty: float = 0.0) -> Column:
 
 def route_score(cells: Column | str) -> Column:
     """1 less the mean jump penalty, scaled down by half the share of unknown regions."""
-    v = _c(cells)
-    known = F.filter(v, lambda x: x.isNotNull())
-    bad = F.when(F.size(v) > 0, (F.size(v) - F.size(known)) / F.size(v)).otherwise(1.0)
-    return F.greatest(F.lit(0.0), (1 - array_mean(F.transform(region_jumps(known), jump_penalty))) * (1 - 0.5 * bad))
+
+    def score(v: Column, known: Column) -> Column:
+        bad = F.when(F.size(v) > 0, (F.size(v) - F.size(known)) / F.size(v)).otherwise(1.0)
+        return F.greatest(F.lit(0.0), (1 - bound(F.transform(region_jumps(known), jump_penalty), array_mean)) * (1 - 0.5 * bad))
+
+    return bound(_c(cells), lambda v: bound(F.filter(v, lambda x: x.isNotNull()), lambda known: score(v, known)))
 
 
 # -- numbers ------------------------------------------------------------------

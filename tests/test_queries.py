@@ -210,3 +210,9 @@ def test_missing_ids_take_one_aggregate(spark):
     """A scan's lines come together once: no window sorts them beside that."""
     plan = plan_of(spark, "null_rssi_zero_id")
     assert plan.count("Aggregate [") == 1 and "Window" not in plan
+
+
+def test_route_cells_are_read_once(spark):
+    """The score refers to a route's cells and jumps, and does not work them out for each use."""
+    plan = plan_of(spark, "grid_route_score")
+    assert plan.lower().count("rlike") + plan.count("^[a-f][1-6]$") <= 2
