@@ -302,9 +302,24 @@ def route_score(cells: Column | str) -> Column:
 # -- numbers ------------------------------------------------------------------
 
 
+def floored_mod(a: Column | str, b: float) -> Column:
+    """``a`` less ``b`` times the floor of their quotient, step by step as SQL's fmod: a remainder below zero is lifted, and one of a few last bits is rounded with it."""
+    a = _c(a)
+    q = a / F.lit(b)
+    # A bigint holds no quotient beyond its range, and no negative zero.
+    return a - F.lit(b) * F.when((F.abs(q) < 2.0**53) & (q != 0), F.floor(q).cast("double")).otherwise(q)
+
+
+def rounded(x: Column | str, n: int) -> Column:
+    """Rounded to ``n`` places; what is below zero keeps its sign where it becomes 0, as in SQL."""
+    x = _c(x)
+    r = F.round(x, n)
+    return F.when((r == 0) & (x < 0), F.lit(-0.0)).otherwise(r)
+
+
 def wrap180(degrees: Column | str) -> Column:
     """From -180 up to 180: a turn that is 180 but for its last bits is -180 from both sides, as adding 360 rounds these away."""
-    return ((_c(degrees) + 180.0) % 360.0 + 360.0) % 360.0 - 180.0
+    return floored_mod(floored_mod(_c(degrees) + 180.0, 360.0) + 360.0, 360.0) - 180.0
 
 
 def circular_difference(a: Column | str, b: Column | str) -> Column:

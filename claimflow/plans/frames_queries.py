@@ -106,14 +106,15 @@ _H = "fmod(value * 7.0, 360.0)"
 
 
 def _headed(s, d):
-    return trace(s, d).withColumn("heading", F.expr("(value * 7.0D) % 360.0D")).withColumn("length", F.lit(1.0))
+    return trace(s, d).withColumn("heading", C.floored_mod(F.col("value") * 7.0, 360.0)).withColumn("length", F.lit(1.0))
 
 
 @query(f"""WITH {TRACE}, h AS (SELECT *, {_H} AS heading FROM trace), g AS (SELECT *, heading - lag(heading) OVER {W} AS turn FROM h)
     SELECT {ID}, round(fmod(fmod(turn + 180.0, 360.0) + 360.0, 360.0) - 180.0, 6) AS turn FROM g""")
 def angle_wrap(s, d):
     t = _headed(s, d)
-    return _round(frames.difference(t, "heading", "raw").withColumn("turn", C.wrap180("raw")), "turn")
+    t = frames.difference(t, "heading", "raw").withColumn("turn", C.wrap180("raw"))
+    return t.select("trace_id", "row_idx", C.rounded("turn", 6).alias("turn"))
 
 
 @query(f"""WITH {TRACE}, h AS (SELECT *, {_H} AS heading FROM trace)

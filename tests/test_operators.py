@@ -415,6 +415,28 @@ def test_half_turns_are_the_same_from_both_sides(spark):
     assert want[2] == -180.0
 
 
+@pytest.mark.parametrize("name", ["angle_wrap"])
+def test_headings_are_those_of_sql_to_the_last_bit(spark, tmp_path, name):
+    """Half turns with a last bit too many, signed zeros, values below zero, and numbers that are none."""
+    import duckdb
+
+    from claimflow.plans import catalogue
+
+    # 188.99 to 242.93 turns by -180.00000000000006 degrees; the third trace comes back to a heading of 0 but for a last bit.
+    traces = [[188.99, 8.99, 14.0], [242.93000000000006, 62.93], [0.0, 2.85, 0.01, 359.3, 360.0, 0.0], [-1.5, -0.0, 3.1, -400.25], [1e300, float("inf"), 1.0, None, 2.0, float("nan"), 5.0]]
+    traces.append([float(x) / 100 for x in np.random.default_rng(5).integers(0, 54000, 4000)])
+    traces.extend([[a, round(a + 180.0, 2), a, round(a + 360.0, 2), a] for a in np.round(np.arange(0.0, 60.0, 0.37), 2).tolist()])
+    rows = [(k, i, v) for k, t in enumerate(traces) for i, v in enumerate(t)]
+    df = spark.createDataFrame(rows, "user_id long, i long, value double")
+    events = df.select((F.col("user_id") * 10_000 + F.col("i")).alias("event_id"), F.timestamp_seconds("i").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), "value", F.lit('{"k": 1}').alias("props"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {r[:2]: repr(r[2]) for r in con.sql(catalogue.oracle_sql()[name]).fetchall()}
+    got = {(r[0], r[1]): repr(r[2]) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
+    assert len(want) == len(rows) and {k: (want[k], got.get(k)) for k in want if want[k] != got.get(k)} == {}
+
+
 def test_rows_are_copied_a_bounded_number_of_times(spark):
     df = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("v"))
     copies = lambda n: distances.dealt(df, "vec_id", None, None, ["v"], 10, copies=n).groupBy("key").count().agg(F.max("count")).first()[0]
