@@ -130,7 +130,7 @@ def cumulative_path(s, d):
     SELECT {ID}, round(first_value(heading) OVER {W} + sum(cut) OVER (PARTITION BY trace_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 5) AS clean FROM c""")
 def rate_limited_heading(s, d):
     t = frames.rate_limited(_headed(s, d), "heading", "clean")
-    return t.select("trace_id", "row_idx", F.round("clean", 5).alias("clean"))
+    return t.select("trace_id", "row_idx", C.rounded("clean", 5).alias("clean"))
 
 
 @query(f"WITH {TRACE} SELECT trace_id, round(avg(abs(value)) + 0.07 * stddev_samp(abs(value)), 6) AS upper, round(avg(abs(value)) - 0.07 * stddev_samp(abs(value)), 6) AS lower FROM trace GROUP BY trace_id")

@@ -415,7 +415,7 @@ def test_half_turns_are_the_same_from_both_sides(spark):
     assert want[2] == -180.0
 
 
-@pytest.mark.parametrize("name", ["angle_wrap"])
+@pytest.mark.parametrize("name", ["angle_wrap", "rate_limited_heading"])
 def test_headings_are_those_of_sql_to_the_last_bit(spark, tmp_path, name):
     """Half turns with a last bit too many, signed zeros, values below zero, and numbers that are none."""
     import duckdb
