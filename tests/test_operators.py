@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,6 +341,33 @@ def test_kmeans_on_a_matrix_in_tiles(spark, block):
     assert got == {i * 3: i // 14 for i in range(42)}
 
 
+def test_strips_hold_the_matrix(spark, monkeypatch):
+    """A matrix that differs both ways, measured once for each two blocks, lies in strips of whole columns, piece by piece."""
+    asked = []
+
+    def measure(left, right):
+        asked.append((len(left), len(right)))
+        return distances.euclidean("v")(left, right)
+
+    x = np.random.default_rng(11).normal(size=(23, 3))
+    far = np.linalg.norm(x[:, None] - x[None], axis=2)
+    pdf = pd.DataFrame({"key": range(23), "v": list(x), "high": far.max(1)})
+    one = distances.fused(distances.scaled(measure, None, "high", True), distances.scaled(distances.euclidean("v"), None, "high", True))
+    there, back = distances.both_ways(one, pdf[:9], pdf[9:])
+    assert asked == [(9, 14)] and np.allclose(there, one(pdf[:9], pdf[9:])) and np.allclose(back, one(pdf[9:], pdf[:9])) and not np.allclose(there, back.T)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], float(far[i].max())) for i in range(23)], "key long, v array<double>, high double")
+    scaled = distances.scaled(distances.euclidean("v"), None, "high", True)
+    tiles = distances.tiles(df, "key", ["v", "high"], distances.fused(scaled, scaled), 7).cache()
+    blocks = {r["rows"]: r["row_keys"] for r in tiles.where("rows = cols").orderBy("rows").collect()}
+    keys = [k for b in sorted(blocks) for k in blocks[b]]
+    monkeypatch.setattr(distances, "PIECE", 2 * 8 * 23)
+    strips = distances._strips(tiles, {b: len(blocks[b]) for b in sorted(blocks)}, 5).collect()
+    got = [np.frombuffer(r["cells"]).reshape(-1, 23) for r in sorted(strips, key=lambda r: r["strip"])]
+    want = np.sqrt(0.3**2 + 0.7**2) * far / far.max(0)
+    assert [len(c) for c in got] == [2, 2, 1] * 4 + [2, 1] and np.allclose(np.concatenate(got).T, want[np.ix_(keys, keys)])
+    tiles.unpersist()
+
+
 def test_drawn_templates(spark):
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 3).alias("label"))
     few = distances.drawn(df, "k", "label", 5)
