@@ -368,6 +368,31 @@ def test_strips_hold_the_matrix(spark, monkeypatch):
     tiles.unpersist()
 
 
+def test_lower_bounds_leave_the_nearest_as_they_are(spark, monkeypatch):
+    """Most pairs are never warped, and the nearest few are those of all pairs, both ways and tile by tile."""
+    rng = np.random.default_rng(12)
+    x, e = rng.normal(size=(150, 6)) + np.arange(150)[:, None] % 5, rng.normal(size=(150, 3))
+    w = np.where(np.eye(150), np.nan, K.warped(x, x))
+    far = np.where(np.eye(150), np.nan, K.straight(e, e))
+    ends = [(float(f(m[i])) for m in (w, far) for f in (np.nanmin, np.nanmax)) for i in range(150)]
+    rows = [(i, i % 5, x[i].tolist(), e[i].tolist(), *ends[i]) for i in range(150)]
+    df = spark.createDataFrame(rows, "key long, label int, meg array<double>, lte array<double>, meg_low double, meg_high double, lte_low double, lte_high double")
+    measure = distances.fused_by_row("meg", "lte")
+    left, right = (df.where(c).toPandas() for c in ("key < 60", "key >= 60"))
+    there, back, exact = measure.lazily(left, right)
+    i, j = (m.ravel() for m in np.indices(there.shape))
+    want = distances.both_ways(measure, left, right)
+    for low, got, full in zip((there, back), exact(i, j), (want[0], want[1].T), strict=True):
+        assert np.allclose(got.reshape(full.shape), full, rtol=0, atol=1e-15) and (low <= full).all()
+    kept = distances._Kept(left, right.sort_values(["label", "key"]), ["fused"], [], 3)
+    kept.worst[:] = np.sort(want[0], 1)[:, 14:15]
+    assert kept.may(slice(0, 60), slice(0, 90), there).mean() < 0.6
+    plain = lambda a, b: measure(a, b)
+    monkeypatch.setattr(distances, "TILE", (9, 14))
+    told = [{(r["key"], r["other_label"]): (r["n"], [(n["other"], pytest.approx(n["distance"])) for n in r["near"]]) for r in distances.met(df, "key", "label", ["meg", "lte", "meg_low", "meg_high", "lte_low", "lte_high"], {"fused": f}, nearest=3, block=40, symmetric=False, stats=[]).collect()} for f in (measure, plain)]
+    assert told[0] == told[1] and len(told[0]) == 750 and {n for n, _ in told[0].values()} == {29, 30}
+
+
 def test_drawn_templates(spark):
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 3).alias("label"))
     few = distances.drawn(df, "k", "label", 5)
