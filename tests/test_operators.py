@@ -393,6 +393,23 @@ def test_lower_bounds_leave_the_nearest_as_they_are(spark, monkeypatch):
     assert told[0] == told[1] and len(told[0]) == 750 and {n for n, _ in told[0].values()} == {29, 30}
 
 
+def test_only_what_is_new_is_put_in_order(monkeypatch):
+    """A tile that is near to one row sorts that row's few, not those of all rows."""
+    sorted_, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or lexsort(keys))
+    rows = pd.DataFrame({"key": range(50), "label": 0})
+    kept = distances._Kept(rows, pd.DataFrame({"key": range(100, 120), "label": 0}), ["dist"], [], 3)
+    d = np.random.default_rng(13).random((50, 20))
+    d[:, 10:] += 1
+    d[7, 15] = -1.0
+    for at in (slice(0, 10), slice(10, 20)):
+        kept.add(slice(0, 50), at, None, {"dist": d[:, at]})
+    assert sorted_ == [150, 4]
+    t = kept.table()
+    assert [list(k) for k in t["near_k"]] == [list(100 + np.argsort(x)[:3]) for x in d] and [list(x) for x in t["near_d"]] == [sorted(x)[:3] for x in d.tolist()]
+    assert (t["n"] == 20).all()
+
+
 def test_drawn_templates(spark):
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 3).alias("label"))
     few = distances.drawn(df, "k", "label", 5)
