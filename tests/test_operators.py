@@ -410,6 +410,27 @@ def test_only_what_is_new_is_put_in_order(monkeypatch):
     assert (t["n"] == 20).all()
 
 
+def test_a_block_meets_itself_once(spark, monkeypatch):
+    """Pairs within a block are measured once for both rows, but for tiles on the diagonal; rows of one key do not meet."""
+    monkeypatch.setattr(distances, "TILE", (10, 20))
+    pairs = spark.sparkContext.accumulator(0)
+    x = np.random.default_rng(14).normal(size=(100, 3))
+
+    def measure(left, right):
+        pairs.add(len(left) * len(right))
+        return distances.euclidean("v")(left, right)
+
+    df = spark.createDataFrame([(i // 2 if i < 20 else i, i % 3, [float(v) for v in x[i]]) for i in range(100)], "key long, label int, v array<double>")
+    got = distances.met(df.where("key >= 20"), "key", "label", ["v"], {"dist": measure}, nearest=2).collect()
+    assert pairs.value == 80 * 90 // 2
+    for r in got:
+        d = np.sort([np.linalg.norm(x[r["key"]] - x[j]) for j in range(20, 100) if j != r["key"] and j % 3 == r["other_label"]])
+        assert (r["n"], r["dist_total"], r["dist_least"], r["dist_most"]) == (len(d), pytest.approx(d.sum()), pytest.approx(d[0]), pytest.approx(d[-1]))
+        assert [n["distance"] for n in r["near"]] == pytest.approx(d[:2])
+    twins = distances.met(df, "key", "label", ["v"], {"dist": measure}).groupBy("key").agg(F.sum("n").alias("n")).collect()
+    assert {r["key"]: r["n"] for r in twins} == {r["key"]: 2 * 98 if r["key"] < 10 else 99 for r in twins} and len(twins) == 90
+
+
 def test_drawn_templates(spark):
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 3).alias("label"))
     few = distances.drawn(df, "k", "label", 5)
